@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from arqueo.functions.text import rate_number
 
-_BY_DAY = W.orderBy("fecha")
+
+def _by_day():
+    return W.orderBy("fecha")
 
 
 def first_needed_day(facturas: DataFrame, monetizaciones: DataFrame, as_of: Column) -> Column:
@@ -21,35 +23,24 @@ def first_needed_day(facturas: DataFrame, monetizaciones: DataFrame, as_of: Colu
     return F.coalesce(F.least(invoice, payment), as_of)
 
 
-def _overlapping(intervals: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Intervals that touch the range, with the parsed rate and the days they cover inside it."""
-    return (
-        intervals.where((F.col("vigenciadesde") <= end) & (F.col("vigenciahasta") >= start))
-        .withColumns({
-            "trm": rate_number(F.col("valor")),
-            "desde": F.greatest("vigenciadesde", start),
-            "hasta": F.least("vigenciahasta", end),
-        })
-    )
-
-
 def daily_rates(intervals: DataFrame, start: Column, end: Column) -> DataFrame:
     """One rate per day of ``[start, end]`` from the first source, by ``prioridad``, that can be used.
 
-    A source with an unreadable rate in the range is passed over whole; `rate_rejects` lists why.
-    Days covered twice take the record that starts last. No usable source is an error.
+    Intervals are cut to the range before they unfold into days. A source with an unreadable rate
+    in the range is passed over whole; `rate_rejects` lists why. Days covered twice take the
+    record that starts last. No usable source is an error.
     """
-    found = _overlapping(intervals, start, end)
+    found = intervals.select(
+        "prioridad", "vigenciadesde", "vigenciahasta", rate_number(F.col("valor")).alias("trm"),
+        F.greatest("vigenciadesde", start).alias("desde"), F.least("vigenciahasta", end).alias("hasta"),
+    ).where((F.col("vigenciadesde") <= F.col("vigenciahasta")) & (F.col("desde") <= F.col("hasta")))
     usable = (
-        found.groupBy("prioridad")
-        .agg(F.bool_and(F.col("trm").isNotNull()).alias("legible"), F.bool_or(F.expr("desde <= hasta")).alias("con_dias"))
-        .where("legible AND con_dias")
-        .agg(F.min("prioridad"))
-        .scalar()
+        found.groupBy("prioridad").agg(F.bool_and(F.col("trm").isNotNull()).alias("legible"))
+        .where("legible").agg(F.min("prioridad")).scalar()
     )
     missing = F.raise_error(F.lit("no usable rate source for the range")).cast("int")
     return (
-        found.where((F.col("desde") <= F.col("hasta")) & (F.col("prioridad") == F.coalesce(usable, missing)))
+        found.where(F.col("prioridad") == F.coalesce(usable, missing))
         .select("trm", "vigenciadesde", "vigenciahasta", F.explode(F.sequence("desde", "hasta")).alias("fecha"))
         .groupBy("fecha")
         .agg(F.max_by("trm", F.struct("vigenciadesde", "vigenciahasta", "trm")).alias("trm"))
@@ -65,7 +56,7 @@ def last_rates(rates: DataFrame, cutoff: Column) -> Column:
 
     The previous rate and the cutoff rate fall back to the newest. Meant to be read field by field.
     """
-    stepped = rates.withColumn("previa", F.lag("trm").over(_BY_DAY))
+    stepped = rates.withColumn("previa", F.lag("trm").over(_by_day()))
     latest = F.max_by("trm", "fecha")
     return stepped.agg(
         F.struct(
@@ -78,7 +69,7 @@ def last_rates(rates: DataFrame, cutoff: Column) -> Column:
 
 def fill_calendar(rates: DataFrame, end: Column) -> DataFrame:
     """Carry each rate forward over the days without one, up to ``end``."""
-    until = F.coalesce(F.date_sub(F.lead("fecha").over(_BY_DAY), 1), F.greatest("fecha", end))
+    until = F.coalesce(F.date_sub(F.lead("fecha").over(_by_day()), 1), F.greatest("fecha", end))
     return rates.withColumn("hasta", until).select(F.explode(F.sequence("fecha", "hasta")).alias("fecha"), "trm")
 
 

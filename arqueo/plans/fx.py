@@ -50,6 +50,8 @@ def fx_summary(
     split = split_by_invoice_date(facturas, daily_payments(monetizaciones))
     priced = rate_as_of(facturas, "fecha_factura", rates, end, "trm_factura")
     rows = skew_join(priced, split, [*INVOICE_KEY, "fecha_factura"], "left", null_safe=["fecha_factura"])
+    # One subquery column, read field by field below.
+    rows, now = rows.withColumn("__now", now), F.col("__now")
 
     dated = F.col("fecha_factura").isNotNull()
     zero = F.lit(0)
