@@ -2,14 +2,15 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _HASH = "__key_hash"
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", null_safe: Sequence[str] = (),
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+    null_safe: Sequence[str] = (), also: Column | None = None,
 ) -> DataFrame:
     """Join on ``keys`` so that adaptive execution can split a hot key of ``left``.
 
@@ -20,13 +21,16 @@ def skew_join(
     few rows per key, as it is repeated for each split of ``left``.
 
     Keys named in ``null_safe`` match NULL with NULL; for the others NULL matches nothing.
+    ``also`` is one more condition, over columns that only one side has.
     """
     hashed = F.xxhash64(*keys)
-    l, r = left.withColumn(_HASH, hashed), right.withColumn(_HASH, hashed)
     right_key = {key: f"__right_{key}" for key in [*keys, _HASH]}
-    r = r.withColumnsRenamed(right_key)
+    hashed_left = left.withColumn(_HASH, hashed)
+    hashed_right = right.withColumn(_HASH, hashed).withColumnsRenamed(right_key)
     condition = F.lit(True)
     for key, other in right_key.items():
         match = F.col(key).eqNullSafe(F.col(other)) if key in null_safe else F.col(key) == F.col(other)
         condition = match if key == keys[0] else condition & match
-    return l.join(r, condition, how).drop(_HASH, *right_key.values())
+    if also is not None:
+        condition = condition & also
+    return hashed_left.join(hashed_right, condition, how).drop(_HASH, *right_key.values())

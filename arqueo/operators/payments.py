@@ -73,11 +73,12 @@ def split_by_invoice_date(facturas: DataFrame, daily: DataFrame) -> DataFrame:
 
 
 def payment_curve(daily: DataFrame) -> DataFrame:
-    """Running totals per invoice number at each payment day, with the day of the next payment."""
+    """Running totals per invoice number at each payment day, with the day of the next payment.
+
+    ``daily`` must hold dated payments only.
+    """
     ordered = W.partitionBy(*INVOICE_KEY).orderBy("fecha")
     past = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
     kinds = {"usd": USD_TOTAL, "usd_con_tasa": USD_TOTAL, "cop": COP_AMOUNT}
     running = {f"hasta_{name}": F.sum(name).over(past).cast(kinds[name]) for name in _SUMS}
-    return daily.where(F.col("fecha").isNotNull()).withColumns(
-        running | {"proximo_pago": F.lead("fecha").over(ordered)}
-    )
+    return daily.withColumns(running | {"proximo_pago": F.lead("fecha").over(ordered)})

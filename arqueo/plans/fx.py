@@ -146,53 +146,59 @@ def _priced(facturas: DataFrame, rates: DataFrame, end: Column, newest_if_older:
     return priced.withColumn("trm_factura", F.coalesce("trm_factura", newest).cast(RATE))
 
 
-def _dated_with_split(
-    facturas: DataFrame, daily: DataFrame, rates: DataFrame, end: Column, newest_if_older: bool = False,
+def _timeline(
+    facturas: DataFrame, monetizaciones: DataFrame, rates: DataFrame, end: Column, newest_if_older: bool = False,
 ) -> DataFrame:
-    """Dated invoices with their rate and their payment split."""
-    dated = facturas.where(F.col("fecha_factura").isNotNull())
+    """Dated invoices with their rate and payment split, one row per payment day from the invoice date on.
+
+    An invoice without such a day has one row with NULL in the columns of the payment curve.
+    """
+    daily = daily_payments(monetizaciones)
     priced = _priced(facturas, rates, end, newest_if_older)
-    joined = skew_join(priced, split_by_invoice_date(dated, daily), [*INVOICE_KEY, "fecha_factura"], "left")
-    return joined.withColumns({
-        "antes_usd": F.coalesce("antes_usd", F.lit(0).cast(USD_TOTAL)),
-        "dif_anticipos": _cop(
-            F.col("trm_factura") * F.coalesce("antes_usd_con_tasa", F.lit(0).cast(USD_TOTAL))
-            - F.coalesce("antes_cop", F.lit(0).cast(COP_AMOUNT))),
-    })
+    split = split_by_invoice_date(facturas.where(F.col("fecha_factura").isNotNull()), daily)
+    rows = skew_join(priced, split, [*INVOICE_KEY, "fecha_factura"], "left")
+    later = F.col("fecha") >= F.col("fecha_factura")
+    rows = skew_join(rows, payment_curve(daily), INVOICE_KEY, "left", also=later)
+    none = {"antes_usd": USD_TOTAL, "antes_usd_con_tasa": USD_TOTAL, "antes_cop": COP_AMOUNT}
+    rows = rows.withColumns({name: F.coalesce(name, F.lit(0).cast(kind)) for name, kind in none.items()})
+    return rows.withColumn(
+        "dif_anticipos", _cop(F.col("trm_factura") * F.col("antes_usd_con_tasa") - F.col("antes_cop")))
+
+
+def _first_of_invoice() -> Column:
+    """True on exactly one timeline row of each invoice."""
+    return F.col("fecha").isNull() | (F.col("fecha") == F.col("primer_pago"))
 
 
 def fx_daily_totals(facturas: DataFrame, monetizaciones: DataFrame, rates: DataFrame, as_of: AsOf) -> DataFrame:
     """Portfolio series: balance and differences per entity and rate day.
 
     The balance of an invoice only changes on its own date and on its payment days, so the job
-    adds up changes instead of writing a row per invoice and day. What is summed along time has
-    one row per entity and day. Balance x rate splits into rate(day) * sum(balance) minus
+    adds up changes instead of writing a row per invoice and day. They are summed per entity and
+    day before any shuffle. Balance x rate splits into rate(day) * sum(balance) minus
     sum(balance * invoice rate). Invoices without a rate count in the balance only.
     """
     end = day(as_of)
-    daily = daily_payments(monetizaciones.where(F.col("fecha") <= end))
-    invoices = _dated_with_split(facturas, daily, rates, end)
+    rows = _timeline(facturas, monetizaciones.where(F.col("fecha") <= end), rates, end)
     trm, value = F.col("trm_factura"), F.col("valor_usd")
 
-    opened = _open(value, F.col("antes_usd"))
-    starts = invoices.select(
-        ENTITY, F.col("fecha_factura").alias("fecha"), "trm_factura",
-        opened.alias("saldo"), "dif_anticipos", _cop(F.lit(0)).alias("realizada"),
-    )
-    keyed = invoices.select(*INVOICE_KEY, "fecha_factura", "trm_factura", "valor_usd")
-    after, before = F.col("hasta_usd"), F.col("hasta_usd") - F.col("usd")
-    steps = (
-        skew_join(keyed, payment_curve(daily), INVOICE_KEY)
-        .where(F.col("fecha") >= F.col("fecha_factura"))
-        .select(
-            ENTITY, "fecha", "trm_factura",
-            _usd(_open(value, after) - _open(value, before)).alias("saldo"),
-            _cop(F.lit(0)).alias("dif_anticipos"),
-            _cop(F.col("cop") - trm * F.col("usd_con_tasa")).alias("realizada"),
+    def change(date: str, balance: Column, advances: Column, realized: Column) -> Column:
+        return F.struct(
+            F.col(date).alias("fecha"), _usd(balance).alias("saldo"),
+            _cop(advances).alias("dif_anticipos"), _cop(realized).alias("realizada"),
         )
+
+    start = change("fecha_factura", _open(value, F.col("antes_usd")), F.col("dif_anticipos"), F.lit(0))
+    after, before = F.col("hasta_usd"), F.col("hasta_usd") - F.col("usd")
+    payment = change("fecha", _open(value, after) - _open(value, before), F.lit(0),
+                     F.col("cop") - trm * F.col("usd_con_tasa"))
+    both = (
+        F.when(F.col("fecha").isNull(), F.array(start))
+        .when(_first_of_invoice(), F.array(start, payment)).otherwise(F.array(payment))
     )
+    rows = rows.select(ENTITY, "trm_factura", F.explode(both).alias("c")).select(ENTITY, "trm_factura", "c.*")
     rated = F.when(trm.isNotNull(), F.col("saldo"))
-    changes = starts.unionByName(steps).groupBy(ENTITY, "fecha").agg(
+    changes = rows.groupBy(ENTITY, "fecha").agg(
         F.sum("saldo").cast(USD_TOTAL).alias("saldo"),
         F.sum(rated).cast(USD_TOTAL).alias("saldo_con_tasa"),
         F.sum(_cop(F.col("saldo") * trm)).cast(COP_AMOUNT).alias("saldo_por_tasa"),
@@ -243,27 +249,25 @@ def fx_balance_spans(
     are left out here, `fx_daily_detail` adds them as zeros.
     """
     end = day(as_of)
-    daily = daily_payments(monetizaciones.where(F.col("fecha").isNotNull()))
-    invoices = _dated_with_split(facturas, daily, rates, end, newest_if_older).select(
-        *INVOICE_KEY, "cliente", "fecha_factura", "valor_usd", "trm_factura", "antes_usd",
-        F.coalesce("antes_usd_con_tasa", F.lit(0).cast(USD_TOTAL)).alias("antes_usd_con_tasa"),
-        F.coalesce("antes_cop", F.lit(0).cast(COP_AMOUNT)).alias("antes_cop"),
-        "dif_anticipos", "primer_pago",
-    )
-    untouched = (
-        invoices.where(F.col("primer_pago").isNull() | (F.col("primer_pago") > F.col("fecha_factura")))
-        .withColumns({
-            "desde": F.col("fecha_factura"), "hasta": F.date_sub("primer_pago", 1),
-            "hasta_usd": F.col("antes_usd"), "hasta_usd_con_tasa": F.col("antes_usd_con_tasa"),
-            "hasta_cop": F.col("antes_cop"),
-        })
-    )
-    curve = payment_curve(daily).select(
-        *INVOICE_KEY, F.col("fecha").alias("desde"), F.date_sub("proximo_pago", 1).alias("hasta"),
-        "hasta_usd", "hasta_usd_con_tasa", "hasta_cop",
+    rows = _timeline(facturas, monetizaciones.where(F.col("fecha").isNotNull()), rates, end, newest_if_older)
+    totals = ("usd", "usd_con_tasa", "cop")
+
+    def span(start: str, next_change: str, prefix: str) -> Column:
+        return F.struct(
+            F.col(start).alias("desde"), F.date_sub(next_change, 1).alias("hasta"),
+            *(F.col(f"{prefix}_{name}").alias(f"hasta_{name}") for name in totals),
+        )
+
+    untouched, paid = span("fecha_factura", "primer_pago", "antes"), span("fecha", "proximo_pago", "hasta")
+    opens_later = _first_of_invoice() & (F.col("fecha") > F.col("fecha_factura"))
+    both = (
+        F.when(F.col("fecha").isNull(), F.array(untouched))
+        .when(opens_later, F.array(untouched, paid)).otherwise(F.array(paid))
     )
-    paid = skew_join(invoices, curve, INVOICE_KEY).where(F.col("desde") >= F.col("fecha_factura"))
-    spans = untouched.unionByName(paid)
+    spans = rows.select(
+        *INVOICE_KEY, "cliente", "fecha_factura", "valor_usd", "trm_factura",
+        *(f"antes_{name}" for name in totals), "dif_anticipos", F.explode(both).alias("s"),
+    ).select("*", "s.*")
     realized = (
         F.col("hasta_cop") - F.col("antes_cop")
         - F.col("trm_factura") * (F.col("hasta_usd_con_tasa") - F.col("antes_usd_con_tasa")).cast(USD_TOTAL)

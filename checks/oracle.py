@@ -391,7 +391,7 @@ SQL: dict[str, str] = {
         round({installment('monto', '0.165::DOUBLE', '84')}, 6) AS cuota FROM (SELECT p_brand AS entity_id, sum(CAST(p_retailprice AS DECIMAL(18,2))) AS monto FROM part GROUP BY 1)""",
     "scenario_spreads": with_("resumen ultimas", f"""SELECT entity_id, {m('s.spread', 4)} AS spread, {m('saldo')} AS saldo_vivo_usd, {m('saldo * (actual - ayer)')} AS dif_dia_base,
         {m('saldo * CAST(actual * (1 + s.spread) - ayer AS DECIMAL(18,6))')} AS dif_dia_plus, {m('saldo * CAST(actual * (1 - s.spread) - ayer AS DECIMAL(18,6))')} AS dif_dia_minus
-        FROM (SELECT entity_id, sum(saldo)::DECIMAL(18,2) AS saldo FROM resumen WHERE ff IS NOT NULL GROUP BY 1), ultimas, {scenario_rows([(s,) for s in SPREADS], 'spread')}"""),
+        FROM (SELECT entity_id, sum(saldo)::DECIMAL(20,2) AS saldo FROM resumen WHERE ff IS NOT NULL GROUP BY 1), ultimas, {scenario_rows([(s,) for s in SPREADS], 'spread')}"""),
     "scenario_loans": with_("prestamos", f"""SELECT entity_id, tipo, {m('monto')} AS monto, s.tasa_ea::DOUBLE AS tasa_ea, s.meses AS meses,
         round({installment('monto', 's.tasa_ea::DOUBLE', 's.meses')}, 6) AS cuota FROM prestamos, {scenario_rows(LOAN_TERMS, 'tasa_ea, meses')}"""),
     "scenario_cash_cycle": with_("dias_e", f"""SELECT entity_id, round(ventas, 6) AS ventas_anuales, round(dso, 6) AS dso, round(dio, 6) AS dio, round(dpo, 6) AS dpo, menos_dso::DOUBLE AS menos_dso, mas_dpo::DOUBLE AS mas_dpo,

@@ -100,16 +100,16 @@ def _split(j: Jobs) -> DataFrame:
 
 
 def _curve(j: Jobs) -> DataFrame:
-    return payment_curve(daily_payments(j.t.monetizaciones))
+    return payment_curve(daily_payments(j.t.monetizaciones.where(F.col("fecha").isNotNull())))
 
 
 def _daily_detail_by_month(j: Jobs) -> DataFrame:
     """The dense daily detail of every invoice, written out in full and added up per company and month."""
     detail = fx.fx_daily_detail(*j.fx_inputs)
     names = ("abonos_post_factura_usd", "saldo_vivo_usd", "dif_anticipos", "dif_realizada_post", "dif_no_realizada", "dif_total")
-    kinds = {name: "decimal(38,6)" for name in names}
-    return detail.groupBy(ENTITY, F.date_format("fecha", "yyyy-MM").alias("mes")).agg(
-        F.count(F.lit(1)).alias("filas"), *(F.sum(name).cast(kinds[name]).alias(name) for name in names))
+    months = detail.groupBy(ENTITY, F.trunc("fecha", "MM").alias("mes")).agg(
+        F.count(F.lit(1)).alias("filas"), *(F.sum(name).cast("decimal(38,6)").alias(name) for name in names))
+    return months.withColumn("mes", F.date_format("mes", "yyyy-MM"))
 
 
 def _series_extremes(j: Jobs) -> DataFrame:
