@@ -99,8 +99,8 @@ def read_bills(spark: SparkSession, paths: str | list[str], entity: str = DEFAUL
         F.filter(F.arrays_zip(pairs.alias("p"), position.alias("primera")), lambda e: e["primera"] & ~F.array_contains(known, e["p"]["n"])),
         lambda e: F.struct(e["p"]["n"], e["p"]["v"]),
     ))
-    rows = lines.select(*(field(name) for name in C.BILL_COLUMNS), field(ENTITY.upper()), extras.alias("extras"), "archivo")
-    rows = rows.withColumn(ENTITY, F.coalesce(F.col(ENTITY.upper()), F.lit(entity))).drop(ENTITY.upper())
+    company = F.coalesce(field(ENTITY.upper()), F.lit(entity)).alias(ENTITY)
+    rows = lines.select(company, *(field(name) for name in C.BILL_COLUMNS), extras.alias("extras"), "archivo")
     return (
         _keep_named(rows)
         .select(
