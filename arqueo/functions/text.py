@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 
 from arqueo.schemas import MONEY, RATE
 
-# White space between words, white space trimmed at the ends, and the date layouts tried in order.
-WHITE_SPACE = "[\\s\\x0b\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+# White space and currency sign between words (besides the space), white space trimmed at the ends, and the date layouts tried in order.
+WORD_BREAKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000$"
+)
 PADDING = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u2007\u202f\u3000"
 ISO_DATE_LAYOUTS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS")
 MONTH_FIRST_LAYOUTS = ISO_DATE_LAYOUTS + ("M/d/yyyy", "M-d-yyyy")
@@ -79,12 +82,16 @@ def _word_number(word: Column) -> Column:
     return F.when(negative, -size).otherwise(size)
 
 
+# A whole word with a digit in it; each character is looked at once.
+_NUMBER_WORD = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+
+
 def last_number(text: Column) -> Column:
     """Rightmost word of a cell that reads as a number, NULL when there is none."""
-    words = F.split(F.replace(text, F.lit("$"), F.lit(" ")), WHITE_SPACE)
-    with_digit = F.filter(F.reverse(words), lambda word: word.rlike("[0-9]"))
-    numbers = F.filter(F.transform(with_digit, _word_number), lambda number: number.isNotNull())
-    return F.get(numbers, F.lit(0))
+    spaced = F.translate(text, WORD_BREAKS, " " * len(WORD_BREAKS))
+    words = F.reverse(F.regexp_extract_all(spaced, F.lit(_NUMBER_WORD), F.lit(0)))
+    numbers = F.filter(F.transform(words, _word_number), lambda number: number.isNotNull())
+    return F.when(text.rlike("[0-9]"), F.get(numbers, F.lit(0)))
 
 
 def csv_fields(line: Column) -> Column:

@@ -9,6 +9,7 @@ from arqueo.functions.text import last_number
 from arqueo.schemas import ENTITY
 
 ITEMS = tuple(C.STATEMENT_KEYWORDS)
+BLOCK = ("file_seq", "sheet_seq", "block_seq")
 RATIOS = (
     "Razón Corriente", "Prueba Ácida", "Capital de Trabajo", "Nivel Endeudamiento", "Cobertura Intereses",
     "Margen Bruto", "Margen Operativo", "Margen Neto", "ROA", "ROE",
@@ -45,25 +46,32 @@ def statement_items(rows: DataFrame) -> DataFrame:
     order, on a row that mentions the item; 0 when no row does.
 
     The row that wins is an aggregate (`min_by` over the row position), so an entity's rows need
-    neither be sorted nor brought together. Rows without any mention are dropped before a number
-    is looked for.
+    neither be sorted nor brought together: first within each block of a sheet, where the
+    position is one number and the buffers have a fixed size, then over the blocks. Rows without
+    any mention are dropped before a number is looked for.
     """
-    position = F.struct("file_seq", "sheet_seq", "row_seq")
-    text = F.col("__text")
+    text = _row_text(F.col("cells"))
     any_mention = None
     for keywords in C.STATEMENT_KEYWORDS.values():
-        found = _mentions(text, keywords)
+        found = _mentions(F.col("__text"), keywords)
         any_mention = found if any_mention is None else any_mention | found
     marked = (
-        rows.withColumn("__text", _row_text(F.col("cells")))
+        rows.withColumn("__text", text)
         .withColumn("__number", F.when(any_mention, F.abs(_row_number(F.col("cells")))))
-        .withColumn("__position", F.when(F.col("__number") != 0, position))
+        .select(
+            ENTITY, *BLOCK, "__number",
+            *(
+                F.when((F.col("__number") != 0) & _mentions(F.col("__text"), keywords), F.col("row_seq")).alias(f"__row_{i}")
+                for i, keywords in enumerate(C.STATEMENT_KEYWORDS.values())
+            ),
+        )
     )
-    return marked.groupBy(ENTITY).agg(*(
-        F.coalesce(
-            F.min_by("__number", F.when(_mentions(text, keywords), F.col("__position"))), F.lit(0.0)
-        ).alias(item)
-        for item, keywords in C.STATEMENT_KEYWORDS.items()
+    blocks = marked.groupBy(ENTITY, *BLOCK).agg(
+        *(F.min_by("__number", f"__row_{i}").alias(item) for i, item in enumerate(ITEMS)))
+    place = F.struct(*BLOCK)
+    return blocks.groupBy(ENTITY).agg(*(
+        F.coalesce(F.min_by(item, F.when(F.col(f"`{item}`").isNotNull(), place)), F.lit(0.0)).alias(item)
+        for item in ITEMS
     ))
 
 

@@ -31,7 +31,8 @@ COMPRAS = _table(
     ("extras", T.MapType(_S, _S)),
 )
 EEFF_FILAS = _table(
-    (ENTITY, _S), ("file_seq", T.StringType()), ("sheet_seq", T.IntegerType()), ("row_seq", T.LongType()),
+    (ENTITY, _S), ("file_seq", T.StringType()), ("sheet_seq", T.IntegerType()),
+    ("block_seq", T.LongType()), ("row_seq", T.LongType()),
     ("cells", T.ArrayType(_table(("raw", _S), ("num", T.DoubleType())))),
 )
 CASH_PLAN_INPUTS = ("ordinarios", "extra", "f_serv", "f_arr", "f_otr", "n_sue", "n_ss")

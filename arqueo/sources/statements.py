@@ -16,7 +16,7 @@ def read_statement_files(spark: SparkSession, paths: str | list[str], entity: st
     cells = F.transform("campos", lambda field: F.struct(field.alias("raw"), F.lit(None).cast("double").alias("num")))
     return rows.select(
         F.lit(entity).alias(ENTITY), F.col("archivo").alias("file_seq"), F.lit(1).alias("sheet_seq"),
-        F.struct("bloque", "linea").alias("row_seq"), cells.cast(f"array<{_CELL}>").alias("cells"),
+        F.col("bloque").alias("block_seq"), F.col("linea").alias("row_seq"), cells.cast(f"array<{_CELL}>").alias("cells"),
     )
 
 

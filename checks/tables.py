@@ -116,7 +116,7 @@ class Tables:
         created = F.col("o_orderdate").cast("date")
         return self.read("orders").select(
             entity.cast("string").alias(ENTITY), F.year(created).cast("string").alias("file_seq"),
-            F.month(created).alias("sheet_seq"), key.alias("row_seq"),
+            F.month(created).alias("sheet_seq"), F.lit(0).cast("long").alias("block_seq"), key.alias("row_seq"),
             F.array(*(F.struct(text.alias("raw"), F.lit(None).cast("double").alias("num")) for text in texts)).alias("cells"),
         )
 

@@ -57,7 +57,7 @@ def make(spark):
             return spark.createDataFrame(full, "entity_id string, PROVEEDOR string, FACTURA string, VALOR decimal(18,2), GENERACIO date, VENCIMIENTO date")
 
         def statement(self, rows):
-            full = [(e, str(f), s, r, [(c, None) if isinstance(c, str) or c is None else (None, float(c)) for c in cells])
+            full = [(e, str(f), s, 0, r, [(c, None) if isinstance(c, str) or c is None else (None, float(c)) for c in cells])
                     for e, f, s, r, cells in rows]
             return spark.createDataFrame(full, schemas.EEFF_FILAS)
 

@@ -8,7 +8,7 @@ from arqueo.sources.statements import cells_from_columns, read_statement_files
 
 def test_first_non_zero_row_in_order_wins(make):
     rows = make.statement([
-        ("e", "2", 1, 1, ["Inventarios", "99"]), ("e", "1", 2, 1, ["INVENTARIOS finales", "(7,50)"]), ("e", "1", 1, 9, ["inventarios", "0"]),
+        ("e", "2", 1, 1, ["Inventarios", "99"]), ("e", "1", 2, 1, ["INVENTARIOS finales", "-7,50"]), ("e", "1", 1, 9, ["inventarios", "0"]),
         ("e", "1", 1, 10, ["Inventarios", "sin dato"]), ("e", "1", 1, 1, ["Otros", "5"]),
         ("e", "1", 1, 3, ["Total activo corriente", None, "1.000", "n/a"]), ("e", "1", 1, 4, ["TOTAL ACTIVOS", 0, 0.0]),
         ("e", "1", 1, 5, ["Total activos", 12.5]), ("e", "1", 1, 6, ["Costo de ventas", "40"]), ("f", "1", 1, 1, ["nada"]),
@@ -75,7 +75,7 @@ def test_statement_files_split_among_tasks(spark, tmp_path):
 
 def test_typed_cells_count_as_numbers(spark):
     sheet = spark.createDataFrame([(1, "Inventarios", 1.234), (2, "Clientes", float("nan"))], "r long, a string, b double")
-    rows = sheet.select(F.lit("e").alias("entity_id"), F.lit("f").alias("file_seq"), F.lit(1).alias("sheet_seq"), F.col("r").alias("row_seq"),
+    rows = sheet.select(F.lit("e").alias("entity_id"), F.lit("f").alias("file_seq"), F.lit(1).alias("sheet_seq"), F.lit(0).alias("block_seq"), F.col("r").alias("row_seq"),
                         cells_from_columns(sheet, ["a", "b"]).alias("cells"))
     row = statements.statement_items(rows).first()
     assert (row["Inventarios"], row["Cuentas por Cobrar"]) == (1.234, 0.0)
