@@ -295,34 +295,32 @@ def fx_daily_detail(
         monetizaciones = monetizaciones.where(F.col("factura") == factura)
     spans = fx_balance_spans(facturas, monetizaciones, rates, as_of, newest_if_older)
     limits = rates.agg(F.struct(F.min("fecha").alias("primera"), F.max("fecha").alias("ultima"))).scalar()
-    starts = (F.col("desde") == F.col("fecha_factura"))
     zero_usd, zero_cop = _usd(F.lit(0)), _cop(F.lit(0))
-
-    # The span that opens at the invoice date (there is exactly one) also yields the days before it.
-    from_day = F.when(starts, limits["primera"]).otherwise(F.greatest("desde", limits["primera"]))
-    # Days before the invoice date are wanted also when it lies beyond the last rate day.
-    to_day = F.least("hasta", limits["ultima"])
+    measures = ("abonos_post_factura_usd", "saldo_vivo_usd", "dif_anticipos", "dif_realizada_post")
+
+    # Zeros are settled per span, so a day row only adds its own rate: the span that opens at the
+    # invoice date (there is exactly one) also yields a span of zeros for the days before it.
+    live = F.struct("desde", "hasta", F.col("trm_factura").alias("base"), *measures)
+    before = F.struct(
+        limits["primera"].alias("desde"), F.date_sub("fecha_factura", 1).alias("hasta"), F.lit(0).cast(RATE).alias("base"),
+        *((zero_usd if name.endswith("_usd") else zero_cop).alias(name) for name in measures),
+    )
+    opens = F.col("desde") == F.col("fecha_factura")
+    spans = spans.select(
+        *INVOICE_KEY, "cliente", "valor_usd", "trm_factura", "anticipo_previo_usd",
+        F.explode(F.when(opens, F.array(before, live)).otherwise(F.array(live))).alias("s"),
+    )
+    first, last = F.greatest("s.desde", limits["primera"]), F.least("s.hasta", limits["ultima"])
     days = (
-        spans.withColumns({"__a": from_day, "__b": to_day}).where(F.col("__a") <= F.col("__b"))
+        spans.withColumns({"__a": first, "__b": last}).where(F.col("__a") <= F.col("__b"))
         .withColumn("fecha", F.explode(F.sequence("__a", "__b")))
+        .join(F.broadcast(rates.select("fecha", "trm")), "fecha")
+        .withColumn("dif_no_realizada", _cop(F.col("s.saldo_vivo_usd") * (F.col("trm") - F.col("s.base"))))
     )
-    curve = rates.select("fecha", "trm")
-    days = days.join(F.broadcast(curve), "fecha")
-    live = F.col("fecha") >= F.col("fecha_factura")
-    unrealized = _cop(F.col("saldo_vivo_usd") * (F.col("trm") - F.col("trm_factura")))
-
-    def shown(value: Column, zero: Column) -> Column:
-        return F.when(live, value).otherwise(zero)
-
+    total = F.col("s.dif_anticipos") + F.col("s.dif_realizada_post") + F.col("dif_no_realizada")
     return days.select(
         ENTITY, "fecha", "factura", "cliente", "valor_usd", "trm_factura", "anticipo_previo_usd",
-        shown(F.col("abonos_post_factura_usd"), zero_usd).alias("abonos_post_factura_usd"),
-        shown(F.col("saldo_vivo_usd"), zero_usd).alias("saldo_vivo_usd"),
-        shown(F.col("dif_anticipos"), zero_cop).alias("dif_anticipos"),
-        shown(F.col("dif_realizada_post"), zero_cop).alias("dif_realizada_post"),
-        shown(unrealized, zero_cop).alias("dif_no_realizada"),
-        shown(_cop(F.col("dif_anticipos") + F.col("dif_realizada_post") + unrealized), zero_cop).alias("dif_total"),
-        "trm",
+        *(f"s.{name}" for name in measures), "dif_no_realizada", _cop(total).alias("dif_total"), "trm",
     )
 
 
