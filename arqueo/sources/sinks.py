@@ -9,13 +9,21 @@ from arqueo.schemas import ENTITY
 
 
 def export_fx(path: str, summary: DataFrame, series: DataFrame | None = None, detail: DataFrame | None = None,
-              format: str = "parquet") -> None:
-    """Three tables under one folder; the daily detail is split into months. Series and detail may be absent."""
+              format: str = "parquet", files_per_month: int | None = None) -> None:
+    """Three tables under one folder; the daily detail is split into months. Series and detail may be absent.
+
+    Each task writes one file per month it holds. ``files_per_month`` shuffles the detail by month
+    and bucket of invoice first: fewer files for one more shuffle, and no month in a single task
+    unless it is 1.
+    """
     summary.write.mode("overwrite").format(format).save(f"{path}/detalle_actual")
     if series is not None:
         series.write.mode("overwrite").format(format).save(f"{path}/serie_total")
     if detail is not None:
         by_month = detail.withColumn("mes", F.date_format("fecha", "yyyy-MM"))
+        if files_per_month is not None:
+            bucket = F.pmod(F.xxhash64(ENTITY, "factura", "cliente", "valor_usd"), F.lit(files_per_month))
+            by_month = by_month.repartition("mes", bucket)
         by_month.write.mode("overwrite").partitionBy("mes").format(format).save(f"{path}/detalle_diario")
 
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from arqueo.functions.text import csv_fields
 from arqueo.operators.joins import skew_join
 
+# Up to this many headers are sent to every task instead of shuffling all lines by file.
+MAX_BROADCAST_FILES = 50_000
+
 # The 33 low bits of the row id count rows inside a task's partition, in reading order.
 _ROW_IN_PARTITION = (1 << 33) - 1
 
@@ -31,5 +34,7 @@ def with_header(lines: DataFrame) -> DataFrame:
     place = F.struct("bloque", "linea")
     headers = lines.groupBy("archivo").agg(
         F.min_by("campos", place).alias("encabezado"), F.min(place).alias("__primera"))
-    joined = skew_join(lines, headers, ["archivo"])
+    # One row per file. The driver has the file list already, so its length decides how to join.
+    few = len(lines.inputFiles()) <= MAX_BROADCAST_FILES
+    joined = lines.join(F.broadcast(headers), "archivo") if few else skew_join(lines, headers, ["archivo"])
     return joined.where(F.struct("bloque", "linea") != F.col("__primera")).drop("__primera")

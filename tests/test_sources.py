@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from arqueo.plans import payables
 from arqueo.sources import payables as bill_source
-from arqueo.sources import rates, receivables, sinks
+from arqueo.sources import rates, receivables, sinks, text_files
 from arqueo.sources.columns import MissingColumns
 
 
@@ -55,7 +55,7 @@ def bill_files(tmp_path):
     return str(tmp_path / "*.csv")
 
 
-def test_bill_files_with_uneven_headers(spark, tmp_path):
+def test_bill_files_with_uneven_headers(spark, tmp_path, monkeypatch):
     paths = bill_files(tmp_path)
     found = bill_source.read_bills(spark, paths, entity="e")
     got = sorted((r["PROVEEDOR"], r["FACTURA"] or "-", float(r["VALOR"]), r["GENERACIO"], r["VENCIMIENTO"], r["extras"].get("CENTRO_COSTO")) for r in found.collect())
@@ -64,6 +64,8 @@ def test_bill_files_with_uneven_headers(spark, tmp_path):
         ("P2", "F9", -3.0, date("2024-05-01"), date("2024-06-01"), None),
         ("Uno, dos", "-", 7.0, date("2024-02-01"), date("2024-03-01"), None),
     ]
+    monkeypatch.setattr(text_files, "MAX_BROADCAST_FILES", 0)
+    assert sorted(map(str, bill_source.read_bills(spark, paths, entity="e").collect())) == sorted(map(str, found.collect()))
     rejected = bill_source.bill_file_rejects(spark, paths).collect()
     assert [(r["archivo"].rsplit("/", 1)[1], sorted(r["faltan"])) for r in rejected] == [("c.csv", ["GENERACIO", "VALOR", "VENCIMIENTO"])]
     assert payables.payables_aging(found, "2025-01-01").count() == 3
@@ -107,6 +109,9 @@ def test_exports(spark, make, tmp_path):
     assert spark.read.parquet(f"{path}/serie_total").count() == 2
     assert sorted(p.name for p in (tmp_path / "out" / "detalle_diario").glob("mes=*")) == ["mes=2024-01", "mes=2024-02"]
 
+    sinks.export_fx(str(tmp_path / "few"), fx.fx_summary(*inputs, "2024-02-01"), detail=fx.fx_daily_detail(*inputs, "2024-02-01"), files_per_month=2)
+    assert spark.read.parquet(str(tmp_path / "few" / "detalle_diario")).count() == 2
+
     aged = payables.payables_aging(make.bills([("P", "1", 10, "2024-01-01", "2024-01-02"), ("P", "2", 10, "2024-01-01", "2024-01-02")]), "2024-02-01")
     sinks.write_payment_file(f"{path}/pagos", aged, aged.where("FACTURA = '2'"))
     rows = records(spark.read.option("header", True).csv(f"{path}/pagos"), "FACTURA")
