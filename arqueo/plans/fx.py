@@ -281,47 +281,61 @@ def fx_balance_spans(
     )
 
 
-def fx_daily_detail(
-    facturas: DataFrame, monetizaciones: DataFrame, rates: DataFrame, as_of: AsOf,
-    factura: str | None = None, newest_if_older: bool = False,
-) -> DataFrame:
-    """One row per dated invoice and rate day, zeros before the invoice date.
+_SPAN_MEASURES = ("abonos_post_factura_usd", "saldo_vivo_usd", "dif_anticipos", "dif_realizada_post")
 
-    The output is invoices x days by definition; each row comes from a span of the invoice, so
-    no payment is looked up per day and nothing of that size is shuffled. ``factura`` keeps one number.
+
+def _spans_from_first_day(spans: DataFrame, rates: DataFrame) -> DataFrame:
+    """Spans cut to the rate days, completed by a span of zeros before each invoice date.
+
+    ``base`` is the rate that the balance is compared with, 0 where the balance is a fixed zero.
+    The span that opens at the invoice date (there is exactly one) brings the zeros along.
     """
-    if factura is not None:
-        facturas = facturas.where(F.col("factura") == factura)
-        monetizaciones = monetizaciones.where(F.col("factura") == factura)
-    spans = fx_balance_spans(facturas, monetizaciones, rates, as_of, newest_if_older)
     limits = rates.agg(F.struct(F.min("fecha").alias("primera"), F.max("fecha").alias("ultima"))).scalar()
-    zero_usd, zero_cop = _usd(F.lit(0)), _cop(F.lit(0))
-    measures = ("abonos_post_factura_usd", "saldo_vivo_usd", "dif_anticipos", "dif_realizada_post")
-
-    # Zeros are settled per span, so a day row only adds its own rate: the span that opens at the
-    # invoice date (there is exactly one) also yields a span of zeros for the days before it.
-    live = F.struct("desde", "hasta", F.col("trm_factura").alias("base"), *measures)
+    live = F.struct("desde", "hasta", F.col("trm_factura").alias("base"), *_SPAN_MEASURES)
     before = F.struct(
         limits["primera"].alias("desde"), F.date_sub("fecha_factura", 1).alias("hasta"), F.lit(0).cast(RATE).alias("base"),
-        *((zero_usd if name.endswith("_usd") else zero_cop).alias(name) for name in measures),
+        *(F.lit(0).cast(USD_TOTAL if name.endswith("_usd") else COP_AMOUNT).alias(name) for name in _SPAN_MEASURES),
     )
     opens = F.col("desde") == F.col("fecha_factura")
-    spans = spans.select(
-        *INVOICE_KEY, "cliente", "valor_usd", "trm_factura", "anticipo_previo_usd",
-        F.explode(F.when(opens, F.array(before, live)).otherwise(F.array(live))).alias("s"),
+    return (
+        spans.select(
+            *INVOICE_KEY, "cliente", "valor_usd", "trm_factura", "anticipo_previo_usd",
+            F.explode(F.when(opens, F.array(before, live)).otherwise(F.array(live))).alias("s"),
+        )
+        .withColumns({"__a": F.greatest("s.desde", limits["primera"]), "__b": F.least("s.hasta", limits["ultima"])})
+        .where(F.col("__a") <= F.col("__b"))
     )
-    first, last = F.greatest("s.desde", limits["primera"]), F.least("s.hasta", limits["ultima"])
-    days = (
-        spans.withColumns({"__a": first, "__b": last}).where(F.col("__a") <= F.col("__b"))
-        .withColumn("fecha", F.explode(F.sequence("__a", "__b")))
-        .join(F.broadcast(rates.select("fecha", "trm")), "fecha")
+
+
+def _unfold(spans: DataFrame, calendar: DataFrame) -> DataFrame:
+    """One row per span and rate day. The calendar has one row per day and is sent to every task."""
+    return (
+        spans.withColumn("fecha", F.explode(F.sequence("__a", "__b"))).join(F.broadcast(calendar), "fecha")
         .withColumn("dif_no_realizada", _cop(F.col("s.saldo_vivo_usd") * (F.col("trm") - F.col("s.base"))))
     )
+
+
+def _detail_columns() -> list[str | Column]:
     total = F.col("s.dif_anticipos") + F.col("s.dif_realizada_post") + F.col("dif_no_realizada")
-    return days.select(
+    return [
         ENTITY, "fecha", "factura", "cliente", "valor_usd", "trm_factura", "anticipo_previo_usd",
-        *(f"s.{name}" for name in measures), "dif_no_realizada", _cop(total).alias("dif_total"), "trm",
-    )
+        *(f"s.{name}" for name in _SPAN_MEASURES), "dif_no_realizada", _cop(total).alias("dif_total"), "trm",
+    ]
+
+
+def fx_daily_detail(
+    facturas: DataFrame, monetizaciones: DataFrame, rates: DataFrame, as_of: AsOf, factura: str | None = None,
+) -> DataFrame:
+    """One row per dated invoice and rate day, zeros before the invoice date.
+
+    The output is invoices x days by definition; each row comes from a span of the invoice, so
+    no payment is looked up per day and nothing of that size is shuffled. ``factura`` keeps one number.
+    """
+    if factura is not None:
+        facturas = facturas.where(F.col("factura") == factura)
+        monetizaciones = monetizaciones.where(F.col("factura") == factura)
+    spans = fx_balance_spans(facturas, monetizaciones, rates, as_of)
+    return _unfold(_spans_from_first_day(spans, rates), rates.select("fecha", "trm")).select(*_detail_columns())
 
 
 def first_dated_invoice(facturas: DataFrame) -> DataFrame:
@@ -340,12 +354,31 @@ def fx_invoice_series(
     """Daily detail with the day-on-day change, one invoice per number.
 
     Unlike the portfolio detail, an invoice older than the first rate uses the newest rate here.
+    The balance of the day before is that of the same span, or of the span before for the first
+    rate day of a span. So the lag is taken over the few spans of an invoice and not over its days.
     """
-    one = first_dated_invoice(facturas if factura is None else facturas.where(F.col("factura") == factura))
-    detail = fx_daily_detail(one, monetizaciones, rates, as_of, factura, newest_if_older=True)
-    by_day = W.partitionBy(*INVOICE_KEY).orderBy("fecha")
-    change = F.col("dif_no_realizada") - F.lag("dif_no_realizada").over(by_day)
-    return detail.withColumn("dif_dia_base", _cop(F.coalesce(change, F.lit(0))))
+    if factura is not None:
+        facturas = facturas.where(F.col("factura") == factura)
+        monetizaciones = monetizaciones.where(F.col("factura") == factura)
+    spans = fx_balance_spans(first_dated_invoice(facturas), monetizaciones, rates, as_of, newest_if_older=True)
+
+    by_day = W.orderBy("fecha")
+    calendar = rates.select("fecha", "trm", F.lag("trm").over(by_day).alias("previa"))
+    since = F.coalesce(F.date_add(F.lag("fecha").over(by_day), 1), F.col("fecha"))
+    next_day = rates.select(since.alias("desde"), "fecha").select(
+        F.explode(F.sequence("desde", "fecha")).alias("__a"), F.col("fecha").alias("primer_dia"))
+    along = W.partitionBy(*INVOICE_KEY).orderBy("__a")
+    spans = (
+        _spans_from_first_day(spans, rates).join(F.broadcast(next_day), "__a").where(F.col("primer_dia") <= F.col("__b"))
+        .withColumn("antes", F.lag(F.struct(F.col("s.saldo_vivo_usd").alias("saldo"), F.col("s.base").alias("base"))).over(along))
+    )
+    yesterday = F.col("antes.saldo") * (F.col("previa") - F.col("antes.base"))
+    change = (
+        F.when(F.col("previa").isNull(), F.lit(0).cast(COP_AMOUNT))
+        .when(F.col("fecha") == F.col("primer_dia"), _cop(F.col("dif_no_realizada") - yesterday))
+        .otherwise(_cop(F.col("s.saldo_vivo_usd") * (F.col("trm") - F.col("previa"))))
+    )
+    return _unfold(spans, calendar).select(*_detail_columns(), change.alias("dif_dia_base"))
 
 
 def fx_movements(
