@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from arqueo.schemas import MONEY, RATE
 
-# White space and currency sign between words (besides the space), white space trimmed at the ends, and the date layouts tried in order.
+# What separates words besides the space, white space trimmed at the ends, and the
+# date layouts in the order they are tried.
 WORD_BREAKS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000$"
