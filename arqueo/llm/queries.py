@@ -3,21 +3,45 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arqueo.llm import exact_dedup, mixing
+from arqueo.llm import exact_dedup, language, mixing, packing, personal
 from arqueo.llm.common import landed, read, text_of
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.decide(read(spark, folder, "documents"))
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"), keep_ids=False)
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "source", mixing.words(text_of()).alias("size"))
     taken = mixing.mix(landed(docs), size=F.col("size"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
-JOBS = {"op2_exact_dedup": op2_exact_dedup, "op7_source_mix": op7_source_mix}
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.find(read(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*personal.BASE_KINDS))
+    counts = [personal.count(F.col("spans"), kind).alias(f"n_{kind}") for kind in personal.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal.joined(base).cast("binary"), 256).alias("base_sha256"),
+                        personal.joined(F.col("spans")).alias("spans"))
+
+
+JOBS = {
+    "op1_language_id": op1_language_id,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_packing": op3_packing,
+    "op7_source_mix": op7_source_mix,
+    "op9_personal_data": op9_personal_data,
+}
 
 SQL = {
     "op2_exact_dedup": r"""
