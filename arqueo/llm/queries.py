@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arqueo.llm import exact_dedup, language, mixing, packing, personal
+from arqueo.llm import exact_dedup, fingerprint, language, mixing, packing, personal
 from arqueo.llm.common import landed, read, text_of
 
 
@@ -21,6 +21,10 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), keep_ids=False)
 
 
+def op6_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.compare_edited(read(spark, folder, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "source", mixing.words(text_of()).alias("size"))
     taken = mixing.mix(landed(docs), size=F.col("size"))
@@ -39,6 +43,7 @@ JOBS = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op6_fingerprint": op6_fingerprint,
     "op7_source_mix": op7_source_mix,
     "op9_personal_data": op9_personal_data,
 }
