@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arqueo.llm import exact_dedup, fingerprint, language, mixing, packing, pages, personal
+from arqueo.llm import exact_dedup, fingerprint, language, mixing, near_join, packing, pages, personal
 from arqueo.llm.common import landed, read, text_of
 
 
@@ -35,6 +35,10 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_near_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_join.join_groups(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = personal.find(read(spark, folder, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*personal.BASE_KINDS))
@@ -50,6 +54,7 @@ JOBS = {
     "op5_main_text": op5_main_text,
     "op6_fingerprint": op6_fingerprint,
     "op7_source_mix": op7_source_mix,
+    "op8_near_join": op8_near_join,
     "op9_personal_data": op9_personal_data,
 }
 
