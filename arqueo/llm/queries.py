@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arqueo.llm import exact_dedup, fingerprint, language, mixing, near_join, packing, pages, personal
+from arqueo.llm import exact_dedup, fingerprint, language, line_dedup, mixing, near_join, packing, pages, personal
 from arqueo.llm.common import landed, read, text_of
 
 
@@ -47,6 +47,10 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
                         personal.joined(F.col("spans")).alias("spans"))
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.clean(read(spark, folder, "documents").select("doc_id", "text"), report=True)
+
+
 JOBS = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -56,6 +60,7 @@ JOBS = {
     "op7_source_mix": op7_source_mix,
     "op8_near_join": op8_near_join,
     "op9_personal_data": op9_personal_data,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL = {
