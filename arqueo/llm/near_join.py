@@ -214,14 +214,48 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found if found is not None else nodes.select("node", F.col("node").alias("component")).where("false")
 
 
-def join_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, the smallest id that links lead to, and node, the id of its set."""
-    named = landed(_named(docs, id_column, text_column))
+def _grouped(named: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(node, component, component_id, first) of every node; `first` is the node of the component's document that stays."""
     nodes = landed(named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size")))
     found = node_components(docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text")), nodes)
     grouped = _with_component(nodes, found)
-    smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = grouped.join(smallest, "component").select("node", "component", "component_id")
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("first"))
+    return grouped.join(first, "component").select("node", "component", F.col("first.doc_id").alias("component_id"), F.col("first.node").alias("first"))
+
+
+def join_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, node (the id of its set), component, component_id (the smallest id that
+    links lead to)."""
+    named = landed(_named(docs, id_column, text_column))
+    of_node = _grouped(named, docs, id_column, text_column)
     with_words = named.where("node is not null").join(of_node, "node")
     without = named.where("node is null").select("doc_id", "size", "node", F.col("node").alias("component"), F.col("doc_id").alias("component_id"))
-    return with_words.select("doc_id", "size", "node", "component", "component_id").unionByName(without).withColumnRenamed("size", "n_shingles")
+    return (with_words.select("doc_id", "size", "node", "component", "component_id").unionByName(without)
+            .withColumnRenamed("size", "n_shingles"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """`docs` with one document of each component, that with the smallest id; documents without words stay. Of rows equal
+    in id and set one stays."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    fields = [T.StructField("doc", row_type(docs)), T.StructField("doc_id", docs.schema[id_column].dataType), T.StructField("node", T.LongType())]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets()
+        for batch, data, offsets in W.chunks(batches, 2):
+            values, counts = sets.of(data, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(Sets.names(values, counts), mask=counts == 0)], ["doc", "doc_id", "node"])
+
+    marked = docs.select(row.alias("doc"), F.col(id_column).alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(named, T.StructType(fields))
+    rows = landed(_named(docs, id_column, text_column))
+    of_node = _grouped(rows, docs, id_column, text_column)
+    counts = rows.where("node is not null").join(of_node.select("node", "component"), "node").groupBy("component").count().where("count > 1")
+    groups = landed(of_node.join(counts, "component"))  # of more than one row
+    met = marked.join(groups.select("node", "component", "component_id", "first"), "node", "left")
+    single = met.where("component is null").select("doc.*")
+    stays = met.where(F.col("component").isNotNull() & (F.col("node") == F.col("first")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return single.unionByName(stays.dropDuplicates(["component"]).select("doc.*"))
+
+
+def row_type(docs: DataFrame) -> T.StructType:
+    return T.StructType(docs.schema.fields)
