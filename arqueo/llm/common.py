@@ -1,5 +1,6 @@
 """Shared helpers: the folder for intermediate tables, the white space of the contracts."""
 
+import gc
 import tempfile
 import uuid
 
@@ -25,10 +26,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 def landed(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read back: lineage is cut, and a lost executor loses nothing.
-    The folder's owner removes the tables once the application has ended."""
+    Tables that nobody discards are removed by the folder's owner once the application has ended."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.landed_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes landed tables that nothing will read any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.landed_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now rather than at its next garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fresh(df: DataFrame, name: str) -> str:

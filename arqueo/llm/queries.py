@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arqueo.llm import exact_dedup, fingerprint, language, line_dedup, mixing, near_join, packing, pages, personal
+from arqueo.llm import exact_dedup, fingerprint, katz, language, line_dedup, mixing, near_join, packing, pages, personal
 from arqueo.llm.common import landed, read, text_of
 
 
@@ -21,6 +21,10 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), keep_ids=False)
 
 
+def op4_katz_score(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.score(read(spark, folder, "documents"))
+
+
 def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(read(spark, folder, "pages"))
 
@@ -55,6 +59,7 @@ JOBS = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op4_katz_score": op4_katz_score,
     "op5_main_text": op5_main_text,
     "op6_fingerprint": op6_fingerprint,
     "op7_source_mix": op7_source_mix,
