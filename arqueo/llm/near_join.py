@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arqueo.llm import words as W
-from arqueo.llm.common import landed, text_of
+from arqueo.llm.common import discard, landed, release, text_of
 from arqueo.llm.components import components
 
 PERCENT = 80  # two sets link when 100 x common >= PERCENT x union
@@ -33,6 +33,7 @@ ORDERS = 3
 FREQUENT = 200_000  # shingles that come last in every order: 3 MB broadcast
 OFTEN = 3  # texts of one chunk that must share a shingle for it to be counted
 ROUNDS = 6  # pivots at most before the rest is compared pair by pair
+FILTER_BITS = 2 ** 26  # 8 MB: sets that are wanted for comparison
 DIRECT = 4  # pairs per row of the buckets that are compared at once
 
 
@@ -126,24 +127,56 @@ def _prefix_rows(texts: DataFrame, frequent) -> DataFrame:
     return texts.mapInArrow(rows, "token long, node long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, frequent) -> DataFrame:
-    """The pairs (a, b) of nodes that link. Filters first: sizes, then prefixes under all other orders, then the sets."""
-    size = nodes.select("node", "size")
-    sized = (pairs.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
-             .where(f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)").select("a", "b"))
-    sized = landed(sized)
-    wanted = sized.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("doc_id").alias("wanted"))
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("wanted"))).select("node", "text")
+def _filter_of(nodes: DataFrame) -> np.ndarray:
+    """One bit for each node, FILTER_BITS bits in all: which sets are wanted, and by chance some others."""
+    place = F.pmod("node", F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
+    found = (nodes.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect())  # at most FILTER_BITS / 8 bytes
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for bucket, part in found:
+        at = (bucket - 1) * 4096
+        bits[at:at + len(part)] = np.frombuffer(part, np.uint8)[:len(bits) - at]
+    return bits
+
+
+def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, shingles of the wanted nodes. Texts are not moved: each task works out the sets again and sends those wanted."""
+    bits = texts.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets()
-        for batch, data, offsets in W.chunks(batches):
+        for _, data, offsets in W.chunks(batches, 0):
             values, counts = sets.of(data, offsets)
-            right = pa.array(Sets.names(values, counts) == np.asarray(batch.column(0)))  # ids may repeat over other texts
+            names = Sets.names(values, counts)
+            place = names % FILTER_BITS
+            _, first = np.unique(names, return_index=True)
+            once = np.zeros(len(names), bool)
+            once[first] = True
+            passed = once & (counts > 0) & (bits.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
             lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)])), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists.cast(pa.list_(pa.int64()))], ["node", "shingles"]).filter(right)
+            yield pa.RecordBatch.from_arrays([pa.array(names), lists], ["node", "shingles"]).filter(pa.array(passed))
+
+    sets = texts.mapInArrow(_small_lists(found), "node long, shingles array<long>")
+    return sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
-    sets = landed(texts.mapInArrow(sets_of, "node long, shingles array<long>").dropDuplicates(["node"]))
+
+def _small_lists(rows):
+    """The same batches with lists of 32-bit lengths, as Spark wants them."""
+    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.int64()))], batch.schema.names)
+
+    return changed
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, frequent) -> DataFrame:
+    """The pairs (a, b) of nodes that link. Filters first: sizes, then prefixes under all other orders, then the sets."""
+    size = nodes.select("node", "size")
+    sized = landed(pairs.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
+                   .where(f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)").select("a", "b"))
+    wanted = landed(sized.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = landed(_sets_of(texts, wanted))
+    release(texts.sparkSession)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Sets(frequent.value)
@@ -162,7 +195,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, frequent) ->
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = (sized.join(sets.toDF("a", "shingles_a"), "a").join(sets.toDF("b", "shingles_b"), "b").select("a", "b", "shingles_a", "shingles_b"))
-    return landed(both.mapInArrow(linked, "a long, b long"))
+    links = landed(both.mapInArrow(linked, "a long, b long"))
+    discard(sized, wanted, sets)
+    del both, sets, sized, wanted
+    release(texts.sparkSession)
+    return links
 
 
 def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
@@ -184,6 +221,8 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     prefixes = _prefix_rows(texts, frequent)
     shared = prefixes.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
     buckets = landed(prefixes.join(shared, "token").distinct())
+    del prefixes, shared
+    release(docs.sparkSession)
     links, found, tested = None, None, None
     for turn in range(ROUNDS + 1):
         rows = landed(_with_component(buckets, found))
@@ -206,7 +245,7 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = landed(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = _verified(pairs, nodes, docs, frequent)
+        new = _verified(pairs, nodes, texts, frequent)
         links = new if links is None else links.unionByName(new)
         found = landed(components(links))
         if last:
