@@ -3,9 +3,10 @@
 A line goes if an earlier line (by id of the document, then line number) is within one edit of it, or equal. Two lines are
 within one edit only if they, or they after one deletion, have a common variant. So every distinct line emits the key of
 itself and of all its variants with one character deleted, equal keys are joined, and the edit distance of the
-pairs is verified. A key is a sum over the characters, so the variants that delete one of several alike characters, or
-characters of the same one of `CLASSES` classes, have one key: at most 17 keys per line however long it is. Equal
-variants always have equal keys; what else meets does not pass the verification.
+pairs is verified. Of two lines within one edit, the characters that differ are at one place, so one half of the common
+variant is the same in both lines. A key is the hash of a half that the deletion left alone, the length and the number of
+characters of each class in the variant. Variants that agree in these, wherever the deletion was, have one key: at most eight
+per line however long it is. Equal variants always have equal keys; what else meets does not pass the verification.
 
 Equal lines are reduced to one row on the map side before anything else, so a line that a third of all documents repeat is
 one row. Only keys that two different lines share are joined.
@@ -19,20 +20,11 @@ result; other columns are ignored by `decide` and kept by `clean`.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arqueo.llm.common import fresh, landed
+from arqueo.llm.common import fresh, landed, release
 
 BOUND = 1  # edits
 SHORTEST = 8
-CLASSES = 16
-
-
-def _class(char: Column) -> Column:
-    return F.pmod(F.ascii(char) * F.lit(7) + F.shiftright(F.ascii(char), 4), F.lit(CLASSES))
-
-
-def _term(number: Column) -> Column:
-    """A fixed random number below 2^31 for each class."""
-    return F.pmod(F.xxhash64(F.lit("class"), number), F.lit(2 ** 31))
+CLASSES = ("aeiouAEIOU13579", "tnsrlTNSRL02468")  # any other character is of the last class
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -42,25 +34,33 @@ def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def _distinct_lines(lines: DataFrame) -> DataFrame:
-    """Per distinct line its first place, its length and what its keys are made of."""
-    chars = F.array_distinct(F.split("line", ""))
-    chars = F.filter(chars, lambda c: c != "")
+    """Per distinct line its first place and what its keys are made of: its length, how many of its characters are in
+    each class, hashes of the halves of the line and of the line shortened by one character."""
     length = F.length("line").cast("long")
     near = length >= SHORTEST
-    total = F.aggregate("chars", F.lit(0).cast("long"),
-                        lambda sum_, c: sum_ + (F.col("length") - F.length(F.replace(F.col("line"), c, F.lit("")))) * _term(_class(c)))
-    mask = F.aggregate("chars", F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), _class(c).cast("int"))))
-    seen = (lines.withColumn("length", length).withColumn("chars", F.when(near, chars)).withColumn("total", total).withColumn("mask", mask))
+    in_class = [F.when(near, length - F.length(F.regexp_replace("line", f"[{c}]+", ""))).alias(f"n{i}") for i, c in enumerate(CLASSES)]
+    halves = []
+    for short in (0, 1):  # of the line itself and of its variants; the half without the deletion is the same in both
+        first = F.floor((F.col("length") - short) / 2)
+        halves += [F.xxhash64(F.substr("line", F.lit(1), first.cast("int"))).alias(f"head{short}"),
+                   F.xxhash64(F.substr("line", (first + 1 + short).cast("int"))).alias(f"tail{short}")]
+    seen = lines.withColumn("length", length).select("*", *in_class, *halves)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line_no")
-    return (seen.groupBy("line_hash").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), F.max("length").alias("length"),
-                                          F.max("total").alias("total"), F.max("mask").alias("mask")))
+    made = [f"n{i}" for i in range(len(CLASSES))] + ["length", "head0", "tail0", "head1", "tail1"]
+    return seen.groupBy("line_hash").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), *(F.max(c).alias(c) for c in made))
 
 
 def _keys(distinct: DataFrame) -> DataFrame:
-    present = F.filter(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: F.call_function("shiftright", F.col("mask"), k).bitwiseAND(F.lit(1).cast("long")) == 1)
-    shorter = F.transform(present, lambda k: F.xxhash64(F.col("total") - _term(k), F.col("length") - 1))
-    keys = F.concat(F.array(F.xxhash64("total", "length")), shorter)
-    return distinct.where("total is not null").select("line_hash", F.explode(F.array_distinct(keys)).alias("key"))
+    """line_hash, key: of the line and of every variant, with either half."""
+    counts = [F.col(f"n{i}") for i in range(len(CLASSES))]
+    counts.append(F.col("length") - sum(counts[1:], counts[0]))
+    own = [F.xxhash64(F.lit(side), "length", *counts, half) for side, half in (("head", "head0"), ("tail", "tail0"))]
+    shorter = []
+    for i, count in enumerate(counts):
+        after = [c - 1 if i == j else c for j, c in enumerate(counts)]
+        shorter += [F.when(count > 0, F.xxhash64(F.lit(side), F.col("length") - 1, *after, half)) for side, half in (("head", "head1"), ("tail", "tail1"))]
+    keys = F.array_distinct(F.array_compact(F.array(*own, *shorter)))
+    return distinct.where("n0 is not null").select("line_hash", F.explode(keys).alias("key"))
 
 
 def near_copies(lines: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -68,6 +68,7 @@ def near_copies(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     keys = _keys(distinct)
     shared = keys.groupBy("key").agg(F.min("line_hash").alias("low"), F.max("line_hash").alias("high")).where("low < high").select("key")
     met = landed(keys.join(shared, "key").join(distinct.select("line_hash", "place"), "line_hash"))
+    release(lines.sparkSession)
     later, earlier = met.alias("later"), met.alias("earlier")
     pairs = landed(later.join(earlier, F.col("later.key") == F.col("earlier.key")).where("earlier.place < later.place")
                    .select(F.col("later.line_hash").alias("later"), F.col("earlier.line_hash").alias("earlier")).distinct())
@@ -82,6 +83,7 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     lines = _lines(docs, id_column, text_column)
     distinct = landed(_distinct_lines(lines))
     near = landed(near_copies(lines, distinct))
+    release(docs.sparkSession)
     later = distinct.join(near.withColumn("near", F.lit(True)), "line_hash", "left").where("n > 1 or near").select(
         "line_hash", "place", F.coalesce("near", F.lit(False)).alias("near"))
     met = lines.select("line_hash", "doc_id", "text_hash", "line_no").join(later, "line_hash")
@@ -92,7 +94,7 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def clean(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", report: bool = False) -> DataFrame:
     """`docs` without the lines that go; with `report` also n_lines and dropped (their numbers)."""
-    gone = dropped_lines(docs, id_column, text_column).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.col("dropped").alias("gone"))
+    gone = landed(dropped_lines(docs, id_column, text_column)).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.col("dropped").alias("gone"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text_column).cast("string").alias("text"), F.col(id_column).alias("id"))
     met = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left")
     numbers = F.coalesce("gone", F.array().cast("array<int>"))
