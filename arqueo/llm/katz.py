@@ -42,6 +42,7 @@ GOOD_TURING = 5  # counts up to this one are discounted by Good-Turing, larger o
 DELTA = 0.5
 HOT = 65_536
 HOT_SHARE = 40_000  # a pair is a candidate for the hot ones where a chunk has it once in so many tokens
+LEAST_HOT = 4  # and that often at least
 SLICES = 4
 
 
@@ -49,10 +50,17 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+def pair_ids(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return W.mix(history * np.uint64(0x9FB21C651E98DF25) + W.mix(word, 3), 5)
 
 
+def pair_keys(history: np.ndarray, ids: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Where pairs belong. All pairs of one history share the upper 24 bits, and so their part, unless the history is one of
+    the hot words: those pairs are spread over all parts."""
+    low = np.uint64(2 ** 40 - 1)
+    return np.where(find(hot, history)[1], ids, (W.mix(history, 9) & ~low) | (ids & low))
+
+
 def discounts(counts: dict[int, int]) -> list[float]:
     """Discounted counts for 1 to GOOD_TURING, from the numbers of items seen once, twice ...; where the estimate is not below the
     count or not above the one before, DELTA is taken off instead."""
@@ -125,18 +133,6 @@ def _flat(column: pa.ChunkedArray) -> list[np.ndarray]:
     return out
 
 
-def _requests(keys: np.ndarray, owner: np.ndarray, doc_keys: np.ndarray, parts: int, silent: np.ndarray | None = None):
-    """Distinct keys in order with the documents that have them, cut at the parts. `silent` marks tokens that send no document."""
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    both = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])[:len(keys)])
-    times = np.diff(np.append(both, len(keys)))
-    entry_keys, entry_docs = keys[both], owner[both]
-    first = runs(entry_keys)
-    per_key = np.diff(np.append(first, len(entry_keys)))
-    return order[both[first]], entry_keys[first], per_key, entry_docs, times
-
-
 class Scorer:
     def __init__(self, docs: DataFrame, id_column: str, text_column: str):
         self.spark = docs.sparkSession
@@ -154,14 +150,14 @@ class Scorer:
             for batch, data, offsets in W.chunks(batches):
                 chunk = Chunk(hasher, data, offsets)
                 training = ~np.asarray(batch.column(0))[chunk.owner]
-                tokens, pairs = chunk.tokens[training], pair_keys(chunk.history, chunk.tokens)[training]
+                tokens, pairs = chunk.tokens[training], pair_ids(chunk.history, chunk.tokens)[training]
                 out = []
                 for kind, values in ((0, tokens), (1, pairs)):
                     values.sort()
                     first = runs(values)
                     counts = np.diff(np.append(first, len(values)))
                     if kind:
-                        often = counts >= max(4, len(values) // HOT_SHARE)
+                        often = counts >= max(LEAST_HOT, len(values) // HOT_SHARE)
                         first, counts = first[often], counts[often]
                     out.append((np.full(len(first), kind, np.int32), values[first].view(np.int64), counts))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["kind", "key", "c"])
@@ -210,11 +206,11 @@ class Scorer:
             order = np.argsort(known)
             known, counts = known[order], model["c"].to_numpy()[order]
             docs, sums = [], []
-            for keys, per_key, doc, times, names in zip(*(_flat(asked_rows[c]) for c in ("keys", "per_key", "docs", "times", "names"))):
+            for keys, per_key, doc, names in zip(*(_flat(asked_rows[c]) for c in ("keys", "per_key", "docs", "names"))):
                 keys = keys.view(np.uint64)
                 at, there = find(known, keys)
                 values = values_of(keys, np.where(there, counts[at], 0) if len(counts) else np.zeros(len(keys)))
-                spread = np.repeat(values, per_key, axis=1) * times
+                spread = np.repeat(values, per_key, axis=1)
                 docs.append(names)
                 sums.append(np.stack([np.bincount(doc, row, len(names)) for row in spread]))
             docs, sums = np.concatenate(docs) if docs else np.empty(0, np.int64), np.concatenate(sums, axis=1) if sums else np.empty((3, 0))
@@ -233,104 +229,117 @@ class Scorer:
 
     # Pairs
 
-    def match_pairs(self, slice_: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """For one slice of the pairs: (h, w, c) of the training pairs; doc with its numbers of pairs seen 1, 2 ... times and the log of the
-        larger counts; doc, h, w, n of pairs that were never seen."""
-        parts, hot = self.parts, self.spark.sparkContext.broadcast(self.hot_pairs)
+    def match_pairs(self, slice_: int) -> DataFrame:
+        """One slice of the pairs, as rows of four kinds: (h, w, n) of the training pairs; doc with its numbers of pairs seen 1, 2 ... times
+        and the log of the larger counts; doc, h, w, n of pairs that were never seen; h with the numbers of its pairs seen 1, 2 ...
+        times or more and the unigrams of those of its words that are hot."""
+        width = -(-self.parts // SLICES)
+        shared = self.spark.sparkContext.broadcast((*self.hot_words, self.hot_pairs))
+        p1 = np.array([0.0, *self.word_discounts])
+        total = max(self.total, 1)
 
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher = W.Words()
+            hasher, (hot_words, _, hot_pairs) = W.Words(), shared.value
             for batch, data, offsets in W.chunks(batches, 2):
                 chunk = Chunk(hasher, data, offsets)
-                keys = pair_keys(chunk.history, chunk.tokens)
-                mine = (keys & np.uint64(SLICES - 1)) == slice_
+                ids = pair_ids(chunk.history, chunk.tokens)
+                keys = pair_keys(chunk.history, ids, hot_words)
+                mine = np.flatnonzero(parts_of(keys, width * SLICES) // width == slice_)
                 keys, owner, history, tokens = keys[mine], chunk.owner[mine], chunk.history[mine], chunk.tokens[mine]
-                held = np.asarray(batch.column(1))
                 names = np.asarray(batch.column(0))
-                hot_here = find(hot.value, keys)[1]
-                training = ~held[owner]
+                hot_here = find(hot_pairs, ids[mine])[1]
+                training = ~np.asarray(batch.column(1))[owner]
                 for test in (False, True):
                     some = ~hot_here & (training != test)
-                    yield from _packed(keys[some], owner[some], names, parts, history[some], tokens[some], test)
+                    yield from _packed(keys[some], owner[some], names, width * SLICES, history[some], tokens[some], test)
                 some = hot_here & training  # counted, but no documents are sent
-                yield from _packed(keys[some], np.zeros(int(some.sum()), np.int32), np.zeros(1, np.int64), parts, history[some], tokens[some], False, True)
+                yield from _packed(keys[some], owner[some], names, width * SLICES, history[some], tokens[some], False, True)
 
         def matched(key, rows):
-            lists = list(zip(*(_flat(rows[c]) for c in ("keys", "per_key", "docs", "times", "names", "histories", "words"))))
+            hot_words, hot_counts, _ = shared.value
+            lists = list(zip(*(_flat(rows[c]) for c in ("per_key", "docs", "names", "histories", "words"))))
             tests, silents = rows["test"].to_pylist(), rows["silent"].to_pylist()
-            taught = [(k.view(np.uint64), h, w, np.add.reduceat(t, np.cumsum(p) - p)) for (k, p, _, t, _, h, w), test in zip(lists, tests) if not test and len(k)]
-            columns = [np.concatenate(c) if taught else np.empty(0, d) for c, d in zip(zip(*taught), (np.uint64, np.int64, np.int64, np.int64))] if taught else [np.empty(0, d) for d in (np.uint64, np.int64, np.int64, np.int64)]
-            order = np.argsort(columns[0], kind="stable")
-            keys, history, word, times = (c[order] for c in columns)
-            first = runs(keys)
-            known, counts = keys[first], (np.add.reduceat(times, first) if len(first) else np.empty(0, np.int64))
-            out = [_rows(0, h=history[first], w=word[first], n=counts)]
-            for (k, per_key, doc, times_, names, h, w), test, silent in zip(lists, tests, silents):
+            keyed = [pair_keys(h.view(np.uint64), pair_ids(h.view(np.uint64), w.view(np.uint64)), hot_words) for *_, h, w in lists]
+            taught = [i for i, test in enumerate(tests) if not test]
+            keys, times, history, word = (np.concatenate([x[i] for i in taught]) if taught else np.empty(0, kind) for x, kind in (
+                (keyed, np.uint64), ([x[0] for x in lists], np.int32), ([x[3] for x in lists], np.int64), ([x[4] for x in lists], np.int64)))
+            order = np.argsort(keys)
+            first = runs(keys[order])
+            known, history, word = keys[order[first]], history[order[first]], word[order[first]]
+            counts = np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+            at, hot = find(hot_words, word.view(np.uint64))
+            out = [_rows(PAIRS, h=history, w=word, n=counts, rare=~hot)]
+            if len(known):
+                c = hot_counts[at] if len(hot_counts) else np.zeros(len(at), np.int64)
+                covered = np.where(hot, np.where(c > GOOD_TURING, c - DELTA, p1[np.minimum(c, GOOD_TURING)]) / total, 0.0)
+                order = np.argsort(history)
+                begins = runs(history[order])
+                classes = np.stack([np.add.reduceat((np.minimum(counts, GOOD_TURING + 1) == r)[order].astype(np.int32), begins) for r in range(1, GOOD_TURING + 2)], axis=1)
+                out.append(_rows(HISTORIES, h=history[order[begins]], value=np.add.reduceat(covered[order], begins), seen=classes))
+            logs_of = np.log10(np.maximum(counts, GOOD_TURING + 1) - DELTA)
+            for (per_key, doc, names, h, w), k, test, silent in zip(lists, keyed, tests, silents):
                 if silent or not len(k):
                     continue
-                at, there = find(known, k.view(np.uint64))
+                at, there = find(known, k)
                 c = np.where(there, counts[at], 0) if len(counts) else np.zeros(len(k), np.int64)
-                spread = np.repeat(c, per_key)
-                sums = [np.bincount(doc, times_ * (spread == r), len(names)) for r in range(1, GOOD_TURING + 1)]
-                large = spread > GOOD_TURING
-                logs = np.bincount(doc, np.where(large, np.log10(np.maximum(spread, 1) - DELTA), 0.0) * times_, len(names))
-                out.append(_rows(1, doc=names, seen=np.stack(sums, axis=1).astype(np.int64), large=logs))
+                logs = np.where(c > GOOD_TURING, logs_of[at], 0.0) if len(counts) else np.zeros(len(k))
+                classes = np.bincount(doc * np.int64(GOOD_TURING + 2) + np.repeat(np.minimum(c, GOOD_TURING + 1), per_key), minlength=len(names) * (GOOD_TURING + 2))
+                out.append(_rows(SHARES, doc=names, seen=classes.reshape(-1, GOOD_TURING + 2)[:, 1:], value=np.bincount(doc, np.repeat(logs, per_key), len(names))))
                 if test:
-                    unseen = spread == 0
-                    out.append(_rows(2, doc=names[doc[unseen]], h=np.repeat(h, per_key)[unseen], w=np.repeat(w, per_key)[unseen], n=times_[unseen]))
+                    unseen = np.repeat(c == 0, per_key)
+                    out.append(_rows(UNSEEN, doc=names[doc[unseen]], h=np.repeat(h, per_key)[unseen], w=np.repeat(w, per_key)[unseen]))
             return pa.concat_tables(out)
 
-        found = landed(self.docs.select("doc", "held_out", "text").mapInArrow(asked, PAIR_REQUESTS).groupBy("part").applyInArrow(matched, MATCHES))
-        return (found.where("kind = 0").select("h", "w", F.col("n").alias("c")),
-                found.where("kind = 1").select("doc", *SEEN, "large"), found.where("kind = 2").select("doc", "h", "w", "n"))
+        return landed(self.docs.select("doc", "held_out", "text").mapInArrow(asked, PAIR_REQUESTS).groupBy("part").applyInArrow(matched, MATCHES))
 
-    def histories(self, pairs: DataFrame) -> DataFrame:
-        """h, the unigram probability of the words seen after it, and how many of them were seen 1, 2 ... times or more often."""
-        p1 = self.words.select(F.col("key").alias("w"), (discounted(F.col("c"), self.word_discounts) / F.lit(float(max(self.total, 1)))).alias("p1"))
-        times = [F.sum(F.when(F.col("c") == r, 1).otherwise(0)).alias(f"m{r}") for r in range(1, GOOD_TURING + 1)]
-        return landed(pairs.join(p1, "w").groupBy("h").agg(F.sum("p1").alias("covered"), *times, F.sum(F.when(F.col("c") > GOOD_TURING, 1).otherwise(0)).alias("more")))
+    def log_unigrams(self) -> DataFrame:
+        return self.words.select(F.col("key").alias("w"), (discounted(F.col("c"), self.word_discounts) / F.lit(float(max(self.total, 1)))).alias("p1"))
 
     def score(self) -> DataFrame:
         spark = self.spark
         self.count_words()
         from_words = self.score_words()
         release(spark)
-        pairs, shares, unseen, histories = [], [], [], []
+        slices = []
         for slice_ in range(SLICES):
-            new = self.match_pairs(slice_)
-            release(spark)
-            histories.append(self.histories(new[0]))
+            slices.append(self.match_pairs(slice_))
             release(spark)
-            for tables, table in zip((pairs, shares, unseen), new):
-                tables.append(table)
-        pairs, shares, unseen, histories = (_all(t) for t in (pairs, shares, unseen, histories))
+        found = slices[0]
+        for table in slices[1:]:
+            found = found.unionByName(table)
+        pairs = found.where(F.col("kind") == PAIRS).select("h", "w", F.col("n").alias("c"), "rare")
         pair_discounts = discounts(self.seen_times(pairs))
-        freed = F.col("more") * F.lit(DELTA) + sum((F.col(f"m{r}") * F.lit(r - d) for r, d in enumerate(pair_discounts, 1)), F.lit(0.0))
-        backoff = (histories.groupBy("h").agg(*(F.sum(c).alias(c) for c in histories.columns if c != "h"))
-                   .select("h", F.log10(freed / (1 - F.col("covered"))).alias("backoff")))
-        p1 = self.words.select(F.col("key").alias("w"), F.log10(discounted(F.col("c"), self.word_discounts) / F.lit(float(max(self.total, 1)))).alias("log_p1"))
-        backed = (unseen.join(backoff, "h", "left").join(p1, "w", "left").groupBy("doc")
-                  .agg(F.sum(F.col("n") * (F.coalesce("backoff", F.lit(0.0)) + F.coalesce("log_p1", F.lit(math.log10(self.unknown or 1.0))))).alias("backed")))
-        seen = sum((F.sum(c) * F.lit(math.log10(d)) for c, d in zip(SEEN, pair_discounts)), F.sum("large"))
-        matched = shares.groupBy("doc").agg(seen.alias("matched"))
+        classes = [*SEEN, "more"]
+        rare = pairs.where("rare").join(self.log_unigrams(), "w").groupBy("h").agg(F.sum("p1").alias("covered"))
+        histories = found.where(F.col("kind") == HISTORIES).select("h", F.col("value").alias("covered"), *classes)
+        whole = landed(histories.unionByName(rare, allowMissingColumns=True).groupBy("h").agg(*(F.sum(c).alias(c) for c in ("covered", *classes))))
+        release(spark)
+        freed = F.col("more") * F.lit(DELTA) + sum((F.col(c) * F.lit(r - d) for r, (c, d) in enumerate(zip(SEEN, pair_discounts), 1)), F.lit(0.0))
+        backoff = whole.select("h", F.log10(freed / (1 - F.col("covered"))).alias("backoff"))
+        unseen = found.where(F.col("kind") == UNSEEN).select("doc", "h", "w")
+        backed = (unseen.join(backoff, "h", "left").join(self.log_unigrams(), "w", "left").groupBy("doc")
+                  .agg(F.sum(F.coalesce("backoff", F.lit(0.0)) + F.coalesce(F.log10("p1"), F.lit(math.log10(self.unknown or 1.0)))).alias("backed")))
+        seen = sum((F.sum(c) * F.lit(math.log10(d)) for c, d in zip(SEEN, pair_discounts)), F.sum("value"))
+        matched = found.where(F.col("kind") == SHARES).groupBy("doc").agg(seen.alias("matched"))
         sums = landed(from_words.join(matched, "doc", "full").join(backed, "doc", "full"))
+        release(spark)
         return self.finish(sums, pairs, pair_discounts)
 
     def finish(self, sums: DataFrame, pairs: DataFrame, pair_discounts: list[float]) -> DataFrame:
         """Reads the documents once more for what they get from hot words and pairs, and adds the rest."""
-        hot_list = self.spark.createDataFrame([(int(k),) for k in self.hot_pairs.view(np.int64)], "key long") if len(self.hot_pairs) else None
+        shared = self.spark.sparkContext.broadcast(self.hot_pairs)
         hot_counts = np.zeros(len(self.hot_pairs), np.int64)
-        if hot_list is not None:
-            def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    keys = pair_keys(*(np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1)))
-                    there = find(hot.value[0], keys)[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[there].view(np.int64)), batch.column(2).filter(pa.array(there))], ["key", "c"])
-
-            hot = self.spark.sparkContext.broadcast((self.hot_pairs,))
-            rows = pairs.mapInArrow(keyed, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).toPandas()  # at most HOT
-            at, there = find(self.hot_pairs, rows["key"].to_numpy(np.int64).view(np.uint64))
-            hot_counts[at[there]] = rows["c"].to_numpy(np.int64)[there]
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = pair_ids(np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1)).view(np.uint64))
+                there = find(shared.value, keys)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[there].view(np.int64)), batch.column(2).filter(pa.array(there))], ["key", "c"])
+
+        often = pairs.where(F.col("c") >= LEAST_HOT).select("h", "w", "c")
+        rows = often.mapInArrow(keyed, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).toPandas()  # at most HOT
+        at, there = find(self.hot_pairs, rows["key"].to_numpy(np.int64).view(np.uint64))
+        hot_counts[at[there]] = rows["c"].to_numpy(np.int64)[there]
         logs = np.log10(np.where(hot_counts > GOOD_TURING, hot_counts - DELTA, np.array([1.0, *pair_discounts])[np.minimum(hot_counts, GOOD_TURING)]))
         shared = self.spark.sparkContext.broadcast((*self.hot_words, self.hot_pairs, logs))
         values_of, start = self.values(), -math.log10(self.documents) if self.documents else 0.0
@@ -342,7 +351,7 @@ class Scorer:
                 chunk = Chunk(hasher, data, offsets)
                 at, there = find(words, chunk.tokens)
                 base, known, history = (np.bincount(chunk.owner[there], v[at[there]], chunk.docs) for v in values)
-                at, there = find(pairs_, pair_keys(chunk.history, chunk.tokens))
+                at, there = find(pairs_, pair_ids(chunk.history, chunk.tokens))
                 score = history + start + np.bincount(chunk.owner[there], pair_logs[at[there]], chunk.docs)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(chunk.sizes.astype(np.int64)),
                                                   *map(pa.array, (base, known, score))], HERE)
@@ -350,7 +359,6 @@ class Scorer:
         kinds = [("doc", T.LongType()), ("doc_id", self.id_type), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()),
                  *((c, T.DoubleType()) for c in ("base_here", "known_here", "score_here"))]
         here = self.docs.select("doc", "text", "doc_id", "held_out").mapInArrow(added, T.StructType([T.StructField(*k) for k in kinds]))
-        copies = here.groupBy("doc").agg(F.count(F.lit(1)).alias("copies"))
         here = landed(here)
         copies = here.groupBy("doc").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
         part = {c: F.coalesce(F.col(c), F.lit(0.0)) / F.coalesce(F.col("copies"), F.lit(1)) for c in ("base", "known", "history", "matched", "backed")}
@@ -362,48 +370,58 @@ class Scorer:
 
 HERE = ["doc", "doc_id", "held_out", "n_tokens", "base_here", "known_here", "score_here"]
 SEEN = [f"c{r}" for r in range(1, GOOD_TURING + 1)]
-REQUESTS = "part int, keys array<long>, per_key array<int>, docs array<int>, times array<int>, names array<long>"
-PAIR_REQUESTS = REQUESTS + ", histories array<long>, words array<long>, test boolean, silent boolean"
-MATCHES = "kind int, doc long, h long, w long, n long, large double, " + ", ".join(f"{c} long" for c in SEEN)
-
-
-def _all(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.unionByName(table)
-    return out
+_SENT = "part int, per_key array<int>, docs array<int>, names array<long>"
+REQUESTS = _SENT + ", keys array<long>"
+PAIR_REQUESTS = _SENT + ", histories array<long>, words array<long>, test boolean, silent boolean"
+MATCHES = "kind int, doc long, h long, w long, n long, rare boolean, value double, " + ", ".join(f"{c} int" for c in SEEN) + ", more int"
+PAIRS, SHARES, UNSEEN, HISTORIES = range(4)  # kinds of rows
 
 
 def _packed(keys: np.ndarray, owner: np.ndarray, names: np.ndarray, parts: int, history: np.ndarray | None = None,
             words: np.ndarray | None = None, test: bool = False, silent: bool = False) -> Iterator[pa.RecordBatch]:
-    """One row per part: its distinct keys, how many documents have each, these (as places in `names`) and how often."""
+    """One row per part: its distinct keys in order (of pairs the two words), how often each comes, and the document of each time as a
+    place in `names`; no documents if `silent`."""
     if not len(keys):
         return
-    at, distinct, per_key, docs, times = _requests(keys, owner, names, parts)
-    part = parts_of(distinct, parts)
-    first = runs(part)
-    key_bounds = np.append(first, len(distinct))
-    entries = np.concatenate([[0], np.cumsum(per_key)])[key_bounds]
-    local, own_names, name_bounds = np.empty(len(docs), np.int32), [], [0]
-    for a, b in zip(entries[:-1], entries[1:]):
-        there, place = np.unique(docs[a:b], return_inverse=True)
-        local[a:b] = place
-        own_names.append(names[there])
-        name_bounds.append(name_bounds[-1] + len(there))
-    columns = [pa.array(part[first]), _list(distinct, key_bounds), _list(per_key.astype(np.int32), key_bounds), _list(local, entries),
-               _list(times.astype(np.int32), entries), _list(np.concatenate(own_names), np.array(name_bounds))]
-    fields = ["part", "keys", "per_key", "docs", "times", "names"]
-    if history is not None:
-        columns += [_list(history[at], key_bounds), _list(words[at], key_bounds), pa.array([test] * len(first)), pa.array([silent] * len(first))]
-        fields += ["histories", "words", "test", "silent"]
-    yield pa.RecordBatch.from_arrays(columns, fields)
-
-
-def _rows(kind: int, doc=None, h=None, w=None, n=None, seen=None, large=None) -> pa.Table:
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = runs(keys)
+    per_key = np.diff(np.append(first, len(keys)))
+    part = parts_of(keys[first], parts)
+    begins = runs(part)
+    key_bounds = np.append(begins, len(first))
+    entries = np.append(first, len(keys))[key_bounds]
+    docs = owner[order]
+    own_names, name_bounds, here = [], [0], np.zeros(len(names), bool)
+    if silent:
+        docs, bounds = docs[:0], np.zeros(len(entries), np.int64)
+        own_names, name_bounds = [names[:0]], [0] * len(entries)
+    else:
+        bounds = entries
+        for a, b in zip(entries[:-1], entries[1:]):
+            here[:] = False
+            here[docs[a:b]] = True
+            docs[a:b] = (np.cumsum(here) - 1)[docs[a:b]]
+            own_names.append(names[here])
+            name_bounds.append(name_bounds[-1] + len(own_names[-1]))
+    columns = [pa.array(part[begins]), _list(per_key.astype(np.int32), key_bounds), _list(docs, bounds), _list(np.concatenate(own_names), np.array(name_bounds))]
+    if history is None:
+        yield pa.RecordBatch.from_arrays([*columns, _list(keys[first], key_bounds)], ["part", "per_key", "docs", "names", "keys"])
+    else:
+        at = order[first]
+        columns += [_list(history[at], key_bounds), _list(words[at], key_bounds), pa.array([test] * len(begins)), pa.array([silent] * len(begins))]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "per_key", "docs", "names", "histories", "words", "test", "silent"])
+
+
+def _rows(kind: int, doc=None, h=None, w=None, n=None, rare=None, value=None, seen=None) -> pa.Table:
     count = len(doc if doc is not None else h)
-    column = lambda values, type_=pa.int64(): pa.nulls(count, type_) if values is None else pa.array(values, type_)
-    return pa.table([pa.array(np.full(count, kind, np.int32)), column(doc), column(h), column(w), column(n), column(large, pa.float64()),
-                     *(column(None if seen is None else seen[:, r]) for r in range(GOOD_TURING))], ["kind", "doc", "h", "w", "n", "large", *SEEN])
+
+    def column(values, type_=pa.int64()):
+        return pa.nulls(count, type_) if values is None else pa.array(values, type_)
+
+    classes = [column(None if seen is None else seen[:, r].astype(np.int32), pa.int32()) for r in range(GOOD_TURING + 1)]
+    return pa.table([pa.array(np.full(count, kind, np.int32)), *map(column, (doc, h, w, n)), column(rare, pa.bool_()), column(value, pa.float64()), *classes],
+                    ["kind", "doc", "h", "w", "n", "rare", "value", *SEEN, "more"])
 
 
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
