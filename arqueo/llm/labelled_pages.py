@@ -6,7 +6,7 @@ them), so that one page shows a few of many combinations.
 
 ARTICLES = (  # ways to wrap the main text; {0} is title and body
     "<article data-main>{0}</article>",
-    "<main><article data-main>{0}</article></main>",
+    "<main data-main><article>{0}</article></main>",
     '<main id="content" data-main>{0}</main>',
     '<div class="post-content" data-main>{0}</div>',
     '<div id="page"><div class="entry-content" data-main>{0}</div></div>',
@@ -68,7 +68,7 @@ def labelled_pages() -> list[str]:
     """Pages in which every part meets several others. `data-main` marks the main text, `data-other` what is not, inside it."""
     pages = []
     for i in range(len(BEFORE) * len(AFTER)):
-        article, body, inside = ARTICLES[i % len(ARTICLES)], BODIES[i % 5 if i % 11 else 5 + i % 2], INSIDE[i % len(INSIDE)]
+        article, body, inside = ARTICLES[i % len(ARTICLES)], BODIES[(i + i // len(ARTICLES)) % len(BODIES)], INSIDE[i * 2 % len(INSIDE)]
         cut = body.rfind("<p>")
         main = article.format(body[:cut] + inside + body[cut:] if i % 2 else body + inside)
         first, second = BEFORE[i % len(BEFORE)], BEFORE[(i * 3 + 1) % len(BEFORE)]

@@ -150,7 +150,7 @@ class Model:
     -> weights as [parent][child]. Fitted by gradient ascent on the likelihood of the labelled pages, the expectations of
     which come from the same messages as the answers."""
 
-    def __init__(self, pages: list[str], rounds: int = 60, step: float = 0.5, shrink: float = 0.001):
+    def __init__(self, pages: list[str], rounds: int = 100, step: float = 1.0, shrink: float = 0.0001):
         self.seen: dict[str, float] = {}
         self.edge = {kind: [[0.0, 0.0], [0.0, 0.0]] for kind in (True, False)}
         trees = [(tree, [observed(tree, n) for n in range(len(tree.tag))]) for tree in map(parse, pages)]
