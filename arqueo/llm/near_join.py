@@ -139,8 +139,9 @@ def _filter_of(nodes: DataFrame) -> np.ndarray:
     return bits
 
 
-def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, shingles of the wanted nodes. Texts are not moved: each task works out the sets again and sends those wanted."""
+def _wanted(texts: DataFrame, wanted: DataFrame, columns, schema: str) -> DataFrame:
+    """One row per wanted node: node and what `columns` makes of its set. Texts are not moved: each task works out its sets again and
+    sends something of those that are wanted."""
     bits = texts.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,55 +150,61 @@ def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             values, counts = sets.of(data, offsets)
             names = Sets.names(values, counts)
             place = names % FILTER_BITS
-            _, first = np.unique(names, return_index=True)
             once = np.zeros(len(names), bool)
-            once[first] = True
+            once[np.unique(names, return_index=True)[1]] = True
             passed = once & (counts > 0) & (bits.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-            lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)])), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(names), lists], ["node", "shingles"]).filter(pa.array(passed))
+            arrays = columns(values[np.repeat(passed, counts)], counts[passed])
+            yield pa.RecordBatch.from_arrays([pa.array(names[passed]), *arrays], ["node", *(f"c{i}" for i in range(len(arrays)))])
+
+    return texts.mapInArrow(found, f"node long, {schema}").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
-    sets = texts.mapInArrow(_small_lists(found), "node long, shingles array<long>")
-    return sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
+def _prefixes_of(texts: DataFrame, wanted: DataFrame, frequent) -> DataFrame:
+    """node and its prefixes under all orders but the first. Half a hash is enough to pass all pairs that share a token."""
+    def columns(values: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+        sets = Sets(frequent.value)
+        found = (sets.prefixes(values, counts, k) for k in range(1, ORDERS))
+        return [_array(tokens.astype(np.uint32).view(np.int32), lengths) for tokens, lengths in found]
+
+    return _wanted(texts, wanted, columns, ", ".join(f"c{k} array<int>" for k in range(ORDERS - 1)))
 
-def _small_lists(rows):
-    """The same batches with lists of 32-bit lengths, as Spark wants them."""
-    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.int64()))], batch.schema.names)
 
-    return changed
+def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    return _wanted(texts, wanted, lambda values, counts: [_array(values.view(np.int64), counts)], "c0 array<long>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, frequent) -> DataFrame:
-    """The pairs (a, b) of nodes that link. Filters first: sizes, then prefixes under all other orders, then the sets."""
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that link. Filters first: sizes, then prefixes under all other orders; then the sets."""
     size = nodes.select("node", "size")
-    sized = landed(pairs.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
-                   .where(f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)").select("a", "b"))
-    wanted = landed(sized.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sized = (pairs.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
+             .where(f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)").select("a", "b"))
+    names = [f"c{k}" for k in range(ORDERS - 1)]
+    met = sized.join(prefixes.toDF("a", *(f"{c}_a" for c in names)), "a").join(prefixes.toDF("b", *(f"{c}_b" for c in names)), "b")
+    for c in names:
+        met = met.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
+    near = landed(met.select("a", "b"))
+    wanted = landed(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    del met, sized
+    release(texts.sparkSession)
     sets = landed(_sets_of(texts, wanted))
     release(texts.sparkSession)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Sets(frequent.value)
         for batch in batches:
             keep = []
             for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3))):
-                sizes = np.array([len(x), len(y)])
-                near = True
-                for k in range(1, ORDERS):
-                    tokens, lengths = order.prefixes(np.concatenate([x, y]), sizes, k)
-                    if not len(np.intersect1d(tokens[:lengths[0]], tokens[lengths[0]:], assume_unique=True)):
-                        near = False
-                        break
-                common = len(np.intersect1d(x, y, assume_unique=True)) if near else 0
-                keep.append(100 * common >= PERCENT * (int(sizes.sum()) - common))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = (sized.join(sets.toDF("a", "shingles_a"), "a").join(sets.toDF("b", "shingles_b"), "b").select("a", "b", "shingles_a", "shingles_b"))
+    both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
     links = landed(both.mapInArrow(linked, "a long, b long"))
-    discard(sized, wanted, sets)
-    del both, sets, sized, wanted
+    del both
+    discard(near, wanted, sets)
     release(texts.sparkSession)
     return links
 
@@ -223,6 +230,7 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     buckets = landed(prefixes.join(shared, "token").distinct())
     del prefixes, shared
     release(docs.sparkSession)
+    others = landed(_prefixes_of(texts, landed(buckets.select("node").distinct()), frequent))
     links, found, tested = None, None, None
     for turn in range(ROUNDS + 1):
         rows = landed(_with_component(buckets, found))
@@ -245,7 +253,7 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = landed(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = _verified(pairs, nodes, texts, frequent)
+        new = _verified(pairs, nodes, texts, others)
         links = new if links is None else links.unionByName(new)
         found = landed(components(links))
         if last:
