@@ -5,7 +5,7 @@ within one edit only if they, or they after one deletion, have a common variant.
 itself and of all its variants with one character deleted, equal keys are joined, and the edit distance of the
 pairs is verified. Of two lines within one edit, the characters that differ are at one place, so one half of the common
 variant is the same in both lines. A key is the hash of a half that the deletion left alone, the length and the number of
-characters of each class in the variant. Variants that agree in these, wherever the deletion was, have one key: at most eight
+characters of each class in the variant. Variants that agree in these, wherever the deletion was, have one key: at most six
 per line however long it is. Equal variants always have equal keys; what else meets does not pass the verification.
 
 Equal lines are reduced to one row on the map side before anything else, so a line that a third of all documents repeat is
@@ -24,7 +24,8 @@ from arqueo.llm.common import fresh, landed, release
 
 BOUND = 1  # edits
 SHORTEST = 8
-CLASSES = ("aeiouAEIOU13579", "tnsrlTNSRL02468")  # any other character is of the last class
+CLASSES = ("aeioutnAEIOUTN02468",)  # any other character is of the last class
+FILTER_BITS = 2 ** 26  # 8 MB: hashes that are wanted
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -63,6 +64,23 @@ def _keys(distinct: DataFrame) -> DataFrame:
     return distinct.where("n0 is not null").select("line_hash", F.explode(keys).alias("key"))
 
 
+def filter_of(hashes: DataFrame, column: str) -> DataFrame:
+    """(bucket, bits): one bit for each hash, FILTER_BITS in all, so never more than 8 MB."""
+    place = F.pmod(column, F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
+    return (hashes.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")))
+
+
+def marked(rows: DataFrame, column: str, filter_: DataFrame) -> DataFrame:
+    """`rows` with `passes`: false only if the hash in `column` is certainly not among those of the filter."""
+    place = F.pmod(column, F.lit(FILTER_BITS)) + 1
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    passes = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    met = rows.join(F.broadcast(filter_), F.bitmap_bucket_number(place) == F.col("bucket"), "left")
+    return met.withColumn("passes", F.coalesce(passes, F.lit(False))).drop("bucket", "bits")
+
+
 def near_copies(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """line_hash of the lines that have an earlier one within the bound."""
     keys = _keys(distinct)
@@ -73,7 +91,9 @@ def near_copies(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     pairs = landed(later.join(earlier, F.col("later.key") == F.col("earlier.key")).where("earlier.place < later.place")
                    .select(F.col("later.line_hash").alias("later"), F.col("earlier.line_hash").alias("earlier")).distinct())
     wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("line_hash")).distinct()
-    texts = landed(lines.select("line_hash", "line").join(wanted, "line_hash").groupBy("line_hash").agg(F.first("line").alias("line")))
+    wanted = landed(wanted)
+    passed = marked(lines.select("line_hash", "line"), "line_hash", landed(filter_of(wanted, "line_hash"))).where("passes").drop("passes")
+    texts = landed(passed.join(wanted, "line_hash").groupBy("line_hash").agg(F.first("line").alias("line")))
     both = (pairs.join(texts.toDF("later", "later_line"), "later").join(texts.toDF("earlier", "earlier_line"), "earlier"))
     return both.where(F.levenshtein("later_line", "earlier_line", BOUND) >= 0).select(F.col("later").alias("line_hash")).distinct()
 
@@ -84,8 +104,8 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     distinct = landed(_distinct_lines(lines))
     near = landed(near_copies(lines, distinct))
     release(docs.sparkSession)
-    later = distinct.join(near.withColumn("near", F.lit(True)), "line_hash", "left").where("n > 1 or near").select(
-        "line_hash", "place", F.coalesce("near", F.lit(False)).alias("near"))
+    later = landed(distinct.join(near.withColumn("near", F.lit(True)), "line_hash", "left").where("n > 1 or near").select(
+        "line_hash", "place", F.coalesce("near", F.lit(False)).alias("near")))  # landed: both sides of the join below can then be split
     met = lines.select("line_hash", "doc_id", "text_hash", "line_no").join(later, "line_hash")
     first = F.col("doc_id").eqNullSafe(F.col("place.doc_id")) & (F.col("text_hash") == F.col("place.text_hash")) & (F.col("line_no") == F.col("place.line_no"))
     return (met.where(F.col("near") | ~first).groupBy("doc_id", "text_hash")
@@ -94,9 +114,15 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def clean(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", report: bool = False) -> DataFrame:
     """`docs` without the lines that go; with `report` also n_lines and dropped (their numbers)."""
-    gone = landed(dropped_lines(docs, id_column, text_column)).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.col("dropped").alias("gone"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text_column).cast("string").alias("text"), F.col(id_column).alias("id"))
-    met = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left")
+    gone = landed(dropped_lines(docs, id_column, text_column).select(
+        F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.col("dropped").alias("gone")))
+    release(docs.sparkSession)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text_column).cast("string").alias("text"),
+                       F.col(id_column).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("hash"))
+    rows = marked(rows, "hash", landed(filter_of(gone, "gone_hash")))
+    # Only texts that may lose a line are moved.
+    losing = rows.where("passes").join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left")
+    met = losing.select("doc", "text", "gone").unionByName(rows.where("not passes").select("doc", "text", F.lit(None).cast("array<int>").alias("gone")))
     numbers = F.coalesce("gone", F.array().cast("array<int>"))
     parts = F.split("text", "\n")
     left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
