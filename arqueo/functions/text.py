@@ -12,9 +12,11 @@ WORD_BREAKS = (
     "\u2028\u2029\u202f\u205f\u3000$"
 )
 PADDING = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u2007\u202f\u3000"
-ISO_DATE_LAYOUTS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS")
-MONTH_FIRST_LAYOUTS = ISO_DATE_LAYOUTS + ("M/d/yyyy", "M-d-yyyy")
-DAY_FIRST_LAYOUTS = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yyyy HH:mm:ss") + ISO_DATE_LAYOUTS
+# Layouts for text that is not three numbers.
+NAMED_MONTH_LAYOUTS = ("yyyyMMdd", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "d-MMMM-yyyy", "d MMMM yyyy", "MMMM d, yyyy")
+_TIME = r"(?:[T ]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?\s*(?:[AaPp][Mm])?\s*(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2})?)?$"
+_YEAR_FIRST = "^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + _TIME
+_YEAR_LAST = "^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + _TIME
 
 
 def clean(text: Column) -> Column:
@@ -34,10 +36,19 @@ def to_rate(text: Column) -> Column:
     return clean(text).try_cast(RATE)
 
 
-def to_day(text: Column, layouts: tuple[str, ...] = MONTH_FIRST_LAYOUTS) -> Column:
-    """First layout that fits wins; text that fits none becomes NULL. Time of day is cut off."""
+def to_day(text: Column, day_first: bool = False) -> Column:
+    """Year, month and day in any of the usual orders and marks, with or without a time, which is cut off.
+
+    Where the year comes last, ``day_first`` says what the first number is; if it cannot be that, the numbers
+    change places. Text that is no date becomes NULL.
+    """
     trimmed = clean(text)
-    return F.coalesce(*(F.try_to_timestamp(trimmed, F.lit(layout)) for layout in layouts)).cast("date")
+    year_last = ("$3-$2-$1", "$3-$1-$2") if day_first else ("$3-$1-$2", "$3-$2-$1")
+    orders = [(_YEAR_FIRST, "$1-$2-$3"), *((_YEAR_LAST, order) for order in year_last)]
+    numbers = [F.when(trimmed.rlike(pattern), F.try_to_timestamp(F.regexp_replace(trimmed, pattern, order), F.lit("y-M-d")))
+               for pattern, order in orders]
+    named = [F.try_to_timestamp(trimmed, F.lit(layout)) for layout in NAMED_MONTH_LAYOUTS]
+    return F.coalesce(*numbers, *named).cast("date")
 
 
 def _count(text: Column, mark: str) -> Column:
@@ -96,11 +107,18 @@ def last_number(text: Column) -> Column:
 
 
 def csv_fields(line: Column) -> Column:
-    """Fields of one CSV line. Quotes may hide commas; an empty field is NULL."""
-    outside_quotes = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    """Fields of one CSV record. Quotes may hide commas and line breaks; an empty field is NULL.
+
+    Between one quote and the next everything is either outside or inside, so commas are marked part by part:
+    one pass over the record however many quotes it has.
+    """
+    mark = "\x00"
+    parts = F.transform(F.split(line, '"', -1), lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit(","), F.lit(mark))).otherwise(part))
 
     def unquote(field: Column) -> Column:
-        bare = F.regexp_replace(clean(field), '^"(.*)"$', "$1")
-        return F.nullif(F.replace(bare, F.lit('""'), F.lit('"')), F.lit(""))
+        bare = clean(field)
+        quoted = (F.length(bare) > 1) & F.startswith(bare, F.lit('"')) & F.endswith(bare, F.lit('"'))
+        inner = F.when(quoted, F.substr(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
+        return F.nullif(F.replace(inner, F.lit('""'), F.lit('"')), F.lit(""))
 
-    return F.transform(F.split(line, outside_quotes, -1), unquote)
+    return F.transform(F.split(F.array_join(parts, '"'), mark, -1), unquote)

@@ -2,7 +2,7 @@
 
 A rate table has at most one row per calendar day, so its size is bounded by the calendar
 (about 9,000 rows for 25 years, 3.7 million for every day the DATE type knows) and does not grow with the
-invoices. That bound is what allows the broadcast and the single ordered window here.
+invoices. That bound is what allows the single ordered window here, and lets Spark broadcast the table by its size.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arqueo.functions.text import rate_number
+from arqueo.schemas import RATE
 
 
 def _by_day():
@@ -23,32 +24,46 @@ def first_needed_day(facturas: DataFrame, monetizaciones: DataFrame, as_of: Colu
     return F.coalesce(F.least(invoice, payment), as_of)
 
 
+def _no_rates() -> Column:
+    return F.raise_error(F.lit("no usable rate source for the range"))
+
+
 def daily_rates(intervals: DataFrame, start: Column, end: Column) -> DataFrame:
     """One rate per day of ``[start, end]`` from the first source, by ``prioridad``, that can be used.
 
-    Intervals are cut to the range before they unfold into days. A source with an unreadable rate
-    in the range is passed over whole; `rate_rejects` lists why. Days covered twice take the
-    record that starts last. No usable source is an error.
+    Intervals are cut to the range before they unfold into days. A source with an unreadable or
+    missing rate in the range, or with an unreadable date anywhere, is passed over whole; `rate_rejects` lists
+    why. Days covered twice take the record that starts last. No usable source is an error for
+    whatever reads the rates, even if it would look up no day.
     """
+    undated = F.col("vigenciadesde").isNull() | F.col("vigenciahasta").isNull()
+    in_range = (F.col("vigenciadesde") <= F.col("vigenciahasta")) & (F.col("desde") <= F.col("hasta"))
     found = intervals.select(
         "prioridad", "vigenciadesde", "vigenciahasta", rate_number(F.col("valor")).alias("trm"),
         F.greatest("vigenciadesde", start).alias("desde"), F.least("vigenciahasta", end).alias("hasta"),
-    ).where((F.col("vigenciadesde") <= F.col("vigenciahasta")) & (F.col("desde") <= F.col("hasta")))
+    ).withColumn("__undated", undated).where(F.col("__undated") | in_range)
     usable = (
-        found.groupBy("prioridad").agg(F.bool_and(F.col("trm").isNotNull()).alias("legible"))
+        found.groupBy("prioridad")
+        .agg(F.bool_and(~F.col("__undated") & F.col("trm").isNotNull()).alias("legible"))
         .where("legible").agg(F.min("prioridad")).scalar()
     )
-    missing = F.raise_error(F.lit("no usable rate source for the range")).cast("int")
-    return (
-        found.where(F.col("prioridad") == F.coalesce(usable, missing))
+    days = (
+        found.where(~F.col("__undated") & (F.col("prioridad") == usable))
         .select("trm", "vigenciadesde", "vigenciahasta", F.explode(F.sequence("desde", "hasta")).alias("fecha"))
         .groupBy("fecha")
         .agg(F.max_by("trm", F.struct("vigenciadesde", "vigenciahasta", "trm")).alias("trm"))
     )
+    # A row that never comes out: asking for it is what raises the error.
+    guard = intervals.sparkSession.range(1).where(F.coalesce(usable, _no_rates().cast("int")).isNull())
+    none = guard.select(*(F.lit(None).cast(field.dataType).alias(field.name) for field in days.schema.fields))
+    return days.unionByName(none)
 
 
 def rate_rejects(intervals: DataFrame) -> DataFrame:
-    return intervals.where(rate_number(F.col("valor")).isNull()).withColumn("motivo", F.lit("valor ilegible"))
+    """Intervals that discredit their source, with the reason."""
+    reason = F.when(rate_number(F.col("valor")).isNull(), "valor ilegible").when(
+        F.col("vigenciadesde").isNull() | F.col("vigenciahasta").isNull(), "fecha ilegible")
+    return intervals.withColumn("motivo", reason).where(F.col("motivo").isNotNull())
 
 
 def last_rates(rates: DataFrame, cutoff: Column) -> Column:
@@ -57,7 +72,7 @@ def last_rates(rates: DataFrame, cutoff: Column) -> Column:
     The previous rate and the cutoff rate fall back to the newest. Meant to be read field by field.
     """
     stepped = rates.withColumn("previa", F.lag("trm").over(_by_day()))
-    latest = F.max_by("trm", "fecha")
+    latest = F.coalesce(F.max_by("trm", "fecha"), _no_rates().cast(RATE))  # an empty table is an error
     return stepped.agg(
         F.struct(
             latest.alias("trm_actual"),
@@ -81,4 +96,4 @@ def rate_as_of(rows: DataFrame, date: str, rates: DataFrame, end: Column, name:
     """
     calendar = fill_calendar(rates, end).select(F.col("fecha").alias("__dia"), F.col("trm").alias(name))
     lookup = F.least(F.col(date), F.when(F.col(date).isNotNull(), end))
-    return rows.join(F.broadcast(calendar), lookup == F.col("__dia"), "left").drop("__dia")
+    return rows.join(calendar, lookup == F.col("__dia"), "left").drop("__dia")

@@ -69,8 +69,9 @@ def cash_flow(
         _total(F.when(active, F.col("desembolso"))).alias("desembolso"),
         F.coalesce(F.sum(F.when(active, F.col("cuota").cast("decimal(18,6)"))), F.lit(0)).cast(COP_AMOUNT).alias("cuota"),
     )
+    twice = F.raise_error(F.lit("two plans for one company and week")).cast("decimal(1,0)")
     planned = plan.groupBy(ENTITY, "week").agg(
-        _total(F.col("saldo_inicial")).alias("saldo_inicial"),
+        F.when(F.count(F.lit(1)) > 1, twice).otherwise(_total(F.col("saldo_inicial"))).alias("saldo_inicial"),
         *(_total(F.col(name)).alias(name) for name in CASH_PLAN_INPUTS),
     )
     entities = (

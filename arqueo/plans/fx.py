@@ -206,17 +206,18 @@ def fx_daily_totals(facturas: DataFrame, monetizaciones: DataFrame, rates: DataF
         F.sum("realizada").cast(COP_AMOUNT).alias("realizada"),
     )
 
-    # Lay the rate days into the time line of each entity: its first change also unfolds the calendar.
-    calendar = rates.agg(
-        F.collect_list(F.struct("fecha", "trm", F.lit(True).alias("es_dia")))
-    ).scalar()
-    own = F.array(F.struct("fecha", F.lit(None).cast(RATE).alias("trm"), F.lit(False).alias("es_dia")))
-    is_first = F.row_number().over(W.partitionBy(ENTITY).orderBy("fecha")) == 1
+    # Lay the rate days into the time line of each entity: its first change also unfolds the days, which then look up their rate.
+    limits = rates.agg(F.struct(F.min("fecha").alias("primera"), F.max("fecha").alias("ultima"))).scalar()
     measures = [name for name in changes.columns if name not in (ENTITY, "fecha")]
+    own = F.array(F.lit(None).cast("date"))  # the change itself; the others are days of the calendar
+    days = F.sequence(limits["primera"], limits["ultima"])
+    is_first = F.row_number().over(W.partitionBy(ENTITY).orderBy("fecha")) == 1
     line = (
         changes.withColumn("__first", is_first)
-        .select(ENTITY, *measures, F.explode(F.when(F.col("__first"), F.concat(own, calendar)).otherwise(own)).alias("p"))
-        .select(ENTITY, "p.*", *(F.when(~F.col("p.es_dia"), F.col(name)).alias(name) for name in measures))
+        .select(ENTITY, "fecha", *measures, F.explode(F.when(F.col("__first"), F.concat(own, days)).otherwise(own)).alias("dia"))
+        .select(ENTITY, F.coalesce("dia", "fecha").alias("fecha"), F.col("dia").isNotNull().alias("es_dia"),
+                *(F.when(F.col("dia").isNull(), F.col(name)).alias(name) for name in measures))
+        .join(rates.select("fecha", "trm"), "fecha", "left").where(~F.col("es_dia") | F.col("trm").isNotNull())
     )
     past = W.partitionBy(ENTITY).orderBy("fecha", "es_dia").rowsBetween(W.unboundedPreceding, W.currentRow)
 
@@ -308,9 +309,9 @@ def _spans_from_first_day(spans: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def _unfold(spans: DataFrame, calendar: DataFrame) -> DataFrame:
-    """One row per span and rate day. The calendar has one row per day and is sent to every task."""
+    """One row per span and rate day. The calendar has one row per day, so Spark sends it to every task."""
     return (
-        spans.withColumn("fecha", F.explode(F.sequence("__a", "__b"))).join(F.broadcast(calendar), "fecha")
+        spans.withColumn("fecha", F.explode(F.sequence("__a", "__b"))).join(calendar, "fecha")
         .withColumn("dif_no_realizada", _cop(F.col("s.saldo_vivo_usd") * (F.col("trm") - F.col("s.base"))))
     )
 
@@ -369,7 +370,7 @@ def fx_invoice_series(
         F.explode(F.sequence("desde", "fecha")).alias("__a"), F.col("fecha").alias("primer_dia"))
     along = W.partitionBy(*INVOICE_KEY).orderBy("__a")
     spans = (
-        _spans_from_first_day(spans, rates).join(F.broadcast(next_day), "__a").where(F.col("primer_dia") <= F.col("__b"))
+        _spans_from_first_day(spans, rates).join(next_day, "__a").where(F.col("primer_dia") <= F.col("__b"))
         .withColumn("antes", F.lag(F.struct(F.col("s.saldo_vivo_usd").alias("saldo"), F.col("s.base").alias("base"))).over(along))
     )
     yesterday = F.col("antes.saldo") * (F.col("previa") - F.col("antes.base"))

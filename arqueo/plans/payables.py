@@ -109,7 +109,7 @@ def supplier_group_detail(
     rows = rows if risks is None else rows.where(F.col("RIESGO").isin(*risks))
     return rows.select(
         ENTITY, "PROVEEDOR", "FACTURA", "VALOR", "GENERACIO", "VENCIMIENTO", "DIAS_CREDITO", "DIAS_VENCIDA", "RIESGO",
-    ).orderBy("RIESGO", "VENCIMIENTO")
+    ).orderBy("RIESGO", "VENCIMIENTO", ENTITY, "PROVEEDOR", "FACTURA")
 
 
 def short_credit_overdue(aged: DataFrame, short_credit_days: int = C.SHORT_CREDIT_DAYS) -> DataFrame:

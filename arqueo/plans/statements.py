@@ -66,13 +66,15 @@ def statement_items(rows: DataFrame) -> DataFrame:
             ),
         )
     )
-    blocks = marked.groupBy(ENTITY, *BLOCK).agg(
+    mentioned = F.coalesce(*(f"__row_{i}" for i in range(len(ITEMS))))
+    blocks = marked.where(mentioned.isNotNull()).groupBy(ENTITY, *BLOCK).agg(
         *(F.min_by("__number", f"__row_{i}").alias(item) for i, item in enumerate(ITEMS)))
     place = F.struct(*BLOCK)
-    return blocks.groupBy(ENTITY).agg(*(
-        F.coalesce(F.min_by(item, F.when(F.col(f"`{item}`").isNotNull(), place)), F.lit(0.0)).alias(item)
-        for item in ITEMS
-    ))
+    found = blocks.groupBy(ENTITY).agg(*(
+        F.min_by(item, F.when(F.col(f"`{item}`").isNotNull(), place)).alias(item) for item in ITEMS))
+    entities = rows.select(ENTITY).distinct()  # those without any mention have zeros
+    return entities.join(found, entities[ENTITY].eqNullSafe(found[ENTITY]), "left").select(
+        entities[ENTITY], *(F.coalesce(F.col(f"`{item}`"), F.lit(0.0)).alias(item) for item in ITEMS))
 
 
 def statement_items_long(items: DataFrame) -> DataFrame:

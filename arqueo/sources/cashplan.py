@@ -1,10 +1,13 @@
 """The plan document (one JSON object per company) as two tables: plan by week, and ledger of closed weeks."""
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arqueo import constants as C
+from arqueo.functions.dates import day
 from arqueo.schemas import CASH_ACTUALS, CASH_PLAN, CASH_PLAN_INPUTS, DEFAULT_ENTITY, ENTITY, MONEY
 
 _WEEK = T.StructType([T.StructField(name, MONEY) for name in CASH_PLAN_INPUTS])
@@ -36,9 +39,31 @@ def plan_weeks(documents: DataFrame) -> DataFrame:
     ).select(*CASH_PLAN.fieldNames())
 
 
-def closed_weeks(documents: DataFrame) -> DataFrame:
-    """One row per closed week; documents without a history give none."""
-    return documents.select(ENTITY, F.explode("historico").alias("h")).select(ENTITY, "h.*").select(*CASH_ACTUALS.fieldNames())
+def closed_weeks(documents: DataFrame, as_of: dt.date | str | Column) -> DataFrame:
+    """One row per closed week; documents without a history give none.
+
+    Older documents have only the label of a week, ``DD/MM - DD/MM``, without a year: its Monday is the latest one
+    with that day and month that is not after ``as_of``. Weeks that have neither are in `closed_week_rejects`.
+    """
+    return _closed(documents, as_of).where(F.col("week_start").isNotNull()).select(*CASH_ACTUALS.fieldNames())
+
+
+def closed_week_rejects(documents: DataFrame, as_of: dt.date | str | Column) -> DataFrame:
+    """Closed weeks whose first day cannot be told."""
+    return _closed(documents, as_of).where(F.col("week_start").isNull()).select(*CASH_ACTUALS.fieldNames())
+
+
+def _closed(documents: DataFrame, as_of: dt.date | str | Column) -> DataFrame:
+    today = day(as_of)
+    first = F.regexp_extract(F.coalesce("semana", F.lit("")), "([0-9]{1,2}/[0-9]{1,2})", 1)
+
+    def in_year(year: Column) -> Column:
+        return F.try_to_timestamp(F.concat_ws("/", first, year.cast("string")), F.lit("d/M/y")).cast("date")
+
+    candidates = F.array(*(in_year(F.year(today) - back) for back in range(0, 12)))
+    fits = F.filter(candidates, lambda date: (date <= today) & (F.weekday(date) == 0))
+    rows = documents.select(ENTITY, F.explode("historico").alias("h")).select(ENTITY, "h.*")
+    return rows.withColumn("week_start", F.coalesce("week_start", F.get(fits, F.lit(0))))
 
 
 def empty_plan(entities: DataFrame) -> DataFrame:

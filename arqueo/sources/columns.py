@@ -43,6 +43,6 @@ def rate(df: DataFrame, name: str) -> Column:
     return (text.to_rate(column) if _is_text(df, name) else column.try_cast(RATE)).alias(name)
 
 
-def date(df: DataFrame, name: str, layouts: tuple[str, ...] = text.MONTH_FIRST_LAYOUTS) -> Column:
+def date(df: DataFrame, name: str, day_first: bool = False) -> Column:
     column = F.col(name)
-    return (text.to_day(column, layouts) if _is_text(df, name) else column.cast("date")).alias(name)
+    return (text.to_day(column, day_first) if _is_text(df, name) else column.cast("date")).alias(name)

@@ -7,7 +7,7 @@ from arqueo import constants as C
 from arqueo.functions import text
 from arqueo.schemas import DEFAULT_ENTITY, ENTITY
 from arqueo.sources import columns as col
-from arqueo.sources.text_files import read_lines, with_header
+from arqueo.sources.text_files import headers, read_lines, with_header
 
 
 def normal_header(name: str) -> str:
@@ -43,7 +43,7 @@ def prepare_bills(raw: DataFrame) -> DataFrame:
         .select(
             col.entity(df), col.label(df, "PROVEEDOR"), F.col("FACTURA").cast("string").alias("FACTURA"),
             col.money(df, "VALOR"),
-            col.date(df, "GENERACIO", text.DAY_FIRST_LAYOUTS), col.date(df, "VENCIMIENTO", text.DAY_FIRST_LAYOUTS),
+            col.date(df, "GENERACIO", day_first=True), col.date(df, "VENCIMIENTO", day_first=True),
             *extras,
         )
         .na.drop(subset=["GENERACIO", "VENCIMIENTO", "VALOR"])
@@ -105,7 +105,7 @@ def read_bills(spark: SparkSession, paths: str | list[str], entity: str = DEFAUL
         _keep_named(rows)
         .select(
             ENTITY, col.label(rows, "PROVEEDOR"), "FACTURA", col.money(rows, "VALOR"),
-            col.date(rows, "GENERACIO", text.DAY_FIRST_LAYOUTS), col.date(rows, "VENCIMIENTO", text.DAY_FIRST_LAYOUTS),
+            col.date(rows, "GENERACIO", day_first=True), col.date(rows, "VENCIMIENTO", day_first=True),
             "extras", "archivo",
         )
         .na.drop(subset=["GENERACIO", "VENCIMIENTO", "VALOR"])
@@ -114,7 +114,6 @@ def read_bills(spark: SparkSession, paths: str | list[str], entity: str = DEFAUL
 
 def bill_file_rejects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Files passed over, with the columns they lack."""
-    header = read_lines(spark, paths).groupBy("archivo").agg(
-        F.min_by("campos", F.struct("bloque", "linea")).alias("encabezado"))
+    header = headers(read_lines(spark, paths))
     missing = F.array_except(F.array(*map(F.lit, C.BILL_COLUMNS)), _names(F.col("encabezado")))
     return header.select("archivo", missing.alias("faltan")).where(F.size("faltan") > 0)

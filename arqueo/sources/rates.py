@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arqueo.functions import text
 from arqueo.schemas import TRM_INTERVALOS
 from arqueo.sources import columns as col
 
@@ -15,7 +14,7 @@ def prepare_intervals(raw: DataFrame, priority: int = 1) -> DataFrame:
     rank = F.col("prioridad") if "prioridad" in raw.columns else F.lit(priority)
     return raw.select(
         rank.cast("int").alias("prioridad"), F.col("valor").cast("string").alias("valor"),
-        col.date(raw, "vigenciadesde", text.ISO_DATE_LAYOUTS), col.date(raw, "vigenciahasta", text.ISO_DATE_LAYOUTS),
+        col.date(raw, "vigenciadesde"), col.date(raw, "vigenciahasta"),
     )
 
 

@@ -9,21 +9,19 @@ from arqueo.schemas import ENTITY
 
 
 def export_fx(path: str, summary: DataFrame, series: DataFrame | None = None, detail: DataFrame | None = None,
-              format: str = "parquet", files_per_month: int | None = None) -> None:
+              format: str = "parquet", files_per_month: int = 8) -> None:
     """Three tables under one folder; the daily detail is split into months. Series and detail may be absent.
 
-    Each task writes one file per month it holds. ``files_per_month`` shuffles the detail by month
-    and bucket of invoice first: fewer files for one more shuffle, and no month in a single task
-    unless it is 1.
+    The detail is shuffled by month and bucket of invoice first, so a month has ``files_per_month`` files
+    at most and is not in a single task unless that is 1.
     """
     summary.write.mode("overwrite").format(format).save(f"{path}/detalle_actual")
     if series is not None:
         series.write.mode("overwrite").format(format).save(f"{path}/serie_total")
     if detail is not None:
         by_month = detail.withColumn("mes", F.date_format("fecha", "yyyy-MM"))
-        if files_per_month is not None:
-            bucket = F.pmod(F.xxhash64(ENTITY, "factura", "cliente", "valor_usd"), F.lit(files_per_month))
-            by_month = by_month.repartition("mes", bucket)
+        bucket = F.pmod(F.xxhash64(ENTITY, "factura", "cliente", "valor_usd"), F.lit(files_per_month))
+        by_month = by_month.repartition("mes", bucket)
         by_month.write.mode("overwrite").partitionBy("mes").format(format).save(f"{path}/detalle_diario")
 
 
@@ -44,5 +42,9 @@ def save_plan(path: str, plan: DataFrame) -> None:
 
 
 def append_closes(path: str, closes: DataFrame, ledger: DataFrame) -> None:
-    """Add the weeks that are not in the ledger yet; running it twice adds them once."""
-    not_yet_closed(closes.dropDuplicates([ENTITY, "week_start"]), ledger).write.mode("append").parquet(path)
+    """Add the weeks that are not in the ledger yet; running it twice adds them once. Of two closes of one week
+    the one with the smaller net flow counts, then the smaller income."""
+    order = F.struct("flujo_neto_real", "ingresos_reales", "egresos_reales", "semana")
+    rows = F.struct(*closes.columns)
+    single = closes.groupBy(ENTITY, "week_start").agg(F.min_by(rows, order).alias("c")).select("c.*")
+    not_yet_closed(single, ledger).write.mode("append").parquet(path)

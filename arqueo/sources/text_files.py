@@ -2,39 +2,58 @@
 
 Spark's CSV reader takes one header for all files. Here each line keeps its file and its place
 in it; the first line of every file is found by an aggregate (one row per file) and joined back.
-Files may be split among tasks. A quoted field may hold commas but not a line break.
+Files may be split among tasks. A quoted field may hold commas and line breaks.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arqueo.functions.text import csv_fields
-from arqueo.operators.joins import skew_join
-
-# Up to this many headers are sent to every task instead of shuffling all lines by file.
-MAX_BROADCAST_FILES = 50_000
 
 # The 33 low bits of the row id count rows inside a task's partition, in reading order.
 _ROW_IN_PARTITION = (1 << 33) - 1
+_PLACE = ("bloque", "linea")
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(archivo, bloque, linea, campos): fields of each non-blank line, ordered by (bloque, linea) inside a file."""
+    """(archivo, bloque, linea, value): each non-blank line, ordered by (bloque, linea) inside a file."""
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("archivo"),
         F.col("_metadata.file_block_start").alias("bloque"),
         F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_PARTITION)).alias("linea"),
         "value",
     )
-    return lines.where(F.trim("value") != "").select("archivo", "bloque", "linea", csv_fields(F.col("value")).alias("campos"))
+    return _records(lines).where(F.trim("value") != "")
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines of one record as one. Only files in which some line has an odd number of quotes are put in order."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    counted = lines.withColumn("__quotes", quotes)
+    broken = counted.where(F.col("__quotes") % 2 == 1).select("archivo").distinct()
+    plain = counted.join(broken, "archivo", "left_anti").drop("__quotes")
+    before = W.partitionBy("archivo").orderBy(*_PLACE).rowsBetween(W.unboundedPreceding, -1)
+    # A line begins a record if an even number of quotes comes before it in the file.
+    begins = (F.coalesce(F.sum("__quotes").over(before), F.lit(0)) % 2 == 0).cast("int")
+    record = F.sum("__begins").over(W.partitionBy("archivo").orderBy(*_PLACE))
+    joined = (
+        counted.join(broken, "archivo", "left_semi").withColumn("__begins", begins).withColumn("__record", record)
+        .groupBy("archivo", "__record").agg(F.array_sort(F.collect_list(F.struct(*_PLACE, "value"))).alias("parts"))
+        .select("archivo", F.col("parts")[0]["bloque"].alias("bloque"), F.col("parts")[0]["linea"].alias("linea"),
+                F.array_join(F.col("parts.value"), "\n").alias("value"))
+    )
+    return plain.unionByName(joined)
+
+
+def headers(lines: DataFrame) -> DataFrame:
+    """One row per file: its header fields and the place of the header. Only the line that wins is split."""
+    place = F.struct(*_PLACE)
+    first = lines.groupBy("archivo").agg(F.min_by("value", place).alias("value"), F.min(place).alias("__primera"))
+    return first.select("archivo", "__primera", csv_fields(F.col("value")).alias("encabezado"))
 
 
 def with_header(lines: DataFrame) -> DataFrame:
-    """Data lines with the header fields of their file in ``encabezado``."""
-    place = F.struct("bloque", "linea")
-    headers = lines.groupBy("archivo").agg(
-        F.min_by("campos", place).alias("encabezado"), F.min(place).alias("__primera"))
-    # One row per file. The driver has the file list already, so its length decides how to join.
-    few = len(lines.inputFiles()) <= MAX_BROADCAST_FILES
-    joined = lines.join(F.broadcast(headers), "archivo") if few else skew_join(lines, headers, ["archivo"])
-    return joined.where(F.struct("bloque", "linea") != F.col("__primera")).drop("__primera")
+    """Data lines, split into ``campos``, with the header fields of their file in ``encabezado``."""
+    joined = lines.join(headers(lines), "archivo").where(F.struct(*_PLACE) != F.col("__primera"))
+    return joined.withColumn("campos", csv_fields(F.col("value"))).drop("__primera", "value")

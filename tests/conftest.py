@@ -18,8 +18,6 @@ def spark(tmp_path_factory):
         "spark.driver.memory": "4g",
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
     })
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 

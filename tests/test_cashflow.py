@@ -1,3 +1,4 @@
+import pytest
 from conftest import date, dec, numbers, records
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def test_plan_documents(spark, tmp_path):
     weeks = records(cashplan.plan_weeks(documents), "entity_id", "week")
     assert len(weeks) == 8 and numbers(weeks["a", 1], ["saldo_inicial", "ordinarios", "n_ss", "f_arr"]) == [10, 5, 2, 0]
     assert numbers(weeks["b", 4], ["saldo_inicial", "ordinarios"]) == [0, 0]
-    assert [r["entity_id"] for r in cashplan.closed_weeks(documents).collect()] == ["a"]
+    assert [r["entity_id"] for r in cashplan.closed_weeks(documents, "2024-12-31").collect()] == ["a"]
     assert cashplan.empty_plan(documents).count() == 8
 
 
@@ -89,3 +90,24 @@ def test_weeks_of_each_company(make):
     weeks = cashflow.cash_weeks(make.bills([("P", "1", 1, "2024-01-01", "2024-01-01")] * 3), TODAY)
     assert [(r["week"], r["inicio"]) for r in weeks.orderBy("week").collect()][:2] == [(1, date("2024-06-10")), (2, date("2024-06-17"))]
     assert weeks.where(F.col("fin") == F.lit("2024-07-07")).count() == 1
+
+
+def test_old_documents_are_not_closed_twice(spark, tmp_path):
+    """Histories without a first day take it from the label; what cannot be told is rejected."""
+    path = tmp_path / "p.json"
+    path.write_text('{"entity_id": "a", "historico": [{"semana": "01/01 - 07/01", "ingresos_reales": 5, "egresos_reales": 1, "flujo_neto_real": 4}, {"semana": "nada", "ingresos_reales": 1}]}')
+    documents = cashplan.read_plan_documents(spark, str(path))
+    ledger = cashplan.closed_weeks(documents, "2024-03-01")
+    assert [(r["week_start"], float(r["flujo_neto_real"])) for r in ledger.collect()] == [(date("2024-01-01"), 4.0)]
+    assert [r["semana"] for r in cashplan.closed_week_rejects(documents, "2024-03-01").collect()] == ["nada"]
+    assert cashflow.not_yet_closed(ledger, ledger).count() == 0
+
+
+def test_two_plans_for_a_week_are_an_error(make):
+    plan = make.plan([("a", 1, 10, 0, 0, 0, 0, 0, 0, 0), ("a", 1, 20, 0, 0, 0, 0, 0, 0, 0)])
+    empty = make.plan([]).select("entity_id")
+    collection = empty.withColumn("cartera_usd", F.lit(0).cast("decimal(38,6)"))
+    due = empty.withColumn("week", F.lit(1)).withColumn("proveedores", F.lit(0).cast("decimal(28,2)"))
+    loans = empty.withColumn("activo", F.lit(True)).withColumn("desembolso", F.lit(0).cast("decimal(18,2)")).withColumn("cuota", F.lit(0.0))
+    with pytest.raises(Exception, match="two plans"):
+        cashflow.cash_flow(collection, due, plan, loans, TODAY).collect()

@@ -39,7 +39,7 @@ def test_rate_text(spark):
 def test_lenient_numbers_and_dates(spark):
     assert [None if v is None else float(v) for v in evaluate(spark, [" 12.5 ", "NaN", "abc", None, "1e3"], "string", text.to_money)] == [12.5, None, None, None, 1000.0]
     found = evaluate(spark, ["31/12/2024", "2024-12-31", "1/2/2024", "2024-12-31 10:00:00", "nada", None], "string",
-                     lambda c: text.to_day(c, text.DAY_FIRST_LAYOUTS))
+                     lambda c: text.to_day(c, day_first=True))
     assert found == [date("2024-12-31"), date("2024-12-31"), date("2024-02-01"), date("2024-12-31"), None, None]
 
 
@@ -109,3 +109,16 @@ def test_csv_fields(spark):
 
 def test_month_label_is_from_the_date(spark):
     assert evaluate(spark, [dt.date(2024, 2, 29)], "date", dates.month_label) == ["2024-02"]
+
+
+def test_days_with_times_and_other_marks(spark):
+    lines = ["31/12/2024 08:30", "2024/12/31", "2024-12-31 08:30", "2024-12-31 00:00:00.000", "2024-12-31T00:00:00Z", "12/31/2024", "31.12.2024",
+             "20241231", "31 Dec 2024", "Dec 31, 2024", "2024-12-31T10:11:12.123+05:00", "31-12-2024 10:00 PM"]
+    assert evaluate(spark, lines, "string", lambda c: text.to_day(c, day_first=True)) == [date("2024-12-31")] * len(lines)
+    assert evaluate(spark, ["2/3/2024", "2024-02-30", "31/31/2024", "", "x"], "string", text.to_day) == [date("2024-02-03"), None, None, None, None]
+
+
+def test_csv_fields_of_a_long_line(spark):
+    line = ",".join(['"a, ""b"""'] * 100_000)
+    found = spark.createDataFrame([(line,), ('1,"P\nSAS",2',)], "t string").select(F.size(text.csv_fields(F.col("t"))), text.csv_fields(F.col("t"))[1]).collect()
+    assert [tuple(r) for r in found] == [(100_000, 'a, "b"'), (3, "P\nSAS")]

@@ -4,11 +4,11 @@ from decimal import Decimal
 
 import brute
 import pytest
-from conftest import date, numbers, records
+from conftest import date, dec, numbers, records
 from pyspark.sql import functions as F
 
 from arqueo.operators.rates import daily_rates, fill_calendar, last_rates, rate_as_of, rate_rejects
-from arqueo.plans import fx
+from arqueo.plans import cashflow, fx
 
 AS_OF = "2024-01-11"
 RATES = [("4000", "2024-01-05", "2024-01-08"), ("4010", "2024-01-09", "2024-01-09"),
@@ -228,3 +228,25 @@ def test_range_starts_at_the_first_invoice_or_payment(make):
     assert fx.fx_rates(facturas, early, intervals, "2024-01-12").count() == 5
     assert fx.fx_rates(facturas, make.monetizaciones([]), intervals, "2024-01-12").count() == 3
     assert fx.fx_rates(make.facturas([]), make.monetizaciones([]), intervals, "2024-01-12").count() == 1
+
+
+@pytest.mark.parametrize("rows", [[], [("4000", "1990-01-01", "1990-02-01")], [("abc", "2024-01-01", "2024-02-01")], [("4000", None, "2024-02-01")]])
+def test_no_usable_rates_is_an_error_everywhere(spark, make, rows):
+    facturas, payments = make.facturas([("A", "c", "2024-01-05", 100)]), make.monetizaciones([("A", "2024-01-06", 10, 4000)])
+    rates = fx.fx_rates(facturas, payments, make.intervalos(rows), "2024-01-12")
+    inputs = (facturas, payments, rates, "2024-01-12")
+    summary = fx.fx_summary(*inputs)
+    for job in (lambda: summary, lambda: fx.fx_daily_totals(*inputs), lambda: fx.fx_movements(*inputs), lambda: fx.fx_daily_detail(*inputs),
+                lambda: cashflow.weekly_collection(make_summary(make), rates, "2024-01-12")):
+        with pytest.raises(Exception, match="no usable rate"):
+            job().collect()
+
+
+def make_summary(make):
+    return fx.fx_summary(make.facturas([("A", "c", "2024-01-05", 100)]), make.monetizaciones([]), make.rates([("2024-01-05", 4000)]), "2024-01-12")
+
+
+def test_bad_dates_discredit_a_source(make):
+    table = make.intervalos([("4000", "2024-01-01", "2024-01-31", 1), ("4001", None, "2024-01-31", 1), ("5000", "2024-01-01", "2024-01-31", 2)])
+    assert {r["trm"] for r in daily_rates(table, *span("2024-01-01", "2024-01-31")).collect()} == {dec("5000")}
+    assert [(r["valor"], r["motivo"]) for r in rate_rejects(table).collect()] == [("4001", "fecha ilegible")]

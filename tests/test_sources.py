@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from arqueo.plans import payables
 from arqueo.sources import payables as bill_source
-from arqueo.sources import rates, receivables, sinks, text_files
+from arqueo.sources import rates, receivables, sinks
 from arqueo.sources.columns import MissingColumns
 
 
@@ -55,7 +55,7 @@ def bill_files(tmp_path):
     return str(tmp_path / "*.csv")
 
 
-def test_bill_files_with_uneven_headers(spark, tmp_path, monkeypatch):
+def test_bill_files_with_uneven_headers(spark, tmp_path):
     paths = bill_files(tmp_path)
     found = bill_source.read_bills(spark, paths, entity="e")
     got = sorted((r["PROVEEDOR"], r["FACTURA"] or "-", float(r["VALOR"]), r["GENERACIO"], r["VENCIMIENTO"], r["extras"].get("CENTRO_COSTO")) for r in found.collect())
@@ -64,8 +64,6 @@ def test_bill_files_with_uneven_headers(spark, tmp_path, monkeypatch):
         ("P2", "F9", -3.0, date("2024-05-01"), date("2024-06-01"), None),
         ("Uno, dos", "-", 7.0, date("2024-02-01"), date("2024-03-01"), None),
     ]
-    monkeypatch.setattr(text_files, "MAX_BROADCAST_FILES", 0)
-    assert sorted(map(str, bill_source.read_bills(spark, paths, entity="e").collect())) == sorted(map(str, found.collect()))
     rejected = bill_source.bill_file_rejects(spark, paths).collect()
     assert [(r["archivo"].rsplit("/", 1)[1], sorted(r["faltan"])) for r in rejected] == [("c.csv", ["GENERACIO", "VALOR", "VENCIMIENTO"])]
     assert payables.payables_aging(found, "2025-01-01").count() == 3
@@ -116,3 +114,10 @@ def test_exports(spark, make, tmp_path):
     sinks.write_payment_file(f"{path}/pagos", aged, aged.where("FACTURA = '2'"))
     rows = records(spark.read.option("header", True).csv(f"{path}/pagos"), "FACTURA")
     assert list(rows) == ["2"] and "RIESGO" not in rows["2"]
+
+
+def test_line_breaks_in_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('PROVEEDOR,FACTURA,GENERACIO,VENCIMIENTO,VALOR\n"P\nSAS",F1,2024-01-01,2024-02-01,5\nP2,F2,2024-01-01,2024-02-01,6\n"x\n\n,y",F3,2024-01-01,2024-02-01,7\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("PROVEEDOR,FACTURA,GENERACIO,VENCIMIENTO,VALOR\nP4,F4,2024-01-01,2024-02-01,8\n", encoding="utf-8")
+    found = bill_source.read_bills(spark, str(tmp_path / "*.csv"), entity="e").collect()
+    assert sorted((r["PROVEEDOR"], r["FACTURA"], float(r["VALOR"])) for r in found) == [("P\nSAS", "F1", 5.0), ("P2", "F2", 6.0), ("P4", "F4", 8.0), ("x\n\n,y", "F3", 7.0)]
