@@ -12,11 +12,12 @@ exactly: backoff(h) = freed(h) / (1 - sum of unigrams of the words seen after h)
 so -log c(h) is a matter of single words, the rest one of pairs. No document is joined token by token in the JVM. For every
 chunk of texts, the distinct words (or pairs) and the documents of the chunk that have them are sent, as arrays, to the part of the
 key space they belong to; there counts meet and every document's share is added up. Pairs go in `SLICES` passes, each over a part
-of the key space and all texts, so that the shuffle of one pass is what the disk must hold. Counts are kept
-as tables in the shared folder: words, pairs (by slice), histories (by slice).
+of the key space and all texts, so that the shuffle of one pass is what the disk must hold. All pairs of a history
+meet in one part, which so knows what its discounts free; only the unigrams of rare words are joined to it. Counts are kept as tables in
+the shared folder.
 
-Hot keys: the `HOT` most frequent words and pairs, at most 1 MB each, are broadcast; what documents get from them is added
-where the documents are read, and their documents are not sent.
+Hot keys: the `HOT` most frequent words and pairs, at most 1 MB each, are broadcast. What documents get from them is added
+where the documents are read, and their documents are not sent; the pairs of a history that is a hot word are spread over all parts.
 
 Words are 64-bit hashes of their lower-case bytes (A-Z); a key that needs no more than that.
 
@@ -43,7 +44,8 @@ DELTA = 0.5
 HOT = 65_536
 HOT_SHARE = 40_000  # a pair is a candidate for the hot ones where a chunk has it once in so many tokens
 LEAST_HOT = 4  # and that often at least
-SLICES = 4
+SLICES = 2
+CHUNK = 2_500_000  # bytes of text at once
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -54,11 +56,11 @@ def pair_ids(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return W.mix(history * np.uint64(0x9FB21C651E98DF25) + W.mix(word, 3), 5)
 
 
-def pair_keys(history: np.ndarray, ids: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def pair_keys(history: np.ndarray, ids: np.ndarray, hot: "Known") -> np.ndarray:
     """Where pairs belong. All pairs of one history share the upper 24 bits, and so their part, unless the history is one of
     the hot words: those pairs are spread over all parts."""
     low = np.uint64(2 ** 40 - 1)
-    return np.where(find(hot, history)[1], ids, (W.mix(history, 9) & ~low) | (ids & low))
+    return np.where(hot.find(history)[1], ids, (W.mix(history, 9) & ~low) | (ids & low))
 
 
 def discounts(counts: dict[int, int]) -> list[float]:
@@ -120,6 +122,24 @@ def find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == keys
 
 
+class Known:
+    """Looks keys up in a small set of them: the upper 20 bits say where to begin."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = np.append(known, np.uint64(2 ** 64 - 1))
+        places = (known >> np.uint64(44)).astype(np.int64)
+        self.begins = np.searchsorted(places, np.arange(2 ** 20)).astype(np.int32)
+        self.steps = int(np.bincount(places, minlength=1).max()) if len(known) else 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the keys and whether they are there."""
+        at = self.begins[keys >> np.uint64(44)]
+        for _ in range(self.steps):
+            at += self.known[at] < keys
+        there = (self.known[at] == keys) & (at < len(self.known) - 1)
+        return np.where(there, at, 0), there
+
+
 def _list(values: np.ndarray, bounds: np.ndarray, kind=None) -> pa.ListArray:
     values = values.view(np.int64) if values.dtype == np.uint64 else values
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
@@ -147,7 +167,7 @@ class Scorer:
         """Words and candidates for hot pairs, counted in the training documents."""
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher = W.Words()
-            for batch, data, offsets in W.chunks(batches):
+            for batch, data, offsets in W.chunks(batches, 1, CHUNK):
                 chunk = Chunk(hasher, data, offsets)
                 training = ~np.asarray(batch.column(0))[chunk.owner]
                 tokens, pairs = chunk.tokens[training], pair_ids(chunk.history, chunk.tokens)[training]
@@ -195,10 +215,10 @@ class Scorer:
         parts, hot, values_of = self.parts, self.spark.sparkContext.broadcast(self.hot_words[0]), self.values()
 
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher = W.Words()
-            for batch, data, offsets in W.chunks(batches):
+            hasher, hot_words = W.Words(), Known(hot.value)
+            for batch, data, offsets in W.chunks(batches, 1, CHUNK):
                 chunk = Chunk(hasher, data, offsets)
-                rare = ~find(hot.value, chunk.tokens)[1]
+                rare = ~hot_words.find(chunk.tokens)[1]
                 yield from _packed(chunk.tokens[rare], chunk.owner[rare], np.asarray(batch.column(0)), parts)
 
         def answered(key, asked_rows, model):
@@ -233,21 +253,21 @@ class Scorer:
         """One slice of the pairs, as rows of four kinds: (h, w, n) of the training pairs; doc with its numbers of pairs seen 1, 2 ... times
         and the log of the larger counts; doc, h, w, n of pairs that were never seen; h with the numbers of its pairs seen 1, 2 ...
         times or more and the unigrams of those of its words that are hot."""
-        width = -(-self.parts // SLICES)
+        width = -(-3 * self.parts // (2 * SLICES))
         shared = self.spark.sparkContext.broadcast((*self.hot_words, self.hot_pairs))
         p1 = np.array([0.0, *self.word_discounts])
         total = max(self.total, 1)
 
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher, (hot_words, _, hot_pairs) = W.Words(), shared.value
-            for batch, data, offsets in W.chunks(batches, 2):
+            hasher, hot_words, hot_pairs = W.Words(), Known(shared.value[0]), Known(shared.value[2])
+            for batch, data, offsets in W.chunks(batches, 2, CHUNK):
                 chunk = Chunk(hasher, data, offsets)
                 ids = pair_ids(chunk.history, chunk.tokens)
                 keys = pair_keys(chunk.history, ids, hot_words)
                 mine = np.flatnonzero(parts_of(keys, width * SLICES) // width == slice_)
                 keys, owner, history, tokens = keys[mine], chunk.owner[mine], chunk.history[mine], chunk.tokens[mine]
                 names = np.asarray(batch.column(0))
-                hot_here = find(hot_pairs, ids[mine])[1]
+                hot_here = hot_pairs.find(ids[mine])[1]
                 training = ~np.asarray(batch.column(1))[owner]
                 for test in (False, True):
                     some = ~hot_here & (training != test)
@@ -256,7 +276,7 @@ class Scorer:
                 yield from _packed(keys[some], owner[some], names, width * SLICES, history[some], tokens[some], False, True)
 
         def matched(key, rows):
-            hot_words, hot_counts, _ = shared.value
+            hot_words, hot_counts = Known(shared.value[0]), shared.value[1]
             lists = list(zip(*(_flat(rows[c]) for c in ("per_key", "docs", "names", "histories", "words"))))
             tests, silents = rows["test"].to_pylist(), rows["silent"].to_pylist()
             keyed = [pair_keys(h.view(np.uint64), pair_ids(h.view(np.uint64), w.view(np.uint64)), hot_words) for *_, h, w in lists]
@@ -267,7 +287,7 @@ class Scorer:
             first = runs(keys[order])
             known, history, word = keys[order[first]], history[order[first]], word[order[first]]
             counts = np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-            at, hot = find(hot_words, word.view(np.uint64))
+            at, hot = hot_words.find(word.view(np.uint64))
             out = [_rows(PAIRS, h=history, w=word, n=counts, rare=~hot)]
             if len(known):
                 c = hot_counts[at] if len(hot_counts) else np.zeros(len(at), np.int64)
@@ -331,9 +351,10 @@ class Scorer:
         hot_counts = np.zeros(len(self.hot_pairs), np.int64)
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hot_pairs = Known(shared.value)
             for batch in batches:
                 keys = pair_ids(np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1)).view(np.uint64))
-                there = find(shared.value, keys)[1]
+                there = hot_pairs.find(keys)[1]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[there].view(np.int64)), batch.column(2).filter(pa.array(there))], ["key", "c"])
 
         often = pairs.where(F.col("c") >= LEAST_HOT).select("h", "w", "c")
@@ -346,12 +367,12 @@ class Scorer:
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher, (words, counts, pairs_, pair_logs) = W.Words(), shared.value
-            values = values_of(words, counts)
-            for batch, data, offsets in W.chunks(batches):
+            values, words, pairs_ = values_of(words, counts), Known(words), Known(pairs_)
+            for batch, data, offsets in W.chunks(batches, 1, CHUNK):
                 chunk = Chunk(hasher, data, offsets)
-                at, there = find(words, chunk.tokens)
+                at, there = words.find(chunk.tokens)
                 base, known, history = (np.bincount(chunk.owner[there], v[at[there]], chunk.docs) for v in values)
-                at, there = find(pairs_, pair_ids(chunk.history, chunk.tokens))
+                at, there = pairs_.find(pair_ids(chunk.history, chunk.tokens))
                 score = history + start + np.bincount(chunk.owner[there], pair_logs[at[there]], chunk.docs)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(chunk.sizes.astype(np.int64)),
                                                   *map(pa.array, (base, known, score))], HERE)
