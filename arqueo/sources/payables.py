@@ -50,6 +50,20 @@ def prepare_bills(raw: DataFrame) -> DataFrame:
     )
 
 
+def bill_rejects(raw: DataFrame) -> DataFrame:
+    """The rows that `prepare_bills` drops, as they came, with the reason in ``motivo``."""
+    df = normalize_headers(raw)
+    col.require(df, C.BILL_COLUMNS, "compras")
+    created = text.clean(F.col("GENERACIO").cast("string"))
+    reason = (
+        F.when(created.isNull() | (created == ""), "sin GENERACIO").when(F.col("PROVEEDOR").isNull(), "sin PROVEEDOR")
+        .when(col.date(df, "GENERACIO", day_first=True).isNull(), "GENERACIO ilegible")
+        .when(col.date(df, "VENCIMIENTO", day_first=True).isNull(), "VENCIMIENTO ilegible")
+        .when(col.money(df, "VALOR").isNull(), "VALOR ilegible")
+    )
+    return df.withColumn("motivo", reason).where(F.col("motivo").isNotNull())
+
+
 def union_bills(tables: list[DataFrame]) -> tuple[DataFrame | None, list[tuple[int, str]]]:
     """Union of the usable tables by column name, and (position, reason) of those passed over."""
     union, rejected = None, []

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from arqueo.plans.cashflow import not_yet_closed
 from arqueo.plans.payables import payment_file
 from arqueo.schemas import ENTITY
+from arqueo.session import new_table_path, read_again
 
 
 def export_fx(path: str, summary: DataFrame, series: DataFrame | None = None, detail: DataFrame | None = None,
@@ -30,6 +31,14 @@ def write_rates(path: str, rates: DataFrame) -> None:
     rates.write.mode("overwrite").parquet(path)
 
 
+def landed_rates(rates: DataFrame) -> DataFrame:
+    """The daily rates written to the shared folder and read back. Jobs that take them scan their invoices and payments
+    for their own work only, and not again for the range of the rates."""
+    path = new_table_path(rates.sparkSession)
+    write_rates(path, rates)
+    return read_again(rates.sparkSession, path, rates)
+
+
 def write_payment_file(path: str, aged: DataFrame, selection: DataFrame) -> None:
     payment_file(aged, selection).write.mode("overwrite").option("header", True).csv(path)
 

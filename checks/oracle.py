@@ -2,7 +2,7 @@
 as-of joins instead of a calendar join, joins per payment instead of running totals."""
 
 from arqueo import constants as C
-from checks.queries import CYCLE_STEPS, LOAN_TERMS, SPREADS
+from checks.queries import CHOSEN_RISKS, CHOSEN_SUPPLIERS, CYCLE_STEPS, LOAN_TERMS, SPREADS
 from checks.tables import BILLS_AS_OF, FX_AS_OF, STATEMENT_LABELS
 
 FX_DAY, BILL_DAY = f"DATE '{FX_AS_OF}'", f"DATE '{BILLS_AS_OF}'"
@@ -227,7 +227,11 @@ TABLES = {
         FROM orders GROUP BY 1, 2""",
     "cierres": """SELECT entity_id, w, strftime(w, '%d/%m') || ' - ' || strftime(w + 6, '%d/%m') AS semana, a + b + c AS entra,
         d + e + f + g AS sale, a + b + c - d - e - f - g AS neto FROM reales""",
-    "libro": "SELECT * FROM cierres WHERE neto > 0",
+    "libro": "SELECT * FROM cierres WHERE w < CASE WHEN CAST(entity_id AS INTEGER) % 2 = 0 THEN DATE '1999-06-28' ELSE DATE '1999-06-14' END",
+    "hoja": """SELECT *, CASE WHEN k % 31 = 0 THEN 'sin GENERACIO' WHEN k % 23 = 0 THEN 'sin PROVEEDOR' WHEN k % 37 = 0 THEN 'GENERACIO ilegible'
+        WHEN k % 41 = 0 THEN 'VENCIMIENTO ilegible' WHEN k % 29 = 0 THEN 'VALOR ilegible' END AS motivo
+        FROM (SELECT l_orderkey AS k, l_suppkey AS p, CAST(l_extendedprice AS DECIMAL(18,2)) AS v, CAST(o_orderdate AS DATE) AS g, CAST(o_orderdate AS DATE) + 15 * l_linenumber AS ve
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "filas": statement_rows("o_custkey"), "filas_e": statement_rows("o_orderkey % 5"),
     "numeros": statement_numbers("filas"), "numeros_e": statement_numbers("filas_e"),
     "partidas": items("numeros"), "partidas_e": items("numeros_e"),
@@ -346,6 +350,14 @@ SQL: dict[str, str] = {
     "payables_group_totals": with_("edad", f"""SELECT entity_id, CAST(s_nationkey AS VARCHAR) AS grupo, {RISK_SUMS},
         bool_or(DIAS_CREDITO < 60 AND VENCIDA) AS alerta_credito_corto FROM edad GROUP BY 1, 2"""),
     "payables_group_detail": with_("edad", f"SELECT {BILL}, DIAS_CREDITO, DIAS_VENCIDA, RIESGO FROM edad"),
+    "payables_risk_totals_of_months": with_("edad", f"SELECT entity_id, {RISK_SUMS} FROM edad WHERE MES_GENERACION IN ('1998-03', '1999-01') GROUP BY 1"),
+    "payables_bill_list_of_months": with_("edad", f"SELECT entity_id, PROVEEDOR, FACTURA, {m('VALOR')} AS VALOR, {d('VENCIMIENTO')} AS VENCIMIENTO, RIESGO FROM edad WHERE MES_GENERACION IN ('1998-03', '1999-01')"),
+    "payables_chosen_detail_in_order": with_("edad", f"""SELECT {BILL}, DIAS_CREDITO, DIAS_VENCIDA, RIESGO,
+        row_number() OVER (PARTITION BY PROVEEDOR ORDER BY RIESGO, VENCIMIENTO, entity_id, FACTURA, VALOR) AS puesto FROM edad
+        WHERE PROVEEDOR IN ({', '.join(map(text, CHOSEN_SUPPLIERS))}) AND RIESGO IN ({', '.join(map(text, CHOSEN_RISKS))})"""),
+    "payables_bills_from_text": with_("hoja", f"""SELECT 'default' AS entity_id, 'P' || p AS PROVEEDOR, CAST(k AS VARCHAR) AS FACTURA, {m('v')} AS VALOR,
+        {d('g')} AS GENERACIO, {d('ve')} AS VENCIMIENTO FROM hoja WHERE motivo IS NULL"""),
+    "payables_rows_that_go": with_("hoja", "SELECT motivo, count(*) AS filas FROM hoja WHERE motivo IS NOT NULL GROUP BY 1"),
     "payables_short_credit_overdue": with_("edad", f"SELECT {AGED} FROM edad WHERE DIAS_CREDITO < 60 AND VENCIDA"),
     "payables_payment_form": with_("edad", f"SELECT {SHORT_BILL}, false AS PAGAR, RIESGO FROM edad"),
     "payables_payment_file": with_("edad", f"""SELECT {BILL}, devuelta, DIAS_CREDITO FROM edad
@@ -368,7 +380,8 @@ SQL: dict[str, str] = {
     "cash_ledger_history": with_("cierres", f"""SELECT entity_id, {d('w')} AS week_start, semana AS "Semana", {m('entra')} AS "Ingresos Reales", {m('sale')} AS "Egresos Reales",
         {m('neto')} AS "Flujo Neto Real" FROM cierres"""),
     "cash_ledger_totals": with_("libro", f"SELECT entity_id, {m('sum(entra)')} AS total_ingresos, {m('sum(sale)')} AS total_egresos, {m('sum(neto)')} AS saldo_neto FROM libro GROUP BY 1"),
-    "statement_last_number": with_("filas", f"SELECT entity_id, r AS row_seq, importe AS texto, {last_number('importe')} AS numero FROM filas"),
+    "statement_last_number": with_("filas", f"""SELECT entity_id, row_seq, celda, texto, {last_number('texto')} AS numero FROM (
+        SELECT entity_id, r AS row_seq, 0 AS celda, etiqueta AS texto FROM filas UNION ALL SELECT entity_id, r, 1, nota FROM filas UNION ALL SELECT entity_id, r, 2, importe FROM filas)"""),
     "document_last_number": f"SELECT doc_id, {last_number('text')} AS ultimo_numero FROM documents",
     "statement_items": with_("partidas", "SELECT * FROM partidas"),
     "statement_items_long": with_("partidas", "UNPIVOT partidas ON COLUMNS(* EXCLUDE entity_id) INTO NAME concepto VALUE valor"),

@@ -3,9 +3,11 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arqueo import constants as C
 from arqueo.functions import finance, text
 from arqueo.functions.aging import risk_class
 from arqueo.functions.dates import day
@@ -13,9 +15,14 @@ from arqueo.operators.payments import daily_payments, payment_curve, split_by_in
 from arqueo.operators.rates import fill_calendar, last_rates, rate_as_of
 from arqueo.plans import cashflow, executive, fx, loans, payables, scenarios, statements
 from arqueo.schemas import ENTITY
+from arqueo.sources import payables as bill_source
+from arqueo.sources import sinks
 from checks.tables import BILLS_AS_OF, FX_AS_OF, Tables
 
 SPREADS = ("0.01", "0.02", "0.05")
+CHOSEN_MONTHS = ("1998-03", "1999-01")
+CHOSEN_SUPPLIERS = ("Supplier#000000001", "Supplier#000000003", "Supplier#000000007")
+CHOSEN_RISKS = (C.RISK_CRITICAL, C.RISK_SOON)
 LOAN_TERMS = ((0.0, 12), (0.125, 6), (0.18, 3), (0.165, 84))
 CYCLE_STEPS = ((0.0, 0.0), (15.0, 0.0), (0.0, 30.0), (30.0, 45.0))
 
@@ -42,11 +49,19 @@ class Jobs:
 
     def __init__(self, tables: Tables):
         self.t = tables
+        self._rates: DataFrame | None = None
 
     @property
-    def rates(self) -> DataFrame:
+    def unfolded_rates(self) -> DataFrame:
         return fx.fx_rates(self.t.facturas, self.t.monetizaciones, self.t.trm_intervalos, FX_AS_OF)
 
+    @property
+    def rates(self) -> DataFrame:
+        """Landed once per query, as a table of one row per day."""
+        if self._rates is None:
+            self._rates = sinks.landed_rates(self.unfolded_rates)
+        return self._rates
+
     @property
     def fx_inputs(self):
         return self.t.facturas, self.t.monetizaciones, self.rates, FX_AS_OF
@@ -139,8 +154,20 @@ def _document_numbers(j: Jobs) -> DataFrame:
 
 
 def _statement_numbers(j: Jobs) -> DataFrame:
-    rows = j.t.eeff_filas(F.col("o_custkey"))
-    return rows.select(ENTITY, "row_seq", F.col("cells")[2]["raw"].alias("texto"), text.last_number(F.col("cells")[2]["raw"]).alias("numero"))
+    """Every cell of every row."""
+    cells = j.t.eeff_filas(F.col("o_custkey")).select(ENTITY, "row_seq", F.posexplode("cells").alias("celda", "c"))
+    return cells.select(ENTITY, "row_seq", "celda", F.col("c.raw").alias("texto"), text.last_number(F.col("c.raw")).alias("numero"))
+
+
+def _ordered_detail(j: Jobs) -> DataFrame:
+    """Chosen suppliers and classes with the place of each bill in the order of the list."""
+    rows = payables.supplier_group_detail(j.aged, CHOSEN_SUPPLIERS, CHOSEN_RISKS)
+    place = W.partitionBy("PROVEEDOR").orderBy("RIESGO", "VENCIMIENTO", ENTITY, "FACTURA", "VALOR")
+    return rows.withColumn("puesto", F.row_number().over(place))
+
+
+def _bill_rows_that_go(j: Jobs) -> DataFrame:
+    return bill_source.bill_rejects(j.t.text_bills).groupBy("motivo").agg(F.count(F.lit(1)).alias("filas"))
 
 
 def _risk_counts(j: Jobs) -> DataFrame:
@@ -183,7 +210,7 @@ def _installment(j: Jobs) -> DataFrame:
 
 JOBS: dict[str, Callable[[Jobs], DataFrame]] = {
     # receivables
-    "rate_intervals_to_days": lambda j: j.rates,
+    "rate_intervals_to_days": lambda j: j.unfolded_rates,
     "rate_filled_calendar": _filled_calendar,
     "rate_text_to_number": _rate_text,
     "rate_first_needed_day": _first_day,
@@ -210,6 +237,11 @@ JOBS: dict[str, Callable[[Jobs], DataFrame]] = {
     "payables_top_suppliers": lambda j: payables.top_suppliers(j.aged),
     "payables_group_totals": lambda j: payables.supplier_group_totals(j.aged, j.t.supplier_groups),
     "payables_group_detail": lambda j: payables.supplier_group_detail(j.aged),
+    "payables_risk_totals_of_months": lambda j: payables.risk_totals(j.aged, CHOSEN_MONTHS),
+    "payables_bill_list_of_months": lambda j: payables.bill_list(j.aged, CHOSEN_MONTHS),
+    "payables_chosen_detail_in_order": _ordered_detail,
+    "payables_bills_from_text": lambda j: bill_source.prepare_bills(j.t.text_bills),
+    "payables_rows_that_go": _bill_rows_that_go,
     "payables_short_credit_overdue": lambda j: payables.short_credit_overdue(j.aged),
     "payables_payment_form": lambda j: payables.payment_form(j.aged),
     "payables_payment_file": lambda j: payables.payment_file(j.aged, j.t.ticked_bills),

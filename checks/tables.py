@@ -160,8 +160,26 @@ class Tables:
 
     @property
     def ledger(self) -> DataFrame:
-        """Weeks already closed: those that ended with a surplus."""
-        return self.closes.where(F.col("flujo_neto_real") > 0)
+        """Weeks already closed: those before a day, another one for every second company."""
+        closed = F.when(F.col(ENTITY).cast("int") % 2 == 0, F.lit("1999-06-28")).otherwise(F.lit("1999-06-14"))
+        return self.closes.where(F.col("week_start") < closed.cast("date"))
+
+    @property
+    def text_bills(self) -> DataFrame:
+        """Bills as a sheet gives them: all cells text, dates in several layouts, some cells unreadable or empty."""
+        key, created = F.col("l_orderkey"), F.col("o_orderdate").cast("date")
+        due = F.date_add(created, (15 * F.col("l_linenumber")).cast("int"))
+        joined = self.read("lineitem").join(self.read("orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+        style = key % 4
+        shown = F.when(style == 0, F.date_format(created, "dd/MM/yyyy")).when(style == 1, F.date_format(created, "yyyy-MM-dd HH:mm:ss")).when(
+            style == 2, F.date_format(created, "d-M-yyyy")).otherwise(F.date_format(created, "yyyy/MM/dd"))
+        return joined.select(
+            F.when(key % 23 != 0, F.concat(F.lit(" P"), F.col("l_suppkey"), F.lit(" "))).alias("Proveedor"),
+            key.cast("string").alias("Factura"),
+            F.when(key % 29 == 0, "n/a").otherwise(F.col("l_extendedprice").cast(MONEY).cast("string")).alias("valor"),
+            F.when(key % 31 == 0, "  ").when(key % 37 == 0, "pronto").otherwise(shown).alias("Fecha Generacion"),
+            F.when(key % 41 == 0, "31/31/1999").otherwise(F.date_format(due, "dd/MM/yyyy HH:mm")).alias("vencimiento"),
+        )
 
     @property
     def loans(self) -> DataFrame:
