@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,7 +69,7 @@ class Sets:
         return ranks
 
     def prefixes(self, values: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Shingles of the prefixes and how many each set has."""
+        """Shingles of the prefixes, in their order, and how many each set has."""
         ranks = self.ranks(values, order)
         lengths = prefix_length(counts)
         ends = np.cumsum(counts)
@@ -78,7 +78,8 @@ class Sets:
         for first, last, length in zip((ends - counts).tolist(), ends.tolist(), lengths.tolist()):
             if length:
                 part = ranks[first:last]
-                picked[place:place + length] = first + (np.argpartition(part, length - 1)[:length] if length < last - first else np.arange(length))
+                least = np.argpartition(part, length - 1)[:length]
+                picked[place:place + length] = first + least[np.argsort(part[least])]
                 place += length
         return values[picked], lengths
 
@@ -116,15 +117,23 @@ def frequent_shingles(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarra
 
 
 def _prefix_rows(texts: DataFrame, frequent) -> DataFrame:
-    """(token, node) for the prefixes under the first order."""
+    """(token, node, place, size) for the prefixes under the first order: `place` tokens of the set come before this one."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(frequent.value)
         for _, data, offsets in W.chunks(batches, 0):
             values, counts = sets.of(data, offsets)
             tokens, lengths = sets.prefixes(values, counts, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.repeat(Sets.names(values, counts), lengths))], ["token", "node"])
+            places = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.repeat(Sets.names(values, counts), lengths)),
+                                              pa.array(places.astype(np.int32)), pa.array(np.repeat(counts, lengths).astype(np.int32))], ["token", "node", "place", "size"])
 
-    return texts.mapInArrow(rows, "token long, node long")
+    return texts.mapInArrow(rows, "token long, node long, place int, size int")
+
+
+def _may_link(place: str, size: str, other_place: str, other_size: str) -> Column:
+    """Two sets whose first common token is here have no more in common than what follows it in either."""
+    common = F.least(F.col(size) - F.col(place), F.col(other_size) - F.col(other_place)).cast("long")
+    return common * (100 + PERCENT) >= (F.col(size).cast("long") + F.col(other_size)) * PERCENT
 
 
 def _filter_of(nodes: DataFrame) -> np.ndarray:
@@ -164,13 +173,17 @@ def _array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 
 def _prefixes_of(texts: DataFrame, wanted: DataFrame, frequent) -> DataFrame:
-    """node and its prefixes under all orders but the first. Half a hash is enough to pass all pairs that share a token."""
+    """node, its prefixes under all orders but the first, and the share of its shingles that are not among the frequent
+    ones. Half a hash is enough to pass all pairs that share a token."""
     def columns(values: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
         sets = Sets(frequent.value)
         found = (sets.prefixes(values, counts, k) for k in range(1, ORDERS))
-        return [_array(tokens.astype(np.uint32).view(np.int32), lengths) for tokens, lengths in found]
+        owner = np.repeat(np.arange(len(counts)), counts)
+        rare = np.bincount(owner, sets.ranks(values, 0) < np.uint64(2 ** 63), len(counts)) / np.maximum(counts, 1)
+        return [*(_array(tokens.astype(np.uint32).view(np.int32), lengths) for tokens, lengths in found), pa.array(rare)]
 
-    return _wanted(texts, wanted, columns, ", ".join(f"c{k} array<int>" for k in range(ORDERS - 1)))
+    fields = [f"c{k} array<int>" for k in range(ORDERS - 1)] + [f"c{ORDERS - 1} double"]
+    return _wanted(texts, wanted, columns, ", ".join(fields)).withColumnRenamed(f"c{ORDERS - 1}", "rare")
 
 
 def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -183,6 +196,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, prefixes: Da
     sized = (pairs.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
              .where(f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)").select("a", "b"))
     names = [f"c{k}" for k in range(ORDERS - 1)]
+    prefixes = prefixes.drop("rare")
     met = sized.join(prefixes.toDF("a", *(f"{c}_a" for c in names)), "a").join(prefixes.toDF("b", *(f"{c}_b" for c in names)), "b")
     for c in names:
         met = met.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
@@ -231,6 +245,11 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     del prefixes, shared
     release(docs.sparkSession)
     others = landed(_prefixes_of(texts, landed(buckets.select("node").distinct()), frequent))
+    # A row that could not link even with the smallest set of its bucket is left out.
+    smallest = buckets.groupBy("token").agg(F.min("size").alias("smallest"))
+    viable = buckets.join(smallest, "token").where(
+        (F.col("size") - F.col("place")).cast("long") * (100 + PERCENT) >= (F.col("size").cast("long") + F.col("smallest")) * PERCENT)
+    buckets = landed(viable.drop("smallest").join(others.select("node", "rare"), "node"))
     links, found, tested = None, None, None
     for turn in range(ROUNDS + 1):
         rows = landed(_with_component(buckets, found))
@@ -243,12 +262,16 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             break
         last = turn == ROUNDS or pairs_left <= DIRECT * count
         if last:
-            other = rows.select("token", F.col("node").alias("other"), F.col("component").alias("other_component"))
-            met = rows.join(other, "token").where("component < other_component").select("node", "other")
+            other = rows.select("token", F.col("node").alias("other"), F.col("component").alias("other_component"),
+                                F.col("place").alias("other_place"), F.col("size").alias("other_size"))
+            met = rows.join(other, "token").where("component < other_component")
         else:
-            pivot = rows.groupBy("token").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("pivot"))
-            met = rows.join(pivot, "token").where(F.col("component") != F.col("pivot.component")).select("node", F.col("pivot.node").alias("other"))
-        pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            # The first pivot is the node with fewest shingles of its own, as the original of a family of copies has; then any.
+            order = F.struct("rare", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)))
+            pivot = rows.groupBy("token").agg(F.min_by(F.struct("node", "component", "place", "size"), order).alias("pivot"))
+            met = rows.join(pivot, "token").where(F.col("component") != F.col("pivot.component")).select(
+                "node", "place", "size", F.col("pivot.node").alias("other"), F.col("pivot.place").alias("other_place"), F.col("pivot.size").alias("other_size"))
+        pairs = met.where(_may_link("place", "size", "other_place", "other_size")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = landed(pairs)
