@@ -1,29 +1,19 @@
 """Shared helpers: the folder for intermediate tables, the white space of the contracts."""
 
 import gc
-import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arqueo.session import shared_folder
+
 #: ASCII white space and its complement, as both Java and Python patterns.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. Only a local session may go without the setting; it then gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def landed(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read back: lineage is cut, and a lost executor loses nothing.
     Tables that nobody discards are removed by the folder's owner once the application has ended."""
@@ -44,8 +34,10 @@ def discard(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of finished steps now rather than at its next garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first frees lets go of more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -44,7 +44,7 @@ DELTA = 0.5
 HOT = 65_536
 HOT_SHARE = 40_000  # a pair is a candidate for the hot ones where a chunk has it once in so many tokens
 LEAST_HOT = 4  # and that often at least
-SLICES = 2
+SLICES = 3
 CHUNK = 2_500_000  # bytes of text at once
 
 
@@ -253,7 +253,7 @@ class Scorer:
         """One slice of the pairs, as rows of four kinds: (h, w, n) of the training pairs; doc with its numbers of pairs seen 1, 2 ... times
         and the log of the larger counts; doc, h, w, n of pairs that were never seen; h with the numbers of its pairs seen 1, 2 ...
         times or more and the unigrams of those of its words that are hot."""
-        width = -(-3 * self.parts // (2 * SLICES))
+        width = -(-self.parts // SLICES)
         shared = self.spark.sparkContext.broadcast((*self.hot_words, self.hot_pairs))
         p1 = np.array([0.0, *self.word_discounts])
         total = max(self.total, 1)
@@ -288,14 +288,14 @@ class Scorer:
             known, history, word = keys[order[first]], history[order[first]], word[order[first]]
             counts = np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
             at, hot = hot_words.find(word.view(np.uint64))
-            out = [_rows(PAIRS, h=history, w=word, n=counts, rare=~hot)]
+            out = [_rows(PAIRS, history, word, counts, rare=~hot)]
             if len(known):
                 c = hot_counts[at] if len(hot_counts) else np.zeros(len(at), np.int64)
                 covered = np.where(hot, np.where(c > GOOD_TURING, c - DELTA, p1[np.minimum(c, GOOD_TURING)]) / total, 0.0)
                 order = np.argsort(history)
                 begins = runs(history[order])
                 classes = np.stack([np.add.reduceat((np.minimum(counts, GOOD_TURING + 1) == r)[order].astype(np.int32), begins) for r in range(1, GOOD_TURING + 2)], axis=1)
-                out.append(_rows(HISTORIES, h=history[order[begins]], value=np.add.reduceat(covered[order], begins), seen=classes))
+                out.append(_rows(HISTORIES, history[order[begins]], value=np.add.reduceat(covered[order], begins), seen=classes))
             logs_of = np.log10(np.maximum(counts, GOOD_TURING + 1) - DELTA)
             for (per_key, doc, names, h, w), k, test, silent in zip(lists, keyed, tests, silents):
                 if silent or not len(k):
@@ -304,10 +304,10 @@ class Scorer:
                 c = np.where(there, counts[at], 0) if len(counts) else np.zeros(len(k), np.int64)
                 logs = np.where(c > GOOD_TURING, logs_of[at], 0.0) if len(counts) else np.zeros(len(k))
                 classes = np.bincount(doc * np.int64(GOOD_TURING + 2) + np.repeat(np.minimum(c, GOOD_TURING + 1), per_key), minlength=len(names) * (GOOD_TURING + 2))
-                out.append(_rows(SHARES, doc=names, seen=classes.reshape(-1, GOOD_TURING + 2)[:, 1:], value=np.bincount(doc, np.repeat(logs, per_key), len(names))))
+                out.append(_rows(SHARES, names, seen=classes.reshape(-1, GOOD_TURING + 2)[:, 1:], value=np.bincount(doc, np.repeat(logs, per_key), len(names))))
                 if test:
                     unseen = np.repeat(c == 0, per_key)
-                    out.append(_rows(UNSEEN, doc=names[doc[unseen]], h=np.repeat(h, per_key)[unseen], w=np.repeat(w, per_key)[unseen]))
+                    out.append(_rows(UNSEEN, names[doc[unseen]], np.repeat(h, per_key)[unseen], np.repeat(w, per_key)[unseen]))
             return pa.concat_tables(out)
 
         return landed(self.docs.select("doc", "held_out", "text").mapInArrow(asked, PAIR_REQUESTS).groupBy("part").applyInArrow(matched, MATCHES))
@@ -327,20 +327,22 @@ class Scorer:
         found = slices[0]
         for table in slices[1:]:
             found = found.unionByName(table)
-        pairs = found.where(F.col("kind") == PAIRS).select("h", "w", F.col("n").alias("c"), "rare")
+        pairs = found.where(F.col("kind") == PAIRS).select(F.col("a").alias("h"), F.col("b").alias("w"), "c", "rare")
         pair_discounts = discounts(self.seen_times(pairs))
         classes = [*SEEN, "more"]
+        seen_in = [F.col("seen")[i].alias(c) for i, c in enumerate(classes)]
         rare = pairs.where("rare").join(self.log_unigrams(), "w").groupBy("h").agg(F.sum("p1").alias("covered"))
-        histories = found.where(F.col("kind") == HISTORIES).select("h", F.col("value").alias("covered"), *classes)
+        histories = found.where(F.col("kind") == HISTORIES).select(F.col("a").alias("h"), F.col("value").alias("covered"), *seen_in)
         whole = landed(histories.unionByName(rare, allowMissingColumns=True).groupBy("h").agg(*(F.sum(c).alias(c) for c in ("covered", *classes))))
         release(spark)
         freed = F.col("more") * F.lit(DELTA) + sum((F.col(c) * F.lit(r - d) for r, (c, d) in enumerate(zip(SEEN, pair_discounts), 1)), F.lit(0.0))
         backoff = whole.select("h", F.log10(freed / (1 - F.col("covered"))).alias("backoff"))
-        unseen = found.where(F.col("kind") == UNSEEN).select("doc", "h", "w")
+        unseen = found.where(F.col("kind") == UNSEEN).select(F.col("a").alias("doc"), F.col("b").alias("h"), F.col("c").alias("w"))
         backed = (unseen.join(backoff, "h", "left").join(self.log_unigrams(), "w", "left").groupBy("doc")
                   .agg(F.sum(F.coalesce("backoff", F.lit(0.0)) + F.coalesce(F.log10("p1"), F.lit(math.log10(self.unknown or 1.0)))).alias("backed")))
         seen = sum((F.sum(c) * F.lit(math.log10(d)) for c, d in zip(SEEN, pair_discounts)), F.sum("value"))
-        matched = found.where(F.col("kind") == SHARES).groupBy("doc").agg(seen.alias("matched"))
+        shares = found.where(F.col("kind") == SHARES).select(F.col("a").alias("doc"), "value", *seen_in)
+        matched = shares.groupBy("doc").agg(seen.alias("matched"))
         sums = landed(from_words.join(matched, "doc", "full").join(backed, "doc", "full"))
         release(spark)
         return self.finish(sums, pairs, pair_discounts)
@@ -394,8 +396,8 @@ SEEN = [f"c{r}" for r in range(1, GOOD_TURING + 1)]
 _SENT = "part int, per_key array<int>, docs array<int>, names array<long>"
 REQUESTS = _SENT + ", keys array<long>"
 PAIR_REQUESTS = _SENT + ", histories array<long>, words array<long>, test boolean, silent boolean"
-MATCHES = "kind int, doc long, h long, w long, n long, rare boolean, value double, " + ", ".join(f"{c} int" for c in SEEN) + ", more int"
-PAIRS, SHARES, UNSEEN, HISTORIES = range(4)  # kinds of rows
+MATCHES = "kind int, a long, b long, c long, rare boolean, value double, seen array<int>"
+PAIRS, SHARES, UNSEEN, HISTORIES = range(4)  # kinds of rows: h, w, count; doc; doc, h, w; h
 
 
 def _packed(keys: np.ndarray, owner: np.ndarray, names: np.ndarray, parts: int, history: np.ndarray | None = None,
@@ -434,15 +436,15 @@ def _packed(keys: np.ndarray, owner: np.ndarray, names: np.ndarray, parts: int,
         yield pa.RecordBatch.from_arrays(columns, ["part", "per_key", "docs", "names", "histories", "words", "test", "silent"])
 
 
-def _rows(kind: int, doc=None, h=None, w=None, n=None, rare=None, value=None, seen=None) -> pa.Table:
-    count = len(doc if doc is not None else h)
-
+def _rows(kind: int, a: np.ndarray, b=None, c=None, rare=None, value=None, seen=None) -> pa.Table:
     def column(values, type_=pa.int64()):
-        return pa.nulls(count, type_) if values is None else pa.array(values, type_)
+        return pa.nulls(len(a), type_) if values is None else pa.array(values, type_)
 
-    classes = [column(None if seen is None else seen[:, r].astype(np.int32), pa.int32()) for r in range(GOOD_TURING + 1)]
-    return pa.table([pa.array(np.full(count, kind, np.int32)), *map(column, (doc, h, w, n)), column(rare, pa.bool_()), column(value, pa.float64()), *classes],
-                    ["kind", "doc", "h", "w", "n", "rare", "value", *SEEN, "more"])
+    ints = pa.list_(pa.int32())
+    lists = pa.nulls(len(a), ints) if seen is None else pa.ListArray.from_arrays(
+        pa.array(np.arange(len(a) + 1, dtype=np.int32) * (GOOD_TURING + 1)), pa.array(seen.astype(np.int32).ravel()))
+    return pa.table([pa.array(np.full(len(a), kind, np.int32)), *map(column, (a, b, c)), column(rare, pa.bool_()), column(value, pa.float64()), lists],
+                    ["kind", "a", "b", "c", "rare", "value", "seen"])
 
 
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
