@@ -244,12 +244,14 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     buckets = landed(prefixes.join(shared, "token").distinct())
     del prefixes, shared
     release(docs.sparkSession)
-    others = landed(_prefixes_of(texts, landed(buckets.select("node").distinct()), frequent))
-    # A row that could not link even with the smallest set of its bucket is left out.
-    smallest = buckets.groupBy("token").agg(F.min("size").alias("smallest"))
-    viable = buckets.join(smallest, "token").where(
-        (F.col("size") - F.col("place")).cast("long") * (100 + PERCENT) >= (F.col("size").cast("long") + F.col("smallest")) * PERCENT)
-    buckets = landed(viable.drop("smallest").join(others.select("node", "rare"), "node"))
+    # A row that could link with no other of its bucket is left out: of two rows that is known, of more a bound is.
+    about = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("smallest"), F.sum("size").alias("sizes"), F.sum("place").alias("places"))
+    rest = (buckets.join(about, "token").withColumn("other_size", F.col("sizes") - F.col("size")).withColumn("other_place", F.col("places") - F.col("place")))
+    bound = (F.col("size") - F.col("place")).cast("long") * (100 + PERCENT) >= (F.col("size").cast("long") + F.col("smallest")) * PERCENT
+    viable = landed(rest.where(F.when(F.col("n") == 2, _may_link("place", "size", "other_place", "other_size")).otherwise(bound))
+                    .select("token", "node", "place", "size"))
+    others = landed(_prefixes_of(texts, landed(viable.select("node").distinct()), frequent))
+    buckets = landed(viable.join(others.select("node", "rare"), "node"))
     links, found, tested = None, None, None
     for turn in range(ROUNDS + 1):
         rows = landed(_with_component(buckets, found))
