@@ -43,8 +43,14 @@ def sample(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "t
     place = F.xxhash64(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
     text = text_of(text_column)
     first = F.pmod(place, F.greatest(F.length(text) - chars, F.lit(0)) + 1).cast("int") + 1
-    parts = (labelled.where(F.col(label_column).isNotNull())
-             .select(F.col(label_column).cast("string").alias("label"), place.alias("place"), F.substr(text, first, F.lit(chars)).alias("part")))
+    known = labelled.where(F.col(label_column).isNotNull())
+    label = F.col(label_column).cast("string").alias("label")
+    # Only rows whose hash is small enough for the place to be among the first come to the ranking: about 8 x `rows` per label
+    # however many there are.
+    counts = known.select(label).groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+    share = F.pmod(place, F.lit(2 ** 40)) / F.lit(float(2 ** 40))
+    parts = (known.select(label, share.alias("place"), F.substr(text, first, F.lit(chars)).alias("part")).join(counts, "label")
+             .where(F.col("place") * F.col("count") < 8.0 * rows).select("label", "place", "part"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("place", "part"))
     found = parts.withColumn("rank", rank).where(F.col("rank") <= rows).orderBy("label", "rank").select("label", "part").collect()
     texts: dict[str, list[str]] = {}
