@@ -5,15 +5,16 @@ right into phrases, each the longest match in the language's sample; the phrases
 the sample, per character, are the text's cross entropy to the language, and the smallest one wins.
 
 Texts are parsed in blocks of `BLOCK` characters, all blocks of a batch and all languages at once: one table look-up per
-character and language moves an automaton on and says whether a phrase ended. Only the sample is bounded; every text is
-read whole. Letters are lower-cased, anything between them counts as one space.
+byte and language moves an automaton on and says whether a phrase ended. Only the sample is bounded; every text is
+read whole. Letters are lower-cased, marks on them are kept, anything between them counts as one space. What is parsed are
+the UTF-8 bytes, so letters of every script are told apart and the tables have at most 256 columns.
 
 Defined cases: `und` with score 0 where the text is null or has no letter; ties go to the language that sorts first;
-letters that no sample has cost a phrase in every language; without any labelled text all is `und`; repeated rows are
+bytes that no sample has cost a phrase in every language; without any labelled text all is `und`; repeated rows are
 predicted alike; an empty table gives an empty result; other columns are ignored.
 """
 
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,10 @@ from arqueo.llm.common import text_of
 SAMPLE_ROWS = 400  # labelled rows per language, those with the smallest hash of their id
 SAMPLE_CHARS = 300  # of each, from a place that the hash picks
 LANGUAGE_CHARS = 30_000  # of each language's automaton
-LETTERS = 60  # most frequent letters with a code of their own
-BLOCK = 256
+BLOCK = 256  # bytes
 SLICE = 2_000_000  # characters parsed at once
 PAD, SPACE_CODE, OTHER = 0, 1, 2
+SPACE = ord(" ")
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -89,22 +90,28 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """Codes of characters and one table for the automata of all languages. Entry `state + code` holds the next state
+    """Codes of bytes and one table for the automata of all languages. Entry `state + code` holds the next state
     (as its row in the table) times four, plus the phrases that end."""
 
-    def __init__(self, texts: dict[str, str], chars: int = LANGUAGE_CHARS, letters: int = LETTERS):
+    def __init__(self, texts: dict[str, str], chars: int = LANGUAGE_CHARS):
         self.languages = sorted(texts)
-        counts = Counter(c for t in texts.values() for c in t.lower() if c.isalpha())
-        alphabet = sorted(sorted(counts), key=lambda c: -counts[c])[:letters]
-        own = {c: OTHER + 1 + i for i, c in enumerate(alphabet)}
-        self.codes = np.array([own.get(c if len(low := c.lower()) != 1 else low, OTHER) if c.isalpha() else SPACE_CODE
-                               for c in map(chr, range(0x110000))], np.uint8)
-        self.width = OTHER + 1 + len(alphabet)
+        every = [chr(i) for i in range(0x110000)]
+        self.letter = np.array([c.isalpha() for c in every])
+        mark = np.array([unicodedata.category(c)[0] == "M" for c in every])
+        self.points = np.where(self.letter | mark, np.array([ord(low) if len(low := c.lower()) == 1 else ord(c) for c in every], np.uint32), SPACE)
+        samples = [self.normal([texts[language]])[0][:chars] for language in self.languages]
+        encoded = [utf8(points) for points in samples]
+        own = np.unique(np.concatenate([np.empty(0, np.uint8), *encoded]))
+        own = own[own != SPACE]
+        self.codes = np.full(256, OTHER, np.uint16)
+        self.codes[own] = OTHER + 1 + np.arange(len(own))
+        self.codes[SPACE] = SPACE_CODE
+        self.width = OTHER + 1 + len(own)
+        small = 2 * sum(len(e) + 1 for e in encoded) * self.width * 4 < 2 ** 31  # an automaton has at most two states a byte
+        self.table = np.empty(0, np.int32 if small else np.int64)
         tables, self.roots, self.bits, base = [], [], [], 0
-        for language in self.languages:
-            codes, _ = normal([texts[language]], self.codes)
-            codes = codes[:chars]
-            moves = suffix_automaton([int(c) for c in codes if c != OTHER])
+        for points, sample_bytes in zip(samples, encoded):
+            moves = suffix_automaton(self.codes[sample_bytes].tolist())
             next_state = np.full((len(moves), self.width), -1, np.int64)
             for state, found in enumerate(moves):
                 next_state[state, list(found)] = list(found.values())
@@ -114,20 +121,40 @@ class Model:
             table = np.where(next_state >= 0, (next_state + base) * self.width * 4,
                              np.where(known, (restart + base) * self.width * 4 + ended, base * self.width * 4 + ended + 1))
             table[:, PAD] = (np.arange(len(moves)) + base) * self.width * 4
-            tables.append(table)
+            tables.append(table.ravel().astype(self.table.dtype))
             self.roots.append(base * self.width)
-            self.bits.append(np.log2(max(2, len(codes))))
+            self.bits.append(np.log2(max(2, len(points))))
             base += len(moves)
-        small = base * self.width * 4 < 2 ** 31
-        self.table = np.concatenate(tables).ravel().astype(np.int32 if small else np.int64) if tables else np.empty(0, np.int32)
+        self.table = np.concatenate([self.table, *tables])
         self.roots = np.array(self.roots, self.table.dtype)
 
+    def normal(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lower-cased letters of all texts in one array, what is between them as one space; characters per text, 0 where
+        there is no letter."""
+        read = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = self.points[read]
+        lengths = np.array([len(t) for t in texts], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        space = points == SPACE
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        keep[starts[lengths > 0]] = True
+        owner_end = np.concatenate([[0], np.cumsum(keep)])
+        kept = owner_end[starts + lengths] - owner_end[starts]
+        letters = np.concatenate([[0], np.cumsum(self.letter[read])])
+        has = letters[starts + lengths] > letters[starts]
+        keep &= np.repeat(has, lengths)
+        return points[keep], np.where(has, kept, 0)
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases per language and text; characters per text after normalising (0: no letter)."""
-        codes, lengths = normal(texts, self.codes)
+        points, characters = self.normal(texts)
+        ends = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])[np.cumsum(characters)]
+        lengths = np.diff(ends, prepend=0)
+        codes = self.codes[utf8(points)]
         blocks = -(-lengths // BLOCK)
         first_block = np.cumsum(blocks) - blocks
-        lanes = np.zeros(int(blocks.sum()) * BLOCK, np.uint8)
+        lanes = np.zeros(int(blocks.sum()) * BLOCK, np.uint16)
         within = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         lanes[np.repeat(first_block * BLOCK, lengths) + within] = codes
         steps = np.ascontiguousarray(lanes.reshape(-1, BLOCK).T)
@@ -142,7 +169,7 @@ class Model:
         owner = np.repeat(np.arange(len(texts)), blocks)
         for language in range(len(self.roots)):
             total[language] = np.bincount(owner, ended[language], len(texts) + 1)
-        return total[:, :-1], lengths
+        return total[:, :-1], characters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
         """Language, score (how much fewer bits than the second best, 0 to 1) and bits per character."""
@@ -158,22 +185,8 @@ class Model:
         return languages, np.clip(score, 0, 1).tolist(), [x if n else None for x, n in zip(ordered[0].tolist(), lengths.tolist())]
 
 
-def normal(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all texts in one array, runs of spaces as one; codes per text, 0 where there is no letter."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = table[points]
-    lengths = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    space = codes == SPACE_CODE
-    keep = ~space
-    keep[1:] |= ~space[:-1]
-    keep[starts[lengths > 0]] = True
-    owner_end = np.concatenate([[0], np.cumsum(keep)])
-    kept = owner_end[starts + lengths] - owner_end[starts]
-    letters = np.concatenate([[0], np.cumsum(~space)])
-    has = letters[starts + lengths] > letters[starts]
-    keep &= np.repeat(has, lengths)
-    return codes[keep], np.where(has, kept, 0)
+def utf8(points: np.ndarray) -> np.ndarray:
+    return np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
 
 
 def slices(texts: list[str], most: int = SLICE) -> Iterator[list[str]]:

@@ -205,6 +205,30 @@ def test_language_of_every_row(spark, none):
     assert {r.lang_pred for r in language.predict(unlabelled, language.train(unlabelled)).collect()} == {"und"}
 
 
+def test_languages_in_several_scripts(spark):
+    """Two languages of each script, with far more than 60 letters together."""
+    rng = random.Random(7)
+    scripts = {"latin": "abcdefghijklmnopqrstuvwxyzàâçéèêëîïôûùüñö", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω",
+               "han": "".join(map(chr, range(0x4E00, 0x5E00))), "hangul": "".join(map(chr, range(0xAC00, 0xB400))), "thai": "".join(map(chr, range(0x0E01, 0x0E2F)))}
+    words = {f"{script}{i}": ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(300)]
+             for script, letters in scripts.items() for i in (1, 2)}
+    rows = [(100 * k + i, " ".join(rng.choice(words[lang]) for _ in range(40)).title(), lang) for k, lang in enumerate(words) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    known = {d: lang for d, _, lang in rows}
+    held_out = language.predict(docs, model).where(language.held_out()).collect()
+    assert {known[r.doc_id] for r in held_out} == set(words) and [r.doc_id for r in held_out if r.lang_pred != known[r.doc_id]] == []
+    assert all(r.lang_score > 0 for r in held_out)
+    # Marks belong to their letters, but are none: phrases are those of the bytes of the lower-cased text.
+    marks = language.Model({"a": "กิน กา e\u0301te\u0301", "b": "กน กอ ete"})
+    assert marks.predict(["กิน", "e\u0301T", "\u0301", "ete"])[0] == ["a", "a", "und", "b"]
+    texts = ["กินกา", "Éte\u0301 ก", "龘"]
+    counts, lengths = marks.phrases(texts)
+    assert lengths.tolist() == [5, 6, 1]
+    for row, sample in enumerate(("กิน กา e\u0301te\u0301", "กน กอ ete")):
+        assert counts[row].tolist() == [phrases(t.lower().encode(), sample.encode()) for t in texts]
+
+
 # Near copies
 
 def plain_components(rows):
