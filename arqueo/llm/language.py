@@ -101,6 +101,8 @@ class Model:
         self.points = np.where(self.letter | mark, np.array([ord(low) if len(low := c.lower()) == 1 else ord(c) for c in every], np.uint32), SPACE)
         samples = [self.normal([texts[language]])[0][:chars] for language in self.languages]
         encoded = [utf8(points) for points in samples]
+        scripts = {script(chr(p)) for points in samples for p in np.unique(points).tolist() if self.letter[p]}
+        self.familiar = np.array([letter and script(c) in scripts for c, letter in zip(every, self.letter.tolist())])
         own = np.unique(np.concatenate([np.empty(0, np.uint8), *encoded]))
         own = own[own != SPACE]
         self.codes = np.full(256, OTHER, np.uint16)
@@ -171,24 +173,35 @@ class Model:
             total[language] = np.bincount(owner, ended[language], len(texts) + 1)
         return total[:, :-1], characters
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
-        """Language, score (how much fewer bits than the second best, 0 to 1) and bits per character."""
+    def has_familiar(self, texts: list[str]) -> list[bool]:
+        """Whether a letter of the text is of a script that a sample has."""
+        read = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = np.concatenate([[0], np.cumsum(self.familiar[read])])
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        return (np.diff(found[ends], prepend=0) > 0).tolist()
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score (how much fewer bits than the second best, 0 to 1) and whether a letter is of a sample's script."""
         counts, lengths = self.phrases([t or "" for t in texts])
         if not self.languages:
-            return ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
         bits = counts * np.array(self.bits)[:, None] / np.maximum(lengths, 1)
         best = bits.argmin(axis=0)
         ordered = np.sort(bits, axis=0)
         second = ordered[1] if len(self.languages) > 1 else np.full(len(texts), np.inf)
         score = np.where(lengths > 0, 1 - ordered[0] / np.maximum(second, 1e-12), 0.0)
         languages = [self.languages[b] if n else "und" for b, n in zip(best.tolist(), lengths.tolist())]
-        return languages, np.clip(score, 0, 1).tolist(), [x if n else None for x, n in zip(ordered[0].tolist(), lengths.tolist())]
+        return languages, np.clip(score, 0, 1).tolist(), self.has_familiar([t or "" for t in texts])
 
 
 def utf8(points: np.ndarray) -> np.ndarray:
     return np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
 
 
+def script(letter: str) -> str:
+    return unicodedata.name(letter, "").split(" ")[0]
+
+
 def slices(texts: list[str], most: int = SLICE) -> Iterator[list[str]]:
     part, size = [], 0
     for text in texts:
@@ -206,11 +219,11 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 
 def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """`docs` with lang_pred, lang_score and lang_bits (bits per character in the winning language)."""
+    """`docs` with lang_pred, lang_score and lang_familiar (whether a letter is of a script that a labelled sample has)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages x LANGUAGE_CHARS
     at = docs.columns.index(text_column)
     fields = [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()),
-              T.StructField("lang_bits", T.DoubleType())]
+              T.StructField("lang_familiar", T.BooleanType())]
     names = [f.name for f in fields]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,16 +232,17 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFra
             for part in slices([t or "" for t in batch.column(at).to_pylist()]):
                 for column, values in zip(done, shared.value.predict(part)):
                     column.extend(values)
-            columns = [*batch.columns, pa.array(done[0], pa.string()), pa.array(done[1], pa.float64()), pa.array(done[2], pa.float64())]
+            columns = [*batch.columns, pa.array(done[0], pa.string()), pa.array(done[1], pa.float64()), pa.array(done[2], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(predicted, T.StructType(fields))
 
 
 def reject(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> DataFrame:
-    """The rows whose text has a language, with the columns of `docs`: `und` goes, and text that no language explains
-    better than letters drawn evenly."""
+    """The rows whose text has a language, with the columns of `docs`: `und` goes, and text without a label of which no
+    letter is of a script that a labelled text has. How short or how unusual a text is does not matter."""
     model = train(docs, id_column, text_column, label_column)
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text_column).alias("text"))
-    known = predict(row, model).where((F.col("lang_pred") != "und") & (F.col("lang_bits") < float(np.log2(max(2, model.width - 2)))))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text_column).alias("text"),
+                      F.col(label_column).isNotNull().alias("labelled"))
+    known = predict(row, model).where((F.col("lang_pred") != "und") & (F.col("labelled") | F.col("lang_familiar")))
     return known.select("doc.*")

@@ -229,6 +229,15 @@ def test_languages_in_several_scripts(spark):
         assert counts[row].tolist() == [phrases(t.lower().encode(), sample.encode()) for t in texts]
 
 
+def test_short_and_unusual_texts_keep_their_language(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["tar", "melo", "sint", "vara"]) for _ in range(40)), "xx") for i in range(120)]
+    stay = [(600, "A.", "xx"), (601, "q", None), (602, "zzyzx qwkj", None), (604, "Ж tar", None)]
+    go = [(700, "Ж", None), (701, "7.", "xx"), (702, None, "xx"), (703, "字 Ж", None)]
+    docs = spark.createDataFrame(rows + stay + go, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language.reject(docs).collect()} == {r.doc_id for r in docs.collect()} - {r[0] for r in go}
+
+
 # Near copies
 
 def plain_components(rows):

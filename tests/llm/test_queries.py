@@ -43,6 +43,12 @@ def test_model_beats_its_base_on_held_out_documents(spark):
     assert sum(r.score for r in found) > 0.9 * sum(r.base_score for r in found)
 
 
+def test_every_labelled_document_keeps_its_language(spark):
+    docs = read(spark, SMALL.replace("sf0.001", "sf0.1"), "documents")
+    labelled = docs.where("lang is not null and text rlike '[a-zA-Z]'").select("doc_id")
+    assert labelled.count() > 9000 and labelled.join(language.reject(docs), "doc_id", "left_anti").count() == 0
+
+
 def test_pipeline(spark):
     """Every stage against plain Python over the rows that came in."""
     docs = read(spark, SMALL, "documents")
