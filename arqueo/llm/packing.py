@@ -6,7 +6,8 @@ padding; sequences of one length belong to one bucket, which is the highest part
 happens where the document is read: nothing is shuffled and no table grows with the input.
 
 Tokens come from the byte-level BPE vocabulary `byte_bpe_50k`, read in its rank form by `tiktoken`: the same ids as those
-of `tokenizers` on the JSON form (tested), several times faster. `<|endoftext|>` in a text is its own token there, as here.
+of `tokenizers` on the JSON form (tested), several times faster. A text that `tiktoken` cannot split (a run of about a million
+white-space characters exceeds its stack) is encoded by `tokenizers` itself. `<|endoftext|>` in a text is its own token there, as here.
 
 Defined cases: a null or empty text is the end token alone; repeated ids are packed once per row; a null id stays null; an
 empty table gives an empty result; other columns are ignored.
@@ -50,6 +51,24 @@ def encoding(path: str):
     return ENCODINGS[path]
 
 
+def encoder(path: str):
+    """A function from text to ids."""
+    ranks = encoding(path)
+    whole = []
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return ranks.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # the splitting pattern exceeded its stack
+            if not whole:
+                from tokenizers import Tokenizer
+
+                whole.append(Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json"))
+            return np.array(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
+
+
 def binary_lengths(total: int, longest: int = LONGEST) -> list[int]:
     """Falling powers of two, at most `longest` each, that add up to `total`."""
     full, rest = divmod(total, longest)
@@ -66,13 +85,13 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     id_type = docs.schema[id_column].dataType
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = encoding(path)
+        encode = encoder(path)
         task = TaskContext.get().partitionId()
         numbers = [0] * longest.bit_length()  # sequences of each length so far in this task
         for batch in batches:
             rows, firsts, lengths, sums, totals, sequences, kept = [], [], [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(tokenizer.encode_to_numpy(text, allowed_special="all"), END).astype("<u4")
+                ids = np.append(encode(text), END).astype("<u4")
                 start = 0
                 for length in binary_lengths(len(ids), longest):
                     bucket = length.bit_length() - 1

@@ -149,6 +149,19 @@ def test_packing_round_trip(docs):
     assert all(p.sequence_id >> 58 == p.length.bit_length() - 1 for p in found)
 
 
+def test_very_long_white_space_is_packed(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "two words" + " " * 2_000_000 + "end"), (2, "a<|endoftext|>" + "\n" * 2_000_000), (3, "a short text")]
+    pieces = defaultdict(list)
+    for p in packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        pieces[p.doc_id].append((p.start, p.ids))
+    for doc_id, text in rows:
+        assert [i for _, ids in sorted(pieces[doc_id]) for i in ids] == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_repeated_rows_are_packed_each(docs):
     some = docs.where("doc_id = 0 or doc_id is null")
     found = packing.pack(some, keep_ids=False)
