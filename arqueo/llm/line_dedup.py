@@ -8,6 +8,12 @@ variant is the same in both lines. A key is the hash of a half that the deletion
 characters of each class in the variant. Variants that agree in these, wherever the deletion was, have one key: at most six
 per line however long it is. Equal variants always have equal keys; what else meets does not pass the verification.
 
+Pairs are made only of keys with few lines. Lines of a key with more than `CROWD` (a template filled in many ways) emit the
+hashes of their real variants instead, with the place of the deletion. Lines of one length that are equal without the
+character at one place are all within one edit of each other, and so are a line and the variants equal to it: the earliest
+place of each group says which lines go, and no pairs are made. Keys with lines longer than `LONG`, whose variants would take
+the square of their length, are always paired.
+
 Equal lines are reduced to one row on the map side before anything else, so a line that a third of all documents repeat is
 one row. Only keys that two different lines share are joined.
 
@@ -17,7 +23,7 @@ rows equal in id and text are one document and get the same answer; null ids com
 result; other columns are ignored by `decide` and kept by `clean`.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arqueo.llm.common import fresh, landed, release
@@ -25,6 +31,8 @@ from arqueo.llm.common import fresh, landed, release
 BOUND = 1  # edits
 SHORTEST = 8
 CLASSES = ("aeioutnAEIOUTN02468",)  # any other character is of the last class
+CROWD = 32  # lines of a key that are compared in pairs
+LONG = 1024  # characters of a line whose variants are hashed one by one
 FILTER_BITS = 2 ** 26  # 8 MB: hashes that are wanted
 
 
@@ -52,7 +60,7 @@ def _distinct_lines(lines: DataFrame) -> DataFrame:
 
 
 def _keys(distinct: DataFrame) -> DataFrame:
-    """line_hash, key: of the line and of every variant, with either half."""
+    """line_hash, length, key: of the line and of every variant, with either half."""
     counts = [F.col(f"n{i}") for i in range(len(CLASSES))]
     counts.append(F.col("length") - sum(counts[1:], counts[0]))
     own = [F.xxhash64(F.lit(side), "length", *counts, half) for side, half in (("head", "head0"), ("tail", "tail0"))]
@@ -61,7 +69,7 @@ def _keys(distinct: DataFrame) -> DataFrame:
         after = [c - 1 if i == j else c for j, c in enumerate(counts)]
         shorter += [F.when(count > 0, F.xxhash64(F.lit(side), F.col("length") - 1, *after, half)) for side, half in (("head", "head1"), ("tail", "tail1"))]
     keys = F.array_distinct(F.array_compact(F.array(*own, *shorter)))
-    return distinct.where("n0 is not null").select("line_hash", F.explode(keys).alias("key"))
+    return distinct.where("n0 is not null").select("line_hash", "length", F.explode(keys).alias("key"))
 
 
 def filter_of(hashes: DataFrame, column: str) -> DataFrame:
@@ -81,21 +89,38 @@ def marked(rows: DataFrame, column: str, filter_: DataFrame) -> DataFrame:
     return met.withColumn("passes", F.coalesce(passes, F.lit(False))).drop("bucket", "bits")
 
 
+def crowded_copies(lines: DataFrame) -> DataFrame:
+    """line_hash of the lines (line_hash, place, line) that have an earlier one within the bound among them."""
+    at = F.col("at")
+    rest = F.concat(F.substr("line", F.lit(1), at - 1), F.substr("line", at + 1))
+    variants = (lines.select("line_hash", "place", "line", F.explode(F.sequence(F.lit(0), F.length("line"))).alias("at"))  # 0: the line itself
+                .select("line_hash", "place", "at", F.when(at == 0, F.col("line_hash")).otherwise(F.xxhash64(rest)).alias("variant")))
+    place, same, equal = F.col("place"), Window.partitionBy("variant", "at"), Window.partitionBy("variant")
+    told = variants.select("line_hash", "place", "at", F.min("place").over(same).alias("first"),
+                           F.min(F.when(at == 0, place)).over(equal).alias("whole"), F.min(F.when(at > 0, place)).over(equal).alias("longer"))
+    later = F.when(at == 0, place > F.col("longer")).otherwise((place > F.col("first")) | F.coalesce(place > F.col("whole"), F.lit(False)))
+    return told.where(later).select("line_hash").distinct()
+
+
 def near_copies(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """line_hash of the lines that have an earlier one within the bound."""
     keys = _keys(distinct)
-    shared = keys.groupBy("key").agg(F.min("line_hash").alias("low"), F.max("line_hash").alias("high")).where("low < high").select("key")
-    met = landed(keys.join(shared, "key").join(distinct.select("line_hash", "place"), "line_hash"))
+    shared = (keys.groupBy("key").agg(F.min("line_hash").alias("low"), F.max("line_hash").alias("high"), F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"))
+              .where("low < high").select("key", ((F.col("n") > CROWD) & (F.col("longest") <= LONG)).alias("crowded")))
+    met = landed(keys.select("line_hash", "key").join(shared, "key").join(distinct.select("line_hash", "place"), "line_hash"))
     release(lines.sparkSession)
-    later, earlier = met.alias("later"), met.alias("earlier")
+    few = met.where("not crowded")
+    crowd = landed(met.where("crowded").groupBy("line_hash").agg(F.first("place").alias("place")))
+    later, earlier = few.alias("later"), few.alias("earlier")
     pairs = landed(later.join(earlier, F.col("later.key") == F.col("earlier.key")).where("earlier.place < later.place")
                    .select(F.col("later.line_hash").alias("later"), F.col("earlier.line_hash").alias("earlier")).distinct())
-    wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("line_hash")).distinct()
+    wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("line_hash")).union(crowd.select("line_hash")).distinct()
     wanted = landed(wanted)
     passed = marked(lines.select("line_hash", "line"), "line_hash", landed(filter_of(wanted, "line_hash"))).where("passes").drop("passes")
     texts = landed(passed.join(wanted, "line_hash").groupBy("line_hash").agg(F.first("line").alias("line")))
     both = (pairs.join(texts.toDF("later", "later_line"), "later").join(texts.toDF("earlier", "earlier_line"), "earlier"))
-    return both.where(F.levenshtein("later_line", "earlier_line", BOUND) >= 0).select(F.col("later").alias("line_hash")).distinct()
+    paired = both.where(F.levenshtein("later_line", "earlier_line", BOUND) >= 0).select(F.col("later").alias("line_hash"))
+    return paired.union(crowded_copies(crowd.join(texts, "line_hash"))).distinct()
 
 
 def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arqueo.llm import components, exact_dedup, fingerprint, katz, language, line_dedup, mixing, near_join, packing, pages, personal
+from arqueo.llm.common import landed
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, row string, doc string"
 
@@ -353,6 +354,35 @@ def test_lines(spark):
     assert left == wanted and originals
 
 
+@pytest.mark.parametrize("crowd, long", [(32, 1024), (2, 1024), (2, 44), (10 ** 9, 1024)])
+def test_lines_of_a_template(spark, monkeypatch, crowd, long):
+    """Lines of one template, as equal as any to the keys: few pairs are made, and the answer is that of brute force."""
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "LONG", long)
+    rng = random.Random(11)
+    lines = ["Order %0*d was shipped in time, ñandú." % (rng.choice([5, 6, 7]), rng.randrange(99_999)) for _ in range(600)]
+    for i in range(0, 600, 7):  # one character less, more or other
+        p, line = rng.randrange(len(lines[i])), lines[i]
+        lines.append(line[:p] + rng.choice(["", "x" + line[p], "é"]) + line[p + 1:])
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) <= 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:p] + b[p + 1:] == a for p in range(len(b)))
+
+    expected = [i for i, line in enumerate(lines) if any(near(line, other) for other in lines[:i])]
+    made = []
+    monkeypatch.setattr(line_dedup, "landed", lambda df: (made.append(landed(df)), made[-1])[1])
+    found = line_dedup.clean(docs, report=True).where("size(dropped) > 0").collect()
+    assert sorted(r.doc_id for r in found) == expected and 60 < len(expected) < 600
+    if crowd == 32:
+        assert sum(df.count() for df in made if df.columns == ["later", "earlier"]) <= 32 * 6 * len(lines) / 2
+        assert max(df.count() for df in made) < 20_000
+
+
 # Language model
 
 def test_katz(docs):
