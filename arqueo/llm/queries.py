@@ -3,8 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arqueo.llm import exact_dedup, fingerprint, katz, language, line_dedup, mixing, near_join, packing, pages, personal
-from arqueo.llm.common import landed, read, text_of
+from arqueo.llm import (
+    alignment, exact_dedup, fingerprint, katz, language, line_dedup, mixing, near_join, packing, pages, periodic, personal, url_rules,
+)
+from arqueo.llm.common import WORD, landed, read, text_of
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,6 +59,32 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.clean(read(spark, folder, "documents").select("doc_id", "text"), report=True)
 
 
+def op11_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = url_rules.judge(read(spark, folder, "pages").select("page_id", "url"), url_rules.rule_table(spark, URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.compare(read(spark, folder, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Of every tenth document (by hash of the id) the words from one place on are replaced by repetitions of a few of them."""
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    split = docs.select("doc_id", "text", number.alias("h"), F.when((number % 10 == 0) & F.col("text").isNotNull(), F.regexp_extract_all(
+        F.col("text"), F.lit(f"({WORD})"), F.lit(1))).alias("w"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    placed = split.withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, g % F.col("n"))).withColumn(
+        "p", F.expr("1 + (n - a) div (3 + floor(h / 10) % 8)"))
+    words = F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), F.transform(
+        F.sequence(F.col("a"), F.col("n") - 1), lambda i: F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.find(with_planted_runs(read(spark, folder, "documents")), keep_runs=False)
+
+
 JOBS = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -66,6 +96,9 @@ JOBS = {
     "op8_near_join": op8_near_join,
     "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,
+    "op11_url_rules": op11_url_rules,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL = {
@@ -105,4 +138,13 @@ SELECT doc_id, size, source_size, target,
        CASE WHEN source_size = 0 THEN 0 ELSE CAST(
          (budget // source_size) * size + greatest(0, least(size, budget % source_size - start)) AS BIGINT) END AS taken
 FROM p""",
+    "op11_url_rules": r"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path, row_number() OVER () AS n FROM pages),
+r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f AS (
+  SELECT u.n, r.*, row_number() OVER (PARTITION BY u.n ORDER BY length(h || p) DESC, length(h) DESC) AS place
+  FROM u JOIN r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p))
+SELECT page_id, host, path, h || p AS rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN f ON f.n = u.n AND f.place = 1""",
 }
