@@ -7,7 +7,7 @@ both token sequences into groups.
 
 `Table.group_by` counts the id pairs of a chunk, Spark adds the counts up over all chunks and sends each chunk the totals of its own
 pairs, so no task ever holds the pairs of all documents. The aligned chunks are written to the shared folder in between; a
-document's links are kept as places in its chunk's list of pairs. A chunk is a few megabytes of text, or one longer text.
+document's links are kept as places in its chunk's list of pairs. A chunk is `CHUNK_BYTES` of text, or one longer text.
 
 Tokens of A come from the rank form of the vocabulary through `tiktoken`; a text that it cannot split is encoded by `tokenizers`. Strings of
 special tokens in a text are plain text for both.
@@ -34,6 +34,7 @@ from arqueo.llm.packing import encoding, vocabulary_path
 from arqueo.llm.words import chunks
 
 SPACE_MARK = "▁"
+CHUNK_BYTES = 1_500_000  # text aligned at once
 PAIR_BASE = 1 << 32  # a pair of ids is one number: A's id times this, plus B's
 
 
@@ -179,13 +180,15 @@ def align(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = BytePairs(paths[0]), Pieces(paths[1])
         task = TaskContext.get().partitionId() << 32
-        for number, (rows, _, _) in enumerate(chunks(batches)):
+        for number, (rows, _, _) in enumerate(chunks(batches, size=CHUNK_BYTES)):
             table, pairs, counts = align_texts(rows.column(1).to_pylist(), *tokenizers, spell)
             more = [None] * (rows.num_rows - 1)
             table = (table.add_column(0, "chunk", pa.array([task | number] * rows.num_rows)).add_column(1, "doc_id", rows.column(0))
                      .append_column("pairs", pa.array([pairs, *more], pa.list_(pa.int64())))
                      .append_column("counts", pa.array([counts, *more], pa.list_(pa.int64()))))
             yield from table.select(names).combine_chunks().to_batches()
+            del table, pairs, counts
+            pa.default_memory_pool().release_unused()
 
     schema = T.StructType([T.StructField(*f) for f in fields])
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(aligned, schema)
