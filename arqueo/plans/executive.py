@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arqueo import constants as C
 from arqueo.plans.fx import AsOf
 from arqueo.plans.payables import overdue_share
-from arqueo.plans.statements import statement_ratios, working_capital_days
+from arqueo.plans.statements import working_capital_days
 from arqueo.schemas import COP_AMOUNT, ENTITY, USD_TOTAL
 
 
@@ -35,6 +35,5 @@ def top_invoices(summary: DataFrame, size: int = C.TOP_SIZE) -> DataFrame:
 def executive_summary(summary: DataFrame, bills: DataFrame, items: DataFrame, as_of: AsOf) -> DataFrame:
     """``summary`` from `fx_summary`, ``items`` from `statement_items`; one row per entity found in any."""
     payables = overdue_share(bills, as_of)
-    days = working_capital_days(items, payables)
-    statements = statement_ratios(items).join(days, ENTITY)
+    statements = working_capital_days(items, payables, ratios=True)
     return fx_headline(summary).join(payables, ENTITY, "full").join(statements, ENTITY, "full")

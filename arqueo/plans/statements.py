@@ -41,40 +41,31 @@ def _mentions(text: Column, keywords: tuple[str, ...]) -> Column:
     return found
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with one more column that is worked out once per row. Filters on a plain column are moved below it and carry
+    a copy of its expression along; what `explode` gives out stays where it is."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def statement_items(rows: DataFrame) -> DataFrame:
     """Fifteen line items per entity: size of the first non-zero number, in file, sheet and row
     order, on a row that mentions the item; 0 when no row does.
 
-    The row that wins is an aggregate (`min_by` over the row position), so an entity's rows need
-    neither be sorted nor brought together: first within each block of a sheet, where the
-    position is one number and the buffers have a fixed size, then over the blocks. Rows without
-    any mention are dropped before a number is looked for.
+    The text of a row is looked through once, for all keywords; rows without any mention are dropped before their
+    number is looked for, also once. What is left is one row per item, and the row that wins is an aggregate (`min_by` over
+    the row position), so an entity's rows need neither be sorted nor brought together: first within each
+    block of a sheet, where the position is one number and the buffers have a fixed size, then over the blocks.
     """
-    text = _row_text(F.col("cells"))
-    any_mention = None
-    for keywords in C.STATEMENT_KEYWORDS.values():
-        found = _mentions(F.col("__text"), keywords)
-        any_mention = found if any_mention is None else any_mention | found
-    marked = (
-        rows.withColumn("__text", text)
-        .withColumn("__number", F.when(any_mention, F.abs(_row_number(F.col("cells")))))
-        .select(
-            ENTITY, *BLOCK, "__number",
-            *(
-                F.when((F.col("__number") != 0) & _mentions(F.col("__text"), keywords), F.col("row_seq")).alias(f"__row_{i}")
-                for i, keywords in enumerate(C.STATEMENT_KEYWORDS.values())
-            ),
-        )
-    )
-    mentioned = F.coalesce(*(f"__row_{i}" for i in range(len(ITEMS))))
-    blocks = marked.where(mentioned.isNotNull()).groupBy(ENTITY, *BLOCK).agg(
-        *(F.min_by("__number", f"__row_{i}").alias(item) for i, item in enumerate(ITEMS)))
-    place = F.struct(*BLOCK)
-    found = blocks.groupBy(ENTITY).agg(*(
-        F.min_by(item, F.when(F.col(f"`{item}`").isNotNull(), place)).alias(item) for item in ITEMS))
-    entities = rows.select(ENTITY).distinct()  # those without any mention have zeros
-    return entities.join(found, entities[ENTITY].eqNullSafe(found[ENTITY]), "left").select(
-        entities[ENTITY], *(F.coalesce(F.col(f"`{item}`"), F.lit(0.0)).alias(item) for item in ITEMS))
+    mentions = F.array(*(F.when(_mentions(F.col("__text"), words), F.lit(i)) for i, words in enumerate(C.STATEMENT_KEYWORDS.values())))
+    mentioned = _once(_once(rows, "__text", _row_text(F.col("cells"))), "__items", F.array_compact(mentions)).where(F.size("__items") > 0)
+    numbered = _once(mentioned.select(ENTITY, *BLOCK, "row_seq", "cells", "__items"), "__number", F.abs(_row_number(F.col("cells"))))
+    found = numbered.where(F.col("__number") != 0).select(ENTITY, *BLOCK, "row_seq", "__number", F.explode("__items").alias("__item"))
+    blocks = found.groupBy(ENTITY, *BLOCK, "__item").agg(F.min_by("__number", "row_seq").alias("__number"))
+    items = blocks.groupBy(ENTITY, "__item").agg(F.min_by("__number", F.struct(*BLOCK)).alias("__number"))
+    # Every entity has a row, those without any mention with zeros in all items.
+    everyone = rows.select(ENTITY).distinct().select(ENTITY, F.lit(None).cast("int").alias("__item"), F.lit(None).cast("double").alias("__number"))
+    return items.unionByName(everyone).groupBy(ENTITY).agg(*(
+        F.coalesce(F.max(F.when(F.col("__item") == i, F.col("__number"))), F.lit(0.0)).alias(item) for i, item in enumerate(ITEMS)))
 
 
 def statement_items_long(items: DataFrame) -> DataFrame:
@@ -86,12 +77,14 @@ def statement_ratios(items: DataFrame) -> DataFrame:
     return items.select(ENTITY, *(value.alias(name) for name, value in ratios.items()))
 
 
-def working_capital_days(items: DataFrame, payables: DataFrame) -> DataFrame:
-    """DSO, DIO, DPO and the cash cycle per entity. ``payables`` has entity_id and total_cxp."""
+def working_capital_days(items: DataFrame, payables: DataFrame, ratios: bool = False) -> DataFrame:
+    """DSO, DIO, DPO and the cash cycle per entity; the ratios as well if asked for, from the same pass over ``items``.
+    ``payables`` has entity_id and total_cxp."""
     cost = F.col("Costo de Venta")
     owed = F.coalesce(F.col("total_cxp").cast("double"), F.lit(0.0))
+    more = finance.ratio_columns({name: F.col(name) for name in ITEMS}) if ratios else {}
     days = items.join(payables.select(ENTITY, "total_cxp"), ENTITY, "left").select(
-        ENTITY,
+        ENTITY, *(value.alias(name) for name, value in more.items()),
         finance.turnover_days(F.col("Cuentas por Cobrar"), F.col("Ingresos")).alias("dso"),
         finance.turnover_days(F.col("Inventarios"), cost).alias("dio"),
         finance.turnover_days(owed, cost).alias("dpo"),

@@ -126,3 +126,10 @@ def test_results_do_not_depend_on_partitioning(spark):
     one = fx.fx_daily_totals(facturas.coalesce(1), payments.coalesce(1), rates, "2024-01-25").orderBy("fecha").collect()
     many = fx.fx_daily_totals(facturas.orderBy(F.desc("valor_usd")).repartition(7), payments.repartition(11), rates, "2024-01-25").orderBy("fecha").collect()
     assert one == many
+
+
+@pytest.mark.parametrize("name", ["statement_items", "statement_ratios", "executive_summary"])
+def test_a_row_of_a_statement_is_read_once(spark, name):
+    """The search for keywords and numbers stands once in the optimized plan; filters carry no copies of it."""
+    optimized = bound(name)(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("regexp_extract_all") == 1 and optimized.count("COSTOS DE VENTAS") == 1
