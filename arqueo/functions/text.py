@@ -106,19 +106,37 @@ def last_number(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), F.get(numbers, F.lit(0)))
 
 
-def csv_fields(line: Column) -> Column:
-    """Fields of one CSV record. Quotes may hide commas and line breaks; an empty field is NULL.
+# A field of a CSV record with the comma before it: quoted with what may follow the closing quote, or else all up to the next comma.
+_FIELD = r',("[^"]*+(?:""[^"]*+)*+"[^,]*+|[^,]*+)'
+_QUOTED = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"(.*+)$'
+_START, _PLAIN, _INSIDE, _CLOSED = range(4)  # where a quote may stand: at the start of a field, in a bare one, in a quoted one, after a quote there
+
+
+def ends_quoted(line: Column, inside: bool = False) -> Column:
+    """Whether a quoted field is still open at the end of a line that starts at the start of a record, or ``inside`` a quoted field.
 
-    Between one quote and the next everything is either outside or inside, so commas are marked part by part:
-    one pass over the record however many quotes it has.
+    A quote opens a field only at its start; anywhere else in a bare field it is a character like any other.
     """
-    mark = "\x00"
-    parts = F.transform(F.split(line, '"', -1), lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit(","), F.lit(mark))).otherwise(part))
+    parts = F.split(line, '"', -1)
+
+    def next_quote(state: Column, part: Column) -> Column:
+        at = F.when((state == _INSIDE) | ((part == "") & (state != _PLAIN)), state).when(F.endswith(part, F.lit(",")), _START).otherwise(_PLAIN)
+        return F.when((at == _START) | (at == _CLOSED), F.lit(_INSIDE)).when(at == _INSIDE, F.lit(_CLOSED)).otherwise(F.lit(_PLAIN))
+
+    first = F.lit(_INSIDE if inside else _START)
+    before_last = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    return F.when(F.contains(line, F.lit('"')), F.aggregate(before_last, first, next_quote) == _INSIDE).otherwise(F.lit(inside))
 
-    def unquote(field: Column) -> Column:
-        bare = clean(field)
-        quoted = (F.length(bare) > 1) & F.startswith(bare, F.lit('"')) & F.endswith(bare, F.lit('"'))
-        inner = F.when(quoted, F.substr(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
-        return F.nullif(F.replace(inner, F.lit('""'), F.lit('"')), F.lit(""))
 
-    return F.transform(F.split(F.array_join(parts, '"'), mark, -1), unquote)
+def csv_fields(line: Column) -> Column:
+    """Fields of one CSV record, without the spaces around them; an empty field is NULL.
+
+    A quote at the start of a field hides commas and line breaks up to the closing quote; a doubled one inside is a quote. Any other
+    quote, and one that is never closed, stands for itself.
+    """
+    def bare(field: Column) -> Column:
+        quoted = F.startswith(field, F.lit('"')) & field.rlike(_QUOTED)
+        inner = F.concat(F.replace(F.regexp_extract(field, _QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_extract(field, _QUOTED, 2))
+        return F.nullif(clean(F.when(quoted, inner).otherwise(field)), F.lit(""))
+
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1)), bare)

@@ -31,7 +31,7 @@ def _no_rates() -> Column:
 def daily_rates(intervals: DataFrame, start: Column, end: Column) -> DataFrame:
     """One rate per day of ``[start, end]`` from the first source, by ``prioridad``, that can be used.
 
-    Intervals are cut to the range before they unfold into days. A source with an unreadable or
+    Intervals are cut to the range. A source with an unreadable or
     missing rate in the range, or with an unreadable date anywhere, is passed over whole; `rate_rejects` lists
     why. Days covered twice take the record that starts last. No usable source is an error for
     whatever reads the rates, even if it would look up no day.
@@ -47,18 +47,43 @@ def daily_rates(intervals: DataFrame, start: Column, end: Column) -> DataFrame:
         .agg(F.bool_and(~F.col("__undated") & F.col("trm").isNotNull()).alias("legible"))
         .where("legible").agg(F.min("prioridad")).scalar()
     )
-    days = (
-        found.where(~F.col("__undated") & (F.col("prioridad") == usable))
-        .select("trm", "vigenciadesde", "vigenciahasta", F.explode(F.sequence("desde", "hasta")).alias("fecha"))
-        .groupBy("fecha")
-        .agg(F.max_by("trm", F.struct("vigenciadesde", "vigenciahasta", "trm")).alias("trm"))
-    )
+    days = _latest_start(found.where(~F.col("__undated") & (F.col("prioridad") == usable)), start, end)
     # A row that never comes out: asking for it is what raises the error.
     guard = intervals.sparkSession.range(1).where(F.coalesce(usable, _no_rates().cast("int")).isNull())
     none = guard.select(*(F.lit(None).cast(field.dataType).alias(field.name) for field in days.schema.fields))
     return days.unionByName(none)
 
 
+# Stretches of 2^k days, k up to here, hold every day the DATE type knows.
+_LEVELS = 22
+_ORIGIN = "DATE'0001-01-01'"
+
+
+def _latest_start(intervals: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Days of ``[start, end]`` with the rate of the interval (``desde`` to ``hasta``) around them that starts last, then ends last.
+
+    An interval is cut into the few stretches of 2^k days, at multiples of 2^k, that make it up: at most two of each size, however
+    long it is. The best interval of each stretch is an aggregate, and a day asks the one stretch of each size that holds it. So
+    long intervals on top of each other cost their number times the logarithm of their length and not their days.
+    """
+    low, high = "shiftright(__desde + shiftleft(1, k) - 1, k)", "shiftright(__hasta, k)"
+    cut = (
+        f"filter(flatten(transform(sequence(0, {_LEVELS}), k -> array("
+        f"named_struct('k', k, 'n', if({low} < {high} AND {low} % 2 = 1, {low}, null)),"
+        f"named_struct('k', k, 'n', if({high} % 2 = 1 AND {low} + {low} % 2 < {high}, {high} - 1, null))))), s -> s.n IS NOT NULL)"
+    )
+    numbered = intervals.withColumns({"__desde": F.expr(f"datediff(desde, {_ORIGIN})"), "__hasta": F.expr(f"datediff(hasta, {_ORIGIN}) + 1")})
+    best = numbered.select("trm", "vigenciadesde", "vigenciahasta", F.explode(F.expr(cut)).alias("s")).groupBy("s.k", "s.n").agg(
+        F.max(F.struct("vigenciadesde", "vigenciahasta", "trm")).alias("mejor"))
+    largest = best.agg(F.max("k")).scalar()
+    asked = (
+        intervals.sparkSession.range(1).select(F.explode(F.when(start <= end, F.sequence(start, end))).alias("fecha"))
+        .select("fecha", F.expr(f"datediff(fecha, {_ORIGIN})").alias("dia"), F.explode(F.sequence(F.lit(0), F.coalesce(largest, F.lit(0)))).alias("k"))
+        .select("fecha", "k", F.expr("shiftright(dia, k)").alias("n"))
+    )
+    return asked.join(best, ["k", "n"]).groupBy("fecha").agg(F.max("mejor").alias("mejor")).select("fecha", F.col("mejor.trm").alias("trm"))
+
+
 def rate_rejects(intervals: DataFrame) -> DataFrame:
     """Intervals that discredit their source, with the reason."""
     reason = F.when(rate_number(F.col("valor")).isNull(), "valor ilegible").when(

@@ -147,13 +147,12 @@ def _priced(facturas: DataFrame, rates: DataFrame, end: Column, newest_if_older:
 
 
 def _timeline(
-    facturas: DataFrame, monetizaciones: DataFrame, rates: DataFrame, end: Column, newest_if_older: bool = False,
+    facturas: DataFrame, daily: DataFrame, rates: DataFrame, end: Column, newest_if_older: bool = False,
 ) -> DataFrame:
-    """Dated invoices with their rate and payment split, one row per payment day from the invoice date on.
+    """Dated invoices with their rate and payment split, one row per payment day (``daily``, dated) from the invoice date on.
 
     An invoice without such a day has one row with NULL in the columns of the payment curve.
     """
-    daily = daily_payments(monetizaciones)
     priced = _priced(facturas, rates, end, newest_if_older)
     split = split_by_invoice_date(facturas.where(F.col("fecha_factura").isNotNull()), daily)
     rows = skew_join(priced, split, [*INVOICE_KEY, "fecha_factura"], "left")
@@ -170,16 +169,89 @@ def _first_of_invoice() -> Column:
     return F.col("fecha").isNull() | (F.col("fecha") == F.col("primer_pago"))
 
 
-def fx_daily_totals(facturas: DataFrame, monetizaciones: DataFrame, rates: DataFrame, as_of: AsOf) -> DataFrame:
-    """Portfolio series: balance and differences per entity and rate day.
+_INVOICES_PER_PART = 1_000_000  # distinct invoices of one number that a task sweeps over
+_CHANGES = {"saldo": USD_TOTAL, "saldo_con_tasa": USD_TOTAL, "saldo_por_tasa": COP_AMOUNT, "dif_anticipos": COP_AMOUNT, "realizada": COP_AMOUNT}
 
-    The balance of an invoice only changes on its own date and on its payment days, so the job
-    adds up changes instead of writing a row per invoice and day. They are summed per entity and
-    day before any shuffle. Balance x rate splits into rate(day) * sum(balance) minus
-    sum(balance * invoice rate). Invoices without a rate count in the balance only.
+
+def _swept_changes(priced: DataFrame, daily: DataFrame) -> DataFrame:
+    """Changes of balance and differences by entity and day, for numbers whose payments never take money back.
+
+    The balance of an invoice is its value less what the number has paid by then, so it closes on the first day on which the
+    payments reach its value. On a line of invoices and payment days by value that day is the least one at or above the invoice.
+    An invoice is then an opening and a closing event, and a payment changes the balance by its amount times the number of
+    invoices open, which is a running sum: N invoices and D payment days of one number give N + D rows, never N x D.
+
+    Equal invoices count as one with a multiplicity. A number with very many invoices is dealt out to parts, each with all payment
+    days of the number (which the calendar bounds); the changes of the parts add up. The list of such numbers is
+    broadcast: it has at most one row per `_INVOICES_PER_PART` invoices.
     """
-    end = day(as_of)
-    rows = _timeline(facturas, monetizaciones.where(F.col("fecha") <= end), rates, end)
+    invoices = priced.groupBy(*INVOICE_KEY, "fecha_factura", "valor_usd", "trm_factura").agg(F.count(F.lit(1)).alias("veces"))
+    many = F.broadcast(
+        invoices.where(F.col("factura").isNotNull()).groupBy(*INVOICE_KEY)
+        .agg(F.ceil(F.count(F.lit(1)) / _INVOICES_PER_PART).alias("partes")).where("partes > 1"))
+    spread = F.xxhash64("fecha_factura", "valor_usd")
+    part = F.when(F.col("factura").isNull(), spread).otherwise(F.pmod(spread, F.coalesce("partes", F.lit(1))))
+    dealt = invoices.join(many, list(INVOICE_KEY), "left").select(
+        *INVOICE_KEY, part.alias("parte"), F.col("fecha_factura").alias("dia"), F.lit(0).alias("tipo"),
+        F.col("valor_usd").cast(USD_TOTAL).alias("valor"), F.col("trm_factura").alias("trm"), "veces")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("partes", F.lit(1)) - 1))
+    paid = daily.join(many, list(INVOICE_KEY), "left").select(
+        *INVOICE_KEY, copies.alias("parte"), F.col("fecha").alias("dia"), F.lit(1).alias("tipo"), "usd", "usd_con_tasa", "cop")
+    number = W.partitionBy(*INVOICE_KEY, "parte")
+    # Payments of the day of an invoice come after it, so up to an invoice the sums are those before its day.
+    upto = number.orderBy("dia", "tipo").rowsBetween(W.unboundedPreceding, 0)
+    by_level = number.orderBy(F.desc("nivel"), F.desc("tipo")).rowsBetween(W.unboundedPreceding, 0)
+    kinds = {"usd": USD_TOTAL, "usd_con_tasa": USD_TOTAL, "cop": COP_AMOUNT}
+    line = dealt.unionByName(paid, allowMissingColumns=True).withColumns({
+        **{f"antes_{name}": F.coalesce(F.sum(name).over(upto), F.lit(0)).cast(kind) for name, kind in kinds.items()},
+        "menor": F.min("usd").over(number),
+    }).withColumn("nivel", F.coalesce("valor", "antes_usd"))
+    payment = F.when(F.col("tipo") == 1, F.struct("dia", _usd(F.col("antes_usd") - F.col("usd")).alias("antes")))
+    line = line.withColumn("cierre", F.min(payment).over(by_level)).where(F.coalesce("menor", F.lit(0)) >= 0)
+    times, trm = F.col("veces"), F.col("trm")
+    opens = F.col("antes_usd") < F.col("valor")
+    rated = F.when(trm.isNotNull(), times).otherwise(F.lit(0).cast("long"))
+    rates_of = F.coalesce(_cop(trm * times), F.lit(0).cast(COP_AMOUNT))
+
+    def event(day: Column, kind: int, sign: int, there: Column, balance: Column, advances: Column) -> Column:
+        """A change on its own day; ``there`` says whether the invoice joins or leaves those that payments reduce."""
+        none = F.lit(0).cast("long")
+        change = _usd(F.when(there, times * balance).otherwise(F.lit(0)))
+        return F.struct(
+            day.alias("fecha"), F.lit(kind).alias("orden"), change.alias("saldo"), F.when(trm.isNotNull(), change).alias("saldo_con_tasa"),
+            _cop(change * trm).alias("saldo_por_tasa"), _cop(times * advances).alias("dif_anticipos"),
+            F.when(there, sign * times).otherwise(none).alias("abiertas"), F.when(there, sign * rated).otherwise(none).alias("abiertas_con_tasa"),
+            _cop(F.when(there, sign * rates_of).otherwise(F.lit(0))).alias("tasas"),
+            *(((value if sign > 0 else F.lit(0)).cast(kind_)).alias(name) for name, value, kind_ in (
+                ("todas", times, "long"), ("todas_con_tasa", rated, "long"), ("todas_tasas", rates_of, COP_AMOUNT))),
+            *(F.lit(None).cast(USD_TOTAL if name != "cop" else COP_AMOUNT).alias(name) for name in ("usd", "usd_con_tasa", "cop")),
+        )
+
+    start = event(F.col("dia"), 0, 1, opens, F.col("valor") - F.col("antes_usd"), trm * F.col("antes_usd_con_tasa") - F.col("antes_cop"))
+    end = event(F.col("cierre.dia"), 0, -1, opens, F.col("cierre.antes") - F.col("valor"), F.lit(0))
+    nothing = {name: F.lit(0).cast(kind) for name, kind in (
+        ("saldo", USD_TOTAL), ("saldo_con_tasa", USD_TOTAL), ("saldo_por_tasa", COP_AMOUNT), ("dif_anticipos", COP_AMOUNT), ("abiertas", "long"),
+        ("abiertas_con_tasa", "long"), ("tasas", COP_AMOUNT), ("todas", "long"), ("todas_con_tasa", "long"), ("todas_tasas", COP_AMOUNT))}
+    pays = F.struct(F.col("dia").alias("fecha"), F.lit(1).alias("orden"), *(value.alias(name) for name, value in nothing.items()), "usd", "usd_con_tasa", "cop")
+    both = F.when(F.col("tipo") == 1, F.array(pays)).when(opens & F.col("cierre").isNotNull(), F.array(start, end)).otherwise(F.array(start))
+    events = line.select(*INVOICE_KEY, "parte", F.explode(both).alias("e")).select(*INVOICE_KEY, "parte", "e.*")
+    past = number.orderBy("fecha", "orden").rowsBetween(W.unboundedPreceding, 0)
+    events = events.withColumns({f"__{name}": F.sum(name).over(past) for name in ("abiertas", "abiertas_con_tasa", "tasas", "todas", "todas_con_tasa", "todas_tasas")})
+    usd, is_payment = F.col("usd"), F.col("orden") == 1
+    return events.where(~is_payment | (F.col("__todas") > 0)).select(
+        ENTITY, "fecha",
+        _usd(F.when(is_payment, -usd * F.col("__abiertas")).otherwise(F.col("saldo"))).alias("saldo"),
+        _usd(F.when(is_payment, -usd * F.col("__abiertas_con_tasa")).otherwise(F.col("saldo_con_tasa"))).alias("saldo_con_tasa"),
+        _cop(F.when(is_payment, -usd * F.col("__tasas").cast(COP_AMOUNT)).otherwise(F.col("saldo_por_tasa"))).alias("saldo_por_tasa"),
+        "dif_anticipos",
+        _cop(F.when(is_payment, F.col("cop") * F.col("__todas_con_tasa") - F.col("usd_con_tasa") * F.col("__todas_tasas").cast(COP_AMOUNT))).alias("realizada"),
+    )
+
+
+def _paired_changes(facturas: DataFrame, daily: DataFrame, rates: DataFrame, end: Column) -> DataFrame:
+    """The same changes from a row per invoice and payment day. Only for numbers with days on which payments are taken back: there an
+    invoice may open again."""
+    rows = _timeline(facturas, daily, rates, end)
     trm, value = F.col("trm_factura"), F.col("valor_usd")
 
     def change(date: str, balance: Column, advances: Column, realized: Column) -> Column:
@@ -197,15 +269,29 @@ def fx_daily_totals(facturas: DataFrame, monetizaciones: DataFrame, rates: DataF
         .when(_first_of_invoice(), F.array(start, payment)).otherwise(F.array(payment))
     )
     rows = rows.select(ENTITY, "trm_factura", F.explode(both).alias("c")).select(ENTITY, "trm_factura", "c.*")
-    rated = F.when(trm.isNotNull(), F.col("saldo"))
-    changes = rows.groupBy(ENTITY, "fecha").agg(
-        F.sum("saldo").cast(USD_TOTAL).alias("saldo"),
-        F.sum(rated).cast(USD_TOTAL).alias("saldo_con_tasa"),
-        F.sum(_cop(F.col("saldo") * trm)).cast(COP_AMOUNT).alias("saldo_por_tasa"),
-        F.sum("dif_anticipos").cast(COP_AMOUNT).alias("dif_anticipos"),
-        F.sum("realizada").cast(COP_AMOUNT).alias("realizada"),
+    return rows.select(
+        ENTITY, "fecha", "saldo", F.when(trm.isNotNull(), F.col("saldo")).alias("saldo_con_tasa"),
+        _cop(F.col("saldo") * trm).alias("saldo_por_tasa"), "dif_anticipos", "realizada",
     )
 
+
+def fx_daily_totals(facturas: DataFrame, monetizaciones: DataFrame, rates: DataFrame, as_of: AsOf) -> DataFrame:
+    """Portfolio series: balance and differences per entity and rate day.
+
+    The balance of an invoice only changes on its own date and on its payment days, so the job
+    adds up changes instead of writing a row per invoice and day; see `_swept_changes`. They are summed per entity and
+    day before they move. Balance x rate splits into rate(day) * sum(balance) minus
+    sum(balance * invoice rate). Invoices without a rate count in the balance only.
+    """
+    end = day(as_of)
+    payments = monetizaciones.where(F.col("fecha") <= end)
+    daily = daily_payments(payments)
+    taken_back = daily.groupBy(*INVOICE_KEY).agg(F.min("usd").alias("menor")).where("menor < 0").select(*INVOICE_KEY)
+    back = list(INVOICE_KEY)
+    swept = _swept_changes(_priced(facturas, rates, end, False), daily)
+    paired = _paired_changes(facturas.join(taken_back, back, "left_semi"), daily.join(taken_back, back, "left_semi"), rates, end)
+    changes = swept.unionByName(paired).groupBy(ENTITY, "fecha").agg(*(F.sum(name).cast(kind).alias(name) for name, kind in _CHANGES.items()))
+
     # Lay the rate days into the time line of each entity: its first change also unfolds the days, which then look up their rate.
     limits = rates.agg(F.struct(F.min("fecha").alias("primera"), F.max("fecha").alias("ultima"))).scalar()
     measures = [name for name in changes.columns if name not in (ENTITY, "fecha")]
@@ -250,7 +336,7 @@ def fx_balance_spans(
     are left out here, `fx_daily_detail` adds them as zeros.
     """
     end = day(as_of)
-    rows = _timeline(facturas, monetizaciones.where(F.col("fecha").isNotNull()), rates, end, newest_if_older)
+    rows = _timeline(facturas, daily_payments(monetizaciones.where(F.col("fecha").isNotNull())), rates, end, newest_if_older)
     totals = ("usd", "usd_con_tasa", "cop")
 
     def span(start: str, next_change: str, prefix: str) -> Column:

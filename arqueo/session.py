@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def local_session(app: str, cores: int | str = 8, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")

@@ -7,7 +7,7 @@ from arqueo import constants as C
 from arqueo.functions import text
 from arqueo.schemas import DEFAULT_ENTITY, ENTITY
 from arqueo.sources import columns as col
-from arqueo.sources.text_files import headers, read_lines, with_header
+from arqueo.sources.text_files import OPEN_QUOTE, headers, read_lines, unclosed, with_header
 
 
 def normal_header(name: str) -> str:
@@ -50,18 +50,22 @@ def prepare_bills(raw: DataFrame) -> DataFrame:
     )
 
 
-def bill_rejects(raw: DataFrame) -> DataFrame:
-    """The rows that `prepare_bills` drops, as they came, with the reason in ``motivo``."""
-    df = normalize_headers(raw)
-    col.require(df, C.BILL_COLUMNS, "compras")
+def _reason(df: DataFrame) -> Column:
+    """Why a row of bills cannot be used, NULL if it can."""
     created = text.clean(F.col("GENERACIO").cast("string"))
-    reason = (
+    return (
         F.when(created.isNull() | (created == ""), "sin GENERACIO").when(F.col("PROVEEDOR").isNull(), "sin PROVEEDOR")
         .when(col.date(df, "GENERACIO", day_first=True).isNull(), "GENERACIO ilegible")
         .when(col.date(df, "VENCIMIENTO", day_first=True).isNull(), "VENCIMIENTO ilegible")
         .when(col.money(df, "VALOR").isNull(), "VALOR ilegible")
     )
-    return df.withColumn("motivo", reason).where(F.col("motivo").isNotNull())
+
+
+def bill_rejects(raw: DataFrame) -> DataFrame:
+    """The rows that `prepare_bills` drops, as they came, with the reason in ``motivo``."""
+    df = normalize_headers(raw)
+    col.require(df, C.BILL_COLUMNS, "compras")
+    return df.withColumn("motivo", _reason(df)).where(F.col("motivo").isNotNull())
 
 
 def union_bills(tables: list[DataFrame]) -> tuple[DataFrame | None, list[tuple[int, str]]]:
@@ -96,11 +100,8 @@ def _bill_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return with_header(read_lines(spark, paths)).withColumns({"nombres": names, "completo": complete})
 
 
-def read_bills(spark: SparkSession, paths: str | list[str], entity: str = DEFAULT_ENTITY) -> DataFrame:
-    """Bills of all files whose header has the required columns; other columns go into the map ``extras``.
-
-    The same column name twice in a file: the first one counts.
-    """
+def _bill_rows(spark: SparkSession, paths: str | list[str], entity: str) -> DataFrame:
+    """The records of all files whose header has the required columns, cells as text."""
     lines = _bill_lines(spark, paths).where("completo")
 
     def field(name: str) -> Column:
@@ -114,7 +115,16 @@ def read_bills(spark: SparkSession, paths: str | list[str], entity: str = DEFAUL
         lambda e: F.struct(e["p"]["n"], e["p"]["v"]),
     ))
     company = F.coalesce(field(ENTITY.upper()), F.lit(entity)).alias(ENTITY)
-    rows = lines.select(company, *(field(name) for name in C.BILL_COLUMNS), extras.alias("extras"), "archivo")
+    return lines.select(company, *(field(name) for name in C.BILL_COLUMNS), extras.alias("extras"), "archivo", "bloque", "linea")
+
+
+def read_bills(spark: SparkSession, paths: str | list[str], entity: str = DEFAULT_ENTITY) -> DataFrame:
+    """Bills of all files whose header has the required columns; other columns go into the map ``extras``.
+
+    The same column name twice in a file: the first one counts. What is not here is in `bill_line_rejects` (records) or
+    `bill_file_rejects` (whole files).
+    """
+    rows = _bill_rows(spark, paths, entity)
     return (
         _keep_named(rows)
         .select(
@@ -126,8 +136,34 @@ def read_bills(spark: SparkSession, paths: str | list[str], entity: str = DEFAUL
     )
 
 
+def bill_line_rejects(spark: SparkSession, paths: str | list[str], entity: str = DEFAULT_ENTITY) -> DataFrame:
+    """The records that `read_bills` drops, cells as text, with the reason in ``motivo`` and their place in the file."""
+    rows = _bill_rows(spark, paths, entity)
+    return rows.withColumn("motivo", _reason(rows)).where(F.col("motivo").isNotNull())
+
+
 def bill_file_rejects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files passed over, with the columns they lack."""
+    """Files passed over, with the columns they lack (``faltan``) and the reason."""
     header = headers(read_lines(spark, paths))
     missing = F.array_except(F.array(*map(F.lit, C.BILL_COLUMNS)), _names(F.col("encabezado")))
-    return header.select("archivo", missing.alias("faltan")).where(F.size("faltan") > 0)
+    lacking = header.select("archivo", missing.alias("faltan"), F.lit("faltan columnas").alias("motivo")).where(F.size("faltan") > 0)
+    return lacking.unionByName(unclosed(spark, paths).select(
+        "archivo", F.array().cast("array<string>").alias("faltan"), F.lit(OPEN_QUOTE).alias("motivo")))
+
+
+def with_extra_columns(bills: DataFrame) -> DataFrame:
+    """``bills`` from `read_bills` with a column for each name in ``extras``, NULL where a file does not have it.
+
+    A column of which every value reads as a number is DECIMAL(38,6), one of which every value reads as a day is DATE, others are
+    text. One aggregate finds names and types; it has a row per column name, which is all that comes to the driver.
+    """
+    value = text.clean(F.col("valor"))
+    given = bills.select(F.explode("extras").alias("nombre", "valor")).where(value != "")
+    kinds = given.groupBy("nombre").agg(
+        F.bool_and(value.try_cast("decimal(38,6)").isNotNull()).alias("numero"), F.bool_and(text.to_day(value, True).isNotNull()).alias("dia")).collect()
+    columns = []
+    for row in sorted(kinds):
+        cell = text.clean(F.try_element_at("extras", F.lit(row["nombre"])))
+        typed = cell.try_cast("decimal(38,6)") if row["numero"] else text.to_day(cell, True) if row["dia"] else cell
+        columns.append(typed.alias(row["nombre"]))
+    return bills.select(*(c for c in bills.columns if c != "extras"), *columns)

@@ -51,9 +51,22 @@ def save_plan(path: str, plan: DataFrame) -> None:
 
 
 def append_closes(path: str, closes: DataFrame, ledger: DataFrame) -> None:
-    """Add the weeks that are not in the ledger yet; running it twice adds them once. Of two closes of one week
-    the one with the smaller net flow counts, then the smaller income."""
+    """Add the weeks that are not in the ledger yet. Of two closes of one week the one with the smaller net flow counts, then
+    the smaller income.
+
+    The ledger has a partition per company and week, and a commit replaces the partitions it writes. So a repeated run, a retry
+    after a commit that broke off, and a second writer that did not see the first leave one row per company and week; of two
+    writers at the same time the later commit counts. `read_ledger` reads it back.
+    """
     order = F.struct("flujo_neto_real", "ingresos_reales", "egresos_reales", "semana")
     rows = F.struct(*closes.columns)
     single = closes.groupBy(ENTITY, "week_start").agg(F.min_by(rows, order).alias("c")).select("c.*")
-    not_yet_closed(single, ledger).write.mode("append").parquet(path)
+    (
+        not_yet_closed(single, ledger).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(ENTITY, "week_start").parquet(path)
+    )
+
+
+def save_plan_documents(path: str, documents: DataFrame) -> None:
+    """One JSON object per company and line, as `read_plan_documents` takes them (with ``multi_line=False``)."""
+    documents.select(F.to_json(F.struct(*documents.columns)).alias("value")).write.mode("overwrite").text(path)

@@ -2,7 +2,7 @@
 as-of joins instead of a calendar join, joins per payment instead of running totals."""
 
 from arqueo import constants as C
-from checks.queries import CHOSEN_RISKS, CHOSEN_SUPPLIERS, CYCLE_STEPS, LOAN_TERMS, SPREADS
+from checks.queries import CHOSEN_RISKS, CHOSEN_SUPPLIERS, CYCLE_STEPS, LAYERED, LOAN_TERMS, SPREADS
 from checks.tables import BILLS_AS_OF, FX_AS_OF, STATEMENT_LABELS
 
 FX_DAY, BILL_DAY = f"DATE '{FX_AS_OF}'", f"DATE '{BILLS_AS_OF}'"
@@ -41,7 +41,7 @@ NEEDS = {
     "cruce": ("facturas", "pagos_usd"), "resumen": ("con_tasa", "ultimas", "cruce"), "tramos": ("con_tasa", "pagos_usd"),
     "denso": ("tramos", "trm"), "tramos_n": ("con_tasa_n", "pagos_usd"), "denso_n": ("tramos_n", "trm"), "edad": ("compras",), "pagadas": ("compras",), "abiertas": ("compras", "pagadas"),
     "cierres": ("reales",), "libro": ("cierres",), "numeros": ("filas",), "partidas": ("numeros",),
-    "numeros_e": ("filas_e",), "partidas_e": ("numeros_e",), "deuda": ("compras",), "dias_e": ("partidas_e", "deuda"),
+    "numeros_m": ("filas_m",), "partidas_m": ("numeros_m",), "numeros_e": ("filas_e",), "partidas_e": ("numeros_e",), "deuda": ("compras",), "dias_e": ("partidas_e", "deuda"),
     "semanas": ("abiertas",), "cuotas": ("prestamos",), "cobro": ("resumen", "ultimas"),
     "con_tasa_n": ("con_tasa", "ultimas"), "movs": ("con_tasa_n", "pagos_usd", "trm"),
 }
@@ -228,10 +228,15 @@ TABLES = {
     "cierres": """SELECT entity_id, w, strftime(w, '%d/%m') || ' - ' || strftime(w + 6, '%d/%m') AS semana, a + b + c AS entra,
         d + e + f + g AS sale, a + b + c - d - e - f - g AS neto FROM reales""",
     "libro": "SELECT * FROM cierres WHERE w < CASE WHEN CAST(entity_id AS INTEGER) % 2 = 0 THEN DATE '1999-06-28' ELSE DATE '1999-06-14' END",
+    "archivos": """SELECT l_orderkey AS k, l_suppkey AS p, l_linenumber AS n, l_quantity AS q, CAST(l_extendedprice AS DECIMAL(18,2)) AS v, CAST(o_orderdate AS DATE) AS g,
+        CAST(o_orderdate AS DATE) + 15 * l_linenumber AS ve, CASE WHEN l_orderkey % 4 = 1 AND l_orderkey % 23 = 0 THEN 'sin PROVEEDOR' WHEN l_orderkey % 29 = 0 THEN 'VALOR ilegible' END AS motivo
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "hoja": """SELECT *, CASE WHEN k % 31 = 0 THEN 'sin GENERACIO' WHEN k % 23 = 0 THEN 'sin PROVEEDOR' WHEN k % 37 = 0 THEN 'GENERACIO ilegible'
         WHEN k % 41 = 0 THEN 'VENCIMIENTO ilegible' WHEN k % 29 = 0 THEN 'VALOR ilegible' END AS motivo
         FROM (SELECT l_orderkey AS k, l_suppkey AS p, CAST(l_extendedprice AS DECIMAL(18,2)) AS v, CAST(o_orderdate AS DATE) AS g, CAST(o_orderdate AS DATE) + 15 * l_linenumber AS ve
           FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
+    "filas_m": f"SELECT * REPLACE (CAST(f AS INTEGER) * 7 % 11 AS f) FROM ({statement_rows('o_orderkey % 5')}) WHERE CAST(f AS INTEGER) * 7 % 11 <> 3",
+    "numeros_m": statement_numbers("filas_m"), "partidas_m": items("numeros_m"),
     "filas": statement_rows("o_custkey"), "filas_e": statement_rows("o_orderkey % 5"),
     "numeros": statement_numbers("filas"), "numeros_e": statement_numbers("filas_e"),
     "partidas": items("numeros"), "partidas_e": items("numeros_e"),
@@ -280,6 +285,10 @@ def scenario_rows(rows, names: str) -> str:
 
 SQL: dict[str, str] = {
     "rate_intervals_to_days": with_("trm", f"SELECT {d('fecha')} AS fecha, {m('trm', 4)} AS trm FROM trm"),
+    "rate_layered_intervals_to_days": f"""SELECT strftime(fecha, '%Y-%m-%d') AS fecha, CAST(arg_max(t, (a, b, t)) AS DOUBLE) AS trm FROM (
+        SELECT CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 17 = 0 THEN -3 WHEN o_orderkey % 101 = 0 THEN 900 ELSE o_orderkey % 9 END AS INTEGER) AS b, 3000 + o_orderkey % 997 AS t
+        FROM orders WHERE year(o_orderdate) <> 1996 AND o_orderkey % 5 = 0)
+        JOIN (SELECT CAST(unnest(generate_series(DATE '{LAYERED[0]}', DATE '{LAYERED[1]}', INTERVAL 1 DAY)) AS DATE) AS fecha) ON fecha BETWEEN a AND b GROUP BY fecha""",
     "rate_filled_calendar": with_("trm", f"""SELECT {d('x.dia')} AS fecha, {m('trm', 4)} AS trm FROM (
         SELECT CAST(unnest(generate_series((SELECT min(fecha) FROM trm), {FX_DAY}, INTERVAL 1 DAY)) AS DATE) AS dia) x ASOF JOIN trm ON x.dia >= trm.fecha"""),
     "rate_text_to_number": with_("publicadas", f"""SELECT {d('dia')} AS vigenciadesde, {d('fin')} AS vigenciahasta,
@@ -357,6 +366,11 @@ SQL: dict[str, str] = {
         WHERE PROVEEDOR IN ({', '.join(map(text, CHOSEN_SUPPLIERS))}) AND RIESGO IN ({', '.join(map(text, CHOSEN_RISKS))})"""),
     "payables_bills_from_text": with_("hoja", f"""SELECT 'default' AS entity_id, 'P' || p AS PROVEEDOR, CAST(k AS VARCHAR) AS FACTURA, {m('v')} AS VALOR,
         {d('g')} AS GENERACIO, {d('ve')} AS VENCIMIENTO FROM hoja WHERE motivo IS NULL"""),
+    "payables_bills_from_files": with_("archivos", f"""SELECT 'default' AS entity_id, 'P' || p AS PROVEEDOR, CAST(k AS VARCHAR) AS FACTURA, {m('v')} AS VALOR, {d('g')} AS GENERACIO, {d('ve')} AS VENCIMIENTO,
+        CASE WHEN k % 4 = 3 THEN 'Tubo ' || n || '" pvc' WHEN k % 4 = 0 AND n % 2 = 0 THEN 'dos,' || chr(10) || 'renglones "' || n || '"' WHEN k % 4 = 0 THEN CAST(n AS VARCHAR) END AS NOTA,
+        CASE WHEN k % 4 = 1 THEN q END AS CANTIDAD FROM archivos WHERE motivo IS NULL AND k % 4 <> 2"""),
+    "payables_rejects_of_files": with_("archivos", """SELECT ['a', 'b', 'c', 'd'][CAST(k % 4 + 1 AS BIGINT)] AS carpeta, motivo, count(*) AS filas FROM archivos WHERE motivo IS NOT NULL AND k % 4 <> 2 GROUP BY ALL
+        UNION ALL SELECT 'c', 'faltan columnas: VENCIMIENTO', 1"""),
     "payables_rows_that_go": with_("hoja", "SELECT motivo, count(*) AS filas FROM hoja WHERE motivo IS NOT NULL GROUP BY 1"),
     "payables_short_credit_overdue": with_("edad", f"SELECT {AGED} FROM edad WHERE DIAS_CREDITO < 60 AND VENCIDA"),
     "payables_payment_form": with_("edad", f"SELECT {SHORT_BILL}, false AS PAGAR, RIESGO FROM edad"),
@@ -379,11 +393,17 @@ SQL: dict[str, str] = {
         AND l.w = CAST(date_trunc('week', {BILL_DAY}) AS DATE) - 7) AS cerrada FROM cierres c"""),
     "cash_ledger_history": with_("cierres", f"""SELECT entity_id, {d('w')} AS week_start, semana AS "Semana", {m('entra')} AS "Ingresos Reales", {m('sale')} AS "Egresos Reales",
         {m('neto')} AS "Flujo Neto Real" FROM cierres"""),
+    "cash_ledger_after_repeated_closes": with_("cierres", f"SELECT {LEDGER}, {m('entra')} AS ingresos_reales, {m('sale')} AS egresos_reales, {m('neto')} AS flujo_neto_real FROM cierres"),
+    "cash_plan_from_documents": with_("plan", f"""SELECT entity_id, week, {m("(SELECT max(saldo_inicial) FROM plan p WHERE p.entity_id = plan.entity_id)")} AS saldo_inicial,
+        {", ".join(f"{m(name)} AS {name}" for name in ("ordinarios", "extra", "f_serv", "f_arr", "f_otr", "n_sue", "n_ss"))} FROM plan"""),
+    "cash_ledger_from_documents": with_("libro", f"SELECT {LEDGER}, {m('entra')} AS ingresos_reales, {m('sale')} AS egresos_reales, {m('neto')} AS flujo_neto_real FROM libro"),
+    "cash_documents_that_go": """SELECT '{"entity_id": "n' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '", "S1": ' ELSE '", "S1": {"extra": "mucho"}}' END AS documento FROM nation""",
     "cash_ledger_totals": with_("libro", f"SELECT entity_id, {m('sum(entra)')} AS total_ingresos, {m('sum(sale)')} AS total_egresos, {m('sum(neto)')} AS saldo_neto FROM libro GROUP BY 1"),
     "statement_last_number": with_("filas", f"""SELECT entity_id, row_seq, celda, texto, {last_number('texto')} AS numero FROM (
         SELECT entity_id, r AS row_seq, 0 AS celda, etiqueta AS texto FROM filas UNION ALL SELECT entity_id, r, 1, nota FROM filas UNION ALL SELECT entity_id, r, 2, importe FROM filas)"""),
     "document_last_number": f"SELECT doc_id, {last_number('text')} AS ultimo_numero FROM documents",
     "statement_items": with_("partidas", "SELECT * FROM partidas"),
+    "statement_items_from_files": with_("partidas_m", "SELECT * FROM partidas_m"),
     "statement_items_long": with_("partidas", "UNPIVOT partidas ON COLUMNS(* EXCLUDE entity_id) INTO NAME concepto VALUE valor"),
     "statement_ratios": with_("partidas", f"SELECT entity_id, {RATIO_LIST} FROM partidas"),
     "working_capital_days": with_("dias_e", "SELECT entity_id, round(dso, 6) AS dso, round(dio, 6) AS dio, round(dpo, 6) AS dpo, round(dio + dso - dpo, 6) AS ccc FROM dias_e"),

@@ -12,14 +12,17 @@ from arqueo.functions import finance, text
 from arqueo.functions.aging import risk_class
 from arqueo.functions.dates import day
 from arqueo.operators.payments import daily_payments, payment_curve, split_by_invoice_date
-from arqueo.operators.rates import fill_calendar, last_rates, rate_as_of
+from arqueo.operators.rates import daily_rates, fill_calendar, last_rates, rate_as_of
 from arqueo.plans import cashflow, executive, fx, loans, payables, scenarios, statements
 from arqueo.schemas import ENTITY
+from arqueo.session import new_table_path
+from arqueo.sources import cashplan, sinks
 from arqueo.sources import payables as bill_source
-from arqueo.sources import sinks
+from arqueo.sources import statements as statement_source
 from checks.tables import BILLS_AS_OF, FX_AS_OF, Tables
 
 SPREADS = ("0.01", "0.02", "0.05")
+LAYERED = ("1995-12-20", "1999-06-30")
 CHOSEN_MONTHS = ("1998-03", "1999-01")
 CHOSEN_SUPPLIERS = ("Supplier#000000001", "Supplier#000000003", "Supplier#000000007")
 CHOSEN_RISKS = (C.RISK_CRITICAL, C.RISK_SOON)
@@ -170,6 +173,52 @@ def _bill_rows_that_go(j: Jobs) -> DataFrame:
     return bill_source.bill_rejects(j.t.text_bills).groupBy("motivo").agg(F.count(F.lit(1)).alias("filas"))
 
 
+def _bills_of_files(j: Jobs) -> DataFrame:
+    """Files written from the given tables and read back; other columns have their own names and types."""
+    wide = bill_source.with_extra_columns(bill_source.read_bills(j.t.spark, j.t.bill_files))
+    return wide.select(ENTITY, "PROVEEDOR", "FACTURA", "VALOR", "GENERACIO", "VENCIMIENTO", "NOTA", F.col("CANTIDAD").cast("double").alias("CANTIDAD"))
+
+
+def _rejects_of_files(j: Jobs) -> DataFrame:
+    """What the files hold besides bills: records that go, and files that lack columns."""
+    files = j.t.bill_files
+    folder = F.regexp_extract("archivo", "/([a-d])/[^/]*$", 1).alias("carpeta")
+    lines = bill_source.bill_line_rejects(j.t.spark, files).select(folder, "motivo")
+    whole = bill_source.bill_file_rejects(j.t.spark, files).select(folder, F.concat_ws(": ", "motivo", F.array_join("faltan", " ")).alias("motivo")).distinct()
+    return lines.unionByName(whole).groupBy("carpeta", "motivo").agg(F.count(F.lit(1)).alias("filas"))
+
+
+def _items_of_files(j: Jobs) -> DataFrame:
+    paths, manifest = j.t.statement_files
+    return statements.statement_items(statement_source.read_statement_files(j.t.spark, paths, manifest=manifest))
+
+
+def _layered_days(j: Jobs) -> DataFrame:
+    return daily_rates(j.t.layered_intervals, F.lit(LAYERED[0]).cast("date"), F.lit(LAYERED[1]).cast("date"))
+
+
+def _plan_of_documents(j: Jobs) -> DataFrame:
+    return cashplan.plan_weeks(cashplan.read_plan_documents(j.t.spark, j.t.plan_documents, multi_line=False))
+
+
+def _ledger_of_documents(j: Jobs) -> DataFrame:
+    return cashplan.closed_weeks(cashplan.read_plan_documents(j.t.spark, j.t.plan_documents, multi_line=False), BILLS_AS_OF)
+
+
+def _broken_documents(j: Jobs) -> DataFrame:
+    return cashplan.plan_document_rejects(j.t.spark, j.t.plan_documents, multi_line=False).select("documento")
+
+
+def _ledger_after_repeats(j: Jobs) -> DataFrame:
+    """A ledger written by two writers with the same old ledger, one of them twice, and read back."""
+    path, ledger, closes = new_table_path(j.t.spark), j.t.ledger, j.t.closes
+    sinks.append_closes(path, ledger, ledger.limit(0))
+    half = closes.where(F.col("week_start") < F.lit(BILLS_AS_OF))
+    for part in (half, closes, half):
+        sinks.append_closes(path, part, ledger)
+    return cashplan.read_ledger(j.t.spark, path)
+
+
 def _risk_counts(j: Jobs) -> DataFrame:
     risk = risk_class(F.col("VENCIMIENTO"), day(BILLS_AS_OF))
     return j.t.compras.groupBy(ENTITY, risk.alias("RIESGO")).agg(F.count(F.lit(1)).alias("n"), F.sum("VALOR").cast("decimal(28,2)").alias("VALOR"))
@@ -211,6 +260,7 @@ def _installment(j: Jobs) -> DataFrame:
 JOBS: dict[str, Callable[[Jobs], DataFrame]] = {
     # receivables
     "rate_intervals_to_days": lambda j: j.unfolded_rates,
+    "rate_layered_intervals_to_days": _layered_days,
     "rate_filled_calendar": _filled_calendar,
     "rate_text_to_number": _rate_text,
     "rate_first_needed_day": _first_day,
@@ -242,6 +292,8 @@ JOBS: dict[str, Callable[[Jobs], DataFrame]] = {
     "payables_chosen_detail_in_order": _ordered_detail,
     "payables_bills_from_text": lambda j: bill_source.prepare_bills(j.t.text_bills),
     "payables_rows_that_go": _bill_rows_that_go,
+    "payables_bills_from_files": _bills_of_files,
+    "payables_rejects_of_files": _rejects_of_files,
     "payables_short_credit_overdue": lambda j: payables.short_credit_overdue(j.aged),
     "payables_payment_form": lambda j: payables.payment_form(j.aged),
     "payables_payment_file": lambda j: payables.payment_file(j.aged, j.t.ticked_bills),
@@ -254,11 +306,16 @@ JOBS: dict[str, Callable[[Jobs], DataFrame]] = {
     "cash_weekly_close": lambda j: cashflow.not_yet_closed(j.t.closes, j.t.ledger),
     "cash_closed_flag": lambda j: cashflow.is_closed(j.t.closes, j.t.ledger, BILLS_AS_OF),
     "cash_ledger_history": _ledger_after_close,
+    "cash_ledger_after_repeated_closes": _ledger_after_repeats,
+    "cash_plan_from_documents": _plan_of_documents,
+    "cash_ledger_from_documents": _ledger_of_documents,
+    "cash_documents_that_go": _broken_documents,
     "cash_ledger_totals": lambda j: cashflow.ledger_totals(j.t.ledger),
     # statements
     "statement_last_number": _statement_numbers,
     "document_last_number": _document_numbers,
     "statement_items": lambda j: j.customer_items,
+    "statement_items_from_files": _items_of_files,
     "statement_items_long": lambda j: statements.statement_items_long(j.customer_items),
     "statement_ratios": lambda j: statements.statement_ratios(j.customer_items),
     "working_capital_days": lambda j: statements.working_capital_days(

@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from arqueo import constants as C
 from arqueo.plans.cashflow import weekly_close
 from arqueo.schemas import CASH_PLAN, ENTITY, MONEY
+from arqueo.session import new_table_path
+from arqueo.sources import cashplan
 from arqueo.sources.payables import prepare_bills
 from arqueo.sources.rates import prepare_intervals
 from arqueo.sources.receivables import prepare_invoices, prepare_payments
+from arqueo.sources.sinks import save_plan_documents
+from arqueo.sources.text_files import plain_path
 
 FX_AS_OF = dt.date(2001, 7, 20)
 BILLS_AS_OF = dt.date(1999, 6, 30)
@@ -181,6 +185,71 @@ class Tables:
             F.when(key % 41 == 0, "31/31/1999").otherwise(F.date_format(due, "dd/MM/yyyy HH:mm")).alias("vencimiento"),
         )
 
+    @property
+    def bill_files(self) -> list[str]:
+        """The bills as files with other headers, quoted cells with commas and line breaks, and inch marks that quote nothing."""
+        key, style = F.col("l_orderkey"), F.col("l_orderkey") % 4
+        lines = self.read("lineitem").join(self.read("orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+        created = F.col("o_orderdate").cast("date")
+        due = F.date_add(created, (15 * F.col("l_linenumber")).cast("int"))
+        supplier, number = F.concat(F.lit("P"), F.col("l_suppkey")), key.cast("string")
+        amount = F.when(key % 29 == 0, "n/a").otherwise(F.col("l_extendedprice").cast(MONEY).cast("string"))
+        line = F.col("l_linenumber").cast("string")
+        several = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit('dos,\nrenglones "'), line, F.lit('"'))).otherwise(line)
+        inches = F.concat(F.lit("Tubo "), line, F.lit('" pvc'))
+        root = new_table_path(self.spark)
+        quoted = {"header": True, "quote": '"', "escape": '"', "escapeQuotes": True}
+        tables = {
+            "a": (lines.where(style == 0).select(supplier.alias(" proveedor"), amount.alias("Valor "), number.alias("Factura"), F.date_format(created, "dd/MM/yyyy").alias("Fecha Generacion"),
+                                                 due.cast("string").alias("Vencimiento"), several.alias("Nota")), quoted),
+            "b": (lines.where(style == 1).select(number.alias("FACTURA"), F.when(key % 23 != 0, supplier).alias("PROVEEDOR"), due.cast("string").alias("VENCIMIENTO"),
+                                                 created.cast("string").alias("GENERACION"), amount.alias("VALOR"), F.col("l_quantity").alias("Cantidad"), number.alias("valor ")), quoted),
+            "c": (lines.where(style == 2).select(supplier.alias("PROVEEDOR"), number.alias("FACTURA"), created.alias("GENERACIO"), amount.alias("VALOR")), quoted),
+            "d": (lines.where(style == 3).select(inches.alias("Nota"), supplier.alias("PROVEEDOR"), number.alias("FACTURA"), created.alias("GENERACIO"),
+                                                 due.alias("VENCIMIENTO"), amount.alias("VALOR")), {"header": True, "quote": ""}),
+        }
+        for name, (table, options) in tables.items():
+            table.write.options(**options).csv(f"{root}/{name}")
+        return [f"{root}/{name}" for name in tables]
+
+    @property
+    def statement_files(self) -> tuple[str, DataFrame]:
+        """The statement rows as one file per company and year, and the list of files with an order of upload that their names do not have."""
+        rows = self.eeff_filas(F.col("o_orderkey") % 5)
+        root = new_table_path(self.spark)
+        text = F.transform("cells", lambda cell: cell["raw"])
+        parts = rows.select(F.col(ENTITY).alias("empresa"), F.col("file_seq").alias("anio"), "sheet_seq", "row_seq",
+                            text[0].alias("Cuenta"), text[1].alias("Nota"), text[2].alias("Valor"))
+        ordered = parts.repartition("empresa", "anio").sortWithinPartitions("empresa", "anio", "sheet_seq", "row_seq").drop("sheet_seq", "row_seq")
+        ordered.write.option("header", True).option("escape", '"').partitionBy("empresa", "anio").csv(root)
+        path = plain_path(F.col("_metadata.file_path"))
+        found = self.spark.read.text(f"{root}/*/*/*.csv").select(path.alias("archivo")).distinct()
+        company, year = (F.regexp_extract("archivo", f"/{name}=([0-9]+)/", 1) for name in ("empresa", "anio"))
+        manifest = found.select("archivo", company.alias(ENTITY), (year.cast("int") * 7 % 11).alias("orden")).where("orden <> 3")
+        return f"{root}/*/*/*.csv", manifest
+
+    @property
+    def plan_documents(self) -> str:
+        """The plans and closed weeks as documents, one of them per company, next to lines that are none."""
+        path = new_table_path(self.spark)
+        documents = cashplan.plan_documents(self.cash_plan, self.ledger)
+        save_plan_documents(f"{path}/buenos", documents)
+        broken = self.read("nation").select(F.concat(F.lit('{"entity_id": "n'), F.col("n_nationkey"), F.when(F.col("n_nationkey") % 2 == 0, F.lit('", "S1": ')).otherwise(F.lit('", "S1": {"extra": "mucho"}}'))).alias("value"))
+        broken.write.text(f"{path}/malos")
+        return f"{path}/*"
+
+    @property
+    def layered_intervals(self) -> DataFrame:
+        """A first source that cannot be used, and a second one with days covered many times, gaps, and intervals that end before they start."""
+        key, ordered = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+        span = F.when(key % 17 == 0, -3).when(key % 101 == 0, 900).otherwise(key % 9).cast("int")
+        value = (3000 + key % 997).cast("string")
+        second = self.read("orders").where((F.year(ordered) != 1996) & (key % 5 == 0)).select(
+            F.lit(2).alias("prioridad"), value.alias("valor"), ordered.alias("vigenciadesde"), F.date_add(ordered, span).alias("vigenciahasta"))
+        first = self.read("orders").where(key % 50 == 0).select(
+            F.lit(1).alias("prioridad"), F.when(key % 100 == 0, "sin dato").otherwise(value).alias("valor"), ordered.alias("vigenciadesde"), ordered.alias("vigenciahasta"))
+        return first.unionByName(second)
+
     @property
     def loans(self) -> DataFrame:
         key = F.col("c_custkey")

@@ -2,6 +2,7 @@ import pytest
 from conftest import date, dec, numbers, records
 from pyspark.sql import functions as F
 
+from arqueo import schemas
 from arqueo.plans import cashflow, loans
 from arqueo.schemas import CASH_ACTUALS
 from arqueo.sources import cashplan, sinks
@@ -111,3 +112,37 @@ def test_two_plans_for_a_week_are_an_error(make):
     loans = empty.withColumn("activo", F.lit(True)).withColumn("desembolso", F.lit(0).cast("decimal(18,2)")).withColumn("cuota", F.lit(0.0))
     with pytest.raises(Exception, match="two plans"):
         cashflow.cash_flow(collection, due, plan, loans, TODAY).collect()
+
+
+def test_two_writers_close_a_week_once(spark, tmp_path):
+    """Neither saw the other's week; a run that is repeated after its commit adds nothing."""
+    path = str(tmp_path / "libro")
+    none = spark.createDataFrame([], schemas.CASH_ACTUALS)
+
+    def close(rows):
+        return spark.createDataFrame([(e, date(w), "s", dec(n), dec(0), dec(n)) for e, w, n in rows], schemas.CASH_ACTUALS)
+
+    sinks.append_closes(path, close([("a", "2024-01-01", 5), ("007", "2024-01-01", 6)]), none)
+    sinks.append_closes(path, close([("a", "2024-01-01", 5), ("a", "2024-01-08", 7)]), none)  # a second writer with the same old ledger
+    sinks.append_closes(path, close([("a", "2024-01-08", 7)]), none)  # a retry
+    sinks.append_closes(path, close([("a", "2024-01-08", 9)]), cashplan.read_ledger(spark, path))  # a later close of the same week
+    rows = sorted((r["entity_id"], str(r["week_start"]), float(r["flujo_neto_real"])) for r in cashplan.read_ledger(spark, path).collect())
+    assert rows == [("007", "2024-01-01", 6.0), ("a", "2024-01-01", 5.0), ("a", "2024-01-08", 7.0)]
+
+
+def test_documents_there_and_back(spark, make, tmp_path):
+    plan = make.plan([("a", week, 10 * week, 1, 2, 3, 4, 5, 6, week) for week in (1, 2, 3, 4)])
+    ledger = spark.createDataFrame([("a", date("2024-01-01"), "01/01 - 07/01", dec(1), dec(2), dec(-1)), ("z", date("2024-01-08"), "08/01 - 14/01", dec(3), dec(2), dec(1))], schemas.CASH_ACTUALS)
+    path = str(tmp_path / "planes")
+    documents = cashplan.plan_documents(plan.withColumn("saldo_inicial", F.lit(10).cast("decimal(18,2)")), ledger)
+    sinks.save_plan_documents(path, documents)
+    with open(f"{path}/mas.txt", "w") as more:
+        more.write('{"entity_id": "x", "saldo_inicial": 1, "S1": \n{"entity_id": "y", "saldo_inicial": {"a": 1}}\n{"entity_id": "w", "historico": [{"semana": "01/01 - 07/01"}]}\n')
+    back = cashplan.read_plan_documents(spark, path, multi_line=False)
+    assert sorted(r["entity_id"] for r in back.collect()) == ["a", "w", "z"]
+    weeks = sorted(tuple(r) for r in cashplan.plan_weeks(back).where("entity_id = 'a'").collect())
+    assert weeks == sorted(tuple(r) for r in plan.withColumn("saldo_inicial", F.lit(10).cast("decimal(18,2)")).collect())
+    closed = cashplan.closed_weeks(back, "2024-03-01")
+    assert sorted(tuple(r) for r in closed.where("entity_id <> 'w'").collect()) == sorted(tuple(r) for r in ledger.collect())
+    assert [r["entity_id"] for r in cashplan.closed_week_guesses(back, "2024-03-01").collect()] == ["w"]
+    assert sorted(r["documento"][:16] for r in cashplan.plan_document_rejects(spark, path, multi_line=False).collect()) == ['{"entity_id": "x', '{"entity_id": "y']

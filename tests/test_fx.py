@@ -250,3 +250,70 @@ def test_bad_dates_discredit_a_source(make):
     table = make.intervalos([("4000", "2024-01-01", "2024-01-31", 1), ("4001", None, "2024-01-31", 1), ("5000", "2024-01-01", "2024-01-31", 2)])
     assert {r["trm"] for r in daily_rates(table, *span("2024-01-01", "2024-01-31")).collect()} == {dec("5000")}
     assert [(r["valor"], r["motivo"]) for r in rate_rejects(table).collect()] == [("4001", "fecha ilegible")]
+
+
+def shared_number(spark, invoices, days, per_day="1.00"):
+    """One number with many invoices and many payment days."""
+    facturas = spark.range(invoices).select(
+        F.lit("e").alias("entity_id"), F.lit("A").alias("factura"), F.lit("c").alias("cliente"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 50).cast("int")).alias("fecha_factura"), F.lit("USD").alias("moneda"),
+        (F.col("id") % 997 + 1).cast("decimal(18,2)").alias("valor_usd"))
+    pagos = spark.range(days).select(
+        F.lit("e").alias("entity_id"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("fecha"), F.lit("A").alias("factura"),
+        F.lit(per_day).cast("decimal(18,2)").alias("monto_usd"), F.lit(4000).cast("decimal(18,4)").alias("tasa_monetizacion"))
+    rates = spark.range(days).select(
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("fecha"), (4000 + F.col("id") % 7).cast("decimal(18,4)").alias("trm"))
+    return facturas, pagos, rates
+
+
+def test_daily_totals_of_a_shared_number_need_no_pairs(spark):
+    """20,000 invoices and 1,000 payment days of one number: no operator of the plan makes more than a few rows for each."""
+    facturas, pagos, rates = shared_number(spark, 20_000, 1_000)
+    df = fx.fx_daily_totals(facturas, pagos, rates, "2026-09-26")
+    assert len(df.collect()) == 1_000
+    made, plans = [], [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        node = plans.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(node.plan())
+        else:
+            plans += [node.children().apply(i) for i in range(node.children().size())]
+        rows = node.metrics().get("numOutputRows")
+        if rows.isDefined():
+            made.append(rows.get().value())
+    assert len(made) > 20 and max(made) < 100_000
+
+
+@pytest.mark.parametrize("per_part", [1_000_000, 7])
+def test_daily_totals_like_brute_force(spark, make, monkeypatch, per_part):
+    """Numbers that share many invoices, equal invoices, numbers with payments taken back, unrated and unnumbered invoices, parts of a number."""
+    monkeypatch.setattr(fx, "_INVOICES_PER_PART", per_part)
+    rng = random.Random(per_part)
+    days = [str(date("2024-01-01") + dt.timedelta(n)) for n in range(40)]
+    rates = {d: 4000 + n * 3 % 11 for n, d in enumerate(days[3:])}
+    facturas = [(rng.choice(["A", "B", "C", "D", None]), "c", rng.choice(days), rng.choice([5, 10, 10.5, 40])) for _ in range(80)]
+    pagos = [(rng.choice(days), rng.choice("ABC"), rng.choice([1, 2.5, 7]), rng.choice([None, 3900, 4100])) for _ in range(60)]
+    pagos += [(rng.choice(days), "C", -6, 4000) for _ in range(4)] + [(None, "A", 100, 1)]
+    found = {str(r["fecha"]): r for r in fx.fx_daily_totals(
+        make.facturas(facturas), make.monetizaciones([(f, d, m, t) for d, f, m, t in pagos]), make.rates(list(rates.items())), days[-1]).collect()}
+    assert set(found) == set(rates)
+    for today in rates:
+        totals = [0.0] * 4
+        for number, _, start, value in facturas:
+            if start > today:
+                continue
+            known = [d for d in rates if d <= start]
+            rate = rates[max(known)] if known else None
+            mine = [p for p in pagos if p[1] == number and p[0] is not None]
+            before, later = [p for p in mine if p[0] < start], [p for p in mine if start <= p[0] <= today]
+            balance = max(value - sum(p[2] for p in before + later), 0)
+            totals[0] += balance
+            if rate is not None:
+                totals[1] += sum((rate - p[3]) * p[2] for p in before if p[3] is not None)
+                totals[2] += sum((p[3] - rate) * p[2] for p in later if p[3] is not None)
+                totals[3] += balance * (rates[today] - rate)
+        names = ("saldo_total_usd", "dif_anticipos_total", "dif_realizada_post_total", "dif_no_realizada_total")
+        assert [float(found[today][n]) for n in names] == pytest.approx(totals)

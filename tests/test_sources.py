@@ -1,10 +1,16 @@
+import datetime as dt
+import io
+import random
+import re
+
+import pandas as pd
 import pytest
 from conftest import date, dec, records
 from pyspark.sql import functions as F
 
 from arqueo.plans import payables
 from arqueo.sources import payables as bill_source
-from arqueo.sources import rates, receivables, sinks
+from arqueo.sources import rates, receivables, sinks, text_files
 from arqueo.sources.columns import MissingColumns
 
 
@@ -121,3 +127,89 @@ def test_line_breaks_in_cells(spark, tmp_path):
     (tmp_path / "b.csv").write_text("PROVEEDOR,FACTURA,GENERACIO,VENCIMIENTO,VALOR\nP4,F4,2024-01-01,2024-02-01,8\n", encoding="utf-8")
     found = bill_source.read_bills(spark, str(tmp_path / "*.csv"), entity="e").collect()
     assert sorted((r["PROVEEDOR"], r["FACTURA"], float(r["VALOR"])) for r in found) == [("P\nSAS", "F1", 5.0), ("P2", "F2", 6.0), ("P4", "F4", 8.0), ("x\n\n,y", "F3", 7.0)]
+
+
+HEADER = "PROVEEDOR,FACTURA,GENERACIO,VENCIMIENTO,VALOR,NOTA\n"
+
+
+def bill_line(number, note="n", supplier="P"):
+    return f"{supplier},F{number},2024-01-01,2024-02-01,{number},{note}\n"
+
+
+def test_a_quote_inside_a_field_is_a_character(spark, tmp_path):
+    """One inch mark must not swallow the rest of the file."""
+    (tmp_path / "a.csv").write_text(HEADER + bill_line(1, 'tubo 5" pvc') + bill_line(2) + bill_line(3, '"dos\nrenglones", y 3"'.replace(",", " ")), encoding="utf-8")
+    found = bill_source.read_bills(spark, str(tmp_path / "*.csv")).collect()
+    assert sorted((r["FACTURA"], r["extras"]["NOTA"]) for r in found) == [("F1", 'tubo 5" pvc'), ("F2", "n"), ("F3", 'dos\nrenglones  y 3"')]
+    assert bill_source.bill_file_rejects(spark, str(tmp_path / "*.csv")).count() == 0
+
+
+def test_every_record_is_a_bill_or_a_reject(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + bill_line(1) + "P,F2,nada,2024-02-01,2,\nP,F3,2024-01-01,2024-02-01,x\n,F4,2024-01-01,2024-02-01,4,\nP\n\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text(HEADER + bill_line(5) + 'P,F6,2024-01-01,2024-02-01,6,"nunca\n' + bill_line(7), encoding="utf-8")
+    paths = str(tmp_path / "*.csv")
+    assert [r["FACTURA"] for r in bill_source.read_bills(spark, paths).collect()] == ["F1"]
+    assert sorted((r["FACTURA"] or "-", r["motivo"]) for r in bill_source.bill_line_rejects(spark, paths).collect()) == [
+        ("-", "sin GENERACIO"), ("F2", "GENERACIO ilegible"), ("F3", "VALOR ilegible"), ("F4", "sin PROVEEDOR")]
+    assert [(r["archivo"][-5:], r["motivo"], r["faltan"]) for r in bill_source.bill_file_rejects(spark, paths).collect()] == [("b.csv", "comillas sin cerrar", [])]
+    assert [r["lineas"] for r in text_files.unclosed(spark, paths).collect()] == [4]
+
+
+CELLS = ("a", "b c", '5" tubo', 'x"y"z', "", '"q, r"', '"l1\nl2"', '"say ""hi"""', '"p"tail', '"a\n\n,""b\n"', '""', '"\n"', '"""\n"""')
+
+
+@pytest.mark.parametrize("split", ["128m", "48"])
+def test_records_like_pandas(spark, tmp_path, split):
+    """Files of few lines, and files cut into many blocks inside records."""
+    rng, wanted = random.Random(3), {}
+    for k in range(40):
+        body = "h1,h2,h3\n" + "".join(",".join(rng.choice(CELLS) for _ in range(3)) + "\n" for _ in range(rng.randint(1, 25)))
+        (tmp_path / f"f{k:02}.csv").write_text(body, encoding="utf-8")
+        table = pd.read_csv(io.StringIO(body), dtype=str, keep_default_na=False)
+        wanted[f"f{k:02}.csv"] = [[cell.strip() or None for cell in row] for row in table.values.tolist()]
+    old = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for key, value in zip(old, (split, "1")):
+            spark.conf.set(key, value)
+        rows = text_files.with_header(text_files.read_lines(spark, str(tmp_path))).collect()
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    found = {}
+    for r in sorted(rows, key=lambda r: (r["archivo"], r["bloque"], r["linea"])):
+        found.setdefault(r["archivo"].rsplit("/", 1)[1], []).append(r["campos"])
+    assert found == wanted
+
+
+def test_no_file_is_put_in_order_as_a_whole(spark, tmp_path):
+    """Windows over lines run inside a block; those over a file have a row per block."""
+    (tmp_path / "a.csv").write_text(HEADER + bill_line(1, '"x\ny"'), encoding="utf-8")
+    plan = text_files.read_lines(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in plan.splitlines() if "Window [" in line and "linea" in line]
+    assert lines and all(re.search(r"\[archivo#\d+, bloque#\d+L?\], \[linea", line) for line in lines)
+
+
+def test_extra_columns_get_names_and_types(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("PROVEEDOR,FACTURA,GENERACIO,VENCIMIENTO,VALOR,Peso,Centro Costo\nP,F1,2024-01-01,2024-02-01,1,2.50,c 1\nP,F2,2024-01-01,2024-02-01,1,,\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("PROVEEDOR,FACTURA,GENERACIO,VENCIMIENTO,VALOR,Recibida\nP,F3,2024-01-01,2024-02-01,1,05/03/2024\n", encoding="utf-8")
+    wide = bill_source.with_extra_columns(bill_source.read_bills(spark, str(tmp_path / "*.csv")))
+    assert [(f.name, f.dataType.simpleString()) for f in wide.schema.fields[-3:]] == [("CENTRO_COSTO", "string"), ("PESO", "decimal(38,6)"), ("RECIBIDA", "date")]
+    got = {r["FACTURA"]: (r["CENTRO_COSTO"], r["PESO"], r["RECIBIDA"]) for r in wide.collect()}
+    assert got == {"F1": ("c 1", dec("2.500000"), None), "F2": (None, None, None), "F3": (None, None, date("2024-03-05"))}
+
+
+def test_intervals_on_top_of_each_other(spark):
+    """Gaps, days covered many times, intervals that end before they start, against every day on its own."""
+    from arqueo.operators.rates import daily_rates
+
+    rng, first = random.Random(1), date("2024-01-01")
+    for _ in range(4):
+        rows = [(1, str(1000 + i), first + dt.timedelta(rng.randint(-40, 80)), rng.choice([0, 1, 2, 5, 20, 60, 4000, -3])) for i in range(rng.randint(1, 25))] + [(1, "999", first, 0)]
+        rows = [(p, v, a, a + dt.timedelta(n)) for p, v, a, n in rows]
+        days = daily_rates(spark.createDataFrame(rows, "prioridad int, valor string, vigenciadesde date, vigenciahasta date"), F.lit(first), F.lit(first + dt.timedelta(70)))
+        wanted = {}
+        for day in (first + dt.timedelta(n) for n in range(71)):
+            around = [(a, b, int(v)) for _, v, a, b in rows if a <= day <= b]
+            if around:
+                wanted[day] = max(around)[2]
+        assert {r["fecha"]: int(r["trm"]) for r in days.collect()} == wanted

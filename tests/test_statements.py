@@ -3,7 +3,7 @@ from conftest import dec, records
 from pyspark.sql import functions as F
 
 from arqueo.plans import executive, scenarios, statements
-from arqueo.sources.statements import cells_from_columns, read_statement_files
+from arqueo.sources.statements import cells_from_columns, read_statement_files, statement_file_rejects, statement_line_rejects
 
 
 def test_first_non_zero_row_in_order_wins(make):
@@ -107,3 +107,18 @@ def test_scenario_grids(spark, make):
     company = spark.createDataFrame([("e", 365000.0, 60.0, 45.0, 30.0)], "entity_id string, ventas_anuales double, dso double, dio double, dpo double")
     row = scenarios.cash_cycle_grid(company, [(20.0, 10.0)]).first()
     assert (row["ccc"], row["ccc_nuevo"], row["dias_ganados"], row["caja_liberada"]) == (75.0, 45.0, 30.0, 30000.0)
+
+
+def test_statement_files_of_many_companies_in_order_of_upload(spark, tmp_path):
+    for name, value in (("2.csv", "10"), ("10.csv", "20"), ("otra á.csv", "30"), ("suelta.csv", "40")):
+        (tmp_path / name).write_text(f'Cuenta,Nota,Valor\n"Inventarios, neto",x,{value}\nde más,1,2,3\n', encoding="utf-8")
+    (tmp_path / "rota.csv").write_text('Cuenta,Valor\n"Inventarios,5\n', encoding="utf-8")
+    listed = [("2.csv", "a", 1), ("10.csv", "a", 2), ("otra á.csv", "b", 7), ("falta.csv", "b", 8), ("rota.csv", "b", 9)]
+    manifest = spark.createDataFrame([(str(tmp_path / n), e, o) for n, e, o in listed], "archivo string, entity_id string, orden int")
+    rows = read_statement_files(spark, str(tmp_path / "*.csv"), manifest=manifest)
+    assert {r["entity_id"]: r["Inventarios"] for r in statements.statement_items(rows).collect()} == {"a": 10.0, "b": 30.0}
+    assert {r["entity_id"]: r["Inventarios"] for r in statements.statement_items(read_statement_files(spark, str(tmp_path / "*.csv"), manifest=manifest.withColumn("orden", 100 - F.col("orden")))).collect()} == {"a": 20.0, "b": 30.0}
+    rejects = statement_file_rejects(spark, str(tmp_path / "*.csv"), manifest)
+    assert sorted((r["archivo"].rsplit("/", 1)[1], r["motivo"]) for r in rejects.collect()) == [
+        ("falta.csv", "no hay archivo"), ("rota.csv", "comillas sin cerrar"), ("suelta.csv", "no está en la lista")]
+    assert statement_line_rejects(spark, str(tmp_path / "*.csv"), manifest=manifest).count() == 3
