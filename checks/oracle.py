@@ -2,7 +2,7 @@
 as-of joins instead of a calendar join, joins per payment instead of running totals."""
 
 from arqueo import constants as C
-from checks.queries import CHOSEN_RISKS, CHOSEN_SUPPLIERS, CYCLE_STEPS, LAYERED, LOAN_TERMS, SPREADS
+from checks.queries import CHOSEN_RISKS, CHOSEN_SUPPLIERS, CYCLE_STEPS, LAYERED, LOAN_TERMS, ONE_INVOICE, SHARED_NUMBERS, SPREADS, YOUNG_CURVE
 from checks.tables import BILLS_AS_OF, FX_AS_OF, STATEMENT_LABELS
 
 FX_DAY, BILL_DAY = f"DATE '{FX_AS_OF}'", f"DATE '{BILLS_AS_OF}'"
@@ -43,7 +43,7 @@ NEEDS = {
     "cierres": ("reales",), "libro": ("cierres",), "numeros": ("filas",), "partidas": ("numeros",),
     "numeros_m": ("filas_m",), "partidas_m": ("numeros_m",), "numeros_e": ("filas_e",), "partidas_e": ("numeros_e",), "deuda": ("compras",), "dias_e": ("partidas_e", "deuda"),
     "semanas": ("abiertas",), "cuotas": ("prestamos",), "cobro": ("resumen", "ultimas"),
-    "con_tasa_n": ("con_tasa", "ultimas"), "movs": ("con_tasa_n", "pagos_usd", "trm"),
+    "compartidas": ("con_tasa",), "abonos_c": ("pagos_usd",), "cambios_c": ("compartidas", "abonos_c"), "con_tasa_n": ("con_tasa", "ultimas"), "movs": ("con_tasa_n", "pagos_usd", "trm"),
 }
 
 WORD = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
@@ -243,6 +243,17 @@ TABLES = {
     "dias_e": """SELECT entity_id, "Cuentas por Cobrar" / nullif("Ingresos", 0) * 360 AS dso, "Inventarios" / nullif("Costo de Venta", 0) * 360 AS dio,
         coalesce(CAST(total AS DOUBLE), 0) / nullif("Costo de Venta", 0) * 360 AS dpo, "Ingresos" AS ventas
         FROM partidas_e LEFT JOIN deuda USING (entity_id)""",
+    "compartidas": f"""SELECT entity_id, CAST(CAST(factura AS BIGINT) % {SHARED_NUMBERS} AS VARCHAR) AS factura, ff, v, t, row_number() OVER () AS id FROM con_tasa WHERE ff IS NOT NULL""",
+    "abonos_c": f"""SELECT *, sum(usd) OVER (PARTITION BY entity_id, factura ORDER BY fecha) AS hasta FROM (
+        SELECT entity_id, n AS factura, fecha, sum(u) AS usd, coalesce(sum(u) FILTER (WHERE tasa IS NOT NULL), 0) AS usd_t, coalesce(sum(u * tasa), 0) AS cop FROM (
+          SELECT *, CAST(CAST(factura AS BIGINT) % {SHARED_NUMBERS} AS VARCHAR) AS n,
+            CASE WHEN CAST(factura AS BIGINT) % {SHARED_NUMBERS} < 20 AND CAST(floor(usd) AS BIGINT) % 5 = 0 THEN -usd ELSE usd END AS u FROM pagos_usd WHERE fecha <= {FX_DAY}) GROUP BY ALL)""",
+    # A row per invoice and payment day.
+    "cambios_c": """SELECT entity_id, dia, sum(s) AS s, sum(s) FILTER (WHERE t IS NOT NULL) AS s_t, sum(s * t) AS st, sum(ant) AS ant, sum(rea) AS rea FROM (
+        SELECT i.entity_id, ff AS dia, t, greatest(v - coalesce(sum(usd), 0), 0) AS s, t * coalesce(sum(usd_t), 0) - coalesce(sum(cop), 0) AS ant, 0 AS rea
+        FROM compartidas i LEFT JOIN abonos_c p ON p.entity_id = i.entity_id AND p.factura = i.factura AND p.fecha < ff GROUP BY i.entity_id, id, ff, t, v
+        UNION ALL SELECT i.entity_id, p.fecha, t, greatest(v - hasta, 0) - greatest(v - hasta + usd, 0), 0, cop - t * usd_t
+        FROM compartidas i JOIN abonos_c p ON p.entity_id = i.entity_id AND p.factura = i.factura AND p.fecha >= ff) GROUP BY ALL""",
     "movs": """SELECT p.entity_id, p.factura, p.fecha, p.usd, p.tasa, c.ff, c.t, r.trm, CASE WHEN p.fecha < c.ff THEN 'Anticipo' ELSE 'Post-factura' END AS tipo
         FROM pagos_usd p JOIN con_tasa_n c USING (entity_id, factura) ASOF LEFT JOIN trm r ON p.fecha >= r.fecha WHERE p.fecha IS NOT NULL""",
 }
@@ -327,6 +338,19 @@ SQL: dict[str, str] = {
           SELECT e.entity_id, t.fecha, t.trm, coalesce(saldo, 0) AS saldo, coalesce(ant, 0) AS ant, coalesce(rea, 0) AS rea, coalesce(nor, 0) AS nor
           FROM (SELECT DISTINCT entity_id FROM tramos) e CROSS JOIN trm t LEFT JOIN (
             SELECT entity_id, fecha, sum(saldo) AS saldo, sum(anticipos) AS ant, sum(realizada) AS rea, sum(no_realizada) AS nor FROM denso GROUP BY 1, 2) x USING (entity_id, fecha))"""),
+    "fx_daily_totals_of_shared_numbers": with_("cambios_c trm", f"""SELECT entity_id, {d('fecha')} AS fecha, {m('trm', 4)} AS trm, {m('s')} AS saldo_total_usd, {m('ant')} AS dif_anticipos_total,
+        {m('rea')} AS dif_realizada_post_total, {m('nor')} AS dif_no_realizada_total, {m('ant + rea + nor')} AS dif_total,
+        {m('coalesce(nor - lag(nor) OVER (PARTITION BY entity_id ORDER BY fecha), 0)')} AS dif_dia_base FROM (
+          SELECT e.entity_id, t.fecha, t.trm, coalesce(c.s, 0)::DECIMAL(28,2) AS s, coalesce(c.ant, 0)::DECIMAL(38,6) AS ant, coalesce(c.rea, 0)::DECIMAL(38,6) AS rea,
+            (t.trm * coalesce(c.s_t, 0)::DECIMAL(20,2) - coalesce(c.st, 0))::DECIMAL(38,6) AS nor
+          FROM (SELECT DISTINCT entity_id FROM compartidas) e CROSS JOIN trm t ASOF LEFT JOIN (
+            SELECT entity_id, dia, sum(s) OVER w AS s, sum(s_t) OVER w AS s_t, sum(st) OVER w AS st, sum(ant) OVER w AS ant, sum(rea) OVER w AS rea
+            FROM cambios_c WINDOW w AS (PARTITION BY entity_id ORDER BY dia)) c ON c.entity_id = e.entity_id AND t.fecha >= c.dia)"""),
+    "fx_invoice_series_of_one": with_("denso_n", f"""SELECT entity_id, factura, {d('fecha')} AS fecha, {m('trm', 4)} AS trm, {m('abonos')} AS abonos_post_factura_usd, {m('saldo')} AS saldo_vivo_usd,
+        {m('anticipos')} AS dif_anticipos, {m('realizada')} AS dif_realizada_post, {m('no_realizada')} AS dif_no_realizada FROM denso_n WHERE factura = '{ONE_INVOICE}'"""),
+    "invoice_scan_from_text": f"""SELECT 'default' AS entity_id, CAST(o_orderkey AS VARCHAR) AS factura, CAST(o_custkey AS VARCHAR) AS cliente,
+        CASE WHEN o_orderkey % 5 <> 4 THEN strftime(o_orderdate, '%Y-%m-%d') END AS fecha_factura, 'USD' AS moneda, {m('CAST(o_totalprice AS DECIMAL(18,2))')} AS valor_usd
+        FROM orders WHERE o_orderkey % 37 <> 0 AND o_orderkey % 41 <> 0 AND o_orderkey % 43 <> 0 AND o_totalprice > 0""",
     "fx_balance_spans": with_("tramos", f"""SELECT entity_id, factura, cliente, {d('ff')} AS fecha_factura, {m('v')} AS valor_usd, {m('t', 4)} AS trm_factura,
         {d('desde')} AS desde, {d('hasta')} AS hasta, {m('antes')} AS anticipo_previo_usd, {m('abonos')} AS abonos_post_factura_usd,
         {m('greatest(v - antes - abonos, 0)')} AS saldo_vivo_usd, {m('anticipos')} AS dif_anticipos, {m('realizada')} AS dif_realizada_post FROM tramos"""),
@@ -433,3 +457,9 @@ SQL: dict[str, str] = {
         round(ventas / 365, 6) AS ventas_diarias, round((dso - greatest(dso - menos_dso, 0.0) + mas_dpo) * ventas / 365, 6) AS caja_liberada
         FROM dias_e, {scenario_rows(CYCLE_STEPS, 'menos_dso, mas_dpo')}"""),
 }
+
+# The same questions over changed tables.
+SQL |= {
+    f"{name}_before_the_curve": SQL[name].replace(TABLES["rango"], f"SELECT DATE '{YOUNG_CURVE}' AS primero") for name in ("fx_summary", "fx_movements")
+} | {"payables_open_bills_without_numbers": SQL["payables_open_bills"].replace(
+    "CAST(l_orderkey AS VARCHAR) AS FACTURA", "CASE WHEN l_orderkey % 43 <> 0 THEN CAST(l_orderkey AS VARCHAR) END AS FACTURA")}

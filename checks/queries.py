@@ -16,12 +16,15 @@ from arqueo.operators.rates import daily_rates, fill_calendar, last_rates, rate_
 from arqueo.plans import cashflow, executive, fx, loans, payables, scenarios, statements
 from arqueo.schemas import ENTITY
 from arqueo.session import new_table_path
-from arqueo.sources import cashplan, sinks
+from arqueo.sources import cashplan, receivables, sinks
 from arqueo.sources import payables as bill_source
 from arqueo.sources import statements as statement_source
 from checks.tables import BILLS_AS_OF, FX_AS_OF, Tables
 
 SPREADS = ("0.01", "0.02", "0.05")
+SHARED_NUMBERS = 997
+YOUNG_CURVE = "1998-01-01"
+ONE_INVOICE = "7"
 LAYERED = ("1995-12-20", "1999-06-30")
 CHOSEN_MONTHS = ("1998-03", "1999-01")
 CHOSEN_SUPPLIERS = ("Supplier#000000001", "Supplier#000000003", "Supplier#000000007")
@@ -193,6 +196,48 @@ def _items_of_files(j: Jobs) -> DataFrame:
     return statements.statement_items(statement_source.read_statement_files(j.t.spark, paths, manifest=manifest))
 
 
+def _shared(table: DataFrame) -> DataFrame:
+    """The same rows with few numbers, so that many invoices and payments share one."""
+    return table.withColumn("factura", (F.col("factura").cast("bigint") % SHARED_NUMBERS).cast("string"))
+
+
+def _shared_inputs(j: Jobs):
+    """Some of the numbers have payments that are taken back."""
+    pagos, amount = _shared(j.t.monetizaciones), F.col("monto_usd")
+    back = (F.col("factura").cast("int") < 20) & (F.floor(amount) % 5 == 0)
+    return _shared(j.t.facturas), pagos.withColumn("monto_usd", F.when(back, -amount).otherwise(amount)), j.rates, FX_AS_OF
+
+
+def _young_rates(j: Jobs) -> DataFrame:
+    """A curve that starts after many invoices and payments."""
+    return sinks.landed_rates(daily_rates(j.t.trm_intervalos, day(YOUNG_CURVE), day(FX_AS_OF)))
+
+
+def _without_some_numbers(bills: DataFrame) -> DataFrame:
+    return bills.withColumn("FACTURA", F.when(F.col("FACTURA").cast("bigint") % 43 != 0, F.col("FACTURA")))
+
+
+def _invoices_from_text(j: Jobs) -> DataFrame:
+    """Dates with the month first, with the name of the month, with a time, and such that are none; amounts as text."""
+    key, created = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    style = key % 5
+    shown = F.when(style == 0, F.date_format(created, "MM/dd/yyyy")).when(style == 1, F.date_format(created, "yyyy-MM-dd HH:mm:ss")).when(
+        style == 2, F.date_format(created, "d-MMM-yyyy")).when(style == 3, F.date_format(created, "yyyy.M.d")).otherwise("sin fecha")
+    return receivables.prepare_invoices(j.t.read("orders").select(
+        F.concat(F.lit(" "), key, F.lit("\t")).alias("factura"), F.col("o_custkey").alias("cliente"), shown.alias("fecha_factura"),
+        F.when(key % 37 == 0, "EUR").otherwise(" usd ").alias("moneda"),
+        F.when(key % 41 == 0, "mil").when(key % 43 == 0, "-5").otherwise(F.concat(F.lit(" "), F.col("o_totalprice").cast("decimal(18,2)"))).alias("valor_usd")))
+
+
+def _series_of_one(j: Jobs) -> DataFrame:
+    """The daily series of one invoice from its date on."""
+    facturas, monetizaciones, rates, as_of = j.fx_inputs
+    first = facturas.where(F.col("factura") == ONE_INVOICE).agg(F.min("fecha_factura")).scalar()
+    series = fx.fx_invoice_series(facturas, monetizaciones, rates, as_of, factura=ONE_INVOICE)
+    return series.where(F.col("fecha") >= first).select(
+        ENTITY, "factura", "fecha", "trm", "abonos_post_factura_usd", "saldo_vivo_usd", "dif_anticipos", "dif_realizada_post", "dif_no_realizada")
+
+
 def _layered_days(j: Jobs) -> DataFrame:
     return daily_rates(j.t.layered_intervals, F.lit(LAYERED[0]).cast("date"), F.lit(LAYERED[1]).cast("date"))
 
@@ -277,6 +322,11 @@ JOBS: dict[str, Callable[[Jobs], DataFrame]] = {
     "fx_balance_spans": lambda j: fx.fx_balance_spans(*j.fx_inputs),
     "fx_daily_detail_by_month": _daily_detail_by_month,
     "fx_invoice_series_extremes": _series_extremes,
+    "invoice_scan_from_text": _invoices_from_text,
+    "fx_daily_totals_of_shared_numbers": lambda j: fx.fx_daily_totals(*_shared_inputs(j)),
+    "fx_summary_before_the_curve": lambda j: fx.fx_summary(j.t.facturas, j.t.monetizaciones, _young_rates(j), FX_AS_OF),
+    "fx_movements_before_the_curve": lambda j: fx.fx_movements(j.t.facturas, j.t.monetizaciones, _young_rates(j), FX_AS_OF, label_from=50000),
+    "fx_invoice_series_of_one": _series_of_one,
     "fx_movements": lambda j: fx.fx_movements(*j.fx_inputs, label_from=50000),
     # payables
     "payables_aging": lambda j: j.aged,
@@ -298,6 +348,7 @@ JOBS: dict[str, Callable[[Jobs], DataFrame]] = {
     "payables_payment_form": lambda j: payables.payment_form(j.aged),
     "payables_payment_file": lambda j: payables.payment_file(j.aged, j.t.ticked_bills),
     "payables_open_bills": lambda j: payables.open_bills(j.t.compras, j.t.pagos),
+    "payables_open_bills_without_numbers": lambda j: payables.open_bills(_without_some_numbers(j.t.compras), _without_some_numbers(j.t.pagos)),
     "payables_overdue_share": lambda j: payables.overdue_share(j.t.compras, BILLS_AS_OF),
     # cash flow
     "cash_payables_by_week": _week_payables,
