@@ -174,12 +174,13 @@ _CHANGES = {"saldo": USD_TOTAL, "saldo_con_tasa": USD_TOTAL, "saldo_por_tasa": C
 
 
 def _swept_changes(priced: DataFrame, daily: DataFrame) -> DataFrame:
-    """Changes of balance and differences by entity and day, for numbers whose payments never take money back.
+    """Changes of balance and differences by entity and day.
 
     The balance of an invoice is its value less what the number has paid by then, so it closes on the first day on which the
     payments reach its value. On a line of invoices and payment days by value that day is the least one at or above the invoice.
     An invoice is then an opening and a closing event, and a payment changes the balance by its amount times the number of
-    invoices open, which is a running sum: N invoices and D payment days of one number give N + D rows, never N x D.
+    invoices open, which is a running sum: N invoices and D payment days of one number give N + D rows, never N x D. Only where a
+    number has days on which payments are taken back, so that an invoice may open again, its invoices meet all its payment days.
 
     Equal invoices count as one with a multiplicity. A number with very many invoices is dealt out to parts, each with all payment
     days of the number (which the calendar bounds); the changes of the parts add up. The list of such numbers is
@@ -207,33 +208,42 @@ def _swept_changes(priced: DataFrame, daily: DataFrame) -> DataFrame:
         "menor": F.min("usd").over(number),
     }).withColumn("nivel", F.coalesce("valor", "antes_usd"))
     payment = F.when(F.col("tipo") == 1, F.struct("dia", _usd(F.col("antes_usd") - F.col("usd")).alias("antes")))
-    line = line.withColumn("cierre", F.min(payment).over(by_level)).where(F.coalesce("menor", F.lit(0)) >= 0)
+    back = F.coalesce(F.col("menor") < 0, F.lit(False))
+    payments = F.when(back & (F.col("tipo") == 1), F.struct("dia", "antes_usd", "usd", "usd_con_tasa", "cop"))
+    line = line.withColumns({"cierre": F.min(payment).over(by_level), "pagos": F.collect_list(payments).over(number)})
+    line = line.where(~back | (F.col("tipo") == 0))
     times, trm = F.col("veces"), F.col("trm")
     opens = F.col("antes_usd") < F.col("valor")
     rated = F.when(trm.isNotNull(), times).otherwise(F.lit(0).cast("long"))
     rates_of = F.coalesce(_cop(trm * times), F.lit(0).cast(COP_AMOUNT))
 
-    def event(day: Column, kind: int, sign: int, there: Column, balance: Column, advances: Column) -> Column:
-        """A change on its own day; ``there`` says whether the invoice joins or leaves those that payments reduce."""
-        none = F.lit(0).cast("long")
-        change = _usd(F.when(there, times * balance).otherwise(F.lit(0)))
+    def event(day: Column, kind: int, saldo: Column, advances: Column, realized: Column, sign: int = 0, joins: Column | None = None) -> Column:
+        """A change on its own day. ``sign`` says whether the invoice joins or leaves, ``joins`` if it is among those that payments reduce."""
+        change, there = _usd(saldo), F.lit(False) if joins is None else joins
+        counts = {"abiertas": (there, times), "abiertas_con_tasa": (there, rated), "tasas": (there, rates_of)}
+        counts |= {"todas": (F.lit(sign > 0), times), "todas_con_tasa": (F.lit(sign > 0), rated), "todas_tasas": (F.lit(sign > 0), rates_of)}
+        if kind == 1:  # a payment: no invoice of its own
+            counts = {name: (F.lit(False), F.lit(0)) for name in counts}
         return F.struct(
             day.alias("fecha"), F.lit(kind).alias("orden"), change.alias("saldo"), F.when(trm.isNotNull(), change).alias("saldo_con_tasa"),
-            _cop(change * trm).alias("saldo_por_tasa"), _cop(times * advances).alias("dif_anticipos"),
-            F.when(there, sign * times).otherwise(none).alias("abiertas"), F.when(there, sign * rated).otherwise(none).alias("abiertas_con_tasa"),
-            _cop(F.when(there, sign * rates_of).otherwise(F.lit(0))).alias("tasas"),
-            *(((value if sign > 0 else F.lit(0)).cast(kind_)).alias(name) for name, value, kind_ in (
-                ("todas", times, "long"), ("todas_con_tasa", rated, "long"), ("todas_tasas", rates_of, COP_AMOUNT))),
-            *(F.lit(None).cast(USD_TOTAL if name != "cop" else COP_AMOUNT).alias(name) for name in ("usd", "usd_con_tasa", "cop")),
+            _cop(change * trm).alias("saldo_por_tasa"), _cop(advances).alias("dif_anticipos"), _cop(realized).alias("realizada"),
+            *(F.when(where, sign * value).otherwise(F.lit(0)).cast(COP_AMOUNT if "tasas" in name else "long").alias(name) for name, (where, value) in counts.items()),
+            *(F.when(F.lit(kind == 1), F.col(name)).cast(kinds[name]).alias(name) for name in kinds),
         )
 
-    start = event(F.col("dia"), 0, 1, opens, F.col("valor") - F.col("antes_usd"), trm * F.col("antes_usd_con_tasa") - F.col("antes_cop"))
-    end = event(F.col("cierre.dia"), 0, -1, opens, F.col("cierre.antes") - F.col("valor"), F.lit(0))
-    nothing = {name: F.lit(0).cast(kind) for name, kind in (
-        ("saldo", USD_TOTAL), ("saldo_con_tasa", USD_TOTAL), ("saldo_por_tasa", COP_AMOUNT), ("dif_anticipos", COP_AMOUNT), ("abiertas", "long"),
-        ("abiertas_con_tasa", "long"), ("tasas", COP_AMOUNT), ("todas", "long"), ("todas_con_tasa", "long"), ("todas_tasas", COP_AMOUNT))}
-    pays = F.struct(F.col("dia").alias("fecha"), F.lit(1).alias("orden"), *(value.alias(name) for name, value in nothing.items()), "usd", "usd_con_tasa", "cop")
-    both = F.when(F.col("tipo") == 1, F.array(pays)).when(opens & F.col("cierre").isNotNull(), F.array(start, end)).otherwise(F.array(start))
+    zero, value = F.lit(0), F.col("valor")
+    advances = times * (trm * F.col("antes_usd_con_tasa") - F.col("antes_cop"))
+    counted = opens & ~back
+    start = event(F.col("dia"), 0, times * _open(value, F.col("antes_usd")), advances, zero, 1, counted)
+    end = event(F.col("cierre.dia"), 0, times * (F.col("cierre.antes") - value), zero, zero, -1, counted)
+    alone = event(F.col("dia"), 0, times * _open(value, F.col("antes_usd")), advances, zero)
+    pays = event(F.col("dia"), 1, zero, zero, zero)
+    meets = F.transform(F.filter("pagos", lambda p: p["dia"] >= F.col("dia")), lambda p: event(
+        p["dia"], 0, times * (_open(value, p["antes_usd"]) - _open(value, p["antes_usd"] - p["usd"])), zero, times * (p["cop"] - trm * p["usd_con_tasa"])))
+    both = (
+        F.when(F.col("tipo") == 1, F.array(pays)).when(back, F.concat(F.array(alone), meets))
+        .when(opens & F.col("cierre").isNotNull(), F.array(start, end)).otherwise(F.array(start))
+    )
     events = line.select(*INVOICE_KEY, "parte", F.explode(both).alias("e")).select(*INVOICE_KEY, "parte", "e.*")
     past = number.orderBy("fecha", "orden").rowsBetween(W.unboundedPreceding, 0)
     events = events.withColumns({f"__{name}": F.sum(name).over(past) for name in ("abiertas", "abiertas_con_tasa", "tasas", "todas", "todas_con_tasa", "todas_tasas")})
@@ -244,34 +254,7 @@ def _swept_changes(priced: DataFrame, daily: DataFrame) -> DataFrame:
         _usd(F.when(is_payment, -usd * F.col("__abiertas_con_tasa")).otherwise(F.col("saldo_con_tasa"))).alias("saldo_con_tasa"),
         _cop(F.when(is_payment, -usd * F.col("__tasas").cast(COP_AMOUNT)).otherwise(F.col("saldo_por_tasa"))).alias("saldo_por_tasa"),
         "dif_anticipos",
-        _cop(F.when(is_payment, F.col("cop") * F.col("__todas_con_tasa") - F.col("usd_con_tasa") * F.col("__todas_tasas").cast(COP_AMOUNT))).alias("realizada"),
-    )
-
-
-def _paired_changes(facturas: DataFrame, daily: DataFrame, rates: DataFrame, end: Column) -> DataFrame:
-    """The same changes from a row per invoice and payment day. Only for numbers with days on which payments are taken back: there an
-    invoice may open again."""
-    rows = _timeline(facturas, daily, rates, end)
-    trm, value = F.col("trm_factura"), F.col("valor_usd")
-
-    def change(date: str, balance: Column, advances: Column, realized: Column) -> Column:
-        return F.struct(
-            F.col(date).alias("fecha"), _usd(balance).alias("saldo"),
-            _cop(advances).alias("dif_anticipos"), _cop(realized).alias("realizada"),
-        )
-
-    start = change("fecha_factura", _open(value, F.col("antes_usd")), F.col("dif_anticipos"), F.lit(0))
-    after, before = F.col("hasta_usd"), F.col("hasta_usd") - F.col("usd")
-    payment = change("fecha", _open(value, after) - _open(value, before), F.lit(0),
-                     F.col("cop") - trm * F.col("usd_con_tasa"))
-    both = (
-        F.when(F.col("fecha").isNull(), F.array(start))
-        .when(_first_of_invoice(), F.array(start, payment)).otherwise(F.array(payment))
-    )
-    rows = rows.select(ENTITY, "trm_factura", F.explode(both).alias("c")).select(ENTITY, "trm_factura", "c.*")
-    return rows.select(
-        ENTITY, "fecha", "saldo", F.when(trm.isNotNull(), F.col("saldo")).alias("saldo_con_tasa"),
-        _cop(F.col("saldo") * trm).alias("saldo_por_tasa"), "dif_anticipos", "realizada",
+        _cop(F.when(is_payment, F.col("cop") * F.col("__todas_con_tasa") - F.col("usd_con_tasa") * F.col("__todas_tasas").cast(COP_AMOUNT)).otherwise(F.col("realizada"))).alias("realizada"),
     )
 
 
@@ -284,13 +267,9 @@ def fx_daily_totals(facturas: DataFrame, monetizaciones: DataFrame, rates: DataF
     sum(balance * invoice rate). Invoices without a rate count in the balance only.
     """
     end = day(as_of)
-    payments = monetizaciones.where(F.col("fecha") <= end)
-    daily = daily_payments(payments)
-    taken_back = daily.groupBy(*INVOICE_KEY).agg(F.min("usd").alias("menor")).where("menor < 0").select(*INVOICE_KEY)
-    back = list(INVOICE_KEY)
-    swept = _swept_changes(_priced(facturas, rates, end, False), daily)
-    paired = _paired_changes(facturas.join(taken_back, back, "left_semi"), daily.join(taken_back, back, "left_semi"), rates, end)
-    changes = swept.unionByName(paired).groupBy(ENTITY, "fecha").agg(*(F.sum(name).cast(kind).alias(name) for name, kind in _CHANGES.items()))
+    daily = daily_payments(monetizaciones.where(F.col("fecha") <= end))
+    changes = _swept_changes(_priced(facturas, rates, end, False), daily).groupBy(ENTITY, "fecha").agg(
+        *(F.sum(name).cast(kind).alias(name) for name, kind in _CHANGES.items()))
 
     # Lay the rate days into the time line of each entity: its first change also unfolds the days, which then look up their rate.
     limits = rates.agg(F.struct(F.min("fecha").alias("primera"), F.max("fecha").alias("ultima"))).scalar()
