@@ -1,7 +1,7 @@
 """Document fingerprints by a homomorphic multiset hash.
 
 A text is a multiset of paragraphs, long ones cut at sentence ends. Each is hashed to a wide vector: 16 lanes of
-64 random bits, summed modulo 2^64, and 256 lanes of +1 or -1, summed modulo 2^16. A document's fingerprint is the sum of
+64 random bits, summed modulo 2^64, and 256 lanes of +1 or -1, summed modulo 2^32. A document's fingerprint is the sum of
 its vectors, so it does not depend on their order, and adding or taking out a paragraph adds or takes away its
 vector. Equal multisets have equal fingerprints; the first part tells different ones apart, and the cosine of the
 second part estimates how much of the two multisets is common.
@@ -41,12 +41,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums per text: (n, WIDE) uint64 and (n, SIGNS) uint16."""
+    """Sums per text: (n, WIDE) uint64 and (n, SIGNS) uint32."""
     from xxhash import xxh3_128_digest
 
     parts = [units(t) for t in texts]
     counts = np.array([len(p) for p in parts], np.int64)
-    wide, signs = np.zeros((len(texts), WIDE), np.uint64), np.zeros((len(texts), SIGNS), np.uint16)
+    wide, signs = np.zeros((len(texts), WIDE), np.uint64), np.zeros((len(texts), SIGNS), np.uint32)
     seeds = np.frombuffer(b"".join(xxh3_128_digest(u) for p in parts for u in p), np.uint64).reshape(-1, 2)
     if len(seeds):
         lanes = _mix(seeds[:, :1] * _ODD + _mix(seeds[:, 1:] + _ODD))
@@ -55,31 +55,31 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         first = (np.cumsum(counts) - counts)[some]
         wide[some] = np.add.reduceat(lanes, first, axis=0)
         ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-        signs[some] = (2 * ones - counts[some, None]).astype(np.uint16)
+        signs[some] = (2 * ones - counts[some, None]).astype(np.uint32)
     return wide, signs
 
 
 def to_hex(wide: np.ndarray, signs: np.ndarray) -> list[str]:
-    return [(a.astype("<u8").tobytes() + b.astype("<u2").tobytes()).hex() for a, b in zip(wide, signs)]
+    return [(a.astype("<u8").tobytes() + b.astype("<u4").tobytes()).hex() for a, b in zip(wide, signs)]
 
 
 def from_hex(fingerprints: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [bytes.fromhex(f) for f in fingerprints]
     return (np.array([np.frombuffer(r[:WIDE * 8], "<u8") for r in raw]).reshape(-1, WIDE),
-            np.array([np.frombuffer(r[WIDE * 8:], "<u2") for r in raw]).reshape(-1, SIGNS))
+            np.array([np.frombuffer(r[WIDE * 8:], "<u4") for r in raw]).reshape(-1, SIGNS))
 
 
 def insert(fingerprint: str, text: str, times: int = 1) -> str:
     """The fingerprint with the paragraphs of `text` put in `times` times; taken out if negative."""
     wide, signs = from_hex([fingerprint])
     more_wide, more_signs = vectors([text])
-    factor = np.array(times).astype(np.uint64), np.array(times).astype(np.uint16)
+    factor = np.array(times).astype(np.uint64), np.array(times).astype(np.uint32)
     return to_hex(wide + more_wide * factor[0], signs + more_signs * factor[1])[0]
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Row by row, 0 to 1."""
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
+    x, y = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
     size = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     cosine = np.clip(np.divide((x * y).sum(axis=1), size, out=np.zeros(len(x)), where=size > 0), 0, 1)
     return np.where((a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1), 1.0, cosine)
