@@ -7,7 +7,8 @@ give each leaf the exact probability of being main text; leaves above one half a
 are fitted to labelled pages; `train` takes any, the default are those of `labelled_pages`.
 
 The text is the page's own: character references decoded, white space inside a block turned into one space, blocks joined by
-a line break. Scripts, styles, comments, the head and markup are never text. Pages are independent of each other; nothing is shuffled.
+a line break. Scripts, styles, comments, the head, templates and markup are never text; a formula or drawing belongs to the line that holds
+it, and what stands in for scripts, frames and objects is judged like any text. Pages are independent of each other; nothing is shuffled.
 
 Defined cases: null counts as empty, and a page without main text gives an empty text; broken markup is read leniently
 (open paragraphs and list items end where the next begins, stray end tags are passed over); repeated rows give the same text; an
@@ -30,11 +31,13 @@ from arqueo.llm.labelled_pages import labelled_pages
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp".split())
-DROPPED = frozenset("script style head template noscript iframe object svg math canvas title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp object canvas noscript iframe".split())
+FORMULA = frozenset(("math", "svg"))  # the elements inside belong to the line of text that holds them
+DROPPED = frozenset("script style head template title".split())
 RAW = frozenset("script style textarea title".split())
 CLOSES_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ENDS_ITSELF = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+SAME = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|data-main|data-other)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
@@ -60,7 +63,8 @@ class Tree:
 
 def parse(page: str) -> Tree:
     tree, stack = Tree(), [(0, "#page")]
-    pieces, linked, in_link, dropped, position = [], 0, 0, 0, 0
+    pieces, linked, in_link, dropped, formula, position = [], 0, 0, 0, 0, 0
+    opened = Counter()  # of each element, how many are on the stack
     end = page.rfind(">") + 1  # nothing after it can be a tag
 
     def flush():
@@ -77,6 +81,7 @@ def parse(page: str) -> Tree:
         in_link = 0
         for _, tag in stack[depth:]:
             dropped -= tag in DROPPED
+            opened[tag] -= 1
         del stack[depth:]
 
     def put(text: str):
@@ -99,19 +104,25 @@ def parse(page: str) -> Tree:
             put(" ")
         elif name == "a":
             in_link = 0 if closing else 1
-        elif name in INLINE:
+        elif name in FORMULA:
+            formula = max(0, formula - 1) if closing else formula + (not attributes.endswith("/"))
+        elif formula and name in RAW:
+            stop = None if closing else re.compile(f"</{name}", re.I).search(page, position)
+            position = position if closing else stop.start() if stop else len(page)
+        elif name in INLINE or formula and name not in CLOSES_PARAGRAPH:
             pass
         elif closing:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][1] == name), 0)
-            if depth:
-                close(depth)
+            if opened[name]:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d][1] == name))
         else:
+            if name in CLOSES_PARAGRAPH:
+                formula = 0  # one that was never closed ends here
             flush()
             if name in CLOSES_PARAGRAPH and stack[-1][1] == "p":
                 close(len(stack) - 1)
-            if name in ENDS_ITSELF:
+            if name in ENDS_ITSELF and any(opened[tag] for tag in SAME.get(name, (name,))):
                 for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][1] == name or name in ("td", "th") and stack[depth][1] in ("td", "th") or name in ("dt", "dd") and stack[depth][1] in ("dt", "dd"):
+                    if stack[depth][1] in SAME.get(name, (name,)):
                         close(depth)
                         break
                     if stack[depth][1] in ENDS_ITSELF[name]:
@@ -122,6 +133,7 @@ def parse(page: str) -> Tree:
             seen = tuple(sorted(set(TOKEN.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower())))) if found else ()
             mark = True if "data-main" in found else False if "data-other" in found else None
             stack.append((tree.add(stack[-1][0], name, seen, mark=mark), name))
+            opened[name] += 1
             if name in DROPPED:
                 dropped += 1
             if name in RAW:  # its content is no markup

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -442,6 +443,22 @@ def test_main_text_of_other_pages():
                                      "One item of the list.\nAnother item of it.")
 
 
+def test_formulas_and_what_stands_in_for_scripts_are_text():
+    page = ("<article><h1>On numbers and sums</h1><p>The sum <math><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow></math> is known to all of us, says "
+            "<svg><style>p{}</style><g><text>the figure</text></g></svg> in this long paragraph.</p><noscript><p>This paragraph is for readers without scripts at all.</p></noscript>"
+            "<p>A plan <object data=x>of the whole house</object> is here, and <math><mi>c</mi> is never closed.<p>The last paragraph of the article is this.</article>")
+    assert pages.train().main_text(page) == (
+        "On numbers and sums\nThe sum a+b is known to all of us, says the figure in this long paragraph.\nThis paragraph is for readers without scripts at all.\n"
+        "A plan of the whole house is here, and c is never closed.\nThe last paragraph of the article is this.")
+
+
+def test_stray_end_tags_take_no_time():
+    """Times the number of open elements they took minutes."""
+    start = time.perf_counter()
+    pages.parse("<div>" * 40_000 + "</p></section><td>x</td><li>y" * 40_000)
+    assert time.perf_counter() - start < 20
+
+
 def test_marginals_are_exact():
     """Sum-product against the sum over all states of a small page."""
     model = pages.train()
@@ -508,6 +525,26 @@ def test_fingerprints_are_homomorphic():
     assert 0.35 < fingerprint.likeness(*(fingerprint.vectors([t]) for t in half))[0] < 0.65
 
 
+def test_likeness_of_very_many_equal_lines():
+    """Half of 60,000 equal lines replaced: the cosine of the multisets, which sums modulo 2^16 would turn over."""
+    text = "the same line\n" * 60_000
+    edited = "the same line\n" * 30_000 + "\n".join(f"another line {i}" for i in range(30_000))
+    true = 30_000 * 60_000 / math.sqrt(60_000 ** 2 * (30_000 ** 2 + 30_000))
+    assert abs(fingerprint.likeness(fingerprint.vectors([text]), fingerprint.vectors([edited]))[0] - true) < 0.05
+
+
+def test_likeness_is_the_cosine_of_the_multisets():
+    rng = random.Random(9)
+    apart = []
+    for _ in range(60):
+        words = [f"unit {i}" for i in range(rng.randint(5, 400))]
+        a, b = ([w for w in words if rng.random() < 0.7] * rng.randint(1, 3) for _ in range(2))
+        x, y = Counter(a), Counter(b)
+        true = sum(x[w] * y[w] for w in x) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()) or 1)
+        apart.append(fingerprint.likeness(*(fingerprint.vectors(["\n".join(t)]) for t in (a, b)))[0] - true)
+    assert max(map(abs, apart)) < 0.3 and sum(d * d for d in apart) / len(apart) < 0.07 ** 2
+
+
 def test_fingerprint_without_ids(spark):
     docs = spark.createDataFrame([(None, "b text"), (None, "a text"), (None, None)], "doc_id long, text string")
     assert fingerprint.compare_edited(docs).count() == 3
