@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arqueo.llm.common import SPACE, landed, text_of
+from arqueo.llm.line_dedup import filter_of, marked
 
 CANDIDATES = 1_000  # digests broadcast at most
 COUNTERS = 10_000  # of each Misra-Gries sketch
@@ -52,20 +53,20 @@ def decide(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 candidates: int = CANDIDATES, counters: int = COUNTERS) -> DataFrame:
-    """The rows that stay, with all their columns. Rows travel only if their digest is not among the frequent ones."""
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_column).alias("doc_id"),
-                         digest(text_of(text_column)).alias("text_sha256"))
-    digests = landed(marked.select("doc_id", "text_sha256", F.lit(0).alias("row")))
+    """The rows that stay, with all their columns. A filter of fixed size over the digests that occur more than once lets all other rows
+    through where they are; of the rest, copies of frequent digests are dropped in place and what is left of them moves."""
+    marked_rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_column).alias("doc_id"),
+                              digest(text_of(text_column)).alias("text_sha256"))
+    digests = landed(marked_rows.select("doc_id", "text_sha256", F.lit(0).alias("row")))
     hot_digests = F.broadcast(frequent(digests, candidates, counters))
     hot = landed(_winners(digests.join(hot_digests, "text_sha256", "left_semi")))
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    kept_hot = marked.join(F.broadcast(hot), "text_sha256").where(first)
-    tail = marked.join(F.broadcast(hot.select("text_sha256")), "text_sha256", "left_anti")
-    copied = _winners(digests.join(F.broadcast(hot.select("text_sha256")), "text_sha256", "left_anti")).where("group_size > 1")
-    kept_tail = tail.join(copied, "text_sha256", "left").where(F.col("keep_row").isNull() | first)
-    kept = kept_hot.unionByName(kept_tail)
-    # Rows with the same id and text tie for the first place; only then is there anything to choose.
-    ties = digests.groupBy("text_sha256", "doc_id").count().where("count > 1")
-    tied = kept.join(ties.select("text_sha256").distinct(), "text_sha256", "left_semi").dropDuplicates(["text_sha256"])
-    single = kept.join(ties.select("text_sha256").distinct(), "text_sha256", "left_anti")
-    return single.unionByName(tied).select("doc.*")
+    tail = digests.join(F.broadcast(hot.select("text_sha256")), "text_sha256", "left_anti")
+    copied = landed(_winners(tail).unionByName(hot).where("group_size > 1").select("text_sha256", "keep_id"))
+    known = filter_of(copied.select(F.xxhash64("text_sha256").alias("digest_hash")), "digest_hash")
+    met = marked(marked_rows.withColumn("digest_hash", F.xxhash64("text_sha256")), "digest_hash", known)
+    often = F.broadcast(hot.select("text_sha256", F.col("keep_id").alias("hot_id"), F.lit(True).alias("is_hot")))
+    doubtful = met.where("passes").join(often, "text_sha256", "left").where(F.col("is_hot").isNull() | F.col("doc_id").eqNullSafe(F.col("hot_id")))
+    found = doubtful.join(copied.withColumn("copied", F.lit(True)), "text_sha256", "left")
+    kept = found.where(F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # Rows with the same id and text tie for the first place.
+    return met.where(~F.col("passes")).select("doc.*").unionByName(kept.dropDuplicates(["text_sha256"]).select("doc.*"))
