@@ -34,6 +34,7 @@ FREQUENT = 200_000  # shingles that come last in every order: 3 MB broadcast
 OFTEN = 3  # texts of one chunk that must share a shingle for it to be counted
 ROUNDS = 6  # pivots at most before the rest is compared pair by pair
 FILTER_BITS = 2 ** 26  # 8 MB: sets that are wanted for comparison
+SLICE_BYTES = 2_000_000  # text whose sets a task works out at once
 DIRECT = 4  # pairs per row of the buckets that are compared at once
 
 
@@ -88,7 +89,7 @@ def _named(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """doc_id, size, node (null without words) of every row."""
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets()
-        for batch, data, offsets in W.chunks(batches):
+        for batch, data, offsets in W.chunks(batches, size=SLICE_BYTES):
             values, counts = sets.of(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(Sets.names(values, counts), mask=counts == 0)], ["doc_id", "size", "node"])
 
@@ -120,7 +121,7 @@ def _prefix_rows(texts: DataFrame, frequent) -> DataFrame:
     """(token, node, place, size) for the prefixes under the first order: `place` tokens of the set come before this one."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(frequent.value)
-        for _, data, offsets in W.chunks(batches, 0):
+        for _, data, offsets in W.chunks(batches, 0, SLICE_BYTES):
             values, counts = sets.of(data, offsets)
             tokens, lengths = sets.prefixes(values, counts, 0)
             places = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -155,7 +156,7 @@ def _wanted(texts: DataFrame, wanted: DataFrame, columns, schema: str) -> DataFr
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets()
-        for _, data, offsets in W.chunks(batches, 0):
+        for _, data, offsets in W.chunks(batches, 0, SLICE_BYTES):
             values, counts = sets.of(data, offsets)
             names = Sets.names(values, counts)
             place = names % FILTER_BITS
@@ -314,7 +315,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets()
-        for batch, data, offsets in W.chunks(batches, 2):
+        for batch, data, offsets in W.chunks(batches, 2, SLICE_BYTES):
             values, counts = sets.of(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(Sets.names(values, counts), mask=counts == 0)], ["doc", "doc_id", "node"])
 
