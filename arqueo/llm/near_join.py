@@ -6,10 +6,10 @@ prefixes (the first n - ceil(0.8 n) + 1 tokens) under every global order, so a c
 in a table of at most `FREQUENT` rows, come last, so passages that many documents share are rarely in a prefix; among the
 others the order is a hash of the shingle, another one each time.
 
-Equal sets are one node (its id is a 64-bit hash of the set). Nodes that share a prefix token form a bucket. Not all pairs
-of a bucket are compared: first each node meets one pivot of the bucket, and what is linked becomes one component; in
-later rounds only nodes of different components meet. At the end all pairs that share a bucket and still lie in different
-components are compared, so no link between components is lost.
+Equal sets are one node (its id is a 64-bit hash of the set). Nodes that share a prefix token form a bucket; buckets of the
+same nodes are one. Not all pairs of a bucket are compared: first each node meets one pivot of the bucket, and what is linked
+becomes one component; in later rounds only nodes of different components meet. At the end all pairs that share a bucket and
+still lie in different components are compared, so no link between components is lost.
 
 Defined cases: fewer than five words are one shingle; no words (or null) is an empty set that links with nothing; a null id
 has the smallest non-null id of its component, or null; repeated rows are one node; an empty table gives an empty result; other columns
@@ -246,18 +246,25 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     del prefixes, shared
     release(docs.sparkSession)
     # A row that could link with no other of its bucket is left out: of two rows that is known, of more a bound is.
-    about = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("smallest"), F.sum("size").alias("sizes"), F.sum("place").alias("places"))
+    about = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("smallest"), F.sum("size").alias("sizes"), F.sum("place").alias("places"),
+                                         F.bit_xor(F.xxhash64("node")).alias("members"))
     rest = (buckets.join(about, "token").withColumn("other_size", F.col("sizes") - F.col("size")).withColumn("other_place", F.col("places") - F.col("place")))
     bound = (F.col("size") - F.col("place")).cast("long") * (100 + PERCENT) >= (F.col("size").cast("long") + F.col("smallest")) * PERCENT
+    # Near copies share many tokens, whose buckets hold the same nodes. These become one, named by a hash of its nodes, with the earliest
+    # place of each: that is where the first common token of any two of them is. Different ones under one hash would be joined, which loses no pair.
     viable = landed(rest.where(F.when(F.col("n") == 2, _may_link("place", "size", "other_place", "other_size")).otherwise(bound))
-                    .select("token", "node", "place", "size"))
-    others = landed(_prefixes_of(texts, landed(viable.select("node").distinct()), frequent))
+                    .groupBy(F.xxhash64("members", "n").alias("token"), "node").agg(F.min("place").alias("place"), F.min("size").alias("size")))
+    discard(buckets)
+    wanted = landed(viable.select("node").distinct())
+    others = landed(_prefixes_of(texts, wanted, frequent))
     buckets = landed(viable.join(others.select("node", "rare"), "node"))
+    discard(viable, wanted)
     links, found, tested = None, None, None
     for turn in range(ROUNDS + 1):
-        rows = landed(_with_component(buckets, found))
-        mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-        rows = landed(rows.join(mixed, "token"))
+        everywhere = landed(_with_component(buckets, found))
+        mixed = everywhere.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+        rows = landed(everywhere.join(mixed, "token"))
+        discard(everywhere)
         per_component = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
         per_token = per_component.groupBy("token").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("twice"), F.sum("n").alias("n"))
         count, pairs_left = per_token.agg(F.sum("n"), F.sum("twice") / 2).first()
@@ -278,6 +285,7 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = landed(pairs)
+        discard(rows)
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = _verified(pairs, nodes, texts, others)
         links = new if links is None else links.unionByName(new)
