@@ -264,7 +264,9 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         everywhere = landed(_with_component(buckets, found))
         mixed = everywhere.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
         rows = landed(everywhere.join(mixed, "token"))
-        discard(everywhere)
+        discard(everywhere, buckets)
+        buckets = rows.drop("component")  # components only grow, so a bucket within one is done with
+        buckets.landed_path = rows.landed_path
         per_component = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
         per_token = per_component.groupBy("token").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("twice"), F.sum("n").alias("n"))
         count, pairs_left = per_token.agg(F.sum("n"), F.sum("twice") / 2).first()
@@ -285,7 +287,6 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = landed(pairs)
-        discard(rows)
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = _verified(pairs, nodes, texts, others)
         links = new if links is None else links.unionByName(new)
