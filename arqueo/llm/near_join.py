@@ -2,14 +2,16 @@
 
 A document is the set of its distinct shingles of five words. Two sets with a Jaccard of 0.8 share a token in their
 prefixes (the first n - ceil(0.8 n) + 1 tokens) under every global order, so a candidate pair must do so under all of
-`ORDERS` different ones before its sets are compared in full. In each order frequent shingles, found by counting and kept
-in a table of at most `FREQUENT` rows, come last, so passages that many documents share are rarely in a prefix; among the
-others the order is a hash of the shingle, another one each time.
+`ORDERS` different ones before its sets are compared in full. All shingles of all texts are counted in a sketch of `WIDTH`
+counters; in each order those that stand out of it come last, by powers of two, so passages that many documents share are
+rarely in a prefix. Among equals the order is a hash of the shingle, another one each time. What else falls on a counter changes
+the order only, never the result.
 
 Equal sets are one node (its id is a 64-bit hash of the set). Nodes that share a prefix token form a bucket; buckets of the
 same nodes are one. Not all pairs of a bucket are compared: first each node meets one pivot of the bucket, and what is linked
 becomes one component; in later rounds only nodes of different components meet. At the end all pairs that share a bucket and
-still lie in different components are compared, so no link between components is lost.
+still lie in different components are compared, so no link between components is lost; where those are many, a bucket is
+first split by the prefix tokens of the second order, one of which linked sets share too.
 
 Defined cases: fewer than five words are one shingle; no words (or null) is an empty set that links with nothing; a null id
 has the smallest non-null id of its component, or null; repeated rows are one node; an empty table gives an empty result; other columns
@@ -30,8 +32,9 @@ from arqueo.llm.components import components
 
 PERCENT = 80  # two sets link when 100 x common >= PERCENT x union
 ORDERS = 3
-FREQUENT = 200_000  # shingles that come last in every order: 3 MB broadcast
-OFTEN = 3  # texts of one chunk that must share a shingle for it to be counted
+WIDTH = 2 ** 22  # counters of the sketch: 16 MB while they are summed, 4 MB broadcast
+BLOCK = 2 ** 14  # counters that are summed together
+FAN = 1_024  # tasks whose sketches one group sums: at most 100 MB
 ROUNDS = 6  # pivots at most before the rest is compared pair by pair
 FILTER_BITS = 2 ** 26  # 8 MB: sets that are wanted for comparison
 SLICE_BYTES = 2_000_000  # text whose sets a task works out at once
@@ -45,9 +48,9 @@ def prefix_length(size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 class Sets:
     """Shingle sets of batches of texts, and their prefixes."""
 
-    def __init__(self, frequent: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, levels: np.ndarray | None = None):
         self.words = W.Words()
-        self.frequent = frequent  # shingles in rising order and the place of each among the frequent ones
+        self.levels = levels  # how common the shingles of each counter are
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return W.distinct(*W.shingle_hashes(*self.words.hashes(data, offsets)))
@@ -60,14 +63,8 @@ class Sets:
         return W.mix(sums[ends] - sums[ends - counts] + counts.astype(np.uint64), 13).view(np.int64)
 
     def ranks(self, values: np.ndarray, order: int) -> np.ndarray:
-        """The place of shingles in a global order."""
-        ranks = W.mix(values, 100 + order) >> np.uint64(1)
-        known, places = self.frequent
-        if len(known):
-            at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-            often = known[at] == values
-            ranks[often] = np.uint64(2 ** 63) + (places[at[often]].astype(np.uint64) << np.uint64(32)) + (ranks[often] >> np.uint64(32))
-        return ranks
+        """The place of shingles in a global order: the level, then a hash."""
+        return (W.mix(values, 100 + order) >> np.uint64(8)) | (self.levels[_counter(values)].astype(np.uint64) << np.uint64(56))
 
     def prefixes(self, values: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
         """Shingles of the prefixes, in their order, and how many each set has."""
@@ -97,30 +94,47 @@ def _named(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(named, schema)
 
 
-def frequent_shingles(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that most texts share, and their places by rising frequency. Counted where at least `OFTEN` texts of one chunk
-    share them; the answer only makes an order, so it need not be exact."""
+def _counter(values: np.ndarray) -> np.ndarray:
+    return (values % np.uint64(WIDTH)).view(np.int64)
+
+
+def shingle_levels(texts: DataFrame) -> np.ndarray:
+    """For every counter the power of two by which its texts stand out of the middle counter's (0: they do not). Each task sends
+    what it counted in blocks; blocks are summed for `FAN` tasks at a time, then for all."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets()
-        for _, data, offsets in W.chunks(batches, 0):
-            values, _ = sets.of(data, offsets)
-            values.sort()
-            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[:len(values)])
-            counts = np.diff(np.append(first, len(values)))
-            often = counts >= OFTEN
-            yield pa.RecordBatch.from_arrays([pa.array(values[first[often]].view(np.int64)), pa.array(counts[often])], ["shingle", "texts"])
-
-    top = (texts.mapInArrow(counted, "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts"))
-           .orderBy(F.desc("texts"), "shingle").limit(most).toPandas())
-    shingles = top["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], np.arange(len(shingles), 0, -1)[order]
-
-
-def _prefix_rows(texts: DataFrame, frequent) -> DataFrame:
+        sets, counters = Sets(), np.zeros(WIDTH, np.uint32)
+        for _, data, offsets in W.chunks(batches, 0, SLICE_BYTES):
+            np.add.at(counters, _counter(sets.of(data, offsets)[0]), np.uint32(1))
+        for block in range(WIDTH // BLOCK):
+            part = counters[block * BLOCK:(block + 1) * BLOCK]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()),
+                                                  pa.array([part[at].tobytes()], pa.binary())], ["block", "places", "counts"])
+
+    def summed(key, rows):
+        total = np.zeros(BLOCK, np.uint64)
+        for places, counts in zip(rows["places"], rows["counts"]):
+            total[np.frombuffer(places.as_py(), np.uint16)] += np.frombuffer(counts.as_py(), np.uint32)
+        at = np.flatnonzero(total)
+        most = np.minimum(total[at], 2 ** 32 - 1).astype(np.uint32)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()),
+                         pa.array([most.tobytes()], pa.binary())], ["block", "places", "counts"])
+
+    schema = "block int, places binary, counts binary"
+    found = texts.mapInArrow(counted, schema).withColumn("some", F.expr(f"spark_partition_id() div {FAN}"))
+    found = found.groupBy("block", "some").applyInArrow(summed, schema).groupBy("block").applyInArrow(summed, schema)
+    counters = np.zeros(WIDTH, np.int64)
+    for block, places, counts in found.collect():  # at most 6 bytes per counter
+        counters[block * BLOCK + np.frombuffer(places, np.uint16).astype(np.int64)] = np.frombuffer(counts, np.uint32)
+    middle = float(np.median(counters))
+    return np.log2(1 + np.maximum(counters - middle, 0) / (2 + 2 * middle ** 0.5)).astype(np.uint8)
+
+
+def _prefix_rows(texts: DataFrame, levels) -> DataFrame:
     """(token, node, place, size) for the prefixes under the first order: `place` tokens of the set come before this one."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(frequent.value)
+        sets = Sets(levels.value)
         for _, data, offsets in W.chunks(batches, 0, SLICE_BYTES):
             values, counts = sets.of(data, offsets)
             tokens, lengths = sets.prefixes(values, counts, 0)
@@ -173,14 +187,14 @@ def _array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
-def _prefixes_of(texts: DataFrame, wanted: DataFrame, frequent) -> DataFrame:
-    """node, its prefixes under all orders but the first, and the share of its shingles that are not among the frequent
-    ones. Half a hash is enough to pass all pairs that share a token."""
+def _prefixes_of(texts: DataFrame, wanted: DataFrame, levels) -> DataFrame:
+    """node, its prefixes under all orders but the first, and the share of its shingles that do not
+    stand out. Half a hash is enough to pass all pairs that share a token."""
     def columns(values: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
-        sets = Sets(frequent.value)
+        sets = Sets(levels.value)
         found = (sets.prefixes(values, counts, k) for k in range(1, ORDERS))
         owner = np.repeat(np.arange(len(counts)), counts)
-        rare = np.bincount(owner, sets.ranks(values, 0) < np.uint64(2 ** 63), len(counts)) / np.maximum(counts, 1)
+        rare = np.bincount(owner, sets.levels[_counter(values)] == 0, len(counts)) / np.maximum(counts, 1)
         return [*(_array(tokens.astype(np.uint32).view(np.int32), lengths) for tokens, lengths in found), pa.array(rare)]
 
     fields = [f"c{k} array<int>" for k in range(ORDERS - 1)] + [f"c{ORDERS - 1} double"]
@@ -239,8 +253,8 @@ def _with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
 def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component) of the nodes that have links. `docs` (doc_id, text), `nodes` (node, size, doc_id)."""
     texts = docs.select("text")
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
-    prefixes = _prefix_rows(texts, frequent)
+    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(texts))
+    prefixes = _prefix_rows(texts, levels)
     shared = prefixes.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
     buckets = landed(prefixes.join(shared, "token").distinct())
     del prefixes, shared
@@ -256,7 +270,7 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     .groupBy(F.xxhash64("members", "n").alias("token"), "node").agg(F.min("place").alias("place"), F.min("size").alias("size")))
     discard(buckets)
     wanted = landed(viable.select("node").distinct())
-    others = landed(_prefixes_of(texts, wanted, frequent))
+    others = landed(_prefixes_of(texts, wanted, levels))
     buckets = landed(viable.join(others.select("node", "rare"), "node"))
     discard(viable, wanted)
     links, found, tested = None, None, None
@@ -276,7 +290,12 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         if last:
             other = rows.select("token", F.col("node").alias("other"), F.col("component").alias("other_component"),
                                 F.col("place").alias("other_place"), F.col("size").alias("other_size"))
-            met = rows.join(other, "token").where("component < other_component")
+            on = ["token"]
+            if pairs_left > DIRECT * count:
+                second = others.select("node", F.explode("c0").alias("second"))
+                rows, other = rows.join(second, "node"), other.join(second.withColumnRenamed("node", "other"), "other")
+                on.append("second")
+            met = rows.join(other, on).where("component < other_component")
         else:
             # The first pivot is the node with fewest shingles of its own, as the original of a family of copies has; then any.
             order = F.struct("rare", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)))
