@@ -39,6 +39,7 @@ def with_(names: str, select: str) -> str:
 NEEDS = {
     "rango": ("facturas", "pagos_usd"), "trm": ("publicadas", "rango"), "ultimas": ("trm",), "con_tasa": ("facturas", "trm"),
     "cruce": ("facturas", "pagos_usd"), "resumen": ("con_tasa", "ultimas", "cruce"), "tramos": ("con_tasa", "pagos_usd"),
+    "filas_densas": ("tramos", "trm"), "filas_densas_n": ("tramos_n", "trm"),
     "denso": ("tramos", "trm"), "tramos_n": ("con_tasa_n", "pagos_usd"), "denso_n": ("tramos_n", "trm"), "edad": ("compras",), "pagadas": ("compras",), "abiertas": ("compras", "pagadas"),
     "cierres": ("reales",), "libro": ("cierres",), "numeros": ("filas",), "partidas": ("numeros",),
     "numeros_m": ("filas_m",), "partidas_m": ("numeros_m",), "numeros_e": ("filas_e",), "partidas_e": ("numeros_e",), "deuda": ("compras",), "dias_e": ("partidas_e", "deuda"),
@@ -153,6 +154,27 @@ def dense(source: str) -> str:
         FROM (SELECT *, CAST(unnest({days}) AS DATE) AS dia FROM {source}) s JOIN trm d ON d.fecha = s.dia"""
 
 
+def dense_rows(source: str) -> str:
+    """Every column of every row of the dense detail: the days from the invoice date on, and zeros on the days before."""
+    first, last = "(SELECT min(fecha) FROM trm)", "(SELECT max(fecha) FROM trm)"
+    days = f"range(greatest(desde, {first}), least(coalesce(hasta, DATE '9999-01-01'), {last}) + 1, INTERVAL 1 DAY)"
+    return f"""SELECT s.entity_id, d.fecha, s.factura, s.cliente, s.v, s.t, s.antes, s.abonos, greatest(v - antes - abonos, 0)::DECIMAL(18,2) AS saldo,
+        anticipos, realizada, CAST(greatest(v - antes - abonos, 0) * (d.trm - t) AS DECIMAL(38,6)) AS no_realizada, d.trm
+        FROM (SELECT *, CAST(unnest({days}) AS DATE) AS dia FROM {source}) s JOIN trm d ON d.fecha = s.dia
+        UNION ALL SELECT s.entity_id, d.fecha, s.factura, s.cliente, s.v, s.t, s.antes, 0, 0, 0, 0, 0, d.trm
+        FROM {source} s JOIN trm d ON d.fecha < s.ff WHERE s.desde = s.ff"""
+
+
+def fingerprint(rows: str, *more: str) -> str:
+    """Per company and month the number of rows and the sum of a hash of all columns of each."""
+    scaled = {"v": 2, "t": 4, "antes": 2, "abonos": 2, "saldo": 2, "anticipos": 6, "realizada": 6, "no_realizada": 6,
+              "anticipos + realizada + no_realizada": 6, "trm": 4} | dict.fromkeys(more, 6)
+    values = [f"CAST(CAST({value} AS DECIMAL(28,{places})) * {10 ** places} AS HUGEINT)::VARCHAR" for value, places in scaled.items()]
+    texts = ", ".join(f"coalesce({value}, 'null')" for value in ("strftime(fecha, '%Y-%m-%d')", "factura", "cliente", *values))
+    return f"""SELECT entity_id, strftime(fecha, '%Y-%m') AS mes, count(*) AS filas,
+        sum(('0x' || substr(md5(concat_ws('|', {texts})), 1, 12))::BIGINT)::VARCHAR AS huella FROM {rows} GROUP BY 1, 2"""
+
+
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 BALANCE = "greatest(v - antes - desde, 0)"
 PLAIN_BILL = "entity_id, PROVEEDOR, FACTURA"
@@ -196,6 +218,7 @@ TABLES = {
         CASE WHEN ff IS NULL THEN 0 ELSE {BALANCE} * CAST(actual * 0.98 - ayer AS DECIMAL(18,6)) END AS menos
         FROM con_tasa c JOIN cruce USING (entity_id, factura), ultimas""",
     "tramos": spans("con_tasa"), "tramos_n": spans("con_tasa_n"), "denso": dense("tramos"), "denso_n": dense("tramos_n"),
+    "filas_densas": dense_rows("tramos"), "filas_densas_n": dense_rows("tramos_n"),
     "compras": """SELECT CAST(s_nationkey % 5 AS VARCHAR) AS entity_id, s_name AS PROVEEDOR, CAST(l_orderkey AS VARCHAR) AS FACTURA,
         CAST(l_extendedprice AS DECIMAL(18,2)) AS VALOR, CAST(o_orderdate AS DATE) AS GENERACIO,
         CAST(o_orderdate AS DATE) + 15 * l_linenumber AS VENCIMIENTO, l_returnflag AS devuelta, s_nationkey
@@ -367,6 +390,9 @@ SQL: dict[str, str] = {
           SELECT entity_id, factura, max(cambio) AS alto, min(cambio) AS bajo FROM (
             SELECT entity_id, factura, no_realizada - coalesce(lag(no_realizada) OVER (PARTITION BY entity_id, factura ORDER BY fecha),
               CASE WHEN fecha = (SELECT min(fecha) FROM trm) THEN no_realizada ELSE 0 END) AS cambio FROM denso_n) GROUP BY 1, 2) USING (entity_id, factura)"""),
+    "fx_daily_detail_digest": with_("filas_densas", fingerprint("filas_densas")),
+    "fx_invoice_series_digest": with_("filas_densas_n", fingerprint("""(SELECT *, coalesce(no_realizada - lag(no_realizada) OVER (
+        PARTITION BY entity_id, factura ORDER BY fecha), 0) AS cambio FROM filas_densas_n)""", "cambio")),
     "fx_movements": with_("movs", f"""SELECT entity_id, factura, {d('fecha')} AS fecha, {m('usd')} AS monto_usd, {m('tasa', 4)} AS tasa_monetizacion, {d('ff')} AS fecha_factura,
         {m('t', 4)} AS trm_factura, {m('coalesce(trm, first_value(trm IGNORE NULLS) OVER (PARTITION BY entity_id, factura ORDER BY fecha ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))', 4)} AS trm,
         tipo AS tipo_mov, {m('dif')} AS dif_mov,

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,6 +140,33 @@ def _series_extremes(j: Jobs) -> DataFrame:
         F.count(F.lit(1)).alias("dias"), F.max("dif_dia_base").alias("mejor_dia"), F.min("dif_dia_base").alias("peor_dia"))
 
 
+def _fingerprint(rows: DataFrame) -> DataFrame:
+    """Per company and month the number of rows and a sum, in whatever order, of a hash of all columns of each."""
+    scales = {field.name: getattr(field.dataType, "scale", None) for field in rows.schema.fields}
+
+    def as_text(name: str) -> Column:
+        value = F.col(name)
+        if scales[name] is not None:
+            value = (value * F.lit(10 ** scales[name])).cast("decimal(38,0)")
+        return F.coalesce(value.cast("string"), F.lit("null"))
+
+    row_text = F.concat_ws("|", *(as_text(name) for name in rows.columns if name != ENTITY))
+    number = F.conv(F.substring(F.md5(row_text), 1, 12), 16, 10).cast("decimal(15,0)")
+    months = rows.select(ENTITY, F.trunc("fecha", "MM").alias("mes"), number.alias("n")).groupBy(ENTITY, "mes").agg(
+        F.count(F.lit(1)).alias("filas"), F.sum("n").cast("string").alias("huella"))
+    return months.withColumn("mes", F.date_format("mes", "yyyy-MM"))
+
+
+def _daily_detail_digest(j: Jobs) -> DataFrame:
+    """The dense daily detail in every column of every row."""
+    return _fingerprint(fx.fx_daily_detail(*j.fx_inputs))
+
+
+def _series_digest(j: Jobs) -> DataFrame:
+    """The daily series of every invoice in every column of every row."""
+    return _fingerprint(fx.fx_invoice_series(*j.fx_inputs))
+
+
 def _cash_flow(j: Jobs) -> DataFrame:
     collection = cashflow.weekly_collection(j.summary, j.rates, FX_AS_OF)
     due = cashflow.open_payables_by_week(j.t.compras, j.t.pagos, BILLS_AS_OF)
@@ -320,6 +347,8 @@ JOBS: dict[str, Callable[[Jobs], DataFrame]] = {
     "fx_portfolio_totals": lambda j: fx.fx_portfolio_totals(j.summary),
     "fx_daily_totals": lambda j: fx.fx_daily_totals(*j.fx_inputs),
     "fx_balance_spans": lambda j: fx.fx_balance_spans(*j.fx_inputs),
+    "fx_daily_detail_digest": _daily_detail_digest,
+    "fx_invoice_series_digest": _series_digest,
     "fx_daily_detail_by_month": _daily_detail_by_month,
     "fx_invoice_series_extremes": _series_extremes,
     "invoice_scan_from_text": _invoices_from_text,

@@ -1,4 +1,4 @@
-"""Each query equals its SQL on the smallest given tables. The two that write every invoice and day out are left to
+"""Each query equals its SQL on the smallest given tables. The four that write every invoice and day out are left to
 the larger check run (`python -m checks.compare FOLDER`) and to the brute-force tests."""
 
 import pytest
@@ -8,7 +8,7 @@ from checks.oracle import SQL
 from checks.queries import JOBS
 
 SMALL = "/root/testdata/sf0.001"
-DENSE = {"fx_daily_detail_by_month", "fx_invoice_series_extremes"}
+DENSE = {"fx_daily_detail_by_month", "fx_invoice_series_extremes", "fx_daily_detail_digest", "fx_invoice_series_digest"}
 
 
 @pytest.fixture(scope="module")
