@@ -15,8 +15,8 @@ PADDING = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u2007\u202f\u3000"
 # Layouts for text that is not three numbers.
 NAMED_MONTH_LAYOUTS = ("yyyyMMdd", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "d-MMMM-yyyy", "d MMMM yyyy", "MMMM d, yyyy")
 _TIME = r"(?:[T ]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?\s*(?:[AaPp][Mm])?\s*(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2})?)?$"
-_YEAR_FIRST = "^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + _TIME
-_YEAR_LAST = "^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + _TIME
+_NUMBERS = "^(?:([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})|([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4}))" + _TIME
+_DAY_FIRST, _MONTH_FIRST = "$1$6-$2$5-$3$4", "$1$6-$2$4-$3$5"  # groups that take no part are empty
 
 
 def clean(text: Column) -> Column:
@@ -43,12 +43,11 @@ def to_day(text: Column, day_first: bool = False) -> Column:
     change places. Text that is no date becomes NULL.
     """
     trimmed = clean(text)
-    year_last = ("$3-$2-$1", "$3-$1-$2") if day_first else ("$3-$1-$2", "$3-$2-$1")
-    orders = [(_YEAR_FIRST, "$1-$2-$3"), *((_YEAR_LAST, order) for order in year_last)]
-    numbers = [F.when(trimmed.rlike(pattern), F.try_to_timestamp(F.regexp_replace(trimmed, pattern, order), F.lit("y-M-d")))
-               for pattern, order in orders]
-    named = [F.try_to_timestamp(trimmed, F.lit(layout)) for layout in NAMED_MONTH_LAYOUTS]
-    return F.coalesce(*numbers, *named).cast("date")
+    orders = (_DAY_FIRST, _MONTH_FIRST) if day_first else (_MONTH_FIRST, _DAY_FIRST)
+    # A cast reads three numbers without the exception that a layout throws for each text that does not fit it.
+    numbers = [F.regexp_replace(trimmed, _NUMBERS, order).try_cast("date") for order in orders]
+    named = [F.try_to_timestamp(trimmed, F.lit(layout)).cast("date") for layout in NAMED_MONTH_LAYOUTS]
+    return F.when(trimmed.rlike(_NUMBERS), F.coalesce(*numbers)).when(trimmed.rlike("[0-9]"), F.coalesce(*named))
 
 
 def _count(text: Column, mark: str) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arqueo import constants as C
 from arqueo.functions import text
@@ -33,21 +34,32 @@ def _keep_named(rows: DataFrame) -> DataFrame:
     return rows.where(created.isNotNull() & (created != "") & F.col("PROVEEDOR").isNotNull())
 
 
+def _usable(rows: DataFrame, *others: str) -> DataFrame:
+    """The columns of a bill, and ``others``, of the rows with a value and both dates.
+
+    Text is read behind a generator, so that the filter carries no second copy of how it is read.
+    """
+    read = (col.money(rows, "VALOR"), col.date(rows, "GENERACIO", day_first=True), col.date(rows, "VENCIMIENTO", day_first=True))
+    if any(isinstance(rows.schema[name].dataType, T.StringType) for name in ("VALOR", "GENERACIO", "VENCIMIENTO")):
+        values, read = (F.explode(F.array(F.struct(*read))).alias("__leido"),), ("__leido.VALOR", "__leido.GENERACIO", "__leido.VENCIMIENTO")
+    else:
+        values, read = read, ("VALOR", "GENERACIO", "VENCIMIENTO")
+    bills = _keep_named(rows).select(
+        col.entity(rows), col.label(rows, "PROVEEDOR"), F.col("FACTURA").cast("string").alias("FACTURA"), *values, *others)
+    return bills.select(ENTITY, "PROVEEDOR", "FACTURA", *read, *others).na.drop(subset=["GENERACIO", "VENCIMIENTO", "VALOR"])
+
+
+def _rejected(rows: DataFrame) -> DataFrame:
+    """The rows that cannot be used with the reason, behind a generator too."""
+    return rows.drop("motivo").select("*", F.explode(F.array(_reason(rows))).alias("motivo")).where(F.col("motivo").isNotNull())
+
+
 def prepare_bills(raw: DataFrame) -> DataFrame:
     """Normalize headers, check them, coerce, and drop rows without usable dates or value."""
     df = normalize_headers(raw)
     col.require(df, C.BILL_COLUMNS, "compras")
     extras = [name for name in df.columns if name not in C.BILL_COLUMNS and name != ENTITY]
-    return (
-        _keep_named(df)
-        .select(
-            col.entity(df), col.label(df, "PROVEEDOR"), F.col("FACTURA").cast("string").alias("FACTURA"),
-            col.money(df, "VALOR"),
-            col.date(df, "GENERACIO", day_first=True), col.date(df, "VENCIMIENTO", day_first=True),
-            *extras,
-        )
-        .na.drop(subset=["GENERACIO", "VENCIMIENTO", "VALOR"])
-    )
+    return _usable(df, *extras)
 
 
 def _reason(df: DataFrame) -> Column:
@@ -65,7 +77,7 @@ def bill_rejects(raw: DataFrame) -> DataFrame:
     """The rows that `prepare_bills` drops, as they came, with the reason in ``motivo``."""
     df = normalize_headers(raw)
     col.require(df, C.BILL_COLUMNS, "compras")
-    return df.withColumn("motivo", _reason(df)).where(F.col("motivo").isNotNull())
+    return _rejected(df)
 
 
 def union_bills(tables: list[DataFrame]) -> tuple[DataFrame | None, list[tuple[int, str]]]:
@@ -124,22 +136,13 @@ def read_bills(spark: SparkSession, paths: str | list[str], entity: str = DEFAUL
     The same column name twice in a file: the first one counts. What is not here is in `bill_line_rejects` (records) or
     `bill_file_rejects` (whole files).
     """
-    rows = _bill_rows(spark, paths, entity)
-    return (
-        _keep_named(rows)
-        .select(
-            ENTITY, col.label(rows, "PROVEEDOR"), "FACTURA", col.money(rows, "VALOR"),
-            col.date(rows, "GENERACIO", day_first=True), col.date(rows, "VENCIMIENTO", day_first=True),
-            "extras", "archivo",
-        )
-        .na.drop(subset=["GENERACIO", "VENCIMIENTO", "VALOR"])
-    )
+    return _usable(_bill_rows(spark, paths, entity), "extras", "archivo")
 
 
 def bill_line_rejects(spark: SparkSession, paths: str | list[str], entity: str = DEFAULT_ENTITY) -> DataFrame:
     """The records that `read_bills` drops, cells as text, with the reason in ``motivo`` and their place in the file."""
     rows = _bill_rows(spark, paths, entity)
-    return rows.withColumn("motivo", _reason(rows)).where(F.col("motivo").isNotNull())
+    return _rejected(rows)
 
 
 def bill_file_rejects(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -122,3 +122,9 @@ def test_csv_fields_of_a_long_line(spark):
     line = ",".join(['"a, ""b"""'] * 100_000)
     found = spark.createDataFrame([(line,), ('1,"P\nSAS",2',)], "t string").select(F.size(text.csv_fields(F.col("t"))), text.csv_fields(F.col("t"))[1]).collect()
     assert [tuple(r) for r in found] == [(100_000, 'a, "b"'), (3, "P\nSAS")]
+
+
+def test_days_whose_numbers_fit_no_calendar_or_change_places(spark):
+    given = ["29/2/2024", "29/2/2023", "12/25/1999", "2024-13-01", "2024.1.2 5:06 PM", "1-2-2024T03:04:05.678Z", "20240230", "20240229", "-", "n/a", "5 Mar 2024", "2024", "2024-01"]
+    wanted = ["2024-02-29", None, "1999-12-25", None, "2024-01-02", "2024-02-01", None, "2024-02-29", None, None, "2024-03-05", None, None]
+    assert evaluate(spark, given, "string", lambda c: text.to_day(c, day_first=True)) == [date(day) for day in wanted]

@@ -133,3 +133,10 @@ def test_a_row_of_a_statement_is_read_once(spark, name):
     """The search for keywords and numbers stands once in the optimized plan; filters carry no copies of it."""
     optimized = bound(name)(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert optimized.count("regexp_extract_all") == 1 and optimized.count("COSTOS DE VENTAS") == 1
+
+
+@pytest.mark.parametrize("name", ["payables_bills_from_text", "payables_rows_that_go"])
+def test_a_date_of_a_bill_is_read_once(spark, name):
+    """Two orders of the numbers for each of two dates, and no copy of them in a filter."""
+    optimized = bound(name)(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("regexp_replace") == 4
