@@ -179,8 +179,12 @@ def _swept_changes(priced: DataFrame, daily: DataFrame) -> DataFrame:
     The balance of an invoice is its value less what the number has paid by then, so it closes on the first day on which the
     payments reach its value. On a line of invoices and payment days by value that day is the least one at or above the invoice.
     An invoice is then an opening and a closing event, and a payment changes the balance by its amount times the number of
-    invoices open, which is a running sum: N invoices and D payment days of one number give N + D rows, never N x D. Only where a
-    number has days on which payments are taken back, so that an invoice may open again, its invoices meet all its payment days.
+    invoices open, which is a running sum: N invoices and D payment days of one number give N + D rows, never N x D.
+
+    Where a number has days on which payments are taken back, an invoice may open again. There a payment asks for the invoices so far above
+    the sum paid, after it and before it. On the line by value those are a prefix, made up of stretches of 2^k places, at
+    most one of each size; an invoice counts in the stretches around it, so each stretch is a running sum by day and the rows are
+    (N + D) log(N + D).
 
     Equal invoices count as one with a multiplicity. A number with very many invoices is dealt out to parts, each with all payment
     days of the number (which the calendar bounds); the changes of the parts add up. The list of such numbers is
@@ -203,58 +207,85 @@ def _swept_changes(priced: DataFrame, daily: DataFrame) -> DataFrame:
     upto = number.orderBy("dia", "tipo").rowsBetween(W.unboundedPreceding, 0)
     by_level = number.orderBy(F.desc("nivel"), F.desc("tipo")).rowsBetween(W.unboundedPreceding, 0)
     kinds = {"usd": USD_TOTAL, "usd_con_tasa": USD_TOTAL, "cop": COP_AMOUNT}
+    back = F.coalesce(F.col("menor") < 0, F.lit(False))
+    # A payment of a number with payments taken back stands on the line by value twice: with the sum after it and with that before it.
+    after = F.struct(F.coalesce("valor", "antes_usd").cast(USD_TOTAL).alias("nivel"), F.lit(1).alias("signo"))
+    before = F.struct(_usd(F.col("antes_usd") - F.col("usd")).alias("nivel"), F.lit(-1).alias("signo"))
+    levels = F.when(back & (F.col("tipo") == 1), F.array(after, before)).otherwise(F.array(after))
     line = dealt.unionByName(paid, allowMissingColumns=True).withColumns({
         **{f"antes_{name}": F.coalesce(F.sum(name).over(upto), F.lit(0)).cast(kind) for name, kind in kinds.items()},
         "menor": F.min("usd").over(number),
-    }).withColumn("nivel", F.coalesce("valor", "antes_usd"))
+        "puestos": 2 * F.count(F.lit(1)).over(number),  # at least as many as there are places by value
+    }).select("*", F.explode(levels).alias("l")).select("*", "l.*").drop("l")
     payment = F.when(F.col("tipo") == 1, F.struct("dia", _usd(F.col("antes_usd") - F.col("usd")).alias("antes")))
-    back = F.coalesce(F.col("menor") < 0, F.lit(False))
-    payments = F.when(back & (F.col("tipo") == 1), F.struct("dia", "antes_usd", "usd", "usd_con_tasa", "cop"))
-    line = line.withColumns({"cierre": F.min(payment).over(by_level), "pagos": F.collect_list(payments).over(number)})
-    line = line.where(~back | (F.col("tipo") == 0))
+    line = line.withColumns({"cierre": F.min(payment).over(by_level), "puesto": F.dense_rank().over(number.orderBy(F.desc("nivel"), F.desc("tipo")))})
     times, trm = F.col("veces"), F.col("trm")
     opens = F.col("antes_usd") < F.col("valor")
     rated = F.when(trm.isNotNull(), times).otherwise(F.lit(0).cast("long"))
     rates_of = F.coalesce(_cop(trm * times), F.lit(0).cast(COP_AMOUNT))
 
-    def event(day: Column, kind: int, saldo: Column, advances: Column, realized: Column, sign: int = 0, joins: Column | None = None) -> Column:
-        """A change on its own day. ``sign`` says whether the invoice joins or leaves, ``joins`` if it is among those that payments reduce."""
+    amounts = {"valores": times, "valores_con_tasa": rated, "valores_por_tasa": rates_of}
+    counted_names = ("abiertas", "abiertas_con_tasa", "tasas", "todas", "todas_con_tasa", "todas_tasas")
+    value, zero = F.col("valor"), F.lit(0)
+
+    def event(
+        day: Column, kind: int, saldo: Column = zero, advances: Column = zero, sign: int = 0, joins: Column | None = None, stretch: Column | None = None,
+    ) -> Column:
+        """A change on its own day. ``sign`` says whether the invoice joins or leaves, ``joins`` if it is among those that payments reduce;
+        within a ``stretch`` of places by value it is summed apart."""
         change, there = _usd(saldo), F.lit(False) if joins is None else joins
+        everywhere = F.lit(sign > 0 and stretch is None)
         counts = {"abiertas": (there, times), "abiertas_con_tasa": (there, rated), "tasas": (there, rates_of)}
-        counts |= {"todas": (F.lit(sign > 0), times), "todas_con_tasa": (F.lit(sign > 0), rated), "todas_tasas": (F.lit(sign > 0), rates_of)}
+        counts |= {"todas": (everywhere, times), "todas_con_tasa": (everywhere, rated), "todas_tasas": (everywhere, rates_of)}
         if kind == 1:  # a payment: no invoice of its own
             counts = {name: (F.lit(False), F.lit(0)) for name in counts}
+        of_stretch = F.lit(kind == 0 and stretch is not None)
         return F.struct(
             day.alias("fecha"), F.lit(kind).alias("orden"), change.alias("saldo"), F.when(trm.isNotNull(), change).alias("saldo_con_tasa"),
-            _cop(change * trm).alias("saldo_por_tasa"), _cop(advances).alias("dif_anticipos"), _cop(realized).alias("realizada"),
+            _cop(change * trm).alias("saldo_por_tasa"), _cop(advances).alias("dif_anticipos"),
             *(F.when(where, sign * value).otherwise(F.lit(0)).cast(COP_AMOUNT if "tasas" in name else "long").alias(name) for name, (where, value) in counts.items()),
             *(F.when(F.lit(kind == 1), F.col(name)).cast(kinds[name]).alias(name) for name in kinds),
+            *(F.when(of_stretch, _cop(count * value)).alias(name) for name, count in amounts.items()),
+            *(F.lit(-1 if name == "k" else 0).cast("int").alias(name) if stretch is None else stretch[name].alias(name) for name in ("k", "n")),
         )
 
-    zero, value = F.lit(0), F.col("valor")
     advances = times * (trm * F.col("antes_usd_con_tasa") - F.col("antes_cop"))
     counted = opens & ~back
-    start = event(F.col("dia"), 0, times * _open(value, F.col("antes_usd")), advances, zero, 1, counted)
-    end = event(F.col("cierre.dia"), 0, times * (F.col("cierre.antes") - value), zero, zero, -1, counted)
-    alone = event(F.col("dia"), 0, times * _open(value, F.col("antes_usd")), advances, zero)
-    pays = event(F.col("dia"), 1, zero, zero, zero)
-    meets = F.transform(F.filter("pagos", lambda p: p["dia"] >= F.col("dia")), lambda p: event(
-        p["dia"], 0, times * (_open(value, p["antes_usd"]) - _open(value, p["antes_usd"] - p["usd"])), zero, times * (p["cop"] - trm * p["usd_con_tasa"])))
+    start = event(F.col("dia"), 0, times * _open(value, F.col("antes_usd")), advances, 1, counted)
+    end = event(F.col("cierre.dia"), 0, times * (F.col("cierre.antes") - value), zero, -1, counted)
+    pays = event(F.col("dia"), 1)
+    # Places are numbered from the largest value down. The stretches (k, n) of 2^k places that may be asked for have an even n.
+    around = "transform(sequence(0, 30), k -> named_struct('k', k, 'n', shiftright(puesto, k)))"
+    around = F.expr(f"filter({around}, s -> s.n % 2 = 0 AND shiftleft(cast(s.n + 1 AS bigint), s.k) <= puestos)")
+    above = F.expr("transform(filter(sequence(0, 30), k -> shiftright(puesto, k) % 2 = 1), k -> named_struct('k', k, 'n', shiftright(puesto, k) - 1))")
+    asks = F.transform(above, lambda s: event(F.col("dia"), 1, stretch=s))
+    counts_in = F.transform(around, lambda s: event(F.col("dia"), 0, zero, zero, 1, F.lit(True), s))
+    is_invoice = F.col("tipo") == 0
     both = (
-        F.when(F.col("tipo") == 1, F.array(pays)).when(back, F.concat(F.array(alone), meets))
-        .when(opens & F.col("cierre").isNotNull(), F.array(start, end)).otherwise(F.array(start))
+        F.when(back & is_invoice & value.isNotNull(), F.concat(F.array(start), counts_in))
+        .when(back & ~is_invoice, F.when(F.col("signo") == 1, F.concat(F.array(pays), asks)).otherwise(asks))
+        .when(~is_invoice, F.array(pays))
+        .when(opens & ~back & F.col("cierre").isNotNull(), F.array(start, end)).otherwise(F.array(start))
     )
-    events = line.select(*INVOICE_KEY, "parte", F.explode(both).alias("e")).select(*INVOICE_KEY, "parte", "e.*")
-    past = number.orderBy("fecha", "orden").rowsBetween(W.unboundedPreceding, 0)
-    events = events.withColumns({f"__{name}": F.sum(name).over(past) for name in ("abiertas", "abiertas_con_tasa", "tasas", "todas", "todas_con_tasa", "todas_tasas")})
-    usd, is_payment = F.col("usd"), F.col("orden") == 1
-    return events.where(~is_payment | (F.col("__todas") > 0)).select(
+    events = line.select(*INVOICE_KEY, "parte", "nivel", "signo", F.explode(both).alias("e")).select(*INVOICE_KEY, "parte", "nivel", "signo", "e.*")
+    past = W.partitionBy(*INVOICE_KEY, "parte", "k", "n").orderBy("fecha", "orden").rowsBetween(W.unboundedPreceding, 0)
+    events = events.withColumns({f"__{name}": F.sum(name).over(past) for name in (*counted_names, *amounts)})
+    usd, asked = F.col("usd"), F.col("k") >= 0
+    is_payment = (F.col("orden") == 1) & ~asked
+
+    def change(kind: T.DataType, paid: Column, above: str, count: Column, own: str) -> Column:
+        """Of a payment, of a payment that asks a stretch for what lies above its level, of an invoice."""
+        jump = F.col("signo") * (F.col(f"__{above}") - F.col("nivel") * count)
+        return F.when(asked, jump).when(is_payment, paid).otherwise(F.col(own)).cast(kind)
+
+    taxed = F.col("__tasas").cast(COP_AMOUNT)
+    return events.where(F.when(asked, (F.col("orden") == 1) & (F.col("__abiertas") > 0)).otherwise(~is_payment | (F.col("__todas") > 0))).select(
         ENTITY, "fecha",
-        _usd(F.when(is_payment, -usd * F.col("__abiertas")).otherwise(F.col("saldo"))).alias("saldo"),
-        _usd(F.when(is_payment, -usd * F.col("__abiertas_con_tasa")).otherwise(F.col("saldo_con_tasa"))).alias("saldo_con_tasa"),
-        _cop(F.when(is_payment, -usd * F.col("__tasas").cast(COP_AMOUNT)).otherwise(F.col("saldo_por_tasa"))).alias("saldo_por_tasa"),
+        change(USD_TOTAL, -usd * F.col("__abiertas"), "valores", F.col("__abiertas"), "saldo").alias("saldo"),
+        change(USD_TOTAL, -usd * F.col("__abiertas_con_tasa"), "valores_con_tasa", F.col("__abiertas_con_tasa"), "saldo_con_tasa").alias("saldo_con_tasa"),
+        change(COP_AMOUNT, -usd * taxed, "valores_por_tasa", taxed, "saldo_por_tasa").alias("saldo_por_tasa"),
         "dif_anticipos",
-        _cop(F.when(is_payment, F.col("cop") * F.col("__todas_con_tasa") - F.col("usd_con_tasa") * F.col("__todas_tasas").cast(COP_AMOUNT)).otherwise(F.col("realizada"))).alias("realizada"),
+        _cop(F.when(is_payment, F.col("cop") * F.col("__todas_con_tasa") - F.col("usd_con_tasa") * F.col("__todas_tasas").cast(COP_AMOUNT)).when(~asked, zero)).alias("realizada"),
     )
 
 

@@ -140,3 +140,9 @@ def test_a_date_of_a_bill_is_read_once(spark, name):
     """Two orders of the numbers for each of two dates, and no copy of them in a filter."""
     optimized = bound(name)(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert optimized.count("regexp_replace") == 4
+
+
+def test_payments_taken_back_do_not_meet_every_invoice(spark):
+    """No list of all payment days of a number goes along with each of its invoices."""
+    text = plan(fx.fx_daily_totals(*hot_invoices(spark), "2024-01-25"))
+    assert "collect_list" not in text
