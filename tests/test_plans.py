@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arqueo.operators.joins import skew_join
 from arqueo.plans import executive, fx, payables
+from arqueo.sources import payables as bill_source
 from checks.queries import JOBS, bound
 
 SMALL = "/root/testdata/sf0.001"
@@ -146,3 +147,13 @@ def test_payments_taken_back_do_not_meet_every_invoice(spark):
     """No list of all payment days of a number goes along with each of its invoices."""
     text = plan(fx.fx_daily_totals(*hot_invoices(spark), "2024-01-25"))
     assert "collect_list" not in text
+
+
+def test_files_are_looked_at_once(spark, tmp_path):
+    """What comes out of the reader scans landed tables: no text is read again for the headers, the types and the rows."""
+    (tmp_path / "a.csv").write_text('PROVEEDOR,VALOR,FACTURA,GENERACIO,VENCIMIENTO,NOTA\nP1,5,1,01/02/2024,2024-03-01,"dos\nrenglones"\nP2,6,2,01/02/2024,2024-03-01,x\n')
+    (tmp_path / "b.csv").write_text("PROVEEDOR,VALOR,FACTURA,GENERACIO,VENCIMIENTO\nP3,7,3,01/02/2024,2024-03-01\n")
+    bills = bill_source.with_extra_columns(bill_source.read_bills(spark, str(tmp_path)))
+    assert sorted((r["FACTURA"], r["NOTA"]) for r in bills.collect()) == [("1", "dos\nrenglones"), ("2", "x"), ("3", None)]
+    text = plan(bills)
+    assert "FileScan text" not in text and "regexp_extract_all" not in text
