@@ -317,3 +317,16 @@ def test_daily_totals_like_brute_force(spark, make, monkeypatch, per_part):
                 totals[3] += balance * (rates[today] - rate)
         names = ("saldo_total_usd", "dif_anticipos_total", "dif_realizada_post_total", "dif_no_realizada_total")
         assert [float(found[today][n]) for n in names] == pytest.approx(totals)
+
+
+@pytest.mark.parametrize("job", [fx.fx_daily_detail, fx.fx_invoice_series])
+def test_days_are_unfolded_by_a_given_number_of_tasks(golden, job):
+    """Adaptive execution would leave the few bytes of the spans to one task, whatever the number of their days."""
+    facturas, payments, rates = golden
+    text = F.concat_ws("|", "factura", F.col("saldo_vivo_usd").cast("string"))
+    rows = job(facturas, payments, rates, AS_OF, carried={"texto": text})
+    assert "RoundRobinPartitioning" in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.columns == [*job(facturas, payments, rates, AS_OF).columns, "texto"]
+    found = rows.withColumn("de_la_fila", text).collect()
+    assert len(found) == 2 * 7 and all(r.texto == r.de_la_fila for r in found)
+    assert {r.dif_total for r in found} == {r.dif_anticipos + r.dif_realizada_post + r.dif_no_realizada for r in found}
