@@ -225,20 +225,19 @@ class Scorer:
             known = model["key"].to_numpy().view(np.uint64)
             order = np.argsort(known)
             known, counts = known[order], model["c"].to_numpy()[order]
-            docs, sums = [], []
+            packed = []
             for keys, per_key, doc, names in zip(*(_flat(asked_rows[c]) for c in ("keys", "per_key", "docs", "names"))):
                 keys = keys.view(np.uint64)
                 at, there = find(known, keys)
                 values = values_of(keys, np.where(there, counts[at], 0) if len(counts) else np.zeros(len(keys)))
                 spread = np.repeat(values, per_key, axis=1)
-                docs.append(names)
-                sums.append(np.stack([np.bincount(doc, row, len(names)) for row in spread]))
-            docs, sums = np.concatenate(docs) if docs else np.empty(0, np.int64), np.concatenate(sums, axis=1) if sums else np.empty((3, 0))
-            return pa.table([pa.array(docs), *map(pa.array, sums)], ["doc", "base", "known", "history"])
+                packed.append(_shares(names, *(np.bincount(doc, row, len(names)) for row in spread)))
+            return pa.table([asked_rows["chunk"].cast(pa.int64()), pa.array(packed, pa.binary())], ["chunk", "shares"])
 
         requests = self.docs.select("doc", "text").mapInArrow(asked, REQUESTS)
         table = self.words.withColumn("part", part_of("key", parts))
-        shares = requests.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(answered, "doc long, base double, known double, history double")
+        packed = requests.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(answered, "chunk long, shares binary")
+        shares = _of_documents(packed, {"base": "double", "known": "double", "history": "double"})
         return landed(shares.groupBy("doc").agg(F.sum("base").alias("base"), F.sum("known").alias("known"), F.sum("history").alias("history")))
 
     def values(self):
@@ -250,8 +249,8 @@ class Scorer:
     # Pairs
 
     def match_pairs(self, slice_: int) -> DataFrame:
-        """One slice of the pairs, as rows of four kinds: (h, w, n) of the training pairs; doc with its numbers of pairs seen 1, 2 ... times
-        and the log of the larger counts; doc, h, w, n of pairs that were never seen; h with the numbers of its pairs seen 1, 2 ...
+        """One slice of the pairs, as rows of four kinds: (h, w, n) of the training pairs; chunk with, for its documents, the log of the larger
+        counts and the numbers of pairs seen 1, 2 ... times; doc, h, w, n of pairs that were never seen; h with the numbers of its pairs seen 1, 2 ...
         times or more and the unigrams of those of its words that are hot."""
         width = -(-self.parts // SLICES)
         shared = self.spark.sparkContext.broadcast((*self.hot_words, self.hot_pairs))
@@ -278,7 +277,8 @@ class Scorer:
         def matched(key, rows):
             hot_words, hot_counts = Known(shared.value[0]), shared.value[1]
             lists = list(zip(*(_flat(rows[c]) for c in ("per_key", "docs", "names", "histories", "words"))))
-            tests, silents = rows["test"].to_pylist(), rows["silent"].to_pylist()
+            tests, silents, chunks = (rows[c].to_pylist() for c in ("test", "silent", "chunk"))
+            shares = []
             keyed = [pair_keys(h.view(np.uint64), pair_ids(h.view(np.uint64), w.view(np.uint64)), hot_words) for *_, h, w in lists]
             taught = [i for i, test in enumerate(tests) if not test]
             keys, times, history, word = (np.concatenate([x[i] for i in taught]) if taught else np.empty(0, kind) for x, kind in (
@@ -297,17 +297,21 @@ class Scorer:
                 classes = np.stack([np.add.reduceat((np.minimum(counts, GOOD_TURING + 1) == r)[order].astype(np.int32), begins) for r in range(1, GOOD_TURING + 2)], axis=1)
                 out.append(_rows(HISTORIES, history[order[begins]], value=np.add.reduceat(covered[order], begins), seen=classes))
             logs_of = np.log10(np.maximum(counts, GOOD_TURING + 1) - DELTA)
-            for (per_key, doc, names, h, w), k, test, silent in zip(lists, keyed, tests, silents):
+            for (per_key, doc, names, h, w), k, test, silent, chunk in zip(lists, keyed, tests, silents, chunks):
                 if silent or not len(k):
                     continue
                 at, there = find(known, k)
                 c = np.where(there, counts[at], 0) if len(counts) else np.zeros(len(k), np.int64)
                 logs = np.where(c > GOOD_TURING, logs_of[at], 0.0) if len(counts) else np.zeros(len(k))
                 classes = np.bincount(doc * np.int64(GOOD_TURING + 2) + np.repeat(np.minimum(c, GOOD_TURING + 1), per_key), minlength=len(names) * (GOOD_TURING + 2))
-                out.append(_rows(SHARES, names, seen=classes.reshape(-1, GOOD_TURING + 2)[:, 1:], value=np.bincount(doc, np.repeat(logs, per_key), len(names))))
+                by_class = classes.reshape(-1, GOOD_TURING + 2)[:, 1:].T.astype(np.int32)
+                shares.append((chunk, _shares(names, np.bincount(doc, np.repeat(logs, per_key), len(names)), *by_class)))
                 if test:
                     unseen = np.repeat(c == 0, per_key)
                     out.append(_rows(UNSEEN, names[doc[unseen]], np.repeat(h, per_key)[unseen], np.repeat(w, per_key)[unseen]))
+            if shares:
+                chunks, packed = zip(*shares)
+                out.append(_rows(SHARES, np.array(chunks, np.int64), shares=packed))
             return pa.concat_tables(out)
 
         return landed(self.docs.select("doc", "held_out", "text").mapInArrow(asked, PAIR_REQUESTS).groupBy("part").applyInArrow(matched, MATCHES))
@@ -341,7 +345,8 @@ class Scorer:
         backed = (unseen.join(backoff, "h", "left").join(self.log_unigrams(), "w", "left").groupBy("doc")
                   .agg(F.sum(F.coalesce("backoff", F.lit(0.0)) + F.coalesce(F.log10("p1"), F.lit(math.log10(self.unknown or 1.0)))).alias("backed")))
         seen = sum((F.sum(c) * F.lit(math.log10(d)) for c, d in zip(SEEN, pair_discounts)), F.sum("value"))
-        shares = found.where(F.col("kind") == SHARES).select(F.col("a").alias("doc"), "value", *seen_in)
+        packed = found.where(F.col("kind") == SHARES).select(F.col("a").alias("chunk"), "shares")
+        shares = _of_documents(packed, {"value": "double"} | dict.fromkeys(classes, "int"))
         matched = shares.groupBy("doc").agg(seen.alias("matched"))
         sums = landed(from_words.join(matched, "doc", "full").join(backed, "doc", "full"))
         release(spark)
@@ -393,11 +398,38 @@ class Scorer:
 
 HERE = ["doc", "doc_id", "held_out", "n_tokens", "base_here", "known_here", "score_here"]
 SEEN = [f"c{r}" for r in range(1, GOOD_TURING + 1)]
-_SENT = "part int, per_key array<int>, docs array<int>, names array<long>"
+_SENT = "part int, chunk long, per_key array<int>, docs array<int>, names array<long>"
 REQUESTS = _SENT + ", keys array<long>"
 PAIR_REQUESTS = _SENT + ", histories array<long>, words array<long>, test boolean, silent boolean"
-MATCHES = "kind int, a long, b long, c long, rare boolean, value double, seen array<int>"
-PAIRS, SHARES, UNSEEN, HISTORIES = range(4)  # kinds of rows: h, w, count; doc; doc, h, w; h
+MATCHES = "kind int, a long, b long, c long, rare boolean, value double, seen array<int>, shares binary"
+PAIRS, SHARES, UNSEEN, HISTORIES = range(4)  # kinds of rows: h, w, count; chunk; doc, h, w; h
+_TYPES = {"double": np.dtype(np.float64), "int": np.dtype(np.int32)}
+
+
+def _shares(names: np.ndarray, *columns: np.ndarray) -> bytes:
+    """What one part has for the documents of one chunk: their names, then each column."""
+    return b"".join(np.ascontiguousarray(values).tobytes() for values in (names, *columns))
+
+
+def _of_documents(packed: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """doc and the sums of its columns, from (chunk, shares). All parts send a chunk one row, and they meet by chunk; so no row per document and
+    part is ever made, and a group is bounded by the documents of a chunk."""
+    kinds = [_TYPES[kind] for kind in columns.values()]
+    width = 8 + sum(kind.itemsize for kind in kinds)
+
+    def summed(rows):
+        names, found = [], [[] for _ in kinds]
+        for share in rows["shares"].to_pylist():
+            n, at = len(share) // width, 0
+            for out, kind in zip((names, *found), (np.dtype(np.int64), *kinds)):
+                out.append(np.frombuffer(share, kind, n, at))
+                at += n * kind.itemsize
+        docs, place = np.unique(np.concatenate(names), return_inverse=True)
+        sums = (np.bincount(place, np.concatenate(values), len(docs)).astype(kind) for values, kind in zip(found, kinds))
+        return pa.table([pa.array(docs), *map(pa.array, sums)], ["doc", *columns])
+
+    schema = ", ".join(f"{name} {kind}" for name, kind in columns.items())
+    return packed.groupBy("chunk").applyInArrow(summed, f"doc long, {schema}")
 
 
 def _packed(keys: np.ndarray, owner: np.ndarray, names: np.ndarray, parts: int, history: np.ndarray | None = None,
@@ -427,24 +459,25 @@ def _packed(keys: np.ndarray, owner: np.ndarray, names: np.ndarray, parts: int,
             docs[a:b] = (np.cumsum(here) - 1)[docs[a:b]]
             own_names.append(names[here])
             name_bounds.append(name_bounds[-1] + len(own_names[-1]))
-    columns = [pa.array(part[begins]), _list(per_key.astype(np.int32), key_bounds), _list(docs, bounds), _list(np.concatenate(own_names), np.array(name_bounds))]
+    chunk = W.mix(names.view(np.uint64), 7).sum(dtype=np.uint64).view(np.int64)  # chunks with one number would only meet in one group
+    columns = [pa.array(part[begins]), pa.array(np.full(len(begins), chunk)), _list(per_key.astype(np.int32), key_bounds), _list(docs, bounds), _list(np.concatenate(own_names), np.array(name_bounds))]
     if history is None:
-        yield pa.RecordBatch.from_arrays([*columns, _list(keys[first], key_bounds)], ["part", "per_key", "docs", "names", "keys"])
+        yield pa.RecordBatch.from_arrays([*columns, _list(keys[first], key_bounds)], ["part", "chunk", "per_key", "docs", "names", "keys"])
     else:
         at = order[first]
         columns += [_list(history[at], key_bounds), _list(words[at], key_bounds), pa.array([test] * len(begins)), pa.array([silent] * len(begins))]
-        yield pa.RecordBatch.from_arrays(columns, ["part", "per_key", "docs", "names", "histories", "words", "test", "silent"])
+        yield pa.RecordBatch.from_arrays(columns, ["part", "chunk", "per_key", "docs", "names", "histories", "words", "test", "silent"])
 
 
-def _rows(kind: int, a: np.ndarray, b=None, c=None, rare=None, value=None, seen=None) -> pa.Table:
+def _rows(kind: int, a: np.ndarray, b=None, c=None, rare=None, value=None, seen=None, shares=None) -> pa.Table:
     def column(values, type_=pa.int64()):
         return pa.nulls(len(a), type_) if values is None else pa.array(values, type_)
 
     ints = pa.list_(pa.int32())
     lists = pa.nulls(len(a), ints) if seen is None else pa.ListArray.from_arrays(
         pa.array(np.arange(len(a) + 1, dtype=np.int32) * (GOOD_TURING + 1)), pa.array(seen.astype(np.int32).ravel()))
-    return pa.table([pa.array(np.full(len(a), kind, np.int32)), *map(column, (a, b, c)), column(rare, pa.bool_()), column(value, pa.float64()), lists],
-                    ["kind", "a", "b", "c", "rare", "value", "seen"])
+    return pa.table([pa.array(np.full(len(a), kind, np.int32)), *map(column, (a, b, c)), column(rare, pa.bool_()), column(value, pa.float64()), lists, column(shares, pa.binary())],
+                    ["kind", "a", "b", "c", "rare", "value", "seen", "shares"])
 
 
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

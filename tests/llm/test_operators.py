@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,6 +385,20 @@ def test_lines_of_a_template(spark, monkeypatch, crowd, long):
         assert max(df.count() for df in made) < 20_000
 
 
+def test_katz_shares_of_documents_move_by_chunk(spark):
+    """Every part sends one row per chunk; a document that a chunk holds twice, or two parts have, is added up there."""
+    def share(names, values, counts):
+        return katz._shares(np.array(names), np.array(values, float), np.array(counts, np.int32))
+
+    rows = [(1, share([7, 9], [0.5, -1.0], [1, 2])), (1, share([9], [2.0], [3])), (1, share([], [], [])), (2, share([9, -4], [4.0, 1.0], [5, 0]))]
+    found = katz._of_documents(spark.createDataFrame(rows, "chunk long, shares binary"), {"value": "double", "c1": "int"})
+    assert sorted(map(tuple, found.collect())) == [(-4, 1.0, 0), (7, 0.5, 1), (9, 1.0, 5), (9, 4.0, 5)]
+    names = np.array([7, 9, 9])
+    keys = np.arange(6, dtype=np.uint64) << np.uint64(62)
+    batch = next(katz._packed(np.sort(keys), np.array([0, 1, 2, 0, 1, 2], np.int32), names, 4))
+    assert batch.num_rows == 4 and len(set(batch.column("chunk").to_pylist())) == 1
+
+
 # Language model
 
 def test_katz(docs):
