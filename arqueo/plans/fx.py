@@ -171,6 +171,7 @@ def _first_of_invoice() -> Column:
 
 
 _INVOICES_PER_PART = 1_000_000  # distinct invoices of one number that a task sweeps over
+_START, _END, _PAYS, _ASKS, _COUNTS_IN = range(5)  # an invoice opens, closes; a payment, a question of one; an invoice in a stretch
 _CHANGES = {"saldo": USD_TOTAL, "saldo_con_tasa": USD_TOTAL, "saldo_por_tasa": COP_AMOUNT, "dif_anticipos": COP_AMOUNT, "realizada": COP_AMOUNT}
 
 
@@ -206,6 +207,7 @@ def _swept_changes(priced: DataFrame, daily: DataFrame) -> DataFrame:
     number = W.partitionBy(*INVOICE_KEY, "parte")
     # Payments of the day of an invoice come after it, so up to an invoice the sums are those before its day.
     upto = number.orderBy("dia", "tipo").rowsBetween(W.unboundedPreceding, 0)
+    of_all = number.orderBy("dia", "tipo").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # in the same pass as those
     by_level = number.orderBy(F.desc("nivel"), F.desc("tipo")).rowsBetween(W.unboundedPreceding, 0)
     kinds = {"usd": USD_TOTAL, "usd_con_tasa": USD_TOTAL, "cop": COP_AMOUNT}
     back = F.coalesce(F.col("menor") < 0, F.lit(False))
@@ -215,8 +217,8 @@ def _swept_changes(priced: DataFrame, daily: DataFrame) -> DataFrame:
     levels = F.when(back & (F.col("tipo") == 1), F.array(after, before)).otherwise(F.array(after))
     line = dealt.unionByName(paid, allowMissingColumns=True).withColumns({
         **{f"antes_{name}": F.coalesce(F.sum(name).over(upto), F.lit(0)).cast(kind) for name, kind in kinds.items()},
-        "menor": F.min("usd").over(number),
-        "puestos": 2 * F.count(F.lit(1)).over(number),  # at least as many as there are places by value
+        "menor": F.min("usd").over(of_all),
+        "puestos": 2 * F.count(F.lit(1)).over(of_all),  # at least as many as there are places by value
     }).select("*", F.explode(levels).alias("l")).select("*", "l.*").drop("l")
     payment = F.when(F.col("tipo") == 1, F.struct("dia", _usd(F.col("antes_usd") - F.col("usd")).alias("antes")))
     line = line.withColumns({"cierre": F.min(payment).over(by_level), "puesto": F.dense_rank().over(number.orderBy(F.desc("nivel"), F.desc("tipo")))})
@@ -226,49 +228,51 @@ def _swept_changes(priced: DataFrame, daily: DataFrame) -> DataFrame:
     rates_of = F.coalesce(_cop(trm * times), F.lit(0).cast(COP_AMOUNT))
 
     amounts = {"valores": times, "valores_con_tasa": rated, "valores_por_tasa": rates_of}
-    counted_names = ("abiertas", "abiertas_con_tasa", "tasas", "todas", "todas_con_tasa", "todas_tasas")
-    value, zero = F.col("valor"), F.lit(0)
-
-    def event(
-        day: Column, kind: int, saldo: Column = zero, advances: Column = zero, sign: int = 0, joins: Column | None = None, stretch: Column | None = None,
-    ) -> Column:
-        """A change on its own day. ``sign`` says whether the invoice joins or leaves, ``joins`` if it is among those that payments reduce;
-        within a ``stretch`` of places by value it is summed apart."""
-        change, there = _usd(saldo), F.lit(False) if joins is None else joins
-        everywhere = F.lit(sign > 0 and stretch is None)
-        counts = {"abiertas": (there, times), "abiertas_con_tasa": (there, rated), "tasas": (there, rates_of)}
-        counts |= {"todas": (everywhere, times), "todas_con_tasa": (everywhere, rated), "todas_tasas": (everywhere, rates_of)}
-        if kind == 1:  # a payment: no invoice of its own
-            counts = {name: (F.lit(False), F.lit(0)) for name in counts}
-        of_stretch = F.lit(kind == 0 and stretch is not None)
-        return F.struct(
-            day.alias("fecha"), F.lit(kind).alias("orden"), change.alias("saldo"), F.when(trm.isNotNull(), change).alias("saldo_con_tasa"),
-            _cop(change * trm).alias("saldo_por_tasa"), _cop(advances).alias("dif_anticipos"),
-            *(F.when(where, sign * value).otherwise(F.lit(0)).cast(COP_AMOUNT if "tasas" in name else "long").alias(name) for name, (where, value) in counts.items()),
-            *(F.when(F.lit(kind == 1), F.col(name)).cast(kinds[name]).alias(name) for name in kinds),
-            *(F.when(of_stretch, _cop(count * value)).alias(name) for name, count in amounts.items()),
-            *(F.lit(-1 if name == "k" else 0).cast("int").alias(name) if stretch is None else stretch[name].alias(name) for name in ("k", "n")),
-        )
-
-    advances = times * (trm * F.col("antes_usd_con_tasa") - F.col("antes_cop"))
+    open_counts = {"abiertas": times, "abiertas_con_tasa": rated, "tasas": rates_of}
+    all_counts = {"todas": times, "todas_con_tasa": rated, "todas_tasas": rates_of}
+    counted_names = (*open_counts, *all_counts)
+    value, zero, kind = F.col("valor"), F.lit(0), F.col("suceso")
     counted = opens & ~back
-    start = event(F.col("dia"), 0, times * _open(value, F.col("antes_usd")), advances, 1, counted)
-    end = event(F.col("cierre.dia"), 0, times * (F.col("cierre.antes") - value), zero, -1, counted)
-    pays = event(F.col("dia"), 1)
+    is_invoice = F.col("tipo") == 0
+
+    def mark(event: int, stretch: Column | None = None) -> Column:
+        """Which change it is. What changes is worked out after these are unfolded: with the search for stretches in one
+        expression, none of it would be compiled."""
+        place = [F.lit(-1 if name == "k" else 0).cast("int").alias(name) if stretch is None else stretch[name].alias(name) for name in ("k", "n")]
+        return F.struct(F.lit(event).alias("suceso"), *place)
+
     # Places are numbered from the largest value down. The stretches (k, n) of 2^k places that may be asked for have an even n.
     around = "transform(sequence(0, 30), k -> named_struct('k', k, 'n', shiftright(puesto, k)))"
     around = F.expr(f"filter({around}, s -> s.n % 2 = 0 AND shiftleft(cast(s.n + 1 AS bigint), s.k) <= puestos)")
     above = F.expr("transform(filter(sequence(0, 30), k -> shiftright(puesto, k) % 2 = 1), k -> named_struct('k', k, 'n', shiftright(puesto, k) - 1))")
-    asks = F.transform(above, lambda s: event(F.col("dia"), 1, stretch=s))
-    counts_in = F.transform(around, lambda s: event(F.col("dia"), 0, zero, zero, 1, F.lit(True), s))
-    is_invoice = F.col("tipo") == 0
+    asks = F.transform(above, lambda s: mark(_ASKS, s))
+    counts_in = F.transform(around, lambda s: mark(_COUNTS_IN, s))
+    start, end, pays = mark(_START), mark(_END), mark(_PAYS)
     both = (
         F.when(back & is_invoice & value.isNotNull(), F.concat(F.array(start), counts_in))
         .when(back & ~is_invoice, F.when(F.col("signo") == 1, F.concat(F.array(pays), asks)).otherwise(asks))
         .when(~is_invoice, F.array(pays))
-        .when(opens & ~back & F.col("cierre").isNotNull(), F.array(start, end)).otherwise(F.array(start))
+        .when(counted & F.col("cierre").isNotNull(), F.array(start, end)).otherwise(F.array(start))
+    )
+    starts, ends, joins = kind == _START, kind == _END, kind == _COUNTS_IN
+    pays_day = kind.isin(_PAYS, _ASKS)
+    advances = times * (trm * F.col("antes_usd_con_tasa") - F.col("antes_cop"))
+    moved = _usd(F.when(starts, _usd(times * _open(value, F.col("antes_usd")))).when(ends, _usd(times * (F.col("cierre.antes") - value))).otherwise(_usd(zero)))
+
+    def of_type(name: str, count: Column) -> Column:
+        return count.otherwise(F.lit(0)).cast(COP_AMOUNT if "tasas" in name else "long").alias(name)
+
+    events = line.select("*", F.explode(both).alias("__s")).select("*", "__s.*").withColumn("__saldo", moved).select(
+        *INVOICE_KEY, "parte", "nivel", "signo", "k", "n",
+        F.when(ends, F.col("cierre.dia")).otherwise(F.col("dia")).alias("fecha"), F.when(pays_day, 1).otherwise(0).alias("orden"),
+        F.col("__saldo").alias("saldo"), F.when(trm.isNotNull(), F.col("__saldo")).alias("saldo_con_tasa"), _cop(F.col("__saldo") * trm).alias("saldo_por_tasa"),
+        _cop(F.when(starts, _cop(advances)).otherwise(_cop(zero))).alias("dif_anticipos"),
+        # An invoice joins those that payments reduce, or a stretch of places by value, which is summed apart, and leaves the former.
+        *(of_type(name, F.when((starts & counted) | joins, count).when(ends & counted, -1 * count)) for name, count in open_counts.items()),
+        *(of_type(name, F.when(starts, count)) for name, count in all_counts.items()),
+        *(F.when(pays_day, F.col(name)).cast(kinds[name]).alias(name) for name in kinds),
+        *(F.when(joins, _cop(count * value)).alias(name) for name, count in amounts.items()),
     )
-    events = line.select(*INVOICE_KEY, "parte", "nivel", "signo", F.explode(both).alias("e")).select(*INVOICE_KEY, "parte", "nivel", "signo", "e.*")
     past = W.partitionBy(*INVOICE_KEY, "parte", "k", "n").orderBy("fecha", "orden").rowsBetween(W.unboundedPreceding, 0)
     events = events.withColumns({f"__{name}": F.sum(name).over(past) for name in (*counted_names, *amounts)})
     usd, asked = F.col("usd"), F.col("k") >= 0

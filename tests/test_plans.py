@@ -157,3 +157,11 @@ def test_files_are_looked_at_once(spark, tmp_path):
     assert sorted((r["FACTURA"], r["NOTA"]) for r in bills.collect()) == [("1", "dos\nrenglones"), ("2", "x"), ("3", None)]
     text = plan(bills)
     assert "FileScan text" not in text and "regexp_extract_all" not in text
+
+
+def test_changes_are_worked_out_after_they_are_unfolded(spark):
+    """The search for stretches is not compiled; a change that is made in one expression with it would not be either."""
+    facturas, payments, rates = hot_invoices(spark, 60)
+    text = plan(fx.fx_daily_totals(facturas, payments, rates, "2024-01-25"))
+    unfolded = [line for line in text.splitlines() if "Generate explode" in line and "transform(" in line]
+    assert unfolded and not [line for line in unfolded if "antes_usd_con_tasa" in line.split("],")[0]]
