@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arqueo.operators.joins import skew_join
+from arqueo.operators.payments import daily_payments, split_by_invoice_date
 from arqueo.plans import executive, fx, payables
 from arqueo.sources import payables as bill_source
 from checks.queries import JOBS, bound
@@ -165,3 +166,11 @@ def test_changes_are_worked_out_after_they_are_unfolded(spark):
     text = plan(fx.fx_daily_totals(facturas, payments, rates, "2024-01-25"))
     unfolded = [line for line in text.splitlines() if "Generate explode" in line and "transform(" in line]
     assert unfolded and not [line for line in unfolded if "antes_usd_con_tasa" in line.split("],")[0]]
+
+
+def test_split_reads_a_number_once(spark):
+    """No frame that is read again for every row, and one window for all sums."""
+    facturas, payments, _ = hot_invoices(spark, 60)
+    text = plan(split_by_invoice_date(facturas, daily_payments(payments)))
+    windows = [line for line in text.splitlines() if "Window [" in line]
+    assert len(windows) == 1 and "currentrow$(), unboundedfollowing$()" not in text
