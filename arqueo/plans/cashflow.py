@@ -12,6 +12,7 @@ from arqueo.operators.rates import last_rates
 from arqueo.plans.fx import AsOf
 from arqueo.plans.payables import open_bills
 from arqueo.schemas import CASH_PLAN_INPUTS, COP_AMOUNT, ENTITY, MONEY, USD_TOTAL
+from arqueo.session import landed
 
 
 def _total(value: Column) -> Column:
@@ -61,8 +62,10 @@ def cash_flow(
 
     ``collection`` from `weekly_collection`, ``payables`` from `payables_by_week`, ``loans`` from
     `price_loans`. Active loans pay out in week 1 and cost their installment in the last week.
-    Everything is reduced to one row per entity and week before the joins.
+    Everything is reduced to one row per entity and week before the joins. The first two are asked for their entities and for
+    their amounts, so these few rows are landed instead of being worked out twice.
     """
+    collection, payables = landed(collection), landed(payables)
     today = day(as_of)
     active = F.col("activo")
     debt = loans.groupBy(ENTITY).agg(

@@ -174,3 +174,8 @@ def test_split_reads_a_number_once(spark):
     text = plan(split_by_invoice_date(facturas, daily_payments(payments)))
     windows = [line for line in text.splitlines() if "Window [" in line]
     assert len(windows) == 1 and "currentrow$(), unboundedfollowing$()" not in text
+
+
+def test_cash_flow_works_out_what_is_due_once(spark):
+    text = plan(bound("cash_flow_four_weeks")(spark, SMALL))
+    assert "lineitem.parquet" not in text and "supplier.parquet" not in text
