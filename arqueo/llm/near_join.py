@@ -124,11 +124,18 @@ def shingle_levels(texts: DataFrame) -> np.ndarray:
     schema = "block int, places binary, counts binary"
     found = texts.mapInArrow(counted, schema).withColumn("some", F.expr(f"spark_partition_id() div {FAN}"))
     found = found.groupBy("block", "some").applyInArrow(summed, schema).groupBy("block").applyInArrow(summed, schema)
-    counters = np.zeros(WIDTH, np.int64)
+    counters = np.zeros((WIDTH // BLOCK, BLOCK), np.uint32)
     for block, places, counts in found.collect():  # at most 6 bytes per counter
-        counters[block * BLOCK + np.frombuffer(places, np.uint16).astype(np.int64)] = np.frombuffer(counts, np.uint32)
-    middle = float(np.median(counters))
-    return np.log2(1 + np.maximum(counters - middle, 0) / (2 + 2 * middle ** 0.5)).astype(np.uint8)
+        counters[block, np.frombuffer(places, np.uint16)] = np.frombuffer(counts, np.uint32)
+    return levels_of(counters)
+
+
+def levels_of(counters: np.ndarray) -> np.ndarray:
+    """Levels of all counters, a block (row) at a time: the driver holds no wider copy of them."""
+    middle, levels = float(np.median(counters)), np.empty(counters.shape, np.uint8)
+    for out, part in zip(levels, counters):
+        out[:] = np.log2(1 + np.maximum(part.astype(np.int64) - middle, 0) / (2 + 2 * middle ** 0.5))
+    return levels.ravel()
 
 
 def _prefix_rows(texts: DataFrame, levels) -> DataFrame:

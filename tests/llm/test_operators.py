@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -600,3 +601,16 @@ def test_empty_tables(none):
     for df in (exact_dedup.decide(none), exact_dedup.drop_copies(none), mixing.mix(none), mixing.mixed(none), packing.pack(none), near_join.join_groups(none),
                near_join.one_of_each(none), line_dedup.clean(none), katz.score(none), fingerprint.compare_edited(none), language.reject(none), personal.redact(none)):
         assert df.count() == 0
+
+
+def test_levels_hold_no_wide_copy_of_the_counters():
+    """The driver's share of the count sketch: as before, with a few blocks at a time beside the counters."""
+    counters = np.random.default_rng(3).poisson(6, 2 ** 20).astype(np.uint32)
+    counters[::1000] *= 5000
+    middle = float(np.median(counters))
+    plain = np.log2(1 + np.maximum(counters.astype(np.int64) - middle, 0) / (2 + 2 * middle ** 0.5)).astype(np.uint8)
+    tracemalloc.start()
+    levels = near_join.levels_of(counters.reshape(64, -1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(levels, plain) and peak < 2 * counters.nbytes
