@@ -1,14 +1,15 @@
 """Connected components of a table of links, by alternating stars.
 
 Each round joins every node's neighbours to the smallest of them, first the larger ones (large star), then the smaller
-ones (small star). Links stay a table, every round is written to the shared folder, and a node with very many
-neighbours is met by a map-side minimum and a join that can be split.
+ones (small star), until every node has one neighbour or is the smallest of its component. Links stay a table, every round is
+written to the shared folder in place of the one before, and a node with very many neighbours is met by a map-side minimum and a
+join that can be split.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arqueo.llm.common import landed
+from arqueo.llm.common import discard, landed
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -23,16 +24,24 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return met.select("b", "least").union(met.select("a", "least")).toDF("a", "b").where("a != b").distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether no node has two smaller ones or lies between a smaller and a larger one: another round would change nothing."""
+    sides = links.select(F.col("a").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger")).union(
+        links.select("b", F.lit(0), F.lit(1)))
+    return sides.groupBy("node").agg(F.sum("smaller").alias("n"), F.max("larger").alias("larger")).where("n + larger > 1 and n > 0").isEmpty()
+
+
 def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """`links` (a, b) -> (node, component): the smallest node that each can reach; nodes without links are not listed."""
+    """`links` (a, b) -> (node, component): the smallest node that each can reach; nodes without links are not listed. The landed
+    table that the result reads is its `landed_path`."""
     now = landed(links.select("a", "b").where("a != b").distinct())
-    state = None
     for _ in range(most):
-        now = landed(_star(_star(now, True), False))
-        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if found == state:
+        before, now = now, landed(_star(_star(now, True), False))
+        discard(before)
+        if _settled(now):
             smallest = now.select(F.col("b").alias("node")).distinct()
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 smallest.select("node", F.col("node").alias("component")))
-        state = found
+            out.landed_path = now.landed_path
+            return out
     raise RuntimeError("components did not settle")

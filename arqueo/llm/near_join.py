@@ -9,9 +9,10 @@ the order only, never the result.
 
 Equal sets are one node (its id is a 64-bit hash of the set). Nodes that share a prefix token form a bucket; buckets of the
 same nodes are one. Not all pairs of a bucket are compared: first each node meets one pivot of the bucket, and what is linked
-becomes one component; in later rounds only nodes of different components meet. At the end all pairs that share a bucket and
-still lie in different components are compared, so no link between components is lost; where those are many, a bucket is
-first split by the prefix tokens of the second order, one of which linked sets share too.
+becomes one component; in later rounds only nodes of different components meet. As soon as the pairs that share a bucket and
+lie in different components are no more than `DIRECT` per row that the buckets had at first, all of them are compared, so no link
+between components is lost; where they stay many, a bucket is first split by the prefix tokens of the second order, one of which
+linked sets share too.
 
 Defined cases: fewer than five words are one shingle; no words (or null) is an empty set that links with nothing; a null id
 has the smallest non-null id of its component, or null; repeated rows are one node; an empty table gives an empty result; other columns
@@ -38,7 +39,7 @@ FAN = 1_024  # tasks whose sketches one group sums: at most 100 MB
 ROUNDS = 6  # pivots at most before the rest is compared pair by pair
 FILTER_BITS = 2 ** 26  # 8 MB: sets that are wanted for comparison
 SLICE_BYTES = 2_000_000  # text whose sets a task works out at once
-DIRECT = 4  # pairs per row of the buckets that are compared at once
+DIRECT = 4  # pairs that are compared at once, per row that the buckets have at first
 
 
 def prefix_length(size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -293,12 +294,14 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         count, pairs_left = per_token.agg(F.sum("n"), F.sum("twice") / 2).first()
         if not count:
             break
-        last = turn == ROUNDS or pairs_left <= DIRECT * count
+        if turn == 0:
+            few = DIRECT * count
+        last = turn == ROUNDS or pairs_left <= few
         if last:
             other = rows.select("token", F.col("node").alias("other"), F.col("component").alias("other_component"),
                                 F.col("place").alias("other_place"), F.col("size").alias("other_size"))
             on = ["token"]
-            if pairs_left > DIRECT * count:
+            if pairs_left > few:
                 second = others.select("node", F.explode("c0").alias("second"))
                 rows, other = rows.join(second, "node"), other.join(second.withColumnRenamed("node", "other"), "other")
                 on.append("second")
@@ -316,7 +319,10 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = _verified(pairs, nodes, texts, others)
         links = new if links is None else links.unionByName(new)
-        found = landed(components(links))
+        before, settled = found, components(links)
+        found = landed(settled)
+        discard(settled, *([] if before is None else [before]))
+        release(docs.sparkSession)
         if last:
             break
     return found if found is not None else nodes.select("node", F.col("node").alias("component")).where("false")

@@ -3,6 +3,7 @@ ties, repeated rows, empty tables, other columns with clashing names."""
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -321,6 +322,34 @@ def test_components(spark):
     assert {(r.node, r.component) for r in found} == {(x, root(x)) for x in linked} and len(found) == len(linked)
 
 
+def test_components_stop_when_settled_and_leave_one_table(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "landed", lambda df: written.append(landed(df)) or written[-1])
+    found = components.components(spark.createDataFrame([(1, i) for i in range(2, 40)] + [(50, 51)], "a long, b long"))
+    assert {tuple(r) for r in found.collect()} == {(i, 1) for i in range(1, 40)} | {(50, 50), (51, 50)}
+    assert len(written) == 2  # the links, and one round
+    assert [os.path.exists(t.landed_path.removeprefix("file:")) for t in written] == [False, True] and found.landed_path == written[-1].landed_path
+
+
+def test_what_few_rows_leave_is_compared_at_once(spark, monkeypatch):
+    """A large family that one pivot settles, and a small one whose members share tokens but do not link."""
+    rng = random.Random(4)
+
+    def family(name, count, changes):
+        for i in range(count):
+            words = [f"{name}{k}" for k in range(200)]
+            for k in rng.sample(range(200), changes if i or changes > 2 else 0):
+                words[k] = f"{name}x{i}y{k}"
+            yield " ".join(words)
+
+    rows = list(enumerate([*family("a", 120, 1), *family("b", 24, 4)]))
+    turns, verified = [], near_join._verified
+    monkeypatch.setattr(near_join, "_verified", lambda *a: turns.append(1) or verified(*a))
+    found = near_join.join_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collected(found, "doc_id", "n_shingles", "component_id") == plain_components(rows)[0]
+    assert len(turns) <= 2
+
+
 # Lines
 
 def test_lines(spark):
