@@ -10,9 +10,10 @@ the order only, never the result.
 Equal sets are one node (its id is a 64-bit hash of the set). Nodes that share a prefix token form a bucket; buckets of the
 same nodes are one. Not all pairs of a bucket are compared: first each node meets one pivot of the bucket, and what is linked
 becomes one component; in later rounds only nodes of different components meet. As soon as the pairs that share a bucket and
-lie in different components are no more than `DIRECT` per row that the buckets had at first, all of them are compared, so no link
-between components is lost; where they stay many, a bucket is first split by the prefix tokens of the second order, one of which
-linked sets share too.
+lie in different components are no more than `DIRECT` per row that the buckets had at first, or a pivot no longer halves them, all of
+them are compared, so no link between components is lost. Rows bring the prefix of the second order along, one token of which linked
+sets share too, so that a pair is dropped where it is met. A bucket with more than `CROWDED` pairs per row is split by those tokens first,
+in slices that write no more rows than the prefixes of the first order had.
 
 Defined cases: fewer than five words are one shingle; no words (or null) is an empty set that links with nothing; a null id
 has the smallest non-null id of its component, or null; repeated rows are one node; an empty table gives an empty result; other columns
@@ -40,12 +41,19 @@ ROUNDS = 6  # pivots at most before the rest is compared pair by pair
 FILTER_BITS = 2 ** 26  # 8 MB: sets that are wanted for comparison
 SLICE_BYTES = 2_000_000  # text whose sets a task works out at once
 DIRECT = 4  # pairs that are compared at once, per row that the buckets have at first
+CROWDED = 64  # pairs per row of a bucket from which it is split
 
 
 def prefix_length(size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.where(size > 0, size + 1 + (-percent * size // 100), 0)
 
 
+def _prefix_rows_of(rows: DataFrame) -> int:
+    """How many tokens the prefixes of all rows have."""
+    length = F.col("size") + 1 - F.ceil(F.col("size").cast("long") * PERCENT / 100)
+    return rows.agg(F.sum(F.when(F.col("size") > 0, length))).first()[0] or 0
+
+
 class Sets:
     """Shingle sets of batches of texts, and their prefixes."""
 
@@ -258,10 +266,50 @@ def _with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _linkable(met: DataFrame) -> DataFrame:
+    """(a, b) of the pairs of rows whose sizes and places allow a link."""
+    return met.where(_may_link("place", "size", "other_place", "other_size")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _meeting(rows: DataFrame, *on: str) -> DataFrame:
+    """Rows of different components that agree in `on`; the columns of one are named `other...`. Both sides are made by the same
+    steps, so that Spark shuffles the rows once."""
+    def side(prefix: str) -> DataFrame:
+        return rows.select(*(F.col(c).alias(f"{prefix}{c}") for c in (*on, *(c for c in rows.columns if c not in on))))
+
+    first, other = side("one_"), side("other_")
+    both = first.join(other, [first[f"one_{c}"] == other[f"other_{c}"] for c in on]).where("one_component < other_component")
+    return both.withColumnsRenamed({"one_node": "node", "one_place": "place", "one_size": "size", "other_node": "other"})
+
+
+def _all_pairs(rows: DataFrame, crowded: DataFrame, others: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of all pairs of different components that share a bucket and may link. `crowded` (token) are the buckets with
+    more pairs than their rows are compared in."""
+    spark, crowded = rows.sparkSession, landed(crowded)
+    near = others.select("node", F.col("c0").alias("tokens"))
+    met = _meeting(rows.join(crowded, "token", "left_anti").join(near, "node").select("token", "node", "component", "place", "size", "tokens"), "token")
+    found = [landed(_linkable(met.where(_may_link("place", "size", "other_place", "other_size")).where(F.arrays_overlap("one_tokens", "other_tokens"))))]
+    del met
+    release(spark)
+    rest = rows.join(crowded, "token").select("token", "node", "component", "place", "size")
+    slices = -(-_prefix_rows_of(rest) // max(1, _prefix_rows_of(nodes)))
+    for part in range(slices):
+        mine = rest.where(F.pmod(F.xxhash64("token", F.lit(slices)), F.lit(slices)) == part)
+        split = mine.join(near, "node").select("token", F.explode("tokens").alias("second"), "node", "component", "place", "size")
+        found.append(landed(_linkable(_meeting(split, "token", "second"))))
+        del mine, split
+        release(spark)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.distinct()
+
+
 def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component) of the nodes that have links. `docs` (doc_id, text), `nodes` (node, size, doc_id)."""
     texts = docs.select("text")
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(texts))
+    release(docs.sparkSession)
     prefixes = _prefix_rows(texts, levels)
     shared = prefixes.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
     buckets = landed(prefixes.join(shared, "token").distinct())
@@ -281,7 +329,7 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     others = landed(_prefixes_of(texts, wanted, levels))
     buckets = landed(viable.join(others.select("node", "rare"), "node"))
     discard(viable, wanted)
-    links, found, tested = None, None, None
+    links, found, tested, pairs_before = None, None, None, float("inf")
     for turn in range(ROUNDS + 1):
         everywhere = landed(_with_component(buckets, found))
         mixed = everywhere.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
@@ -296,23 +344,17 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             break
         if turn == 0:
             few = DIRECT * count
-        last = turn == ROUNDS or pairs_left <= few
+        last = turn == ROUNDS or pairs_left <= few or pairs_left > pairs_before / 2
+        pairs_before = pairs_left
         if last:
-            other = rows.select("token", F.col("node").alias("other"), F.col("component").alias("other_component"),
-                                F.col("place").alias("other_place"), F.col("size").alias("other_size"))
-            on = ["token"]
-            if pairs_left > few:
-                second = others.select("node", F.explode("c0").alias("second"))
-                rows, other = rows.join(second, "node"), other.join(second.withColumnRenamed("node", "other"), "other")
-                on.append("second")
-            met = rows.join(other, on).where("component < other_component")
+            pairs = _all_pairs(rows, per_token.where(f"twice > 2 * {CROWDED} * n").select("token"), others, nodes)
         else:
             # The first pivot is the node with fewest shingles of its own, as the original of a family of copies has; then any.
             order = F.struct("rare", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)))
             pivot = rows.groupBy("token").agg(F.min_by(F.struct("node", "component", "place", "size"), order).alias("pivot"))
             met = rows.join(pivot, "token").where(F.col("component") != F.col("pivot.component")).select(
                 "node", "place", "size", F.col("pivot.node").alias("other"), F.col("pivot.place").alias("other_place"), F.col("pivot.size").alias("other_size"))
-        pairs = met.where(_may_link("place", "size", "other_place", "other_size")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            pairs = _linkable(met)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = landed(pairs)
@@ -325,6 +367,7 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         release(docs.sparkSession)
         if last:
             break
+    discard(others, buckets)
     return found if found is not None else nodes.select("node", F.col("node").alias("component")).where("false")
 
 

@@ -350,6 +350,22 @@ def test_what_few_rows_leave_is_compared_at_once(spark, monkeypatch):
     assert len(turns) <= 2
 
 
+@pytest.mark.parametrize("crowded", [64, 0])
+def test_texts_that_share_a_passage_and_do_not_link(spark, monkeypatch, crowded):
+    """Pivots settle nothing among them. With a sketch that tells no shingle apart all are in each other's buckets."""
+    rng = random.Random(5)
+    rows = list(enumerate(" ".join([*(f"g{group}w{k}" for k in range(20)), *(f"o{rng.random()}" for _ in range(40))]) for group in range(16) for _ in range(25)))
+    rows += [(1000 + i, f"{rows[i][1]} more") for i in range(0, 400, 9)]
+    monkeypatch.setattr(near_join, "CROWDED", crowded)
+    monkeypatch.setattr(near_join, "shingle_levels", lambda texts: np.zeros(near_join.WIDTH, np.uint8))
+    turns, verified, split, meeting = [], near_join._verified, [], near_join._meeting
+    monkeypatch.setattr(near_join, "_verified", lambda *a: turns.append(1) or verified(*a))
+    monkeypatch.setattr(near_join, "_meeting", lambda rows, *on: split.append(len(on) > 1) or meeting(rows, *on))
+    found = near_join.join_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collected(found, "doc_id", "n_shingles", "component_id") == plain_components(rows)[0]
+    assert len(turns) <= 3 and any(split) == (crowded == 0)
+
+
 # Lines
 
 def test_lines(spark):
