@@ -23,13 +23,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arqueo.llm import words as W
 from arqueo.llm.common import text_of
 
 SAMPLE_ROWS = 400  # labelled rows per language, those with the smallest hash of their id
 SAMPLE_CHARS = 300  # of each, from a place that the hash picks
 LANGUAGE_CHARS = 30_000  # of each language's automaton
 BLOCK = 256  # bytes
-SLICE = 2_000_000  # characters parsed at once
+SLICE_BYTES = 500_000  # text parsed at once
 PAD, SPACE_CODE, OTHER = 0, 1, 2
 SPACE = ord(" ")
 
@@ -202,18 +203,6 @@ def script(letter: str) -> str:
     return unicodedata.name(letter, "").split(" ")[0]
 
 
-def slices(texts: list[str], most: int = SLICE) -> Iterator[list[str]]:
-    part, size = [], 0
-    for text in texts:
-        if part and size + len(text) > most:
-            yield part
-            part, size = [], 0
-        part.append(text)
-        size += len(text)
-    if part:
-        yield part
-
-
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> Model:
     return Model(sample(docs.where(F.col(id_column).isNotNull() & ~held_out(id_column)), id_column, text_column, label_column))
 
@@ -227,13 +216,9 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFra
     names = [f.name for f in fields]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done: tuple[list, list, list] = ([], [], [])
-            for part in slices([t or "" for t in batch.column(at).to_pylist()]):
-                for column, values in zip(done, shared.value.predict(part)):
-                    column.extend(values)
-            columns = [*batch.columns, pa.array(done[0], pa.string()), pa.array(done[1], pa.float64()), pa.array(done[2], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for part, _, _ in W.chunks(batches, at, SLICE_BYTES):
+            languages, scores, familiar = shared.value.predict(part.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(familiar, pa.bool_())], names)
 
     return docs.mapInArrow(predicted, T.StructType(fields))
 

@@ -10,6 +10,7 @@ import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -256,6 +257,19 @@ def test_short_and_unusual_texts_keep_their_language(spark):
     assert {r.doc_id for r in language.reject(docs).collect()} == {r.doc_id for r in docs.collect()} - {r[0] for r in go}
 
 
+def test_language_holds_a_slice_of_a_batch_at_once(spark, monkeypatch):
+    class Sizes:
+        def predict(self, texts):
+            return ["xx"] * len(texts), [float(sum(len(t or "") for t in texts))] * len(texts), [True] * len(texts)
+
+    monkeypatch.setattr(language, "SLICE_BYTES", 100)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: SimpleNamespace(value=value))
+    rows = [(1, "a" * 60), (2, None), (3, "b" * 60), (4, "c" * 300), (5, ""), (6, "d" * 30)]
+    found = language.predict(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), Sizes())
+    assert [tuple(r)[:4] for r in found.orderBy("doc_id").collect()] == [
+        (d, t, "xx", score) for (d, t), score in zip(rows, (60.0, 60.0, 60.0, 300.0, 30.0, 30.0))]
+
+
 # Near copies
 
 def plain_components(rows):
