@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arqueo.operators.rates import daily_rates, fill_calendar, last_rates, rate_as_of, rate_rejects
 from arqueo.plans import cashflow, fx
+from checks import queries
 
 AS_OF = "2024-01-11"
 RATES = [("4000", "2024-01-05", "2024-01-08"), ("4010", "2024-01-09", "2024-01-09"),
@@ -330,3 +331,22 @@ def test_days_are_unfolded_by_a_given_number_of_tasks(golden, job):
     found = rows.withColumn("de_la_fila", text).collect()
     assert len(found) == 2 * 7 and all(r.texto == r.de_la_fila for r in found)
     assert {r.dif_total for r in found} == {r.dif_anticipos + r.dif_realizada_post + r.dif_no_realizada for r in found}
+
+
+@pytest.mark.parametrize("job", [fx.fx_daily_detail, fx.fx_invoice_series])
+def test_days_look_up_the_calendar_by_number_and_bring_what_is_the_same_on_them(golden, job):
+    detail = job(*golden, AS_OF, of_day={"texto": F.concat_ws("|", F.col("fecha").cast("string"), F.col("trm").cast("string"))})
+    rows = detail.collect()
+    assert [tuple(r)[:-1] for r in rows] == [tuple(r) for r in job(*golden, AS_OF).collect()]
+    assert rows and all(r.texto == f"{r.fecha}|{r.trm}" for r in rows)
+    plan = detail._jdf.queryExecution().executedPlan().toString()
+    assert any("HashJoin [__dia" in line for line in plan.split("\n"))
+
+
+def test_digits_of_a_decimal(spark):
+    values = ["0", "-0.000001", "0.000001", "0.999999", "-0.5", "1", "-1.000001", "10.5", "-123456789.1", "12345678901234567890.123456", None]
+    df = spark.createDataFrame([(None if v is None else Decimal(v),) for v in values], "v decimal(38,6)")
+    found = df.select(queries.digits(F.col("v"), 6)).collect()
+    assert [r[0] for r in found] == [None if v is None else str(int(Decimal(v) * 10 ** 6)) for v in values]
+    short = df.select(F.col("v").cast("decimal(28,2)").alias("v")).select("v", queries.digits(F.col("v"), 2).alias("text")).collect()
+    assert all(r.text == (None if r.v is None else str(int(r.v * 100))) for r in short)
